@@ -11,7 +11,7 @@ paths to ``get_json_object`` and VARIANT.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import BooleanType
 
-from qualityspark.functions.scalars import retype
+from qualityspark.functions.scalars import let, retype
 
 _NODE = pa.struct(
     [
@@ -61,13 +61,17 @@ class NodePattern:
     """Regular expression over a node's path, and which of its texts to take."""
 
     pattern: str
-    take: str  # "element", "text" or "@name"
+    take: str  # "element", "text", "@name", or "node" where only its presence counts
     aware: bool
     namespaces: tuple[tuple[str, str], ...] = ()
 
 
 _NAME = r"[A-Za-z_][\w.-]*"
-_STEP = re.compile(rf"(//|/)(\*|(?:{_NAME}:)?{_NAME}|text\(\)|@{_NAME})")
+_IS_NAMED = r"local-name\(\)\s*=\s*'[^']+'"
+_STEP = re.compile(
+    rf"(//|/)(text\(\)|@{_NAME}|\*\[\s*{_IS_NAMED}(?:\s+or\s+{_IS_NAMED})*\s*\]|\*|(?:{_NAME}:)?{_NAME})(?=/|\s*$)"
+)
+_NODE_TEST = re.compile(r"^\s*(count|boolean)\s*\((.*)\)\s*$", re.S)
 
 
 def path_patterns(xpath: str, namespaces: dict[str, str] | None = None, aware: bool = False) -> list[NodePattern] | None:
@@ -91,6 +95,11 @@ def path_patterns(xpath: str, namespaces: dict[str, str] | None = None, aware: b
             pattern += "(?:/[^/]+)*" if axis == "//" else ""
             if name == "*":
                 pattern += "/[^/]+"
+            elif name[0] == "*":
+                if aware:
+                    return None
+                named = re.findall(r"'([^']+)'", name)
+                pattern += "/(?:" + "|".join(re.escape(n) for n in named) + ")"
             elif ":" in name and not aware:
                 # Without namespaces a prefixed name test matches nothing.
                 return None
@@ -164,62 +173,90 @@ def node_reader(patterns: list[list[NodePattern]]):
                     root = item
             return root, declared
 
-        def one(body):
-            if body is None:
-                return {"ok": False, "error": "no document", "nodes": None}
-            try:
-                root, declared = parse(body)
-            except (ElementTree.ParseError, ValueError) as exc:
-                return {"ok": False, "error": str(exc), "nodes": None}
+        # Nodes of all documents, column by column.
+        sels, ids, lasts, depths, values = [], [], [], [], []
+        oks, errors, ends = [], [], [0]
+
+        def walk(root, declared):
             bindings = []
             for sel, rx, take, aware, own in compiled:
                 if aware:
                     bound = {**{p: u for p, u in declared.items() if p}, **own}
                     bindings.append((sel, rx, take, {u: p for p, u in bound.items()}))
-            out, serial = [], 0
+            serial = 0
             # Depth-first without recursion, so deep documents do not overflow.
             stack = [(root, "", 0, [""] * len(bindings), None)]
             while stack:
-                el, parent, depth, aware_parents, open_hits = stack.pop()
+                el, parent, depth, above, opened = stack.pop()
                 if el is None:
-                    for node in open_hits:
-                        node["last"] = serial - 1
-                    continue
-                if not isinstance(el.tag, str):
+                    for at in opened:
+                        lasts[at] = serial - 1
                     continue
-                path = f"{parent}/{_local(el.tag)}"
-                hits = list(matches_plain(path))
-                aware_paths = []
-                for (sel, rx, take, prefixes), above in zip(bindings, aware_parents):
-                    mine = f"{above}/{_qualified(el.tag, prefixes)}"
-                    aware_paths.append(mine)
-                    if rx.match(mine):
-                        hits.append((sel, take))
-                opened, done = [], set()
-                for sel, take in hits:
-                    if (sel, take) in done:
-                        continue
-                    done.add((sel, take))
-                    if take == "element":
-                        values = ["".join(el.itertext())]
-                    elif take == "text":
-                        values = texts(el)
-                    else:
-                        values = [v for k, v in el.attrib.items() if _local(k) == take[1:]]
-                    for value in values:
-                        node = {"sel": sel, "id": serial, "last": serial, "depth": depth, "value": value}
-                        out.append(node)
-                        opened.append(node)
+                tag = el.tag
+                path = f"{parent}/{_local(tag) if tag[0] == '{' else tag}"
+                hits = matches_plain(path)
+                mine = []
+                if bindings:
+                    hits = list(hits)
+                    for (sel, rx, take, prefixes), up in zip(bindings, above):
+                        aware_path = f"{up}/{_qualified(tag, prefixes)}"
+                        mine.append(aware_path)
+                        if rx.match(aware_path):
+                            hits.append((sel, take))
+                opened = None
+                if hits:
+                    opened = []
+                    for sel, take in dict.fromkeys(hits):
+                        if take == "element":
+                            found = ("".join(el.itertext()) if len(el) else el.text or "",)
+                        elif take == "node":
+                            found = (None,)
+                        elif take == "text":
+                            found = texts(el)
+                        else:
+                            found = [v for k, v in el.attrib.items() if _local(k) == take[1:]]
+                        for value in found:
+                            opened.append(len(sels))
+                            sels.append(sel)
+                            ids.append(serial)
+                            lasts.append(serial)
+                            depths.append(depth)
+                            values.append(value)
                 serial += 1
-                if opened:
-                    stack.append((None, None, 0, None, opened))
-                for child in reversed(el):
-                    stack.append((child, path, depth + 1, aware_paths, None))
-            return {"ok": True, "error": None, "nodes": out}
+                if len(el):
+                    if opened:
+                        stack.append((None, None, 0, None, opened))
+                    stack.extend((child, path, depth + 1, mine, None) for child in reversed(el))
 
-        return pa.array([one(b) for b in bodies.to_pylist()], _PARSED)
+        for body in bodies.to_pylist():
+            error = None
+            if body is None:
+                error = "no document"
+            else:
+                try:
+                    walk(*parse(body))
+                except (ElementTree.ParseError, ValueError) as exc:
+                    error = str(exc)
+            oks.append(error is None)
+            errors.append(error)
+            ends.append(len(sels))
+        nodes = pa.StructArray.from_arrays(
+            [
+                pa.array(sels, pa.int32()),
+                pa.array(ids, pa.int32()),
+                pa.array(lasts, pa.int32()),
+                pa.array(depths, pa.int32()),
+                pa.array(values, pa.string()),
+            ],
+            fields=list(_NODE),
+        )
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)
+        return pa.StructArray.from_arrays(
+            [pa.array(oks, pa.bool_()), pa.array(errors, pa.string()), lists], fields=list(_PARSED)
+        )
 
-    return read
+    # So marked, filters stay above the parse and never repeat it.
+    return read.asNondeterministic()
 
 
 @F.arrow_udf(BooleanType())
@@ -248,9 +285,10 @@ def _scalar_xpath(body: Column, expr: str) -> Column:
     """Text of an XPath expression that is not an element path."""
     head = expr.strip().split("(", 1)[0].strip()
     if head in ("count", "sum", "number", "string-length", "floor", "ceiling", "round"):
-        number = F.xpath_double(body, F.lit(expr))
-        whole = number.cast("bigint").cast("string")
-        return F.when(number == F.floor(number), whole).otherwise(number.cast("string"))
+        return let(
+            F.xpath_double(body, F.lit(expr)),
+            lambda n: F.when(n == F.floor(n), n.cast("bigint").cast("string")).otherwise(n.cast("string")),
+        )
     if head in ("boolean", "not", "contains", "starts-with", "true", "false"):
         return F.xpath_boolean(body, F.lit(expr)).cast("string")
     return F.xpath_string(body, F.lit(expr))
@@ -294,6 +332,10 @@ class DocumentReader:
             return ("nested", self._add(patterns), self._add(joined), fixed)
         if patterns is not None:
             return ("nodes", self._add(patterns))
+        test = _NODE_TEST.match(selector.xpath)
+        inner = test and path_patterns(test.group(2), selector.namespaces, aware)
+        if inner and all(p.take == "element" for p in inner):
+            return (test.group(1), self._add([replace(p, take="node") for p in inner]))
         if _FUNCTION.match(selector.xpath):
             return ("scalar",)
         return ("xpath",)
@@ -318,7 +360,11 @@ class DocumentReader:
         """Texts the selector yields, in document order; empty when nothing matches."""
         kind, *rest = self._plan[selector]
         if kind == "nodes":
-            return F.transform(self._nodes(rest[0]), lambda n: n.value)
+            return F.when(self.ok, F.transform(self._nodes(rest[0]), lambda n: n.value))
+        if kind == "count":
+            return F.when(self.ok, F.array(F.size(self._nodes(rest[0])).cast("string")))
+        if kind == "boolean":
+            return F.when(self.ok, F.array((F.size(self._nodes(rest[0])) > 0).cast("string")))
         # Lazy branches keep the JVM parser away from malformed documents.
         if kind == "scalar":
             return F.when(self.ok, F.array(_scalar_xpath(_no_mark(F.col(body)), selector.xpath)))
@@ -346,16 +392,23 @@ SELECTED_TYPE = "struct<kind:string,num:double,bool:boolean,str:string,items:arr
 
 def as_selected(texts: Column, empty_is_list: bool = False) -> Column:
     """One text becomes a typed value, several a list, none null (or an empty list)."""
-    single = retype(F.element_at(texts, 1))
-    n = F.coalesce(F.size(texts), F.lit(0))
-    is_list = (n > 1) | (F.lit(empty_is_list) & (n == 0) & texts.isNotNull())
-    return F.struct(
-        F.when(is_list, "list").when(n == 1, single.kind).alias("kind"),
-        F.when(n == 1, single.num).alias("num"),
-        F.when(n == 1, single.bool).alias("bool"),
-        F.when(n == 1, single.str).alias("str"),
-        F.when(n >= 1, texts).when(is_list, F.array().cast("array<string>")).alias("items"),
-    )
+
+    def build(items: Column) -> Column:
+        n = F.coalesce(F.size(items), F.lit(0))
+        is_list = (n > 1) | (F.lit(empty_is_list) & (n == 0) & items.isNotNull())
+        only = F.when(n == 1, F.get(items, F.lit(0)))
+        return let(
+            retype(only),
+            lambda one: F.struct(
+                F.when(is_list, "list").otherwise(one.kind).alias("kind"),
+                one.num.alias("num"),
+                one.bool.alias("bool"),
+                one.str.alias("str"),
+                F.when((n >= 1) | is_list, items).alias("items"),
+            ),
+        )
+
+    return let(texts, build)
 
 
 # JSON -----------------------------------------------------------------------
@@ -387,11 +440,12 @@ def _json_path(steps: list[tuple[str, str]]) -> str:
     return "$" + "".join(f"['{v}']" if k == "key" else f"[{v}]" for k, v in steps)
 
 
-def json_texts(body: Column, path: str, scalars: bool = False) -> Column:
+def json_texts(body: Column, path: str, scalars: bool = False, node: Column | None = None) -> Column:
     """Array with one text per node the path yields.
 
     Strings give their text and objects or arrays their JSON text. Numbers,
     booleans and nulls give null, unless ``scalars`` asks for their text.
+    ``node`` is the parsed body, where the caller already has it.
     """
     groups: list[list[tuple[str, str]]] = [[]]
     for step in json_steps(path):
@@ -416,24 +470,24 @@ def json_texts(body: Column, path: str, scalars: bool = False) -> Column:
             F.array().cast("array<struct<text:string,node:variant>>"),
         )
 
-    first = F.struct(body.alias("text"), F.try_parse_json(body).alias("node"))
-    pairs = F.array(step_into(groups[0])(first) if groups[0] else first)
+    root = F.try_parse_json(body) if node is None else node
+    first = F.struct(body.alias("text"), root.alias("node"))
+    pairs = F.transform(F.array(first), step_into(groups[0])) if groups[0] else F.array(first)
     for steps in groups[1:]:
         pairs = F.flatten(F.transform(pairs, spread))
         if steps:
             pairs = F.transform(pairs, step_into(steps))
 
     def text_of(pair: Column) -> Column:
-        kind = F.schema_of_variant(pair.node)
-        keep = kind.isin("STRING") | kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        return pair.text if scalars else F.when(keep, pair.text)
+        keep = F.schema_of_variant(pair["node"]).rlike("^(STRING$|OBJECT|ARRAY)")
+        return pair["text"] if scalars else F.when(keep, pair["text"])
 
     return F.transform(pairs, text_of)
 
 
-def select_json(body: Column, path: str, scalars: bool = False) -> Column:
+def select_json(body: Column, path: str, scalars: bool = False, node: Column | None = None) -> Column:
     """Typed value of a JSON path: one node a single value, otherwise a list."""
-    return as_selected(json_texts(body, path, scalars), empty_is_list=True)
+    return as_selected(json_texts(body, path, scalars, node), empty_is_list=True)
 
 
 def is_json_format(format_id: Column) -> Column:
@@ -507,7 +561,8 @@ def _all_nodes(bodies: pa.Array) -> pa.Array:
 
 def shred(docs: DataFrame, key: str = "pid", body: str = "body") -> DataFrame:
     """One row per element: id, parent, path, name, namespace, attributes, own text."""
-    return docs.select(key, F.inline(_all_nodes(F.col(body))))
+    # The outer generator avoids an inferred size filter, and so a second parse.
+    return docs.select(key, F.inline_outer(_all_nodes(F.col(body)))).filter("node_id IS NOT NULL")
 
 
 def namespaces_of(docs: DataFrame, key: str = "pid", body: str = "body") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 _WS = r"[ \t\n\r\f\x0B]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` written and evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def month_start(ts: Column) -> Column:
     return F.trunc(ts, "month")
 
@@ -62,7 +69,11 @@ def award_key(award: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words of a text split on whitespace; a blank text counts one, as a split does."""
-    return F.size(F.split(strip(text), f"{_WS}+"))
+    return count_words(strip(text))
+
+
+def count_words(stripped: Column) -> Column:
+    return F.size(F.split(stripped, f"{_WS}+"))
 
 
 def is_blank(text: Column) -> Column:
@@ -169,23 +180,34 @@ def retype(text: Column) -> Column:
 
     Digits with a leading zero stay strings.
     """
+    return let(text, _retype)
+
+
+def _retype(text: Column) -> Column:
     is_number = text.rlike(_NUMBER) & ~text.rlike("^0[0-9]*$")
-    word = F.lower(text)
+    # Only short texts can be a boolean word, so long ones are not lower-cased.
+    word = F.when(F.length(text) <= 5, F.lower(text)).otherwise("")
     is_bool = word.isin(*TRUE_WORDS, *FALSE_WORDS)
-    magnitude = F.regexp_replace(text, "^-", "")
-    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
-    number = F.when(
-        magnitude.rlike("^0[xX]"), sign * F.conv(F.substring(magnitude, 3, 64), 16, 10).cast("double")
-    ).otherwise(F.regexp_replace(text, "[fFdDlL]$", "").try_cast("double"))
     kind = (
         F.when(text.isNull(), F.lit(None).cast("string"))
         .when(is_number, "number")
         .when(is_bool, "boolean")
         .otherwise("string")
     )
-    return F.struct(
-        kind.alias("kind"),
-        F.when(is_number, number).alias("num"),
-        F.when(~is_number & is_bool, word.isin(*TRUE_WORDS)).alias("bool"),
-        F.when(~is_number & ~is_bool, text).alias("str"),
+    return let(
+        kind,
+        lambda k: F.struct(
+            k.alias("kind"),
+            F.when(k == "number", _number(text)).alias("num"),
+            F.when(k == "boolean", word.isin(*TRUE_WORDS)).alias("bool"),
+            F.when(k == "string", text).alias("str"),
+        ),
     )
+
+
+def _number(text: Column) -> Column:
+    magnitude = F.regexp_replace(text, "^-", "")
+    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
+    return F.when(
+        magnitude.rlike("^0[xX]"), sign * F.conv(F.substring(magnitude, 3, 64), 16, 10).cast("double")
+    ).otherwise(F.regexp_replace(text, "[fFdDlL]$", "").try_cast("double"))

@@ -125,27 +125,29 @@ def longer_than(variable: str, n: int):
 def min_words(variable: str, n: int, label: str = "abstract"):
     """SUCCESS when a text, or the texts of a list joined by blanks, has ``n`` words."""
 
-    def run(v):
-        items = v[variable]["items"]
-        words = S.word_count(F.array_join(items, " "))
-        status = (
-            F.when(items.isNull(), "FAILURE")
-            .when(S.all_blank(items), "FAILURE")
-            .when(words < n, "FAILURE")
-            .otherwise("SUCCESS")
-        )
-        text = (
+    def judge(items: Column, words: Column) -> Column:
+        blank = F.coalesce(words, F.lit(0)) == 0
+        return outcome(
+            passed(F.coalesce(words >= n, F.lit(False))),
             F.when(items.isNull(), f"An {label} was not found.")
-            .when(S.all_blank(items), f"The {label} is blank")
+            .when(blank, f"The {label} is blank")
             .when(
                 words < n,
                 F.format_string(
                     f"The {label} word count of '%d' is less that the recommended minimum of '{n}'", words
                 ),
             )
-            .otherwise(F.format_string(f"The {label} is valid, with a word count of %d", words))
+            .otherwise(F.format_string(f"The {label} is valid, with a word count of %d", words)),
+        )
+
+    def run(v):
+        items = v[variable]["items"]
+        # A text of whitespace only counts no words here.
+        words = S.let(
+            S.strip(F.array_join(items, " ")),
+            lambda text: F.when(text == "", 0).otherwise(S.count_words(text)),
         )
-        return outcome(status, text)
+        return S.let(words, lambda w: judge(items, w))
 
     return run
 

@@ -20,7 +20,7 @@ from qualityspark.functions.extract import (
     is_json_format,
     select_json,
 )
-from qualityspark.functions.scalars import iso_millis
+from qualityspark.functions.scalars import iso_millis, let
 from qualityspark.operators.checks import OUTPUT_TYPE, Check, CheckRef, Registry, Suite, messages, outcome
 
 RESULT_TYPE = (
@@ -56,7 +56,7 @@ def applies(
         json = F.lit(False)
         for d in check.dialects:
             if d.json_path is not None:
-                value = select_json(body, d.json_path)
+                value = select_json(body, d.json_path, node=F.col("_node"))
                 json = json | F.coalesce(value["str"] == SCHEMA_ORG, F.lit(False))
     return F.when(is_json, json).otherwise(xml)
 
@@ -91,6 +91,7 @@ def run_suite(
     is_json = is_json_format(F.col("format_id"))
     body = F.col("body")
     parsed = reader.attach(docs.withColumn("_json", is_json), when=~is_json)
+    parsed = parsed.withColumn("_node", F.when(F.col("_json"), F.try_parse_json(body)))
     has_system = "sysmeta" in docs.columns
 
     # One staged column per distinct selector and dialect, so that checks share them.
@@ -105,7 +106,7 @@ def run_suite(
             for i, (_, c) in enumerate(steps)
             if c is not None and c.dialects is not None
         }
-        | {"_ok": F.when(F.col("_json"), F.try_parse_json(body).isNotNull()).otherwise(reader.ok)}
+        | {"_ok": F.when(F.col("_json"), F.col("_node").isNotNull()).otherwise(reader.ok)}
     )
 
     base: dict[str, Column] = {
@@ -167,7 +168,7 @@ def _value(selector: Selector, bound: Selector, reader: DocumentReader, is_json,
     none = F.lit(None).cast(SELECTED_TYPE)
     xml = as_selected(reader.values(bound)).cast(SELECTED_TYPE) if selector.xpath is not None else none
     json = (
-        select_json(body, selector.json_path, json_scalars).cast(SELECTED_TYPE)
+        select_json(body, selector.json_path, json_scalars, F.col("_node")).cast(SELECTED_TYPE)
         if selector.json_path is not None
         else none
     )
@@ -176,14 +177,17 @@ def _value(selector: Selector, bound: Selector, reader: DocumentReader, is_json,
 
 def _result(position: int, check_id: str, name, type_, level, done: Column) -> Column:
     text = lambda v: F.lit(v).cast("string")
-    return F.struct(
-        F.lit(position).alias("position"),
-        text(check_id).alias("check_id"),
-        text(name).alias("name"),
-        text(type_).alias("type"),
-        text(level).alias("level"),
-        done["status"].alias("status"),
-        done["output"].alias("output"),
+    return let(
+        done,
+        lambda d: F.struct(
+            F.lit(position).alias("position"),
+            text(check_id).alias("check_id"),
+            text(name).alias("name"),
+            text(type_).alias("type"),
+            text(level).alias("level"),
+            d.status.alias("status"),
+            d.output.alias("output"),
+        ),
     )
 
 
@@ -194,8 +198,13 @@ def run_check(docs: DataFrame, check: Check, params: Mapping[str, str] | None =
 
 
 def explode_results(runs: DataFrame, *keep: str) -> DataFrame:
-    """One row per run and check."""
-    return runs.select("pid", "suite_id", *keep, F.inline("results"))
+    """One row per run and check.
+
+    The outer generator keeps Spark from inferring a filter on the array's
+    size, which would compute every result a second time below the generator.
+    """
+    rows = runs.select("pid", "suite_id", *keep, F.inline_outer("results"))
+    return rows.filter("check_id IS NOT NULL")
 
 
 def resolve_references(suites: DataFrame, checks: DataFrame) -> DataFrame:

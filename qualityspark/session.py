@@ -32,6 +32,16 @@ def build_session(app: str = "qualityspark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Divide rows over all cores when a scan gives fewer partitions than there are.
+
+    Worth a shuffle only before per-document parsing of a small input; a large
+    input has partitions enough and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _local_scratch: str | None = None
 
 

@@ -108,7 +108,7 @@ def from_json_text(text: Column, schema: StructType | str) -> Column:
 
 def xml_to_json(body: Column, schema: StructType | str) -> Column:
     """Whole XML document to JSON text, by a schema taken from a sample."""
-    return F.to_json(F.from_xml(body, schema))
+    return F.to_json(F.from_xml(body, schema, {"ignoreSurroundingSpaces": "false"}))
 
 
 def report_file(text: Column) -> Column:

@@ -28,8 +28,8 @@ def _texts(spark: SparkSession, paths: list[str], base: str | None) -> DataFrame
     return out.withColumn("value", normalize_version(F.col("value"), base)) if base else out
 
 
-def _definitions(texts: DataFrame, schema: str) -> DataFrame:
-    """Readable definitions; of one id the last file in path order wins."""
+def definitions(texts: DataFrame, schema: str) -> DataFrame:
+    """Readable definitions of ``texts(path, value)``; of one id the last in path order wins."""
     read = texts.select("path", F.from_xml("value", schema, _XML).alias("d")).filter(
         "d IS NOT NULL AND d._corrupt IS NULL AND d.id IS NOT NULL"
     )
@@ -45,11 +45,11 @@ def corrupt_definitions(spark: SparkSession, paths: list[str], base: str | None
 
 
 def read_checks(spark: SparkSession, paths: list[str], base: str | None = None) -> DataFrame:
-    return _definitions(_texts(spark, paths, base), schemas.CHECK_XML)
+    return definitions(_texts(spark, paths, base), schemas.CHECK_XML)
 
 
 def read_suites(spark: SparkSession, paths: list[str], base: str | None = None) -> DataFrame:
-    return _definitions(_texts(spark, paths, base), schemas.SUITE_XML)
+    return definitions(_texts(spark, paths, base), schemas.SUITE_XML)
 
 
 def suite_references(suites: DataFrame) -> DataFrame:
