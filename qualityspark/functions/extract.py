@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import BooleanType
 
-from qualityspark.functions.scalars import let, retype
+from qualityspark.functions.scalars import let, retype_sql
 
 _NODE = pa.struct(
     [
@@ -390,25 +390,27 @@ class DocumentReader:
 SELECTED_TYPE = "struct<kind:string,num:double,bool:boolean,str:string,items:array<string>>"
 
 
-def as_selected(texts: Column, empty_is_list: bool = False) -> Column:
-    """One text becomes a typed value, several a list, none null (or an empty list)."""
+def selected_sql(texts: str, empty_is_list: str = "false") -> str:
+    """SQL of the value a list of texts stands for.
 
-    def build(items: Column) -> Column:
-        n = F.coalesce(F.size(items), F.lit(0))
-        is_list = (n > 1) | (F.lit(empty_is_list) & (n == 0) & items.isNotNull())
-        only = F.when(n == 1, F.get(items, F.lit(0)))
-        return let(
-            retype(only),
-            lambda one: F.struct(
-                F.when(is_list, "list").otherwise(one.kind).alias("kind"),
-                one.num.alias("num"),
-                one.bool.alias("bool"),
-                one.str.alias("str"),
-                F.when((n >= 1) | is_list, items).alias("items"),
-            ),
-        )
+    One text becomes a typed value, several a list, none null or, where
+    ``empty_is_list`` holds, an empty list. ``texts`` names an array column.
+    """
+    one = retype_sql("CASE WHEN size(items) = 1 THEN items[0] END")
+    is_list = f"size(items) > 1 OR (({empty_is_list}) AND size(items) = 0)"
+    return f"""transform(array({texts}), items -> transform(array({one}), v -> named_struct(
+        'kind', CASE WHEN {is_list} THEN 'list' ELSE v.kind END, 'num', v.num, 'bool', v.bool, 'str', v.str,
+        'items', CASE WHEN size(items) = 1 OR {is_list} THEN items END))[0])[0]"""
 
-    return let(texts, build)
+
+def with_values(df: DataFrame, texts: dict[str, Column], empty_is_list: str = "false") -> DataFrame:
+    """Add typed values by name, each from an array of texts."""
+    staged = {name: f"_texts_{name}" for name in texts}
+    return (
+        df.withColumns({staged[name]: column for name, column in texts.items()})
+        .withColumns({name: F.expr(selected_sql(column, empty_is_list)) for name, column in staged.items()})
+        .drop(*staged.values())
+    )
 
 
 # JSON -----------------------------------------------------------------------
@@ -485,9 +487,11 @@ def json_texts(body: Column, path: str, scalars: bool = False, node: Column | No
     return F.transform(pairs, text_of)
 
 
-def select_json(body: Column, path: str, scalars: bool = False, node: Column | None = None) -> Column:
-    """Typed value of a JSON path: one node a single value, otherwise a list."""
-    return as_selected(json_texts(body, path, scalars, node), empty_is_list=True)
+def with_json_values(df: DataFrame, body: str, paths: dict[str, str], scalars: bool = False) -> DataFrame:
+    """Add typed values of JSON paths: one node a single value, otherwise a list."""
+    parsed = df.withColumn("_node", F.try_parse_json(F.col(body)))
+    texts = {name: json_texts(F.col(body), path, scalars, F.col("_node")) for name, path in paths.items()}
+    return with_values(parsed, texts, "true").drop("_node")
 
 
 def is_json_format(format_id: Column) -> Column:

@@ -170,44 +170,26 @@ def two_decimals(score: Column) -> Column:
     return F.call_function("format_number", score, F.lit(".##")).cast("float")
 
 
-_NUMBER = r"^-?(?:0[xX][0-9a-fA-F]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[fFdD]?|[0-9]+[lL])$"
+# Fixed value: texts that are numbers.
+_NUMBER = r"^-?(0[xX][0-9a-fA-F]+|([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[fFdD]?|[0-9]+[lL])$"
 
-VALUE_TYPE = "struct<kind:string,num:double,bool:boolean,str:string>"
 
+def retype_sql(text: str) -> str:
+    """SQL of a text's tagged value: number, boolean or string, else null.
 
-def retype(text: Column) -> Column:
-    """Text to a tagged value: number, boolean or string, else null.
-
-    Digits with a leading zero stay strings.
+    Digits with a leading zero stay strings. ``text`` is a column name or any
+    other SQL; it is bound once. Written as SQL because a suite holds one per
+    selector, and as Column calls each would cost hundreds of driver round trips.
     """
-    return let(text, _retype)
-
-
-def _retype(text: Column) -> Column:
-    is_number = text.rlike(_NUMBER) & ~text.rlike("^0[0-9]*$")
-    # Only short texts can be a boolean word, so long ones are not lower-cased.
-    word = F.when(F.length(text) <= 5, F.lower(text)).otherwise("")
-    is_bool = word.isin(*TRUE_WORDS, *FALSE_WORDS)
-    kind = (
-        F.when(text.isNull(), F.lit(None).cast("string"))
-        .when(is_number, "number")
-        .when(is_bool, "boolean")
-        .otherwise("string")
-    )
-    return let(
-        kind,
-        lambda k: F.struct(
-            k.alias("kind"),
-            F.when(k == "number", _number(text)).alias("num"),
-            F.when(k == "boolean", word.isin(*TRUE_WORDS)).alias("bool"),
-            F.when(k == "string", text).alias("str"),
-        ),
-    )
-
-
-def _number(text: Column) -> Column:
-    magnitude = F.regexp_replace(text, "^-", "")
-    sign = F.when(text.startswith("-"), -1.0).otherwise(1.0)
-    return F.when(
-        magnitude.rlike("^0[xX]"), sign * F.conv(F.substring(magnitude, 3, 64), 16, 10).cast("double")
-    ).otherwise(F.regexp_replace(text, "[fFdDlL]$", "").try_cast("double"))
+    words = ", ".join(f"'{w}'" for w in TRUE_WORDS + FALSE_WORDS)
+    yes = ", ".join(f"'{w}'" for w in TRUE_WORDS)
+    kind = f"""CASE WHEN t IS NULL THEN NULL
+        WHEN t RLIKE r'{_NUMBER}' AND NOT t RLIKE '^0[0-9]*$' THEN 'number'
+        WHEN length(t) <= 5 AND lower(t) IN ({words}) THEN 'boolean' ELSE 'string' END"""
+    number = """CASE WHEN t RLIKE '^-?0[xX]' THEN if(startswith(t, '-'), -1.0D, 1.0D)
+            * CAST(conv(regexp_replace(t, '^-?0[xX]', ''), 16, 10) AS DOUBLE)
+        ELSE try_cast(regexp_replace(t, '[fFdDlL]$', '') AS DOUBLE) END"""
+    return f"""transform(array({text}), t -> transform(array({kind}), k -> named_struct('kind', k,
+        'num', CASE WHEN k = 'number' THEN {number} END,
+        'bool', CASE WHEN k = 'boolean' THEN lower(t) IN ({yes}) END,
+        'str', CASE WHEN k = 'string' THEN t END))[0])[0]"""

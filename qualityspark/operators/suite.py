@@ -12,15 +12,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qualityspark.functions.extract import (
-    SELECTED_TYPE,
-    DocumentReader,
-    Selector,
-    as_selected,
-    is_json_format,
-    select_json,
-)
-from qualityspark.functions.scalars import iso_millis, let
+from qualityspark.functions.extract import DocumentReader, Selector, is_json_format, json_texts, with_values
+from qualityspark.functions.scalars import iso_millis
 from qualityspark.operators.checks import OUTPUT_TYPE, Check, CheckRef, Registry, Suite, messages, outcome
 
 RESULT_TYPE = (
@@ -56,8 +49,8 @@ def applies(
         json = F.lit(False)
         for d in check.dialects:
             if d.json_path is not None:
-                value = select_json(body, d.json_path, node=F.col("_node"))
-                json = json | F.coalesce(value["str"] == SCHEMA_ORG, F.lit(False))
+                texts = json_texts(body, d.json_path, node=F.col("_node"))
+                json = json | F.coalesce(texts == F.array(F.lit(SCHEMA_ORG)), F.lit(False))
     return F.when(is_json, json).otherwise(xml)
 
 
@@ -96,11 +89,13 @@ def run_suite(
 
     # One staged column per distinct selector and dialect, so that checks share them.
     values = {s: f"v{i}" for i, s in enumerate(sorted(selectors, key=repr))}
-    staged = parsed.withColumns(
-        {
-            name: _value(s, bound[s], reader, F.col("_json"), body, json_scalars)
-            for s, name in values.items()
-        }
+    # A selector that reads one kind of document only gives null for the other.
+    plain = {
+        name: _texts(s, bound[s], reader, body, json_scalars) for s, name in values.items() if s.sub is None
+    }
+    nested = {name: reader.nested(bound[s]) for s, name in values.items() if s.sub is not None}
+    staged = with_values(parsed, plain, "_json").withColumns(
+        nested
         | {
             f"a{i}": applies(c, reader, tests, F.col("_json"), body, strict_json)
             for i, (_, c) in enumerate(steps)
@@ -126,21 +121,28 @@ def run_suite(
     if "n_data" in docs.columns:
         base["n_data"] = F.col("n_data")
 
-    results, carried = [], {}
+    # Outcomes are staged columns: they are used twice below, and Python checks
+    # run only as columns of their own. Checks that inherit state need the
+    # outcome before them, so theirs are staged later.
+    results, carried, pending = [], {}, {}
     for position, (ref, check) in enumerate(steps):
         if check is None:
             missing = outcome(F.lit("SKIP"), F.lit(f"Could not locate referenced check in store: {ref.check_id}"))
             results.append(_result(position, ref.check_id, None, ref.type, ref.level, missing))
             continue
+        inherits = check.inherit_state and carried
+        if inherits:
+            staged, pending = staged.withColumns(pending), {}
         own = {s.name: F.col(values[s]) for s in check.selectors}
-        variables = {**base, **(carried if check.inherit_state else {}), **own}
-        carried = {**variables}
+        variables = {**base, **(carried if inherits else {}), **own}
         done = check.run(variables)
-        carried["previous_status"] = done["status"]
         if check.dialects is not None:
             skip = outcome(F.lit("SKIP"), F.lit("Dialect for this check is not supported"))
             done = F.when(F.col(f"a{position}"), done).otherwise(skip)
-        results.append(_result(position, check.id, check.name, check.type, check.level, done))
+        pending[f"c{position}"] = done
+        carried = {**variables, "previous_status": F.col(f"c{position}")["status"]}
+        results.append(_result(position, check.id, check.name, check.type, check.level, F.col(f"c{position}")))
+    staged = staged.withColumns(pending)
 
     failed = F.when(~F.coalesce(F.col("_ok"), F.lit(False)), F.coalesce(reader.error, F.lit("document cannot be parsed")))
     if suite.id.startswith("data-suite") and "n_data" in docs.columns:
@@ -162,32 +164,24 @@ def _as_boolean(expr: str) -> str:
     return expr.strip()
 
 
-def _value(selector: Selector, bound: Selector, reader: DocumentReader, is_json, body, json_scalars) -> Column:
-    if selector.sub is not None:
-        return reader.nested(bound)
-    none = F.lit(None).cast(SELECTED_TYPE)
-    xml = as_selected(reader.values(bound)).cast(SELECTED_TYPE) if selector.xpath is not None else none
-    json = (
-        select_json(body, selector.json_path, json_scalars, F.col("_node")).cast(SELECTED_TYPE)
-        if selector.json_path is not None
-        else none
-    )
-    return F.when(is_json, json).otherwise(xml)
+def _texts(selector: Selector, bound: Selector, reader: DocumentReader, body: Column, json_scalars: bool) -> Column:
+    none = F.lit(None).cast("array<string>")
+    xml = reader.values(bound) if selector.xpath is not None else none
+    if selector.json_path is None:
+        return F.when(~F.col("_json"), xml)
+    return F.when(F.col("_json"), json_texts(body, selector.json_path, json_scalars, F.col("_node"))).otherwise(xml)
 
 
 def _result(position: int, check_id: str, name, type_, level, done: Column) -> Column:
     text = lambda v: F.lit(v).cast("string")
-    return let(
-        done,
-        lambda d: F.struct(
-            F.lit(position).alias("position"),
-            text(check_id).alias("check_id"),
-            text(name).alias("name"),
-            text(type_).alias("type"),
-            text(level).alias("level"),
-            d.status.alias("status"),
-            d.output.alias("output"),
-        ),
+    return F.struct(
+        F.lit(position).alias("position"),
+        text(check_id).alias("check_id"),
+        text(name).alias("name"),
+        text(type_).alias("type"),
+        text(level).alias("level"),
+        done["status"].alias("status"),
+        done["output"].alias("output"),
     )
 
 

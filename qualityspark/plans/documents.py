@@ -399,7 +399,7 @@ def xml_select(t):
         "pid",
         F.element_at(reader.values(TITLE), 1).alias("title"),
         F.size(reader.values(KEYWORDS)).cast("bigint").alias("n_keywords"),
-        X.as_selected(reader.values(ENTITIES))["num"].alias("entities"),
+        F.element_at(reader.values(ENTITIES), 1).cast("double").alias("entities"),
         F.element_at(reader.values(name), 1).alias("root"),
     )
 
@@ -515,12 +515,10 @@ def xml_nodes(t):
 )
 def json_select(t):
     """A lone JSON number selects null, unless scalars are asked for; a zero stays a string."""
-    props = F.col("props")
-    return t("events").select(
-        F.col("event_id").alias("pid"),
-        X.select_json(props, ".k")["kind"].alias("kind"),
-        X.select_json(props, ".k", scalars=True)["num"].alias("k"),
-    )
+    events = t("events").withColumnRenamed("event_id", "pid")
+    read = X.with_json_values(events, "props", {"plain": ".k"})
+    read = X.with_json_values(read, "props", {"scalar": ".k"}, scalars=True)
+    return read.select("pid", F.col("plain.kind").alias("kind"), F.col("scalar.num").alias("k"))
 
 
 @query(
@@ -530,16 +528,15 @@ def json_select(t):
 )
 def json_lists(t):
     docs = documents(t).filter(X.is_json_format(F.col("format_id")))
-    body = F.col("body")
-    keywords = X.select_json(body, ".keywords[]")
-    return docs.select(
+    paths = {"title": ".name", "words": ".keywords[]", "ctx": '.["@context"] | .[0]', "none": ".nothing[]"}
+    return X.with_json_values(docs, "body", paths).select(
         "pid",
-        F.get(X.json_texts(body, ".name"), F.lit(0)).alias("name"),
-        keywords["kind"].alias("kind"),
-        F.size(keywords["items"]).cast("bigint").alias("n"),
-        F.element_at(keywords["items"], -1).alias("last_one"),
-        X.select_json(body, '.["@context"] | .[0]')["str"].alias("context"),
-        X.select_json(body, ".nothing[]")["kind"].alias("missing"),
+        F.get("title.items", F.lit(0)).alias("name"),
+        F.col("words.kind").alias("kind"),
+        F.size("words.items").cast("bigint").alias("n"),
+        F.element_at("words.items", -1).alias("last_one"),
+        F.col("ctx.str").alias("context"),
+        F.col("none.kind").alias("missing"),
     )
 
 
@@ -562,7 +559,7 @@ def retype_values(t):
         F.when(F.col("p_size") % 2 == 0, "Yes").otherwise("OFF"),
         F.concat(F.lit("-"), size, F.lit("e2")), F.col("p_brand"), F.lit(""), F.lit("1.2.3"),
     )
-    typed = t("part").select("p_partkey", F.explode(values).alias("v")).withColumn("x", S.retype(F.col("v")))
+    typed = t("part").select("p_partkey", F.explode(values).alias("v")).withColumn("x", F.expr(S.retype_sql("v")))
     return typed.select("p_partkey", "v", "x.kind", "x.num", "x.bool")
 
 
