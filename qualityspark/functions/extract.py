@@ -397,10 +397,10 @@ def selected_sql(texts: str, empty_is_list: str = "false") -> str:
     ``empty_is_list`` holds, an empty list. ``texts`` names an array column.
     """
     one = retype_sql("CASE WHEN size(items) = 1 THEN items[0] END")
-    is_list = f"size(items) > 1 OR (({empty_is_list}) AND size(items) = 0)"
-    return f"""transform(array({texts}), items -> transform(array({one}), v -> named_struct(
-        'kind', CASE WHEN {is_list} THEN 'list' ELSE v.kind END, 'num', v.num, 'bool', v.bool, 'str', v.str,
-        'items', CASE WHEN size(items) = 1 OR {is_list} THEN items END))[0])[0]"""
+    is_list = f"size(i.items) > 1 OR (({empty_is_list}) AND size(i.items) = 0)"
+    return f"""transform(transform(array({texts}), items -> named_struct('items', items, 'v', {one})), i -> named_struct(
+        'kind', CASE WHEN {is_list} THEN 'list' ELSE i.v.kind END, 'num', i.v.num, 'bool', i.v.bool, 'str', i.v.str,
+        'items', CASE WHEN size(i.items) = 1 OR {is_list} THEN i.items END))[0]"""
 
 
 def with_values(df: DataFrame, texts: dict[str, Column], empty_is_list: str = "false") -> DataFrame:

@@ -186,10 +186,12 @@ def retype_sql(text: str) -> str:
     kind = f"""CASE WHEN t IS NULL THEN NULL
         WHEN t RLIKE r'{_NUMBER}' AND NOT t RLIKE '^0[0-9]*$' THEN 'number'
         WHEN length(t) <= 5 AND lower(t) IN ({words}) THEN 'boolean' ELSE 'string' END"""
-    number = """CASE WHEN t RLIKE '^-?0[xX]' THEN if(startswith(t, '-'), -1.0D, 1.0D)
-            * CAST(conv(regexp_replace(t, '^-?0[xX]', ''), 16, 10) AS DOUBLE)
-        ELSE try_cast(regexp_replace(t, '[fFdDlL]$', '') AS DOUBLE) END"""
-    return f"""transform(array({text}), t -> transform(array({kind}), k -> named_struct('kind', k,
-        'num', CASE WHEN k = 'number' THEN {number} END,
-        'bool', CASE WHEN k = 'boolean' THEN lower(t) IN ({yes}) END,
-        'str', CASE WHEN k = 'string' THEN t END))[0])[0]"""
+    number = """CASE WHEN s.t RLIKE '^-?0[xX]' THEN if(startswith(s.t, '-'), -1.0D, 1.0D)
+            * CAST(conv(regexp_replace(s.t, '^-?0[xX]', ''), 16, 10) AS DOUBLE)
+        ELSE try_cast(regexp_replace(s.t, '[fFdDlL]$', '') AS DOUBLE) END"""
+    # Two steps, as no inner lambda may use an outer one's variable: Spark does
+    # not take such an expression as the argument of a Python function.
+    return f"""transform(transform(array({text}), t -> named_struct('t', t, 'k', {kind})), s -> named_struct('kind', s.k,
+        'num', CASE WHEN s.k = 'number' THEN {number} END,
+        'bool', CASE WHEN s.k = 'boolean' THEN lower(s.t) IN ({yes}) END,
+        'str', CASE WHEN s.k = 'string' THEN s.t END))[0]"""
