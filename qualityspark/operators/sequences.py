@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from qualityspark.operators.skew import join_latest
@@ -35,14 +35,10 @@ def walk_back(runs: DataFrame) -> DataFrame:
     leave the joined side, so no head is ever a hot join key. Runs on or behind
     a cycle are reported with ``in_cycle`` and no head.
     """
-    nodes = cut_lineage(links(runs))
-    total = nodes.count()
+    nodes = links(runs)
     stored = nodes.select("suite_id", F.col("pid").alias("back"), F.lit(True).alias("_stored"))
-    linked = nodes.join(stored, ["suite_id", "back"], "left").select(
-        "suite_id",
-        "pid",
-        "is_first",
-        F.when(F.col("_stored"), F.col("back")).alias("back"),
+    linked = nodes.join(stored, ["suite_id", "back"], "left").withColumn(
+        "back", F.when(F.col("_stored"), F.col("back"))
     )
     state = cut_lineage(
         linked.select(
@@ -50,35 +46,40 @@ def walk_back(runs: DataFrame) -> DataFrame:
             "pid",
             F.coalesce("back", "pid").alias("head"),
             F.when(F.col("back").isNull(), 0).otherwise(1).cast("bigint").alias("position"),
-            F.col("back").isNull().alias("done"),
             "is_first",
-        )
+            F.col("back").isNull().alias("done"),
+        ),
+        by="done",
     )
+    total = state.count()
     columns = state.columns
-    finished = state.filter("done")
-    active = state.filter("NOT done")
+    finished, active = state.filter("done"), state.filter("NOT done")
     for _ in range(math.ceil(math.log2(max(total, 2))) + 1):
         ahead = finished.unionByName(active).select(
             "suite_id",
             F.col("pid").alias("head"),
             F.col("head").alias("_head"),
             F.col("position").alias("_position"),
-            F.col("done").alias("_done"),
             F.col("is_first").alias("_first"),
+            F.col("done").alias("_done"),
         )
+        left = Observation()
         moved = cut_lineage(
-            active.join(ahead, ["suite_id", "head"]).select(
+            active.join(ahead, ["suite_id", "head"])
+            .select(
                 "suite_id",
                 "pid",
                 F.col("_head").alias("head"),
                 (F.col("position") + F.col("_position")).alias("position"),
-                F.col("_done").alias("done"),
                 F.col("_first").alias("is_first"),
+                F.col("_done").alias("done"),
             )
+            .observe(left, F.count_if(~F.col("done")).alias("n")),
+            by="done",
         )
         finished = finished.unionByName(moved.filter("done"))
         active = moved.filter("NOT done")
-        if active.isEmpty():
+        if left.get["n"] == 0:
             break
     none = F.lit(None)
     return finished.select(

@@ -29,7 +29,7 @@ RUNS = [
     "CAST(NULL AS STRING) AS error",
     "o_custkey AS sequence_id",
     "o_orderpriority = '1-URGENT' AS is_latest",
-    "CAST(o_totalprice / 35000 AS INT) AS run_count",
+    "CAST(floor(o_totalprice / 35000) AS INT) AS run_count",
     "o_custkey AS custkey",
 ]
 # Versions of documents: blocks of 64 successive orders, of which some are not stored.

@@ -66,13 +66,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written copy.
 
-    A reliable checkpoint survives the loss of executors; a table written as
-    Parquet does too and keeps column pruning for the readers after it.
+    Like a reliable checkpoint it survives the loss of executors; as a Parquet
+    table it also keeps column pruning for its readers, its size is known to the
+    planner, and ``by`` lets readers skip the rows of other values.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
