@@ -46,7 +46,8 @@ def documents(t) -> DataFrame:
         )
     )
     is_json, is_other, is_broken = F.expr(_IS_JSON), F.expr(_IS_OTHER), F.expr(_IS_BROKEN)
-    return spread(t("documents")).select(
+    texts = t("documents")
+    return (texts if texts.isStreaming else spread(texts)).select(
         F.col("doc_id").alias("pid"),
         F.when(is_json, "application/ld+json").otherwise("eml-2.2").alias("format_id"),
         F.when(is_json, as_json)

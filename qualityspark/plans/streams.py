@@ -1 +1,120 @@
-"""placeholder"""
+"""Streams over the tables' files, read to their end."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from qualityspark.operators import scores as O
+from qualityspark.operators.merge import last_per_key
+from qualityspark.plans import query
+from qualityspark.plans import documents as D
+from qualityspark.plans.stores import RUN_STATES
+from qualityspark.plans.views import REQUESTS, requests, with_views
+from qualityspark.session import scratch_path
+from qualityspark.streaming import requests as R
+
+_KEYS = ["pid", "suite_id"]
+
+
+def _stream(t, name: str):
+    return R.file_stream(t.spark, t.folder, t(name).schema, f"{name}.parquet")
+
+
+def _requests(t):
+    return _stream(t, "events").selectExpr(*REQUESTS)
+
+
+def _paths(t, name: str) -> tuple[str, str]:
+    return scratch_path(t.spark, f"{name}-out"), scratch_path(t.spark, f"{name}-state")
+
+
+def _finish(stream) -> None:
+    stream.awaitTermination()
+    if stream.exception() is not None:
+        raise stream.exception()
+
+
+@query("stream_run_state", with_views("requests_v") + RUN_STATES)
+def stream_run_state(t):
+    """State of every run, kept by a streaming aggregation."""
+    out, state = _paths(t, "run-state")
+    _finish(R.state_stream(_requests(t), out, state, _KEYS))
+    return R.latest_updates(t.spark, out, _KEYS)
+
+
+@query(
+    "stream_monitor",
+    with_views("requests_v")
+    + f"SELECT pid, suite_id, run_count FROM ({RUN_STATES}) WHERE status = 'processing' AND ts < TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 12 HOUR",
+)
+def stream_monitor(t):
+    """Stuck runs among the streamed states."""
+    states = stream_run_state(t)
+    return R.stuck(states, F.expr("TIMESTAMP '2024-01-30 20:00:00'"), 12).select("pid", "suite_id", "run_count")
+
+
+@query(
+    "stream_hourly",
+    with_views("requests_v")
+    + "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(elapsed), 4) AS total FROM requests_v WHERE status = 'success' GROUP BY ALL",
+)
+def stream_hourly(t):
+    out, state = _paths(t, "hourly")
+    done = _requests(t).filter("status = 'success'")
+    _finish(R.hourly_stream(done, out, state))
+    return R.latest_updates(t.spark, out, ["hour"]).withColumn("total", F.round("total", 4))
+
+
+@query("stream_redelivery", with_views("requests_v") + "SELECT pid, count(*) AS n FROM requests_v GROUP BY pid")
+def stream_redelivery(t):
+    """Every request delivered twice is taken once."""
+    out, state = _paths(t, "redelivery")
+    twice = _requests(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    once = R.redelivered_once(twice, ["event_id"])
+    _finish(
+        once.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    return t.spark.read.parquet(out).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_assess", f"WITH {D.RESULTS} {D._COUNTS}")
+def stream_assess(t):
+    """Documents streamed to runs; scores are those of the batch run."""
+    out, state = _paths(t, "runs")
+
+    class Streamed:
+        spark = t.spark
+
+        def __call__(self, name):
+            return _stream(t, name)
+
+    _finish(R.assess_stream(D.documents(Streamed()), D.SUITE, D.REGISTRY, out, state))
+    runs = t.spark.read.parquet(out).filter("run_status = 'success'").drop("sysmeta")
+    return O.score_arrays(runs).drop("suite_id", "run_status", "error_description", "results")
+
+
+@query(
+    "stream_merge",
+    with_views("requests_v") + "SELECT pid, suite_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM requests_v GROUP BY pid, suite_id",
+)
+def stream_merge(t):
+    """Batches merged into a stored table, each into a version of its own."""
+    out, state = _paths(t, "merge")
+    columns = [*_KEYS, "status", "ts", "event_id"]
+    requests(t).filter("FALSE").select(*columns).write.parquet(f"{out}/v0")
+
+    def merge(batch, batch_id):
+        from qualityspark.operators.merge import upsert
+        from qualityspark.sinks.writers import write_version
+
+        spark = batch.sparkSession
+        table = spark.read.parquet(f"{out}/v{batch_id}")
+        changes = last_per_key(batch.select(*columns), _KEYS, ["ts", "event_id"])
+        # Merging a batch again gives the same table, as ties go to the later event.
+        both = table.join(changes.select(*_KEYS), _KEYS, "left_semi").unionByName(changes)
+        write_version(upsert(table, both, _KEYS, ["ts", "event_id"]), out, f"v{batch_id + 1}")
+        spark.createDataFrame([(batch_id + 1,)], "version int").write.mode("overwrite").parquet(f"{out}/current")
+
+    _finish(R.merge_stream(_requests(t), merge, state))
+    current = t.spark.read.parquet(f"{out}/current").first()["version"]
+    return t.spark.read.parquet(f"{out}/v{current}").select(*_KEYS, "status", "ts")
