@@ -21,16 +21,11 @@ from pyspark.sql.types import BooleanType
 
 from qualityspark.functions.scalars import let, retype_sql
 
-_NODE = pa.struct(
-    [
-        ("sel", pa.int32()),
-        ("id", pa.int32()),
-        ("last", pa.int32()),
-        ("depth", pa.int32()),
-        ("value", pa.string()),
-    ]
+_NODE = pa.struct([("sel", pa.int32()), ("value", pa.string())])
+_GROUPS = pa.struct([("sel", pa.int32()), ("groups", pa.list_(pa.list_(pa.string())))])
+_PARSED = pa.struct(
+    [("ok", pa.bool_()), ("error", pa.string()), ("nodes", pa.list_(_NODE)), ("nested", pa.list_(_GROUPS))]
 )
-_PARSED = pa.struct([("ok", pa.bool_()), ("error", pa.string()), ("nodes", pa.list_(_NODE))])
 
 
 @dataclass(frozen=True)
@@ -138,12 +133,27 @@ def _qualified(tag: str, prefixes: dict[str, str]) -> str:
     return f"{prefix}:{name}" if prefix else f"{{{uri.replace('/', '|')}}}{name}"
 
 
-def node_reader(patterns: list[list[NodePattern]]):
-    """Arrow UDF: body -> parsed document, holding the nodes each pattern list selects."""
-    flat = [(sel, p) for sel, group in enumerate(patterns) for p in group]
+@dataclass(frozen=True)
+class NestedPatterns:
+    """Outer and inner patterns of a sub-selector, and how far below its outer
+    node an inner one lies (None for any distance)."""
+
+    outer: tuple[NodePattern, ...]
+    inner: tuple[NodePattern, ...]
+    distance: int | None
+
+
+def node_reader(patterns: list[list[NodePattern]], nested: list[NestedPatterns]):
+    """Arrow UDF: body -> parsed document, holding what each pattern list selects."""
+    flat = [(("node", sel), p) for sel, group in enumerate(patterns) for p in group]
+    for sel, spec in enumerate(nested):
+        flat += [(("outer", sel), replace(p, take="node")) for p in spec.outer]
+        flat += [(("inner", sel), p) for p in spec.inner]
+    distances = [spec.distance for spec in nested]
 
     @F.arrow_udf(from_arrow_type(_PARSED))
     def read(bodies: pa.Array) -> pa.Array:
+        from bisect import bisect_left, bisect_right
         from io import StringIO
         from xml.etree import ElementTree
 
@@ -174,8 +184,8 @@ def node_reader(patterns: list[list[NodePattern]]):
             return root, declared
 
         # Nodes of all documents, column by column.
-        sels, ids, lasts, depths, values = [], [], [], [], []
-        oks, errors, ends = [], [], [0]
+        sels, values, ends = [], [], [0]
+        oks, errors, groups = [], [], []
 
         def walk(root, declared):
             bindings = []
@@ -183,14 +193,15 @@ def node_reader(patterns: list[list[NodePattern]]):
                 if aware:
                     bound = {**{p: u for p, u in declared.items() if p}, **own}
                     bindings.append((sel, rx, take, {u: p for p, u in bound.items()}))
+            outer, inner = [[] for _ in distances], [[] for _ in distances]
             serial = 0
             # Depth-first without recursion, so deep documents do not overflow.
             stack = [(root, "", 0, [""] * len(bindings), None)]
             while stack:
                 el, parent, depth, above, opened = stack.pop()
                 if el is None:
-                    for at in opened:
-                        lasts[at] = serial - 1
+                    for node in opened:
+                        node[1] = serial - 1
                     continue
                 tag = el.tag
                 path = f"{parent}/{_local(tag) if tag[0] == '{' else tag}"
@@ -203,56 +214,60 @@ def node_reader(patterns: list[list[NodePattern]]):
                         mine.append(aware_path)
                         if rx.match(aware_path):
                             hits.append((sel, take))
-                opened = None
-                if hits:
-                    opened = []
-                    for sel, take in dict.fromkeys(hits):
-                        if take == "element":
-                            found = ("".join(el.itertext()) if len(el) else el.text or "",)
-                        elif take == "node":
-                            found = (None,)
-                        elif take == "text":
-                            found = texts(el)
-                        else:
-                            found = [v for k, v in el.attrib.items() if _local(k) == take[1:]]
-                        for value in found:
-                            opened.append(len(sels))
-                            sels.append(sel)
-                            ids.append(serial)
-                            lasts.append(serial)
-                            depths.append(depth)
-                            values.append(value)
+                opened = []
+                for (kind, sel), take in dict.fromkeys(hits):
+                    if kind == "outer":
+                        node = [serial, serial, depth]
+                        outer[sel].append(node)
+                        opened.append(node)
+                        continue
+                    if take == "element":
+                        found = ("".join(el.itertext()) if len(el) else el.text or "",)
+                    elif take == "node":
+                        found = (None,)
+                    elif take == "text":
+                        found = texts(el)
+                    else:
+                        found = [v for k, v in el.attrib.items() if _local(k) == take[1:]]
+                    if kind == "inner":
+                        inner[sel].extend((serial, depth, v) for v in found)
+                    else:
+                        sels.extend([sel] * len(found))
+                        values.extend(found)
                 serial += 1
                 if len(el):
                     if opened:
                         stack.append((None, None, 0, None, opened))
                     stack.extend((child, path, depth + 1, mine, None) for child in reversed(el))
+            out = []
+            for sel, distance in enumerate(distances):
+                # Both are in document order, so an outer node's inner ones are one run.
+                ids = [i for i, _, _ in inner[sel]]
+                lists = []
+                for first, last, depth in outer[sel]:
+                    run = inner[sel][bisect_left(ids, first) : bisect_right(ids, last)]
+                    lists.append([v for _, d, v in run if distance is None or d == depth + distance])
+                out.append({"sel": sel, "groups": lists})
+            return out
 
         for body in bodies.to_pylist():
-            error = None
+            error, found = None, None
             if body is None:
                 error = "no document"
             else:
                 try:
-                    walk(*parse(body))
+                    found = walk(*parse(body))
                 except (ElementTree.ParseError, ValueError) as exc:
                     error = str(exc)
             oks.append(error is None)
             errors.append(error)
+            groups.append(found)
             ends.append(len(sels))
-        nodes = pa.StructArray.from_arrays(
-            [
-                pa.array(sels, pa.int32()),
-                pa.array(ids, pa.int32()),
-                pa.array(lasts, pa.int32()),
-                pa.array(depths, pa.int32()),
-                pa.array(values, pa.string()),
-            ],
-            fields=list(_NODE),
-        )
+        nodes = pa.StructArray.from_arrays([pa.array(sels, pa.int32()), pa.array(values, pa.string())], fields=list(_NODE))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)
         return pa.StructArray.from_arrays(
-            [pa.array(oks, pa.bool_()), pa.array(errors, pa.string()), lists], fields=list(_PARSED)
+            [pa.array(oks, pa.bool_()), pa.array(errors, pa.string()), lists, pa.array(groups, pa.list_(_GROUPS))],
+            fields=list(_PARSED),
         )
 
     # So marked, filters stay above the parse and never repeat it.
@@ -310,6 +325,7 @@ class DocumentReader:
     def __init__(self, selectors: list[Selector], parsed: str = "_parsed"):
         self.parsed = parsed
         self._patterns: list[list[NodePattern]] = []
+        self._nested: list[NestedPatterns] = []
         self._plan: dict[Selector, tuple] = {}
         for selector in selectors:
             if selector.xpath is not None:
@@ -328,8 +344,9 @@ class DocumentReader:
             inner = patterns and _relative(patterns, selector.sub.xpath, selector.namespaces, aware)
             if not inner:
                 raise ValueError(f"sub-selector of {selector.name} needs plain element paths")
-            joined, fixed = inner
-            return ("nested", self._add(patterns), self._add(joined), fixed)
+            joined, distance = inner
+            self._nested.append(NestedPatterns(tuple(patterns), tuple(joined), distance))
+            return ("nested", len(self._nested) - 1)
         if patterns is not None:
             return ("nodes", self._add(patterns))
         test = _NODE_TEST.match(selector.xpath)
@@ -343,7 +360,7 @@ class DocumentReader:
     def attach(self, df: DataFrame, body: str = "body", when: Column | None = None) -> DataFrame:
         """Parse each document once; rows outside ``when`` are handed over as null."""
         source = F.col(body) if when is None else F.when(when, F.col(body))
-        return df.withColumn(self.parsed, node_reader(self._patterns)(source))
+        return df.withColumn(self.parsed, node_reader(self._patterns, self._nested)(source))
 
     @property
     def ok(self) -> Column:
@@ -374,17 +391,7 @@ class DocumentReader:
 
     def nested(self, selector: Selector) -> Column:
         """One list of inner texts per outer node."""
-        _, outer, inner, fixed = self._plan[selector]
-        inner_nodes = self._nodes(inner)
-
-        def below(o: Column) -> Column:
-            def inside(n: Column) -> Column:
-                within = (n.id >= o.id) & (n.id <= o.last)
-                return within & (n.depth == o.depth + fixed) if fixed is not None else within
-
-            return F.transform(F.filter(inner_nodes, inside), lambda n: n.value)
-
-        return F.transform(self._nodes(outer), below)
+        return F.col(f"{self.parsed}.nested")[self._plan[selector][1]]["groups"]
 
 
 SELECTED_TYPE = "struct<kind:string,num:double,bool:boolean,str:string,items:array<string>>"

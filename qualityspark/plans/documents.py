@@ -435,7 +435,7 @@ def _prefixed(t) -> DataFrame:
         lines,
         F.lit("</a:part></a:doc>"),
     )
-    return t("documents").select(F.col("doc_id").alias("pid"), body.alias("body"))
+    return spread(t("documents")).select(F.col("doc_id").alias("pid"), body.alias("body"))
 
 
 @query(
@@ -486,7 +486,7 @@ def subselector_nested(t):
     body = F.to_xml(F.struct(lines.alias("line")), {"rowTag": "doc"})
     words = X.Selector("words", "/doc/line", sub=X.SubSelector("word", "word"))
     reader = X.DocumentReader([words])
-    docs = reader.attach(t("documents").select(F.col("doc_id").alias("pid"), body.alias("body")))
+    docs = reader.attach(spread(t("documents")).select(F.col("doc_id").alias("pid"), body.alias("body")))
     nested = docs.select("pid", reader.nested(words).alias("v"))
     return nested.select(
         "pid",
