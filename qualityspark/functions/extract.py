@@ -394,9 +394,6 @@ class DocumentReader:
         return F.col(f"{self.parsed}.nested")[self._plan[selector][1]]["groups"]
 
 
-SELECTED_TYPE = "struct<kind:string,num:double,bool:boolean,str:string,items:array<string>>"
-
-
 def selected_sql(texts: str, empty_is_list: str = "false") -> str:
     """SQL of the value a list of texts stands for.
 

@@ -139,13 +139,14 @@ def harvest_tasks(
 
     A task on a coordinating node covers all harvested member nodes.
     """
+    # Every node is found under its own id and under one name for all nodes.
+    everywhere = F.lit("*")
+    scope = F.when(is_coordinating(F.col("node_id")), everywhere).otherwise(F.col("node_id"))
     wanted = tasks.filter("task_type = 'quality'").select(
-        "task_name", "suite_id", "format_filter", "start_datetime", F.col("node_id").alias("task_node")
+        "task_name", "suite_id", "format_filter", "start_datetime", scope.alias("scope")
     )
-    members = harvest_nodes(nodes).select("node_id")
-    fits = is_coordinating(F.col("task_node")) | (F.col("task_node") == F.col("node_id"))
-    # Tasks and nodes are configuration: a few rows each.
-    spans = wanted.join(members, fits).join(
+    members = harvest_nodes(nodes).select("node_id", F.explode(F.array("node_id", everywhere)).alias("scope"))
+    spans = wanted.join(members, "scope").join(
         marks.select("task_name", "node_id", "last_harvest_datetime"), ["task_name", "node_id"], "left"
     )
     since = F.least(F.coalesce("last_harvest_datetime", F.to_timestamp("start_datetime")), now)

@@ -111,11 +111,13 @@ def _type_score(n: Column, blocking: Column) -> Column:
     return S.two_decimals(F.when(den == 0, F.lit(0.0)).otherwise(n / den))
 
 
-def score_by_type_wide(results: DataFrame, by: str = "run_id", types: list[str] | None = None) -> DataFrame:
+def score_by_type_wide(
+    results: DataFrame, by: str = "run_id", types: list[str] | None = None, overall: bool = False
+) -> DataFrame:
     """One row per run with a score per type; null where the run has no check of it.
 
     Conditional counts need one aggregation, where a pivot over
-    ``score_by_type`` would need two.
+    ``score_by_type`` would need two; ``overall`` adds the overall score to it.
     """
     types = types or SCORE_TYPES
     status, level = F.col("status"), F.col("level")
@@ -127,9 +129,13 @@ def score_by_type_wide(results: DataFrame, by: str = "run_id", types: list[str]
             F.count_if(of_type & (status == "SUCCESS") & _scored(level)).alias(f"_n{i}"),
             F.count_if(of_type & _blocking(status, level)).alias(f"_b{i}"),
         ]
-    counted = results.groupBy(by).agg(*aggs)
+    passed = F.count_if((status == "SUCCESS") & _scored(level)).alias("checks_passed")
+    counted = results.groupBy(by).agg(*aggs, passed, F.count_if(_blocking(status, level)).alias("_blocking"))
+    if overall:
+        counted = _with_overall(counted, False)
     return counted.select(
         by,
+        *(["score_overall"] if overall else []),
         *[
             F.when(F.col(f"_c{i}") > 0, _type_score(F.col(f"_n{i}"), F.col(f"_b{i}"))).alias(f"score_{t.lower()}")
             for i, t in enumerate(types)

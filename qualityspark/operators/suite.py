@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from qualityspark.functions.extract import DocumentReader, Selector, is_json_format, json_texts, with_values
 from qualityspark.functions.scalars import iso_millis
-from qualityspark.operators.checks import OUTPUT_TYPE, Check, CheckRef, Registry, Suite, messages, outcome
+from qualityspark.operators.checks import OUTPUT_TYPE, Check, CheckRef, Registry, Suite, outcome
 
 RESULT_TYPE = (
     "array<struct<position:int,check_id:string,name:string,type:string,level:string,"
@@ -237,14 +237,3 @@ def encode_file_outputs(results: DataFrame, files: DataFrame) -> DataFrame:
         .drop("_encoded")
     )
 
-
-__all__ = [
-    "applies",
-    "encode_file_outputs",
-    "explode_results",
-    "messages",
-    "resolve",
-    "resolve_references",
-    "run_check",
-    "run_suite",
-]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from qualityspark.operators.scores import score_by_type_wide, score_runs
+from qualityspark.operators.scores import score_by_type_wide
 from qualityspark.plans import Tables
 
 RESULTS = [
@@ -159,8 +159,7 @@ def sysmeta(t: Tables) -> DataFrame:
 
 def scores(t: Tables) -> DataFrame:
     """Score records: one aggregation over the results, joined to the runs' metadata."""
-    r = results(t)
-    scored = score_by_type_wide(r).join(score_runs(r).select("run_id", "score_overall"), "run_id")
+    scored = score_by_type_wide(results(t), overall=True)
     meta = t("orders").join(places(t), "o_custkey")
     return scored.join(meta, scored.run_id == meta.o_orderkey).selectExpr(
         "o_orderkey AS metadata_id",
