@@ -160,6 +160,16 @@ def unique_items(variable: str):
     return run
 
 
+def any_present(variable: str):
+    """SUCCESS when some item of the variable is not blank."""
+
+    def run(v):
+        found = F.exists(v[variable]["items"], lambda t: ~S.is_blank(t))
+        return outcome(passed(F.coalesce(found, F.lit(False))))
+
+    return run
+
+
 def positive_count(variable: str):
     return lambda v: outcome(passed(F.coalesce(v[variable]["num"] > 0, F.lit(False))))
 
@@ -225,12 +235,12 @@ def echo_system(field_name: str):
     return run
 
 
-def in_time_frame(variable: str, latest: Column):
-    """SUCCESS for a date text not after ``latest``."""
+def in_time_frame(variable: str, latest: str):
+    """SUCCESS for a date text not after the day ``latest``."""
 
     def run(v):
         day = F.try_to_date(F.element_at(v[variable]["items"], 1))
-        return outcome(passed(F.coalesce(day <= latest, F.lit(False))))
+        return outcome(passed(F.coalesce(day <= F.lit(latest).cast("date"), F.lit(False))))
 
     return run
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from qualityspark.operators import merge as M
 from qualityspark.operators import runs as O
+from qualityspark.operators.scores import score_runs
 from qualityspark.operators.suite import resolve_references
 from qualityspark.plans import query
-from qualityspark.plans.views import REQUESTS, requests, runs, with_views
+from qualityspark.plans.views import REQUESTS, requests, results, runs, with_views
 from qualityspark.sources.tables import score_scan
 
 _NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -105,6 +106,19 @@ def merge_marks(t):
     return M.merge_marks(empty, marks)
 
 
+@query(
+    "merge_scores",
+    with_views("results_v", "counts_v", "overall_v")
+    + """SELECT run_id, coalesce(score_overall, -1.0) AS score_overall FROM (SELECT o_orderkey AS run_id FROM orders UNION SELECT run_id FROM overall_v)
+        LEFT JOIN overall_v USING (run_id)""",
+)
+def merge_scores(t):
+    """Score rows inserted or replaced by run id."""
+    index = t("orders").selectExpr("o_orderkey AS run_id", "-1.0D AS score_overall", "TIMESTAMP '2000-01-01' AS ts")
+    fresh = score_runs(results(t)).selectExpr("run_id", "score_overall", f"{_NOW} AS ts")
+    return M.merge_scores(index, fresh).select("run_id", "score_overall")
+
+
 _FILES = [
     "concat('f', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING)) AS file_id",
     "l_orderkey AS pid",
