@@ -32,6 +32,12 @@ def month_end(ts: Column) -> Column:
     return F.last_day(ts)
 
 
+def in_month(ts: Column, target: Column) -> Column:
+    """True in the calendar month of ``target``. A range on ``ts``, so it reaches the scan."""
+    first = F.date_trunc("month", target)
+    return (ts >= first) & (ts < F.add_months(first, 1).cast("timestamp"))
+
+
 def percent(score: Column) -> Column:
     return score * F.lit(100.0)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from qualityspark.functions import scalars as S
 from qualityspark.operators import harvest as O
 from qualityspark.plans import query
-from qualityspark.plans.views import nodes, runs, sysmeta, with_views
+from qualityspark.plans.views import nodes, repositories, runs, sysmeta, with_views
 from qualityspark.session import scratch_path
 from qualityspark.sources import definitions as D
 
@@ -39,27 +39,27 @@ def _parts(t):
     return spans, listed, O.candidates(listed, runs(t), "suite-1")
 
 
-@query("node_filter", with_views("nodes_v") + "SELECT node_id, state FROM nodes_v WHERE type <> 'CN' AND synchronize AND state = 'UP'")
+@query(
+    "node_filter",
+    with_views("repositories_v") + "SELECT identifier, state FROM repositories_v WHERE type <> 'CN' AND synchronize AND state = 'UP'",
+)
 def node_filter(t):
-    return O.harvest_nodes(nodes(t)).select("node_id", "state")
+    return O.harvest_nodes(repositories(t)).select("identifier", "state")
 
 
-@query("member_nodes", with_views("nodes_v") + "SELECT node_id, state FROM nodes_v WHERE synchronize AND type = 'MN'")
+@query("member_nodes", with_views("repositories_v") + "SELECT identifier, state FROM repositories_v WHERE synchronize AND type = 'MN'")
 def member_nodes(t):
-    return O.member_nodes(nodes(t)).select("node_id", "state")
+    return O.member_nodes(repositories(t)).select("identifier", "state")
 
 
 @query(
     "node_names",
-    """SELECT identifier, short, regexp_matches(identifier, '^\\s*urn:node:(CN|cn).*$') AS coordinating FROM (
-        SELECT concat('urn:node:', n_name) AS identifier, n_name AS short FROM nation
-        UNION ALL SELECT concat('urn:node:CN', r_name), concat('CN', r_name) FROM region)""",
+    with_views("repositories_v")
+    + """SELECT identifier, replace(identifier, 'urn:node:', '') AS short,
+        regexp_matches(identifier, '^\\s*urn:node:(CN|cn).*$') AS coordinating FROM repositories_v""",
 )
 def node_names(t):
-    names = t("nation").selectExpr("concat('urn:node:', n_name) AS identifier").unionByName(
-        t("region").selectExpr("concat('urn:node:CN', r_name) AS identifier")
-    )
-    return names.select(
+    return repositories(t).select(
         "identifier",
         S.strip_node_prefix(F.col("identifier")).alias("short"),
         O.is_coordinating(F.col("identifier")).alias("coordinating"),

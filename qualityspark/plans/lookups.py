@@ -8,10 +8,10 @@ from qualityspark.functions import scalars as S
 from qualityspark.operators import lookups as O
 from qualityspark.operators.suite import encode_file_outputs
 from qualityspark.plans import query
-from qualityspark.plans.views import runs, scores, with_views
+from qualityspark.plans.views import results, runs, scores, with_views
 from qualityspark.session import scratch_path
 from qualityspark.sinks import writers as W
-from qualityspark.sources.definitions import read_score_csv
+from qualityspark.sources.definitions import read_results_csv, read_score_csv
 
 _PLACED = """placed AS (SELECT o_orderkey AS pid, CASE WHEN o_orderstatus = 'F' THEN concat('c', CAST(o_custkey AS STRING))
     WHEN o_orderstatus = 'O' THEN concat('g-', c_mktsegment) ELSE 'nobody' END AS rights_holder, 'g-' || c_mktsegment AS segment
@@ -234,6 +234,25 @@ def score_csv_round_trip(t):
     )
 
 
+@query(
+    "results_csv_round_trip",
+    with_views("results_v")
+    + """SELECT CAST(pid AS STRING) AS pid, CAST(check_no AS STRING) AS check_id, type, level, status, count(*) AS n,
+        CAST(list_position(['SUCCESS', 'FAILURE', 'SKIP', 'ERROR'], status) AS BIGINT) AS status_rank
+        FROM results_v GROUP BY pid, check_no, type, level, status""",
+)
+def results_csv_round_trip(t):
+    """Results written as CSV and read back with the rank of their status."""
+    path = scratch_path(t.spark, "results-csv")
+    source = F.lit(None).cast("string")
+    rows = results(t).select("pid", source.alias("datasource"), F.col("check_no").alias("check_id"), "type", "level", "status")
+    rows.write.option("header", "true").option("escape", '"').csv(path)
+    back = read_results_csv(t.spark, path)
+    return back.groupBy("pid", "check_id", "type", "level", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.min("status_rank").alias("status_rank")
+    )
+
+
 @query(
     "encoded_outputs",
     """SELECT doc_id AS pid, CASE WHEN quality = 1 THEN to_base64(encode(text)) ELSE 'file-' || doc_id END AS value

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from qualityspark.functions import scalars as S
 from qualityspark.operators import merge as M
 from qualityspark.operators import runs as O
 from qualityspark.operators.scores import score_runs
@@ -83,16 +84,16 @@ def merge_identifiers(t):
 
 @query(
     "merge_nodes",
-    """SELECT concat('urn:node:', n_name) AS identifier, CASE WHEN n_regionkey IN (1, 2) THEN 'DOWN' ELSE 'UP' END AS state FROM nation
-       UNION ALL SELECT concat('urn:node:', r_name), 'UP' FROM region""",
+    """SELECT concat('urn:node:', s_name) AS identifier, CASE WHEN s_acctbal < 3000 THEN 'DOWN' ELSE 'UP' END AS state FROM supplier
+       UNION ALL SELECT concat('urn:node:', c_name), 'UP' FROM customer WHERE c_acctbal < 3000""",
 )
 def merge_nodes(t):
-    table = t("nation").selectExpr("concat('urn:node:', n_name) AS identifier", "'UP' AS state", "0 AS last_harvest")
-    saved = (
-        t("nation").filter("n_regionkey IN (1, 2)").selectExpr("concat('urn:node:', n_name) AS identifier", "'DOWN' AS state", "1 AS last_harvest")
-        .unionByName(t("region").selectExpr("concat('urn:node:', r_name) AS identifier", "'UP' AS state", "1 AS last_harvest"))
-    )
-    return M.merge_nodes(table, saved).select("identifier", "state")
+    """Harvested nodes replace stored ones; customers stand for nodes that are new."""
+    name = "concat('urn:node:', {}) AS identifier"
+    table = t("supplier").selectExpr(name.format("s_name"), "'UP' AS state", "0 AS last_harvest")
+    saved = t("supplier").filter("s_acctbal < 3000").selectExpr(name.format("s_name"), "'DOWN' AS state", "1 AS last_harvest")
+    new = t("customer").filter("c_acctbal < 3000").selectExpr(name.format("c_name"), "'UP' AS state", "1 AS last_harvest")
+    return M.merge_nodes(table, saved.unionByName(new)).select("identifier", "state")
 
 
 @query(
@@ -308,6 +309,17 @@ def run_lookup(t):
     return O.find_run(runs(t), 3001, "suite-1").select("metadata_id", "suite_id", "status")
 
 
+@query(
+    "month_runs",
+    with_views("runs_v")
+    + "SELECT metadata_id, ts FROM runs_v WHERE date_trunc('month', ts) = date_trunc('month', TIMESTAMP '1996-02-17 10:30:00')",
+)
+def month_runs(t):
+    """Runs of the calendar month around a date, whatever its time of day."""
+    target = F.expr("TIMESTAMP '1996-02-17 10:30:00'")
+    return runs(t).filter(S.in_month(F.col("ts"), target)).select("metadata_id", "ts")
+
+
 @query("list_suites", with_views("runs_v") + "SELECT DISTINCT suite_id FROM runs_v")
 def list_suites(t):
     return O.list_ids(runs(t), "suite_id")

@@ -66,6 +66,14 @@ NODES = [
     "n_nationkey AS nationkey",
 ]
 
+# Repositories: suppliers, every tenth of them a coordinating node.
+REPOSITORIES = [
+    "concat('urn:node:', CASE WHEN s_suppkey % 10 = 0 THEN 'CN' ELSE '' END, s_name) AS identifier",
+    "CASE WHEN s_suppkey % 10 = 0 THEN 'CN' ELSE 'MN' END AS type",
+    "CASE WHEN s_acctbal < 0 THEN 'DOWN' ELSE 'UP' END AS state",
+    "s_nationkey <> 11 AS synchronize",
+]
+
 
 def _cte(name: str, columns: list[str], source: str, where: str | None = None) -> str:
     tail = f" WHERE {where}" if where else ""
@@ -77,6 +85,7 @@ CTE = {
     "runs_v": _cte("runs_v", RUNS, "orders"),
     "chain_v": _cte("chain_v", CHAIN, "orders", CHAIN_STORED),
     "requests_v": _cte("requests_v", REQUESTS, "events"),
+    "repositories_v": _cte("repositories_v", REPOSITORIES, "supplier"),
     "nodes_v": _cte("nodes_v", NODES, "nation"),
     "sysmeta_v": _cte(
         "sysmeta_v",
@@ -147,6 +156,10 @@ def nodes(t: Tables) -> DataFrame:
     return t("nation").selectExpr(*NODES)
 
 
+def repositories(t: Tables) -> DataFrame:
+    return t("supplier").selectExpr(*REPOSITORIES)
+
+
 def places(t: Tables) -> DataFrame:
     """Node of each customer."""
     nation = t("nation").selectExpr("n_nationkey AS c_nationkey", "concat('urn:node:', n_name) AS node_id")

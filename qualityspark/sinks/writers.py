@@ -23,6 +23,18 @@ def write_version(df: DataFrame, root: str, version: str, partition_by: list[str
     return path
 
 
+def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, path: str | None = None) -> None:
+    """Write a table bucketed and sorted by its join keys.
+
+    Documents, system metadata, runs and scores kept this way join, and merge,
+    without moving their rows: of large bodies that is the costliest shuffle.
+    """
+    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
 def merge_into(spark: SparkSession, target: str, changes: DataFrame, keys: list[str]) -> None:
     """Keyed merge into a table whose format has ``MERGE INTO``."""
     changes.createOrReplaceTempView("_changes")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from qualityspark.operators import checks as C
 from qualityspark.operators.harvest import task_params
+from qualityspark.operators.lookups import with_sysmeta
 from qualityspark.operators.suite import explode_results, run_suite
 from qualityspark.sinks import writers as W
 from qualityspark.sources import definitions as D
@@ -109,6 +110,22 @@ def test_versioned_write(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2 and spark.read.parquet(str(tmp_path / "v1")).count() == 3
 
 
+def test_bucketed_documents_join_without_a_shuffle(spark, tmp_path):
+    docs = spark.range(100).selectExpr("CAST(id AS STRING) pid", "'eml' format_id", "'<a/>' body")
+    meta = spark.range(100).selectExpr("CAST(id AS STRING) identifier", "'me' rights_holder")
+    W.write_bucketed(docs, "b_docs", ["pid"], 4, str(tmp_path / "docs"))
+    W.write_bucketed(meta, "b_meta", ["identifier"], 4, str(tmp_path / "meta"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = with_sysmeta(spark.table("b_docs"), spark.table("b_meta"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and joined.count() == 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE b_docs")
+        spark.sql("DROP TABLE b_meta")
+
+
 def test_streamed_files_are_taken_once(spark, tmp_path):
     folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     for part in range(3):
