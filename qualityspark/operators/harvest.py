@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualityspark.operators.runs import existing_success
+from qualityspark.session import cut_lineage
 
 # Fixed value: ids of coordinating nodes.
 COORDINATING = r"^\s*urn:node:(CN|cn).*$"
@@ -64,13 +65,14 @@ def windows(nodes: DataFrame, marks: DataFrame, start: Column, now: Column) -> D
 def listed(sysmeta: DataFrame, spans: DataFrame, formats: DataFrame, patterns: str) -> DataFrame:
     """Objects of a wanted format, modified inside their node's window.
 
-    ``spans`` has one row per node and ``formats`` one per format id, so both
-    are small sides; Spark broadcasts them when their size allows.
+    ``spans`` has one row per node and ``formats`` one per format id. Both are
+    written first: with their sizes known, Spark broadcasts them if they are
+    small, and objects of a node with very many are not gathered by node.
     """
     wanted = formats.filter(format_matches(F.col("format_id"), patterns)).select("format_id").distinct()
     return (
-        sysmeta.join(wanted, "format_id", "left_semi")
-        .join(spans, "node_id")
+        sysmeta.join(cut_lineage(wanted), "format_id", "left_semi")
+        .join(cut_lineage(spans), "node_id")
         .filter((F.col("modified") >= F.col("since")) & (F.col("modified") <= F.col("until")))
     )
 
@@ -152,7 +154,7 @@ def harvest_tasks(
     since = F.least(F.coalesce("last_harvest_datetime", F.to_timestamp("start_datetime")), now)
     ok = existing_success(runs).select(F.col("metadata_id").alias("pid"), "suite_id")
     return (
-        sysmeta.join(spans, "node_id")
+        sysmeta.join(cut_lineage(spans), "node_id")
         .filter((F.col("modified") >= since) & (F.col("modified") <= now))
         .filter(format_matches(F.col("format_id"), F.col("format_filter")))
         .select("task_name", "suite_id", "node_id", "pid", "modified")

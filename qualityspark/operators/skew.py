@@ -7,27 +7,31 @@ from pyspark.sql import functions as F
 
 
 def number_in_order(
-    df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "row_number", unit: str = "hour"
+    df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "row_number", unit: str = "second"
 ) -> DataFrame:
     """``row_number`` per key in (ts, tie) order, with hot keys split over time units.
 
     Rows are numbered inside (key, unit); the counts of earlier units, summed
     over a table of one row per (key, unit), give the offset. The numbering
-    window and the offset join share one partitioning, so rows move once.
+    window and the offset join share one partitioning, so rows move once. Key
+    and unit are one struct, which is never null and so joins null keys too.
     """
-    part = [*keys, "_unit"]
-    units = df.withColumn("_unit", F.date_trunc(unit, F.col(ts)))
-    before = Window.partitionBy(*keys).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    units = df.withColumn("_part", F.struct(*keys, F.date_trunc(unit, F.col(ts)).alias("_unit")))
+    before = (
+        Window.partitionBy(*[F.col("_part")[k] for k in keys])
+        .orderBy(F.col("_part")["_unit"])
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     offsets = (
-        units.groupBy(*part)
+        units.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    local = units.withColumn("_rn", F.row_number().over(Window.partitionBy(*part).orderBy(ts, tie)))
+    local = units.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(ts, tie)))
     return (
-        local.join(offsets, part)
+        local.join(offsets, "_part")
         .withColumn(out, F.col("_rn") + F.col("_offset"))
-        .drop("_unit", "_rn", "_offset")
+        .drop("_part", "_rn", "_offset")
     )
 
 

@@ -233,6 +233,12 @@ def test_numbering_splits_a_hot_key(spark):
         assert got[i] == seen[k]
 
 
+def test_numbering_keeps_null_keys_and_times(spark):
+    rows = [(1, None, None), (2, None, ts("2020-01-01")), (3, "a", None), (4, None, None)]
+    df = spark.createDataFrame(rows, "id int, k string, ts timestamp")
+    assert {r.id: r.n for r in number_in_order(df, ["k"], "ts", "id", "n").collect()} == {1: 1, 4: 2, 2: 3, 3: 1}
+
+
 DOC = "<eml><dataset><title>A long enough title</title><attribute><attributeName>x</attributeName></attribute>{}</dataset></eml>"
 
 
