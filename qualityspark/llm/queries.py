@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualityspark.llm import chat_format, exact_dedup, line_dedup
+from qualityspark.llm import chat_format, exact_dedup, line_dedup, topk_search, url_filters
 from qualityspark.llm.common import table
 from qualityspark.session import configure
 
@@ -43,3 +43,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     turns = rows.withColumn("parts", chat_format.text_part(F.col("text")))
     return chat_format.conversation_digests(chat_format.format_turns(turns))
+
+
+@query("op9_topk_search", topk_search.OP9_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk_search.quantise(table(spark, folder, "embeddings"))
+    return topk_search.top_k(vectors.filter("vec_id % 100 = 0"), vectors)
+
+
+@query("op10_url_filters", url_filters.OP10_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filters.judge(table(spark, folder, "pages"))
