@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from qualityspark.llm.common import cut_lineage, texts
 
@@ -180,7 +181,7 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     before = before.select("length", "part", ahead.alias("ahead"))
     nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece"))
     ranked = dealt.withColumn("nth", nth).join(before, ["length", "part"]).select(*pieces.columns, (F.col("ahead") + F.col("nth") - 1).alias("rank"))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return ranked.mapInArrow(_place(shared), schema)
 
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from qualityspark.llm.common import texts
 
@@ -206,6 +207,6 @@ def classify(docs: DataFrame, net: Net, threshold: float = THRESHOLD, keep: tupl
     """
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*(docs[c] for c in keep)).alias("kept")) if keep else texts(docs, id_col, text_col)
     spark = docs.sparkSession
-    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(net)), rows.schema.add("score", "double"))
+    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(net)), StructType([*rows.schema, StructField("score", DoubleType())]))
     kept = [F.col("kept")[c].alias(c) for c in keep if c != "doc_id"]
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *kept)
