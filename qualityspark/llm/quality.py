@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
+        net = Net(*shared.value)
         for batch in batches:
             found, slab, size = [], [], 0
             for text in batch["text"].cast(pa.binary()).to_pylist():
@@ -207,6 +207,6 @@ def classify(docs: DataFrame, net: Net, threshold: float = THRESHOLD, keep: tupl
     """
     rows = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), F.struct(*(docs[c] for c in keep)).alias("kept")) if keep else texts(docs, id_col, text_col)
     spark = docs.sparkSession
-    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(net)), StructType([*rows.schema, StructField("score", DoubleType())]))
+    scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(net.parts())), StructType([*rows.schema, StructField("score", DoubleType())]))
     kept = [F.col("kept")[c].alias(c) for c in keep if c != "doc_id"]
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *kept)
