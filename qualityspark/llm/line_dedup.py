@@ -30,12 +30,13 @@ def window_hashes(text: Column, size: int = WINDOW) -> Column:
 
 def covered_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """``doc_id, covered``: sorted positions of the lines that later occurrences cover, for documents with any."""
-    windows = docs.select("doc_id", F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "window"))
+    # Read for the groups and for the later occurrences, so hashed once and written: some 25 bytes a line.
+    windows = cut_lineage(docs.select("doc_id", F.posexplode(window_hashes(F.col("text"), size)).alias("pos", "window")))
     first = F.min(F.struct("doc_id", "pos"))
     groups = windows.groupBy("window").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1")
     # Cut: one row for each window that repeats, beside which the scan's rows can be split where one window is hot.
     groups = cut_lineage(groups.select("window", F.col("first.doc_id").alias("first_id"), F.col("first.pos").alias("first_pos")))
-    later = windows.join(groups, "window").filter((F.col("doc_id") != F.col("first_id")) | (F.col("pos") != F.col("first_pos")))
+    later = windows.join(groups.hint("merge"), "window").filter((F.col("doc_id") != F.col("first_id")) | (F.col("pos") != F.col("first_pos")))
     spans = later.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("starts"))
     lines = F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (size - 1)))))
     return spans.select("doc_id", lines.alias("covered"))
@@ -53,8 +54,8 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     rows = texts(docs, id_col, text_col)
     covered = cut_lineage(covered_lines(rows, size))
-    # Only documents that lose lines meet the texts; the marks are far smaller than these.
-    marked = rows.join(covered, "doc_id", "left")
+    # The marks grow with the texts, so they are never sent to every task, whatever their size.
+    marked = rows.join(covered.hint("merge"), "doc_id", "left")
     lines = _lines(F.col("text"))
     kept = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("covered", s["i"]))
     result = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
