@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualityspark.session import cut_lineage, scratch_path  # noqa: F401
@@ -20,6 +22,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
-def pieces_between(text: Column, pattern: str) -> Column:
-    """What stands before, between and behind the matches of a pattern."""
-    return F.split(text, pattern, -1)
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps.
+
+    Spark deletes them when the driver collects its garbage, which a driver with
+    memory to spare may not do for hours.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

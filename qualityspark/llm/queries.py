@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualityspark.llm import chat_format, exact_dedup, line_dedup, packing, quality, topk_search, url_filters
+from qualityspark.llm import chat_format, exact_dedup, line_dedup, ngram_join, packing, quality, topk_search, url_filters
 from qualityspark.llm.common import table
 from qualityspark.session import configure
 
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_ngram_join", ngram_join.OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join_near(table(spark, folder, "documents"))
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
