@@ -1,16 +1,67 @@
-"""A training-data pipeline: documents in, packed sequences out."""
+"""A training-data pipeline: documents in, packed sequences out.
+
+Quality, exact copies, near copies and secrets are dealt with in turn; what is
+left is packed. Every stage but the last takes and returns the columns of
+``documents``, works on all that its predecessor kept, and joins ids with texts
+by merge at every size, as the ids grow with the texts.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from qualityspark.llm import exact_dedup, ngram_join, packing, quality, secrets
+from qualityspark.llm.common import cut_lineage, release
+from qualityspark.session import configure
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    net = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.classify(docs, net, keep=tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal without white space, the longest stays."""
+    return _kept(docs, exact_dedup.deduplicate(docs, exact_dedup.DigestIndex.scratch(spark)).filter("kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links by its shingles, the document with the smallest id stays."""
+    return _kept(docs, ngram_join.join_near(docs).filter("doc_id = component_id"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays, and its count of characters follows its text."""
+    masked = secrets.redact(docs, secrets.grow(secrets.labelled_findings(docs)))
+    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece, with its sequence and its place there."""
+    return packing.pack_documents(docs)
+
 
-STAGES = []
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("secret scan", secret_scan),
+    ("best-fit packing", best_fit_packing),
+]
+#: The classifier and the packing have no SQL; tests hold the rows against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, each on what the one before it kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to ``documents``; what each one keeps is written before the next reads it."""
+    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+        release(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)

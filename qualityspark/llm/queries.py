@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualityspark.llm import chat_format, exact_dedup, line_dedup, ngram_join, packing, quality, topk_search, url_filters
+from qualityspark.llm import chat_format, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, sentencepieces, topk_search, url_filters
 from qualityspark.llm.common import table
 from qualityspark.session import configure
 
@@ -30,6 +30,19 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.join_near(table(spark, folder, "documents"))
 
 
+@query("op2_sentencepiece_codec")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    back = sentencepieces.decode(sentencepieces.encode(table(spark, folder, "documents")))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = secrets.scan(docs, secrets.grow(secrets.labelled_findings(docs))).select("doc_id", F.inline("findings"))
+    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
