@@ -3,9 +3,9 @@
 Element paths of a whole suite are read in one pass over each document: an
 Arrow UDF parses the body once and returns only the nodes some selector asked
 for, so the cost does not grow with the number of selectors. Everything after
-that is JVM-side array work. XPath expressions that are more than an element
-path (functions, predicates) go to Spark's own ``xpath*`` functions, and JSON
-paths to ``get_json_object`` and VARIANT.
+that is JVM-side array work. Node sets with predicates are evaluated in the same
+pass (``xpaths``); expressions whose value is no node set go to Spark's
+``xpath_string``, one parse each; JSON paths to ``get_json_object`` and VARIANT.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ import re
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
-from pyspark.sql.types import BooleanType
 
-from qualityspark.functions.scalars import let, retype_sql
+from qualityspark.functions import xpaths
+from qualityspark.functions.scalars import retype_sql
 
 _NODE = pa.struct([("sel", pa.int32()), ("value", pa.string())])
 _GROUPS = pa.struct([("sel", pa.int32()), ("groups", pa.list_(pa.list_(pa.string())))])
@@ -143,8 +143,24 @@ class NestedPatterns:
     distance: int | None
 
 
-def node_reader(patterns: list[list[NodePattern]], nested: list[NestedPatterns]):
-    """Arrow UDF: body -> parsed document, holding what each pattern list selects."""
+@dataclass(frozen=True)
+class NodeSet:
+    """An expression evaluated on the document's nodes, and one evaluated on each node it yields."""
+
+    xpath: str
+    aware: bool
+    namespaces: tuple[tuple[str, str], ...] = ()
+    inner: str | None = None
+
+
+def node_reader(patterns: list[list[NodePattern]], nested: list[NestedPatterns], sets: list[NodeSet] = ()):
+    """Arrow UDF: body -> parsed document, holding what each pattern list and node set selects.
+
+    Node sets are numbered after the patterns, those with an inner expression after ``nested``.
+    """
+    plain_sets = [s for s in sets if s.inner is None]
+    inner_sets = [s for s in sets if s.inner is not None]
+    first_set, first_inner = len(patterns), len(nested)
     flat = [(("node", sel), p) for sel, group in enumerate(patterns) for p in group]
     for sel, spec in enumerate(nested):
         flat += [(("outer", sel), replace(p, take="node")) for p in spec.outer]
@@ -158,7 +174,8 @@ def node_reader(patterns: list[list[NodePattern]], nested: list[NestedPatterns])
         from xml.etree import ElementTree
 
         compiled = [(sel, re.compile(p.pattern), p.take, p.aware, dict(p.namespaces)) for sel, p in flat]
-        any_aware = any(c[3] for c in compiled)
+        any_aware = any(c[3] for c in compiled) or any(s.aware for s in sets)
+        expressions = {x: xpaths.parse(x) for s in sets for x in (s.xpath, s.inner) if x is not None}
         seen: dict[str, list] = {}
 
         def matches_plain(path):
@@ -250,13 +267,34 @@ def node_reader(patterns: list[list[NodePattern]], nested: list[NestedPatterns])
                 out.append({"sel": sel, "groups": lists})
             return out
 
+        def evaluate(root, declared):
+            top = xpaths.tree(root)
+
+            def chosen(spec):
+                bound = {**{p: u for p, u in declared.items() if p}, **dict(spec.namespaces)} if spec.aware else None
+                reader = xpaths.Evaluator(top, bound)
+                return reader, reader.nodes(expressions[spec.xpath])
+
+            for sel, spec in enumerate(plain_sets, first_set):
+                found = [n.text() for n in chosen(spec)[1]]
+                sels.extend([sel] * len(found))
+                values.extend(found)
+            out = []
+            for sel, spec in enumerate(inner_sets, first_inner):
+                reader, found = chosen(spec)
+                out.append({"sel": sel, "groups": [[n.text() for n in reader.nodes(expressions[spec.inner], node)] for node in found]})
+            return out
+
         for body in bodies.to_pylist():
             error, found = None, None
             if body is None:
                 error = "no document"
             else:
                 try:
-                    found = walk(*parse(body))
+                    root, declared = parse(body)
+                    found = walk(root, declared)
+                    if sets:
+                        found += evaluate(root, declared)
                 except (ElementTree.ParseError, ValueError) as exc:
                     error = str(exc)
             oks.append(error is None)
@@ -274,62 +312,68 @@ def node_reader(patterns: list[list[NodePattern]], nested: list[NestedPatterns])
     return read.asNondeterministic()
 
 
-@F.arrow_udf(BooleanType())
-def well_formed(bodies: pa.Array) -> pa.Array:
-    """True where the text is one well-formed XML document."""
-    from xml.parsers import expat
+def _no_mark(body: Column) -> Column:
+    """The JVM parser takes no byte order mark in a text."""
+    return F.when(body.startswith("\ufeff"), F.substr(body, F.lit(2))).otherwise(body)
 
-    def ok(body):
-        if body is None:
-            return False
-        try:
-            expat.ParserCreate(namespace_separator=" ").Parse(body, True)
-        except (expat.ExpatError, ValueError):
-            return False
-        return True
 
-    return pa.array([ok(b) for b in bodies.to_pylist()], pa.bool_())
+_PREFIXED = re.compile(rf"(?<![\w:.-]){_NAME}:(?!:)[A-Za-z_*]")
+_QUOTED = re.compile(r"'[^']*'|\"[^\"]*\"")
+_OPERATOR = re.compile(r"!=|<=|>=|[=<>+]|(?<=[\s)\]])(?:\*|or\b|and\b|div\b|mod\b)|(?<=\s)-")
+_CALL = re.compile(rf"^({_NAME})\s*\(")
 
 
-def _no_mark(body: Column) -> Column:
-    """The JVM parser takes no byte order mark in a text."""
-    return F.when(body.startswith("\ufeff"), F.substr(body, F.lit(2))).otherwise(body)
+def _outermost(expr: str) -> str:
+    """The expression with all that stands in quotes, brackets and parentheses blanked."""
+    out, depth = [], 0
+    for c in _QUOTED.sub(lambda m: "_" * len(m[0]), expr):
+        depth -= c in ")]"
+        out.append("_" if depth else c)
+        depth += c in "(["
+    return "".join(out)
 
 
-def _scalar_xpath(body: Column, expr: str) -> Column:
-    """Text of an XPath expression that is not an element path."""
-    head = expr.strip().split("(", 1)[0].strip()
-    if head in ("count", "sum", "number", "string-length", "floor", "ceiling", "round"):
-        return let(
-            F.xpath_double(body, F.lit(expr)),
-            lambda n: F.when(n == F.floor(n), n.cast("bigint").cast("string")).otherwise(n.cast("string")),
-        )
-    if head in ("boolean", "not", "contains", "starts-with", "true", "false"):
-        return F.xpath_boolean(body, F.lit(expr)).cast("string")
-    return F.xpath_string(body, F.lit(expr))
+def is_scalar(expr: str) -> bool:
+    """True for an expression whose value is a number, text or boolean: an operation, a function's result, a literal."""
+    bare = _outermost(expr.strip())
+    if re.match(r"^([_-]|[0-9.]*[0-9])", bare) or _OPERATOR.search(bare):
+        return True
+    call = _CALL.match(bare)
+    return bool(call) and call.group(1) not in ("text", "node", "id") and bare.endswith(")") and bare.count("(") == 1
 
 
-_FUNCTION = re.compile(
-    r"^\s*(count|sum|number|string-length|floor|ceiling|round|boolean|not|contains|starts-with|true|false|"
-    r"string|name|local-name|concat|normalize-space|substring|substring-before|substring-after|translate)\s*\("
-)
+def unreadable(spark: SparkSession, xpath: str) -> str | None:
+    """Why Spark cannot evaluate a scalar expression, or None."""
+    try:
+        spark.sql("SELECT xpath_string('<a/>', :x)", {"x": xpath}).collect()
+    except Exception as exc:  # whatever it is, it would end the job later
+        return f"XPath {xpath!r} cannot be evaluated: {str(exc).splitlines()[0][:200]}"
+    return None
 
 
 class DocumentReader:
     """Values of a list of selectors, read from ``body`` in one parse.
 
     ``attach`` adds the parsed column; ``values`` and ``nested`` then give Column
-    expressions for a selector.
+    expressions for a selector. A selector that cannot be read is refused alone:
+    ``refused`` has the reason, and its values are null.
     """
 
     def __init__(self, selectors: list[Selector], parsed: str = "_parsed"):
         self.parsed = parsed
         self._patterns: list[list[NodePattern]] = []
         self._nested: list[NestedPatterns] = []
+        self._sets: list[NodeSet] = []
+        self._inner_sets: list[NodeSet] = []
         self._plan: dict[Selector, tuple] = {}
+        self.refused: dict[Selector, str] = {}
         for selector in selectors:
             if selector.xpath is not None:
-                self._plan[selector] = self._plan_xml(selector)
+                try:
+                    self._plan[selector] = self._plan_xml(selector)
+                except xpaths.Refused as exc:
+                    self.refused[selector] = str(exc)
+                    self._plan[selector] = ("refused",)
 
     def _add(self, patterns: list[NodePattern]) -> int:
         if patterns in self._patterns:
@@ -342,25 +386,40 @@ class DocumentReader:
         patterns = path_patterns(selector.xpath, selector.namespaces, aware)
         if selector.sub is not None:
             inner = patterns and _relative(patterns, selector.sub.xpath, selector.namespaces, aware)
-            if not inner:
-                raise ValueError(f"sub-selector of {selector.name} needs plain element paths")
-            joined, distance = inner
-            self._nested.append(NestedPatterns(tuple(patterns), tuple(joined), distance))
-            return ("nested", len(self._nested) - 1)
+            if inner:
+                joined, distance = inner
+                self._nested.append(NestedPatterns(tuple(patterns), tuple(joined), distance))
+                return ("nested", len(self._nested) - 1)
+            return ("inner set", self._add_set(selector, selector.sub.xpath))
         if patterns is not None:
             return ("nodes", self._add(patterns))
         test = _NODE_TEST.match(selector.xpath)
         inner = test and path_patterns(test.group(2), selector.namespaces, aware)
         if inner and all(p.take == "element" for p in inner):
             return (test.group(1), self._add([replace(p, take="node") for p in inner]))
-        if _FUNCTION.match(selector.xpath):
+        if is_scalar(selector.xpath):
+            why = unreadable(SparkSession.active(), selector.xpath)
+            if _PREFIXED.search(_QUOTED.sub("''", selector.xpath)):
+                why = f"XPath {selector.xpath!r} has a name prefix in an expression that is no node set"
+            if why:
+                raise xpaths.Refused(why)
             return ("scalar",)
-        return ("xpath",)
+        return ("set", self._add_set(selector))
+
+    def _add_set(self, selector: Selector, inner: str | None = None) -> int:
+        for x in (selector.xpath, inner):
+            if x is not None:
+                xpaths.parse(x)
+        spec = NodeSet(selector.xpath, selector.namespace_aware, tuple(sorted(selector.namespaces.items())), inner)
+        own = self._sets if inner is None else self._inner_sets
+        if spec not in own:
+            own.append(spec)
+        return own.index(spec)
 
     def attach(self, df: DataFrame, body: str = "body", when: Column | None = None) -> DataFrame:
         """Parse each document once; rows outside ``when`` are handed over as null."""
         source = F.col(body) if when is None else F.when(when, F.col(body))
-        return df.withColumn(self.parsed, node_reader(self._patterns, self._nested)(source))
+        return df.withColumn(self.parsed, node_reader(self._patterns, self._nested, [*self._sets, *self._inner_sets])(source))
 
     @property
     def ok(self) -> Column:
@@ -382,16 +441,21 @@ class DocumentReader:
             return F.when(self.ok, F.array(F.size(self._nodes(rest[0])).cast("string")))
         if kind == "boolean":
             return F.when(self.ok, F.array((F.size(self._nodes(rest[0])) > 0).cast("string")))
-        # Lazy branches keep the JVM parser away from malformed documents.
+        if kind == "set":
+            return F.when(self.ok, F.transform(self._nodes(len(self._patterns) + rest[0]), lambda n: n.value))
+        if kind == "refused":
+            return F.lit(None).cast("array<string>")
+        # The lazy branch keeps the JVM parser away from malformed documents.
         if kind == "scalar":
-            return F.when(self.ok, F.array(_scalar_xpath(_no_mark(F.col(body)), selector.xpath)))
-        if kind == "xpath":
-            return F.when(self.ok, F.xpath(_no_mark(F.col(body)), F.lit(selector.xpath)))
+            return F.when(self.ok, F.array(F.xpath_string(_no_mark(F.col(body)), F.lit(selector.xpath))))
         raise ValueError(f"{selector.name} is nested")
 
     def nested(self, selector: Selector) -> Column:
         """One list of inner texts per outer node."""
-        return F.col(f"{self.parsed}.nested")[self._plan[selector][1]]["groups"]
+        kind, *rest = self._plan[selector]
+        if kind == "refused":
+            return F.lit(None).cast("array<array<string>>")
+        return F.col(f"{self.parsed}.nested")[rest[0] + (len(self._nested) if kind == "inner set" else 0)]["groups"]
 
 
 def selected_sql(texts: str, empty_is_list: str = "false") -> str:

@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qualityspark.functions.extract import DocumentReader, Selector, is_json_format, json_texts, with_values
+from qualityspark.functions.extract import DocumentReader, Selector, is_json_format, json_steps, json_texts, with_values
 from qualityspark.functions.scalars import iso_millis
 from qualityspark.operators.checks import OUTPUT_TYPE, Check, CheckRef, Registry, Suite, outcome
 
@@ -43,6 +43,7 @@ def applies(
     xml = F.lit(False)
     for d in check.dialects:
         if d.xpath is not None:
+            # A test that cannot be read fits no document.
             xml = xml | F.coalesce(F.element_at(reader.values(tests[d.xpath]), 1) == "true", F.lit(False))
     json = F.lit(True)
     if strict_json:
@@ -90,10 +91,13 @@ def run_suite(
     # One staged column per distinct selector and dialect, so that checks share them.
     values = {s: f"v{i}" for i, s in enumerate(sorted(selectors, key=repr))}
     # A selector that reads one kind of document only gives null for the other.
+    refused = {s: why for s in values if (why := _refused(s, bound[s], reader)) is not None}
     plain = {
-        name: _texts(s, bound[s], reader, body, json_scalars) for s, name in values.items() if s.sub is None
+        name: _texts(s, bound[s], reader, body, json_scalars)
+        for s, name in values.items()
+        if s.sub is None and s not in refused
     }
-    nested = {name: reader.nested(bound[s]) for s, name in values.items() if s.sub is not None}
+    nested = {name: reader.nested(bound[s]) for s, name in values.items() if s.sub is not None and s not in refused}
     staged = with_values(parsed, plain, "_json").withColumns(
         nested
         | {
@@ -133,9 +137,11 @@ def run_suite(
         inherits = check.inherit_state and carried
         if inherits:
             staged, pending = staged.withColumns(pending), {}
-        own = {s.name: F.col(values[s]) for s in check.selectors}
+        own = {s.name: F.col(values[s]) for s in check.selectors if s not in refused}
         variables = {**base, **(carried if inherits else {}), **own}
-        done = check.run(variables)
+        unread = [refused[s] for s in check.selectors if s in refused]
+        # One selector that cannot be read is an error of its check, not of the suite.
+        done = outcome(F.lit("ERROR"), F.lit("; ".join(unread))) if unread else check.run(variables)
         if check.dialects is not None:
             skip = outcome(F.lit("SKIP"), F.lit("Dialect for this check is not supported"))
             done = F.when(F.col(f"a{position}"), done).otherwise(skip)
@@ -159,6 +165,18 @@ def run_suite(
     )
 
 
+def _refused(selector: Selector, bound: Selector, reader: DocumentReader) -> str | None:
+    """Why a selector cannot be read, or None."""
+    if bound in reader.refused:
+        return reader.refused[bound]
+    if selector.json_path is not None:
+        try:
+            json_steps(selector.json_path)
+        except ValueError as exc:
+            return str(exc)
+    return None
+
+
 def _as_boolean(expr: str) -> str:
     """A dialect test is read as text and then as a boolean, so only ``true`` counts."""
     return expr.strip()

@@ -437,17 +437,12 @@ def xml_select(t):
     )
 
 
-@query("well_formed", f"WITH {DOCS} SELECT pid, NOT is_broken AS ok FROM docs_v WHERE NOT is_json")
+@query("well_formed", f"WITH {DOCS} SELECT pid, NOT is_broken AS ok, is_broken AS has_error FROM docs_v WHERE NOT is_json")
 def well_formed(t):
+    """Malformed documents are told apart by the reader, with the parser's message."""
     docs = documents(t).filter(~X.is_json_format(F.col("format_id")))
-    return docs.select("pid", X.well_formed(F.col("body")).alias("ok"))
-
-
-@query("pages_well_formed", "SELECT count(*) AS pages, CAST(0 AS BIGINT) AS n_ok FROM pages")
-def pages_well_formed(t):
-    """Web pages as documents: none is well-formed XML, and none stops the job."""
-    ok = t("pages").select(X.well_formed(F.col("html")).alias("ok"))
-    return ok.agg(F.count(F.lit(1)).alias("pages"), F.count_if("ok").alias("n_ok"))
+    reader = X.DocumentReader([TITLE])
+    return reader.attach(docs).select("pid", reader.ok.alias("ok"), reader.error.isNotNull().alias("has_error"))
 
 
 def _element(name: str, text: Column) -> Column:
@@ -496,6 +491,134 @@ def namespace_select(t):
     )
 
 
+@query(
+    "namespace_predicates",
+    """SELECT doc_id AS pid, string_split(text, chr(10))[2] AS second, string_split(text, chr(10))[-1] AS last_one,
+        len(string_split(text, chr(10))) - 1 AS n_behind, CASE WHEN lang = 'en' THEN substring(text, 1, 60) END AS english,
+        CAST(0 AS BIGINT) AS n_unbound FROM documents""",
+)
+def namespace_predicates(t):
+    """Predicates in namespace-aware paths; an unbound prefix matches nothing."""
+    aware = lambda name, xpath, **bound: X.Selector(name, xpath, namespace_aware=True, namespaces=bound)
+    second = aware("second", "//a:line[2]")
+    last = aware("last", "//p:part[q:title]/p:line[last()]", p="urn:one", q="urn:two")
+    behind = aware("behind", "//a:line/following-sibling::a:line")
+    english = aware("english", "/a:doc[@b:lang = 'en']/a:part/b:title[1]")
+    unbound = aware("unbound", "//c:line[1]")
+    reader = X.DocumentReader([second, last, behind, english, unbound])
+    docs = reader.attach(_prefixed(t))
+    size = lambda s: F.size(reader.values(s)).cast("bigint")
+    return docs.select(
+        "pid",
+        F.get(reader.values(second), F.lit(0)).alias("second"),
+        F.get(reader.values(last), F.lit(0)).alias("last_one"),
+        size(behind).alias("n_behind"),
+        F.get(reader.values(english), F.lit(0)).alias("english"),
+        size(unbound).alias("n_unbound"),
+    )
+
+
+def _resources(t) -> DataFrame:
+    """Documents with typed descriptions, subjects with attributes, and a table with attribute names."""
+    lines = F.transform(
+        F.split("text", "\n"), lambda line, i: F.struct(line.alias("_VALUE"), F.when(i % 2 == 0, "even").otherwise("odd").alias("_scheme"))
+    )
+    described = lambda text, kind: F.struct(text.alias("_VALUE"), F.lit(kind).alias("_descriptionType"))
+    names = F.transform(F.slice(F.split("text", " "), 1, 20), lambda w: F.struct(w.alias("attributeName")))
+    body = F.to_xml(
+        F.struct(
+            F.struct(F.array(F.substring("text", 1, 60), F.col("source")).alias("title")).alias("titles"),
+            F.struct(F.array(described(F.col("lang"), "Methods"), described(F.col("text"), "Abstract")).alias("description")).alias("descriptions"),
+            F.struct(lines.alias("subject")).alias("subjects"),
+            F.struct(F.struct(names.alias("attribute")).alias("attributeList")).alias("dataTable"),
+            F.col("n_chars").alias("size"),
+        ),
+        {"rowTag": "resource"},
+    )
+    return t("documents").select(F.col("doc_id").alias("pid"), F.lit("datacite").alias("format_id"), body.alias("body"))
+
+
+_LINES = "string_split(text, chr(10))"
+TYPED_ABSTRACT = X.Selector("abstract", "/resource/descriptions/description[@descriptionType='Abstract']")
+ATTRIBUTE_NAMES = X.Selector("attributeNames", "//attribute/attributeName", ".attributes[]")
+
+
+@query(
+    "xpath_predicates",
+    f"""SELECT doc_id AS pid, md5(text) AS abstract, source AS second_title, {_LINES}[-1] AS last_one, {_LINES}[2] AS second,
+        CAST((len({_LINES}) + 1) // 2 AS BIGINT) AS n_even, CAST(len({_LINES}) // 2 AS BIGINT) AS n_not_even, len({_LINES}) - 1 AS n_behind,
+        'Methods,Abstract' AS kinds, CASE WHEN n_chars > 500 THEN lang END AS of_long FROM documents""",
+)
+def xpath_predicates(t):
+    """Attribute, position, child-value and negated predicates, other axes, and sub-selectors with them."""
+    S_ = X.Selector
+    one = {
+        "second_title": S_("second_title", "(//title)[2]"),
+        "last_one": S_("last_one", "/resource/subjects/subject[last()]"),
+        "second": S_("second", "//subject[position() = 2 and @scheme]"),
+        "of_long": S_("of_long", "/resource[size > 500]/descriptions/./description[@descriptionType != 'Abstract'][1]"),
+    }
+    many = {
+        "n_even": S_("n_even", "//subject[@scheme='even' or @scheme='none']"),
+        "n_not_even": S_("n_not_even", "//subject[not(@scheme='even')]"),
+        "n_behind": S_("n_behind", "//subject/following-sibling::subject"),
+    }
+    kinds = S_("kinds", "//descriptions/description[@descriptionType]", sub=X.SubSelector("kind", "@descriptionType"))
+    reader = X.DocumentReader([TYPED_ABSTRACT, kinds, *one.values(), *many.values()])
+    docs = reader.attach(_resources(t))
+    return docs.select(
+        "pid",
+        F.md5(F.coalesce(F.get(reader.values(TYPED_ABSTRACT), F.lit(0)), F.lit(""))).alias("abstract"),
+        *[F.get(reader.values(s), F.lit(0)).alias(n) for n, s in one.items()],
+        *[F.size(reader.values(s)).cast("bigint").alias(n) for n, s in many.items()],
+        F.array_join(F.flatten(reader.nested(kinds)), ",").alias("kinds"),
+    )
+
+
+@query(
+    "xpath_scalars",
+    f"""SELECT doc_id AS pid, CASE WHEN len({_LINES}) > 1 THEN 'true' ELSE 'false' END AS several, CASE WHEN source = 'src1' THEN 'true' ELSE 'false' END AS same,
+        CAST(2 * n_chars + 3 AS STRING) AS sum, CAST(n_chars // 2 AS STRING) AS half, concat(lang, '-', source) AS joined, CAST(length(lang) AS STRING) AS n_lang FROM documents""",
+)
+def xpath_scalars(t):
+    """Comparisons, arithmetic and functions give their text."""
+    exprs = {
+        "several": "count(//subject) > 1",
+        "same": "//title = 'src1'",
+        "sum": "2 * /resource/size + 3",
+        "half": "floor(/resource/size div 2)",
+        "joined": "concat(//description[@descriptionType='Methods'], '-', //title[2])",
+        "n_lang": "string-length(//description[1])",
+    }
+    selectors = {n: X.Selector(n, x) for n, x in exprs.items()}
+    reader = X.DocumentReader(list(selectors.values()))
+    docs = reader.attach(_resources(t))
+    return docs.select("pid", *[F.get(reader.values(s), F.lit(0)).alias(n) for n, s in selectors.items()])
+
+
+@query(
+    "xpath_errors",
+    f"""SELECT doc_id AS pid, c AS check_id, CASE c WHEN 'abstract' THEN CASE WHEN length(text) > 100 THEN 'SUCCESS' ELSE 'FAILURE' END
+        WHEN 'names' THEN CASE WHEN len(list_slice(string_split(text, ' '), 1, 20)) > len(list_distinct(list_slice(string_split(text, ' '), 1, 20)))
+            THEN 'FAILURE' ELSE 'SUCCESS' END ELSE 'ERROR' END AS status
+        FROM documents, (SELECT unnest(['abstract', 'names', 'bad.path', 'bad.function', 'bad.json']) AS c)""",
+)
+def xpath_errors(t):
+    """A selector that cannot be read is an ERROR of its own check and leaves the others alone."""
+    bad = lambda i, **how: C.Check(i, C.unique_items("x"), selectors=(X.Selector("x", **how),))
+    registry = C.Registry(
+        [
+            C.Check("abstract", C.longer_than("abstract", 100), selectors=(TYPED_ABSTRACT,)),
+            C.Check("names", C.unique_items("attributeNames"), selectors=(ATTRIBUTE_NAMES,)),
+            bad("bad.path", xpath="//subject["),
+            bad("bad.function", xpath="nosuch(//subject) > 2"),
+            bad("bad.json", xpath="//subject", json_path=".a | map(.b)"),
+        ]
+    )
+    suite = C.Suite("errors", tuple(C.CheckRef(i) for i in registry.ids()))
+    return explode_results(run_suite(_resources(t), suite, registry)).select("pid", "check_id", "status")
+
+
 @query("namespaces_used", "SELECT doc_id AS pid, u AS ns_uri, p AS prefix FROM documents, (VALUES ('urn:one', 'a'), ('urn:two', 'b')) v(u, p)")
 def namespaces_used(t):
     return X.namespaces_of(_prefixed(t))
