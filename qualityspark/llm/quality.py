@@ -90,7 +90,7 @@ class Net:
             return np.zeros(0)
         rows, first = halves(texts_)
         # Pooling needs one slab of rows at a time, so a very long text does not need its responses at once.
-        pooled = np.empty((len(rows), FILTERS), np.float32)
+        pooled = np.empty((len(rows), FILTERS), self.bias.dtype)
         width = max(1, SLAB // HALF // 8)
         for at in range(0, len(rows), width):
             more = rows[at : at + width + 1]
@@ -141,7 +141,7 @@ class Net:
         return [d_embed, d_filters, g.sum(0), features.T @ error, error.sum(keepdims=True)]
 
 
-def train(texts_: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
+def train(texts_: list[bytes], labels: np.ndarray, steps: int = 750, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Net:
     """Adam over shuffled batches. Without rows of both classes the score is the label there is, or one half."""
     net, rng = Net.start(seed), np.random.default_rng(seed)
     if not len(labels) or labels.min() == labels.max():
@@ -149,17 +149,17 @@ def train(texts_: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int =
         net.offset[:] = 0 if not len(labels) else 4 * (2 * labels[0] - 1)
         return net
     first, second = ([np.zeros_like(a) for a in net.parts()] for _ in range(2))
-    total, step = epochs * -(-len(labels) // batch), 0
-    for _ in range(epochs):
-        order = rng.permutation(len(labels))
-        for start in range(0, len(order), batch):
-            chosen = order[start : start + batch]
-            step += 1
-            now = rate * (1 - step / (total + 1))
-            for a, m, v, g in zip(net.parts(), first, second, net.gradients([texts_[i] for i in chosen], labels[chosen]), strict=True):
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                a -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    left = np.empty(0, np.int64)
+    for step in range(1, steps + 1):
+        if len(left) < min(batch, len(labels)):
+            left = rng.permutation(len(labels))
+        chosen, left = left[:batch], left[batch:]
+        now = rate * (1 - step / (steps + 1))
+        slopes = net.gradients([texts_[i] for i in chosen], labels[chosen])
+        for a, m, v, g in zip(net.parts(), first, second, slopes, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            a -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     return net
 
 

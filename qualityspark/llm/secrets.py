@@ -172,8 +172,8 @@ def grow(findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: i
 
     Each tree weighs rows by a draw from their hash, and each of its nodes looks
     at about half of the features, so the same findings give the same forest
-    however they are spread. Without findings of a label there is nothing to
-    tell apart: the forest is empty.
+    however they are spread. Findings of one label only give that label's score to
+    all; without findings the forest is empty, and its score one half.
     """
     key = F.xxhash64("value", "features")
     chosen = [findings.filter(F.col("label") == c).withColumn("key", key).orderBy("key", "value").limit(sample) for c in (0, 1)]
@@ -182,9 +182,9 @@ def grow(findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: i
     spread = chosen[0].unionByName(chosen[1]).select("key", "features", "label", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = cut_lineage(spread.withColumn("w", weight).groupBy("tree", "features", "label").agg(F.sum("w").alias("w")).filter("w > 0"))
     both = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.sum("w").alias("n")).collect()}
-    if len(both) < 2:
+    if not both:
         return Forest()
-    forest = Forest([Node(both[1] / (both[0] + both[1])) for _ in range(trees)])
+    forest = Forest([Node(both.get(1, 0) / sum(both.values())) for _ in range(trees)])
     for level in range(depth):
         leaves = [_leaves(t, []) for t in forest.trees]
         place = F.lit(None).cast("int")

@@ -1,0 +1,177 @@
+"""Line dedup, exact dedup, quality and secrets."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from qualityspark.llm import exact_dedup as X
+from qualityspark.llm import line_dedup as L
+from qualityspark.llm import quality as Q
+from qualityspark.llm import secrets as C
+
+
+def brute_lines(rows):
+    first, covered, lines = {}, {}, {}
+    for doc_id, text in sorted(rows):
+        lines[doc_id] = own = (text or "").split("\n")
+        for p in range(len(own) - 2):
+            window = tuple(own[p : p + 3])
+            if first.setdefault(window, (doc_id, p)) != (doc_id, p):
+                covered.setdefault(doc_id, set()).update({p, p + 1, p + 2})
+    return {
+        d: ("\n".join(x for i, x in enumerate(own) if i not in covered.get(d, ())), len(own), len(covered.get(d, ()))) for d, own in lines.items()
+    }
+
+
+def test_lines_are_brute_force(spark, documents):
+    rng = random.Random(1)
+    rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.randrange(0, 12)))) for i in range(60)]
+    rows += [(70, None), (71, ""), (72, "\n\n\n\n"), (73, "a\n" * 3000), (74, "ü\r\nü\r\nü\r\nü")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in L.deduplicate_lines(documents(rows)).collect()}
+    assert got == brute_lines(rows)
+    kept = {x for text, _, _ in got.values() for x in text.split("\n")}
+    assert kept >= {x for _, t in rows for x in (t or "").split("\n")}
+    assert L.deduplicate_lines(documents([])).count() == 0
+
+
+def brute_digests(rows):
+    groups = {}
+    for doc_id, text in rows:
+        key = hashlib.sha256(re.sub(r"[\x20\x09-\x0d]", "", text or "").encode()).hexdigest()
+        groups.setdefault(key, []).append((-len(text or ""), doc_id))
+    return {(d, min(g)[1], len(g), d == min(g)[1], key) for key, g in groups.items() for _, d in g}
+
+
+ROWS = [(5, "a b"), (3, "ab"), (4, " a\tb"), (1, None), (2, ""), (8, " "), (9, "x" * 200_000), (10, "x " * 200_000), (11, "é"), (12, "é")]
+
+
+def test_digests_are_brute_force(spark, documents):
+    got = X.deduplicate(documents(ROWS), X.DigestIndex.scratch(spark)).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got} == brute_digests(ROWS)
+
+
+def test_index_outlives_a_batch(spark, documents):
+    index = X.DigestIndex.scratch(spark)
+    assert X.deduplicate(documents([]), index).count() == 0
+    X.deduplicate(documents(ROWS[:5]), index).count()
+    again = X.DigestIndex(spark, index.name, index.path, index.buckets)
+    more = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in X.deduplicate(documents([(20, "a  b"), (21, "new"), (22, "ne w")]), again).collect()}
+    # A text that is in the index stays there, whatever its new copy's length; of new ones the longest is added.
+    assert more == {20: (4, 1, False), 21: (22, 2, False), 22: (22, 2, True)}
+    assert again.bucketed().count() == 3
+    plan = again.bucketed().join(spark.createDataFrame([("q",)], "text_sha256 string").hint("merge"), "text_sha256")._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan
+
+
+def test_gradients_are_the_slope():
+    rng = np.random.default_rng(2)
+    texts = [bytes(rng.integers(1, 255, n).astype(np.uint8)) for n in (0, 3, 255, 256, 700, 2000)]
+    labels = np.array([0, 1, 0, 1, 1, 0], np.float32)
+    net = Q.Net.start()
+    net = Q.Net(*(a.astype(np.float64) for a in net.parts()))
+    net.bias[:] = rng.normal(0, 0.1, net.bias.shape)  # away from the corner at 0
+    loss = lambda: -np.mean(np.where(labels == 1, np.log(net.score(texts)), np.log(1 - net.score(texts))))
+    for part, slope in zip(net.parts(), net.gradients(texts, labels)):
+        for at in [tuple(rng.integers(0, s) for s in part.shape) for _ in range(8)]:
+            if part is net.embed and at[0] == 0:
+                continue
+            was = part[at]
+            part[at] = was + 1e-5
+            up = loss()
+            part[at] = was - 1e-5
+            down = loss()
+            part[at] = was
+            assert abs((up - down) / 2e-5 - slope[at]) < 2e-3
+
+
+def test_scores_do_not_depend_on_company():
+    net = Q.Net.start()
+    texts = [b"", b"a", b"word " * 400, b"x" * 5_000_000]
+    alone = [net.score([t])[0] for t in texts]
+    assert np.allclose(net.score(texts), alone, atol=1e-6) and net.score([]).shape == (0,)
+
+
+def test_classifier_learns_held_out_rows(spark, documents):
+    rng = random.Random(8)
+    good = lambda: " ".join(rng.choice(["the", "river", "runs", "under", "old", "stone"]) for _ in range(rng.randrange(20, 200)))
+    bad = lambda: good().upper().replace(" ", "!! ")
+    labels = [(i, int(rng.random() < 0.7)) for i in range(400)]
+    docs = documents([(i, good() if y else bad()) for i, y in labels] + [(900, None), (901, "")])
+    net = Q.fit(docs, spark.createDataFrame([*labels, (5000, 1), (3, None)], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in Q.classify(docs, net, keep=("text", "score")).select("doc_id", "held_out", "predicted", "text").collect()}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(got[i].held_out for i, _ in held) and sum(r.held_out for r in got.values()) <= len(held) + 2
+    assert np.mean([got[i].predicted == y for i, y in held]) > 0.95
+    assert got[900].text is None and len(got) == 402
+
+
+def test_classifier_without_two_classes(spark, documents):
+    docs = documents([(1, "a"), (2, None)])
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in Q.classify(docs, Q.fit(docs, none)).collect()} == {0.5}
+    assert Q.classify(documents([]), Q.fit(documents([]), none)).count() == 0
+
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def secret_rows():
+    rng = random.Random(9)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    number = lambda: str(rng.randrange(10**15, 10**16))
+    rows = []
+    for i in range(120):
+        text = f"some words here {number()} and call 555-{rng.randrange(1000, 9999)} now release_{rng.randrange(99)}"
+        rows.append((i, text + (f' token = "{key()}" and more' if i % 3 == 0 else "")))
+    # The last one's values are as long as a key, but nothing beside them says so.
+    return rows + [(500, None), (501, ""), (502, "x" * 100_000 + "1"), (503, f'password: "{HEX}"'), (504, f"{HEX} {HEX}")]
+
+
+def test_forest_and_spans(spark, documents):
+    docs = documents(secret_rows()).selectExpr("*", "'src/app.py' AS source")
+    forest = C.grow(C.labelled_findings(docs))
+    assert forest == C.grow(C.labelled_findings(docs.repartition(5)))
+    scanned = C.scan(docs, forest).select("doc_id", "text", "findings").collect()
+    flagged = 0
+    for r in scanned:
+        spans = [(m.start(), m[0]) for m in re.finditer(C.CANDIDATE.replace("*+", "*"), r.text or "")]
+        assert [(f.start, f.value) for f in r.findings] == spans
+        flagged += sum(f.is_secret for f in r.findings)
+        for f in r.findings:
+            assert f.is_secret == (re.fullmatch("[0-9a-f]{40}", f.value) is not None and r.doc_id != 504)
+    assert flagged >= 40 + 1
+    masked = {r.doc_id: r.text for r in C.redact(docs, forest).collect()}
+    assert masked[500] is None and masked[501] == "" and masked[503] == 'password: "[SECRET]"'
+    assert masked[0].endswith('token = "[SECRET]" and more') and masked[1] == dict(secret_rows())[1]
+
+
+def test_scores_are_the_trees_means(spark, documents):
+    docs = documents(secret_rows())
+    forest = C.grow(C.labelled_findings(docs, path_col=None))
+    from pyspark.sql import functions as F
+
+    _, found = C.candidates(docs["text"])
+    rows = docs.select(F.explode(found).alias("c")).select(C.features(F.col("c")).alias("f")).select("f", forest.score(F.col("f")).alias("s")).collect()
+    assert rows and all(abs(forest.score_row(r.f) - r.s) < 1e-12 for r in rows)
+    assert all(len(r.f) == C.N_FEATURES and 0 <= min(r.f) and max(r.f) < C.BINS for r in rows)
+
+
+def test_without_labels_candidates_stay(spark, documents):
+    docs = documents([(1, f"a {HEX}"), (2, None)])
+    forest = C.grow(C.labelled_findings(docs, path_col=None))
+    assert not forest.trees
+    assert {r.doc_id: len([f for f in r.findings if f.is_secret]) for r in C.scan(docs, forest, path_col=None).collect()} == {1: 1, 2: 0}
+    assert C.scan(documents([]), forest, path_col=None).count() == 0
+
+
+@pytest.mark.parametrize("value, digits", [("abcd1234", 4), ("a1-b2_c3", 3)])
+def test_features_count(spark, value, digits):
+    from pyspark.sql import functions as F
+
+    c = F.struct(F.lit(value).alias("value"), F.lit("").alias("before"), F.lit("").alias("behind"), F.lit("").alias("path"))
+    f = spark.range(1).select(C.features(c).alias("f")).first().f
+    assert f[4] == digits * C.BINS // 8
