@@ -12,7 +12,8 @@ steps, each on what the one before it could not rule out:
    in which any linked pair meets.
 4. Sets with the same size and prefix are one group. Each group is verified
    against the group that leads most of its prefix lists, and members against
-   their group's first: what links is one component, however many copies.
+   their group's first: what links is one component, however many copies. Sets
+   outside of a list's largest component then try the nearest set in that.
 5. Only pairs of sets from different components are left. Lists give those that
    pass size, position and bitmap filters, and every one of them is verified.
 
@@ -38,6 +39,8 @@ from qualityspark.llm.shingles import WORDS, mix, shingle_sets, signatures
 EARLY = 0.1
 #: Longs of a set's bitmap.
 BITMAP = 8
+#: Rounds in which sets try the top component of their lists; what they miss, the last step finds.
+TOWARD = 2
 _TAG = 1 << 16
 
 
@@ -141,8 +144,9 @@ def _may_link(x: str, y: str) -> Column:
 def _in_reach(x: str, y: str) -> Column:
     """Bounds from the place of a common shingle in both orders, and from the bits that differ.
 
-    Shingles that no other set has come first in the order and never match; an
-    odd number of differing shingles falls on each bit that differs.
+    Shingles that no other set has come first in the order and never match, so
+    places count from behind them; an odd number of differing shingles falls on
+    each bit that differs.
     """
     n, m, i, j = (F.col(c) for c in (f"{x}.n", f"{y}.n", f"{x}.pos", f"{y}.pos"))
     most = F.least(i, j) + 1 + F.least(n - F.col(f"{x}.only") - i - 1, m - F.col(f"{y}.only") - j - 1)
@@ -180,24 +184,48 @@ def _leaders(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grouped, to_leader.unionByName(to_first)
 
 
-def _between(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of sets from different components that meet in a prefix and pass all filters."""
+def _open_lists(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Sets by prefix shingle with their component, in lists of several components; ``top`` has most of a list's sets."""
     labelled = nodes.join(labels.select(F.col("node").alias("doc"), "component").hint("merge"), "doc", "left")
     entries = labelled.select(
         "doc", F.coalesce("component", "doc").alias("comp"), "n", "only", "bits", F.posexplode("prefix").alias("pos", "token")
     )
     lists = entries.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token")
-    # The component with most sets of a list: its sets meet the list's others, never each other.
     lists = lists.agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
     open_lists = cut_lineage(lists.select("token", F.col("top.comp").alias("top")))
-    entries = cut_lineage(entries.join(open_lists.hint("merge"), "token"))
+    return cut_lineage(entries.join(open_lists.hint("merge"), "token"))
+
+
+def _apart() -> Column:
+    return F.col("x.comp") != F.col("y.comp")
+
+
+def _to_top(entries: DataFrame) -> DataFrame:
+    """For each set outside of a list's top component, the nearest of that component's sets: one pair for each two of them."""
+    heads = entries.filter("comp = top").groupBy("token").agg(F.min(F.struct("only", "doc", "n", "pos", "bits", "comp")).alias("y"))
+    met = entries.alias("x").join(heads.hint("merge"), "token").filter(_apart() & _may_link("x", "y") & _in_reach("x", "y"))
+    counted = met.groupBy(F.col("x.doc").alias("b"), F.col("y.comp").alias("comp"), F.col("y.doc").alias("a")).agg(F.count("*").alias("c"))
+    best = counted.groupBy("b", "comp").agg(F.max(F.struct("c", (-F.col("a")).alias("minus"))).alias("best"))
+    return best.select((-F.col("best.minus")).alias("a"), "b").distinct()
+
+
+def _between(entries: DataFrame) -> DataFrame:
+    """All pairs of sets from different components that meet in a prefix and pass all filters.
+
+    A list's top component meets the list's others, never itself.
+    """
     x, y = entries.filter("comp <> top").alias("x"), entries.alias("y").hint("merge")
     each_once = (F.col("y.comp") == F.col("y.top")) | (F.col("x.doc") < F.col("y.doc"))
-    apart = F.col("x.comp") != F.col("y.comp")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & each_once & _may_link("x", "y") & _in_reach("x", "y"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & _apart() & each_once & _may_link("x", "y") & _in_reach("x", "y"))
     return met.select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
 
 
+def _and_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links, written."""
+    stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return cut_lineage(components(stars.unionByName(links)))
+
+
 def join_near(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Near duplicates by word shingles: ``doc_id, n_shingles, component_id``, one row per document.
 
@@ -233,9 +261,9 @@ def join_near(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_
     grouped, pairs = _leaders(nodes)
     links = cut_lineage(_verified(pairs, kept))
     labels = cut_lineage(components(links))
-    more = cut_lineage(_verified(_between(grouped, labels), kept))
-    stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labels = components(stars.unionByName(more))
+    for _ in range(TOWARD):
+        labels = _and_links(labels, cut_lineage(_verified(_to_top(_open_lists(grouped, labels)), kept)))
+    labels = _and_links(labels, cut_lineage(_verified(_between(_open_lists(grouped, labels)), kept)))
     release(spark)
 
     # One row per set of several texts or links against all rows, so the rows of a common set can be split.
