@@ -26,7 +26,9 @@ def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps.
 
     Spark deletes them when the driver collects its garbage, which a driver with
-    memory to spare may not do for hours.
+    memory to spare may not do for hours. The last query is still referred to by
+    the event that told of its end, so a small one is run after it first.
     """
+    spark.range(1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
