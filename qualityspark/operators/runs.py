@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from qualityspark.operators.skew import number_in_order
 
-# Default age of a stuck run and default attempt limit.
+# Default age of a stuck run, default attempt limit and its message.
 STUCK_HOURS = 12
 RUN_LIMIT = 10
+LIMIT_MESSAGE = "Run has been attempted {limit} times, aborting."
 
 
 def find_run(runs: DataFrame, metadata_id, suite_id) -> DataFrame:
@@ -38,7 +39,7 @@ def limit_runs(runs: DataFrame, limit: int = RUN_LIMIT) -> DataFrame:
     return runs.withColumns(
         {
             "status": F.when(over, "failure").otherwise(F.col("status")),
-            "error": F.when(over, f"Run has been attempted {limit} times, aborting.").otherwise(F.col("error")),
+            "error": F.when(over, LIMIT_MESSAGE.format(limit=limit)).otherwise(F.col("error")),
         }
     )
 
@@ -48,6 +49,27 @@ def attempts(requests: DataFrame, keys: list[str], ts: str = "ts", tie: str = "e
     return number_in_order(requests, keys, ts, tie, "attempt")
 
 
+def state_parts(events: DataFrame, keys: list[str], merged: bool = False) -> DataFrame:
+    """What the state of a run is made of: counts, and its last event.
+
+    From request events, or (``merged``) from several such rows of a key: both
+    are sums and a maximum, so parts of any batches add up to the same.
+    """
+    last = "ts", "event_id", "status"
+    started = F.sum("run_count") if merged else F.count_if(F.col("status") == "processing")
+    folded = events.groupBy(*keys).agg(
+        started.alias("run_count"),
+        (F.sum("events") if merged else F.count(F.lit(1))).alias("events"),
+        F.max(F.struct(*last)).alias("_last"),
+    )
+    return folded.select(*keys, "run_count", "events", *[F.col(f"_last.{c}").alias(c) for c in last])
+
+
+def state_columns(parts: DataFrame, keys: list[str], limit: int = RUN_LIMIT) -> DataFrame:
+    limited = limit_runs(parts.withColumn("error", F.lit(None).cast("string")), limit)
+    return limited.select(*keys, "status", "error", "run_count", "events", "ts")
+
+
 def run_states(requests: DataFrame, keys: list[str], limit: int = RUN_LIMIT) -> DataFrame:
     """State of every run after its request events.
 
@@ -56,21 +78,7 @@ def run_states(requests: DataFrame, keys: list[str], limit: int = RUN_LIMIT) ->
     state is a fold over a count and a last event, which combines before the
     shuffle whatever the number of events per key.
     """
-    started = F.col("status") == "processing"
-    folded = requests.groupBy(*keys).agg(
-        F.count_if(started).alias("run_count"),
-        F.max(F.struct("ts", "event_id", "status")).alias("_last"),
-        F.count(F.lit(1)).alias("events"),
-    )
-    over = over_limit(F.col("run_count"), limit)
-    return folded.select(
-        *keys,
-        F.when(over, "failure").otherwise(F.col("_last.status")).alias("status"),
-        F.when(over, f"Run has been attempted {limit} times, aborting.").alias("error"),
-        "run_count",
-        "events",
-        F.col("_last.ts").alias("ts"),
-    )
+    return state_columns(state_parts(requests, keys), keys, limit)
 
 
 def suite_last_run(runs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -14,118 +15,92 @@ KEY = ["suite_id", "pid"]
 
 
 def links(runs: DataFrame) -> DataFrame:
-    """Back link of every stored run; self links are no links (compared without case)."""
-    back = F.col("obsoletes")
-    return runs.select(
-        "suite_id",
-        "pid",
-        F.when(F.lower(back.cast("string")) != F.lower(F.col("pid").cast("string")), back).alias("back"),
-        back.isNull().alias("is_first"),
+    """Back link of every stored run, to a stored run, from either side of an obsolescence.
+
+    A run's own ``obsoletes`` counts if that run is stored; otherwise the stored
+    run that names it in ``obsoleted_by``, of several the one with the smallest
+    pid. A link to oneself is no link in either column (compared without case).
+    ``is_first`` marks a run that names nothing it obsoletes and is named by none.
+    """
+    other = lambda a, b: F.lower(F.col(a).cast("string")) != F.lower(F.col(b).cast("string"))
+    stored = runs.select("suite_id", F.col("pid").alias("_own"), F.lit(True).alias("_stored"))
+    named = runs.filter(other("obsoleted_by", "pid")).groupBy("suite_id", F.col("obsoleted_by").alias("pid")).agg(F.min("pid").alias("_by"))
+    own = runs.select(
+        "suite_id", "pid", "sequence_id", F.when(other("obsoletes", "pid"), F.col("obsoletes")).alias("_own"), F.col("obsoletes").isNull().alias("_none")
     )
+    linked = own.join(named, KEY, "left").join(stored, ["suite_id", "_own"], "left")
+    back = F.when(F.col("_stored"), F.col("_own")).otherwise(F.col("_by"))
+    return linked.select(*KEY, "sequence_id", back.alias("back"), (F.col("_none") & back.isNull()).alias("is_first"))
 
 
 def walk_back(runs: DataFrame) -> DataFrame:
     """First stored version behind every stored run, and the distance to it.
 
-    ``runs(suite_id, pid, obsoletes, ...)`` holds the stored runs only. Returns
-    ``suite_id, pid, head, position, head_is_first, in_cycle``: the walk ends at
-    a run without a back link (``head_is_first``), or before a missing run or at
-    a self link. Pointer doubling: each round doubles the distance covered, so
-    the number of joins is the logarithm of the longest chain. Finished runs
-    leave the joined side, so no head is ever a hot join key. Runs on or behind
-    a cycle are reported with ``in_cycle`` and no head.
+    ``runs(suite_id, pid, obsoletes, obsoleted_by, sequence_id, ...)`` holds the
+    stored runs only. Returns ``suite_id, pid, sequence_id, head, position,
+    head_is_first, in_cycle``: the walk ends at a run without a back link
+    (``head_is_first``), or before a missing run or at a self link. Pointer
+    doubling: each round doubles the distance covered, so the number of joins is
+    the logarithm of the longest chain. Finished runs leave the joined side, so
+    no head is ever a hot join key, and a round writes the runs still walking
+    only. Runs on or behind a cycle are reported with ``in_cycle`` and no head.
     """
-    nodes = links(runs)
-    stored = nodes.select("suite_id", F.col("pid").alias("back"), F.lit(True).alias("_stored"))
-    linked = nodes.join(stored, ["suite_id", "back"], "left").withColumn(
-        "back", F.when(F.col("_stored"), F.col("back"))
+    columns = [*KEY, "sequence_id", "head", "position", "is_first", "done"]
+    end = F.col("back").isNull()
+    state = links(runs).select(
+        *KEY, "sequence_id", F.coalesce("back", "pid").alias("head"), F.when(end, 0).otherwise(1).cast("bigint").alias("position"), "is_first", end.alias("done")
     )
-    state = cut_lineage(
-        linked.select(
-            "suite_id",
-            "pid",
-            F.coalesce("back", "pid").alias("head"),
-            F.when(F.col("back").isNull(), 0).otherwise(1).cast("bigint").alias("position"),
-            "is_first",
-            F.col("back").isNull().alias("done"),
-        ),
-        by="done",
-    )
-    total = state.count()
-    columns = state.columns
-    finished, active = state.filter("done"), state.filter("NOT done")
-    for _ in range(math.ceil(math.log2(max(total, 2))) + 1):
-        ahead = finished.unionByName(active).select(
-            "suite_id",
-            F.col("pid").alias("head"),
-            F.col("head").alias("_head"),
-            F.col("position").alias("_position"),
-            F.col("is_first").alias("_first"),
-            F.col("done").alias("_done"),
+    total = Observation()
+    pieces = [cut_lineage(state.observe(total, F.count_if(~F.col("done")).alias("n")))]
+    left = total.get["n"]
+    limit = math.ceil(math.log2(max(left, 2))) + 2
+    while left and limit:
+        limit -= 1
+        # The newest word on each run: finished ones of all rounds, and those of the last.
+        known = reduce(DataFrame.unionByName, [p.filter("done") for p in pieces[:-1]] + [pieces[-1]])
+        ahead = known.select(
+            "suite_id", F.col("pid").alias("head"), F.col("head").alias("_head"), F.col("position").alias("_position"), F.col("is_first").alias("_first"), F.col("done").alias("_done")
         )
-        left = Observation()
-        moved = cut_lineage(
-            active.join(ahead, ["suite_id", "head"])
+        counted = Observation()
+        moved = (
+            pieces[-1]
+            .filter("NOT done")
+            .join(ahead, ["suite_id", "head"])
             .select(
-                "suite_id",
-                "pid",
+                *KEY,
+                "sequence_id",
                 F.col("_head").alias("head"),
                 (F.col("position") + F.col("_position")).alias("position"),
                 F.col("_first").alias("is_first"),
                 F.col("_done").alias("done"),
             )
-            .observe(left, F.count_if(~F.col("done")).alias("n")),
-            by="done",
-        )
-        finished = finished.unionByName(moved.filter("done"))
-        active = moved.filter("NOT done")
-        if left.get["n"] == 0:
-            break
-    none = F.lit(None)
-    return finished.select(
-        "suite_id", "pid", "head", "position", F.col("is_first").alias("head_is_first"), F.lit(False).alias("in_cycle")
-    ).unionByName(
-        active.select(columns).select(
-            "suite_id",
-            "pid",
-            none.cast(runs.schema["pid"].dataType).alias("head"),
-            none.cast("bigint").alias("position"),
-            F.lit(False).alias("head_is_first"),
-            F.lit(True).alias("in_cycle"),
+            .observe(counted, F.count_if(~F.col("done")).alias("n"))
         )
+        pieces.append(cut_lineage(moved))
+        left = counted.get["n"]
+    known = reduce(DataFrame.unionByName, [p.filter("done") for p in pieces[:-1]] + [pieces[-1]]).select(*columns)
+    placed = lambda c: F.when(F.col("done"), F.col(c))
+    return known.select(
+        *KEY,
+        "sequence_id",
+        placed("head").alias("head"),
+        placed("position").alias("position"),
+        (F.col("done") & F.col("is_first")).alias("head_is_first"),
+        (~F.col("done")).alias("in_cycle"),
     )
 
 
-def walk_back_sql(runs: DataFrame, view: str = "stored_runs") -> DataFrame:
-    """The same walk as one recursive query, for chains below 100 versions."""
-    spark = runs.sparkSession
-    links(runs).createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE heads AS (
-            SELECT n.suite_id, n.pid, n.is_first FROM {view} n
-            LEFT ANTI JOIN {view} p ON p.suite_id = n.suite_id AND p.pid = n.back
-        ), walk (suite_id, pid, head, position, head_is_first) AS (
-            SELECT suite_id, pid, pid, 0L, is_first FROM heads
-            UNION ALL
-            SELECT n.suite_id, n.pid, w.head, w.position + 1, w.head_is_first
-            FROM walk w JOIN {view} n ON n.suite_id = w.suite_id AND n.back = w.pid
-        )
-        SELECT * FROM walk
-    """)
-
-
-def chain_ids(runs: DataFrame, walked: DataFrame) -> DataFrame:
+def chain_ids(walked: DataFrame) -> DataFrame:
     """Sequence id of every chain: the id found at the lowest position, else the
     first pid if the walk reached it, else none. One row per ``suite_id, head``."""
-    members = walked.join(runs.select(*KEY, "sequence_id"), KEY)
-    by_chain = members.filter("head IS NOT NULL").groupBy("suite_id", "head").agg(
+    by_chain = walked.filter("head IS NOT NULL").groupBy("suite_id", "head").agg(
         F.min_by("sequence_id", F.when(F.col("sequence_id").isNotNull(), F.struct("position", "pid"))).alias("_found"),
         F.bool_or("head_is_first").alias("_first"),
         F.min("sequence_id").alias("_least"),
         F.max("sequence_id").alias("_greatest"),
         F.count(F.lit(1)).alias("versions"),
     )
-    first = F.when(F.col("_first"), F.col("head").cast(runs.schema["sequence_id"].dataType))
+    first = F.when(F.col("_first"), F.col("head").cast(walked.schema["sequence_id"].dataType))
     return by_chain.select(
         "suite_id",
         "head",
@@ -140,11 +115,10 @@ def assign_sequence(runs: DataFrame) -> DataFrame:
 
     Runs whose chain has no id keep what they have, which is none.
     """
-    walked = cut_lineage(walk_back(runs))
-    chains = chain_ids(runs, walked)
-    placed = join_latest(walked, chains.select("suite_id", "head", "chain_id"), ["suite_id", "head"], "left")
-    joined = runs.join(placed.select(*KEY, "head", "position", "in_cycle", "chain_id"), KEY)
-    return joined.select(
+    walked = walk_back(runs)
+    chains = chain_ids(walked).select("suite_id", "head", "chain_id")
+    placed = join_latest(walked, chains, ["suite_id", "head"], "left")
+    return placed.select(
         *KEY,
         "head",
         "position",
@@ -156,7 +130,7 @@ def assign_sequence(runs: DataFrame) -> DataFrame:
 
 def sequence_conflicts(runs: DataFrame) -> DataFrame:
     """Chains in which more than one sequence id was found."""
-    return chain_ids(runs, cut_lineage(walk_back(runs))).filter("conflict").drop("conflict")
+    return chain_ids(walk_back(runs)).filter("conflict").drop("conflict")
 
 
 def modified_runs(runs: DataFrame) -> DataFrame:

@@ -13,7 +13,9 @@ from qualityspark.streaming import requests as R
 _WALK = (
     "WITH RECURSIVE "
     + CTE["chain_v"]
-    + """, linked AS (SELECT c.*, CASE WHEN c.obsoletes <> c.pid THEN p.pid END AS back FROM chain_v c LEFT JOIN chain_v p ON p.pid = c.obsoletes),
+    + """, named AS (SELECT obsoleted_by AS pid, min(pid) AS by FROM chain_v WHERE obsoleted_by <> pid GROUP BY obsoleted_by),
+    linked AS (SELECT c.*, coalesce(CASE WHEN c.obsoletes <> c.pid THEN p.pid END, named.by) AS back
+        FROM chain_v c LEFT JOIN chain_v p ON p.pid = c.obsoletes LEFT JOIN named ON named.pid = c.pid),
     walk AS (
         SELECT pid, pid AS head, CAST(0 AS BIGINT) AS position, obsoletes IS NULL AS head_is_first FROM linked WHERE back IS NULL
         UNION ALL SELECT n.pid, w.head, w.position + 1, w.head_is_first FROM walk w JOIN linked n ON n.back = w.pid),
@@ -23,15 +25,13 @@ _WALK = (
 )
 
 
-@query("sequence_root", _WALK + "SELECT pid, head, position, head_is_first FROM walk")
+@query(
+    "sequence_root",
+    _WALK + "SELECT pid, head, position, coalesce(head_is_first, FALSE) AS head_is_first, head IS NULL AS in_cycle FROM chain_v LEFT JOIN walk USING (pid)",
+)
 def sequence_root(t):
-    return O.walk_back(chain(t)).select("pid", "head", "position", "head_is_first")
-
-
-@query("sequence_root_recursive", _WALK + "SELECT pid, head, position FROM walk")
-def sequence_root_recursive(t):
-    """The same walk as a recursive query, which suits chains of fewer than 100 versions."""
-    return O.walk_back_sql(chain(t)).select("pid", "head", F.col("position").cast("bigint").alias("position"))
+    """Chains over one-sided links, branches, self links and rings."""
+    return O.walk_back(chain(t)).select("pid", "head", "position", "head_is_first", "in_cycle")
 
 
 @query(
@@ -39,7 +39,7 @@ def sequence_root_recursive(t):
     _WALK
     + """SELECT pid, head, position, coalesce(chain_id, c.sequence_id) AS sequence_id,
         chain_id IS NOT NULL AND c.sequence_id IS DISTINCT FROM chain_id AS modified
-        FROM walk JOIN ids USING (head) JOIN chain_v c USING (pid)""",
+        FROM chain_v c LEFT JOIN walk USING (pid) LEFT JOIN ids USING (head)""",
 )
 def sequence_assign(t):
     return O.assign_sequence(chain(t)).select("pid", "head", "position", "sequence_id", "modified")
@@ -66,23 +66,16 @@ def sequence_conflicts(t):
     _WALK
     + """, arrived AS (SELECT o_orderkey AS pid FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'),
         touched AS (SELECT DISTINCT head FROM walk WHERE pid IN (SELECT pid FROM arrived))
-        SELECT count(*) AS n_arrived, count(*) FILTER (WHERE ok) AS n_ok FROM (
-            SELECT pid, TRUE AS ok FROM arrived WHERE pid IN (SELECT pid FROM chain_v))""",
+        SELECT pid, coalesce(chain_id, c.sequence_id) AS sequence_id FROM chain_v c JOIN arrived USING (pid) LEFT JOIN walk USING (pid) LEFT JOIN ids USING (head)""",
 )
 def sequence_relink(t):
-    """Arrivals fill gaps: only chains they touch are walked, with the result of a walk over all."""
+    """Arrivals fill gaps: only the chains they touch are walked, with the ids of a walk over all."""
     everything = chain(t)
     late = t("orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'").selectExpr("o_orderkey AS pid")
     arrived = cut_lineage(everything.join(late, "pid", "left_semi"))
     before = cut_lineage(everything.join(late, "pid", "left_anti"))
-    known = O.walk_back(before).select("suite_id", "pid", "head")
-    stored = cut_lineage(before.join(known, O.KEY))
-    linked = R.relink(stored, arrived).select("pid", F.col("sequence_id").alias("_new"))
-    whole = O.assign_sequence(everything).select("pid", F.col("sequence_id").alias("_all"))
-    both = arrived.select("pid").join(linked, "pid").join(whole, "pid")
-    return both.agg(
-        F.count(F.lit(1)).alias("n_arrived"), F.count_if(F.col("_new").eqNullSafe(F.col("_all"))).alias("n_ok")
-    )
+    stored = R.with_heads(before)
+    return R.relink(stored, arrived).join(late, "pid", "left_semi").select("pid", "sequence_id")
 
 
 _LATEST = """, dated AS (SELECT metadata_id AS pid, sequence_id, ts AS date_uploaded, is_latest, date_trunc('month', ts) AS month,

@@ -98,13 +98,20 @@ def merge_nodes(t):
 
 @query(
     "merge_marks",
-    with_views("requests_v")
-    + "SELECT suite_id AS task_name, 'quality' AS task_type, pid AS node_id, max(ts) AS last_harvest_datetime FROM requests_v GROUP BY suite_id, pid",
+    with_views("requests_v").rstrip()
+    + """, stored AS (SELECT suite_id AS task_name, pid AS node_id, max(ts) AS mark FROM requests_v WHERE event_id % 2 = 0 GROUP BY suite_id, pid),
+        saved AS (SELECT suite_id AS task_name, pid AS node_id, min(ts) AS mark FROM requests_v WHERE event_id % 3 = 0 GROUP BY suite_id, pid)
+        SELECT coalesce(n.task_name, s.task_name) AS task_name, 'quality' AS task_type, coalesce(n.node_id, s.node_id) AS node_id,
+            coalesce(n.mark, s.mark) AS last_harvest_datetime
+        FROM stored s FULL JOIN saved n ON n.task_name = s.task_name AND n.node_id = s.node_id""",
 )
 def merge_marks(t):
-    marks = requests(t).selectExpr("suite_id AS task_name", "'quality' AS task_type", "pid AS node_id", "ts AS last_harvest_datetime")
-    empty = marks.filter("FALSE")
-    return M.merge_marks(empty, marks)
+    """Marks set replace stored ones, earlier ones too; the others stay."""
+    keyed = lambda rows, mark: rows.groupBy("suite_id", "pid").agg(mark.alias("mark")).selectExpr(
+        "suite_id AS task_name", "'quality' AS task_type", "pid AS node_id", "mark AS last_harvest_datetime"
+    )
+    stored = keyed(requests(t).filter("event_id % 2 = 0"), F.max("ts"))
+    return M.merge_marks(stored, keyed(requests(t).filter("event_id % 3 = 0"), F.min("ts")))
 
 
 @query(
@@ -132,16 +139,20 @@ _FILES = [
 
 @query(
     "merge_files",
-    f"""SELECT pid, storage_type, media_type, max(file_id) AS file_id FROM (SELECT *, max(creation_datetime) OVER
-        (PARTITION BY pid, storage_type, media_type) AS newest FROM (SELECT {', '.join(_FILES)} FROM lineitem))
-        WHERE creation_datetime = newest GROUP BY pid, storage_type, media_type""",
+    f"""WITH files AS (SELECT {', '.join(_FILES)} FROM lineitem), newest AS (
+            SELECT pid, storage_type, media_type, arg_max(file_id, (creation_datetime, file_id)) AS file_id FROM files GROUP BY pid, storage_type, media_type),
+        stored AS (SELECT o_orderkey AS pid, 'data' AS storage_type, 'text/csv' AS media_type, concat('old', CAST(o_orderkey AS STRING)) AS file_id FROM orders)
+        SELECT coalesce(n.pid, s.pid) AS pid, coalesce(n.storage_type, s.storage_type) AS storage_type, coalesce(n.media_type, s.media_type) AS media_type,
+            coalesce(n.file_id, s.file_id) AS file_id
+        FROM stored s FULL JOIN newest n ON n.pid = s.pid AND n.storage_type = s.storage_type AND n.media_type = s.media_type""",
 )
 def merge_files(t):
-    files = t("lineitem").selectExpr(*_FILES)
-    keys = ["pid", "storage_type", "media_type", "alt_filename"]
-    return M.upsert(files.filter("FALSE"), files, keys, ["creation_datetime", "file_id"]).select(
-        "pid", "storage_type", "media_type", "file_id"
+    """Entries of new files replace stored ones of the same document, storage and type."""
+    stored = t("orders").selectExpr(
+        "concat('old', CAST(o_orderkey AS STRING)) AS file_id", "o_orderkey AS pid", "'data' AS storage_type", "'text/csv' AS media_type",
+        "'' AS alt_filename", "TIMESTAMP '1990-01-01' AS creation_datetime",
     )
+    return M.merge_files(stored, t("lineitem").selectExpr(*_FILES)).select("pid", "storage_type", "media_type", "file_id")
 
 
 @query(

@@ -1,31 +1,46 @@
-"""Streams over the tables' files, read to their end."""
+"""Streams over the tables' files, read to their end in several batches.
+
+Each table is first dealt over files by a hash, so every batch holds rows of all
+times and each next one comes late; what is merged into is not empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from qualityspark.operators import scores as O
+from qualityspark.operators import sequences as Q
 from qualityspark.operators.merge import last_per_key
-from qualityspark.plans import query
+from qualityspark.operators.runs import state_parts
 from qualityspark.plans import documents as D
+from qualityspark.plans import query
+from qualityspark.plans.sequences import _WALK
 from qualityspark.plans.stores import RUN_STATES
-from qualityspark.plans.views import REQUESTS, requests, with_views
+from qualityspark.plans.views import REQUESTS, chain, requests, with_views
 from qualityspark.session import scratch_path
+from qualityspark.sinks.keyed import KeyedTable
 from qualityspark.streaming import requests as R
 
 _KEYS = ["pid", "suite_id"]
+_FILES = 4
 
 
-def _stream(t, name: str):
-    return R.file_stream(t.spark, t.folder, t(name).schema, f"{name}.parquet")
+def _stream(t, name: str, key: str, copies: int = 1):
+    """A table as a stream of ``_FILES`` batches, rows dealt by a hash; with ``copies``, each row in several of them."""
+    rows = t(name).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    dealt = rows.withColumn("_file", F.pmod(F.xxhash64(key) + F.col("_copy"), F.lit(_FILES)))
+    folder = scratch_path(t.spark, f"{name}-files")
+    dealt.repartitionByRange(_FILES, "_file").drop("_copy", "_file").write.parquet(folder)
+    return R.file_stream(t.spark, folder, t(name).schema, per_batch=1)
 
 
-def _requests(t):
-    return _stream(t, "events").selectExpr(*REQUESTS)
+def _requests(t, copies: int = 1):
+    return _stream(t, "events", "event_id", copies).selectExpr(*REQUESTS)
 
 
-def _paths(t, name: str) -> tuple[str, str]:
-    return scratch_path(t.spark, f"{name}-out"), scratch_path(t.spark, f"{name}-state")
+def _table(t, name: str, schema: StructType, keys: list[str]) -> KeyedTable:
+    return KeyedTable(t.spark, scratch_path(t.spark, f"{name}-table"), schema, tuple(keys), 8)
 
 
 def _finish(stream) -> None:
@@ -34,23 +49,32 @@ def _finish(stream) -> None:
         raise stream.exception()
 
 
+def _states(t) -> KeyedTable:
+    events = _requests(t)
+    table = _table(t, "run-state", state_parts(requests(t), _KEYS).schema, _KEYS)
+    _finish(R.state_stream(events, table, scratch_path(t.spark, "run-state")))
+    return table
+
+
 @query("stream_run_state", with_views("requests_v") + RUN_STATES)
 def stream_run_state(t):
-    """State of every run, kept by a streaming aggregation."""
-    out, state = _paths(t, "run-state")
-    _finish(R.state_stream(_requests(t), out, state, _KEYS))
-    return R.latest_updates(t.spark, out, _KEYS)
+    """State of every run, merged batch by batch."""
+    return R.states(_states(t))
+
+
+_NOW = "TIMESTAMP '2024-01-30 20:00:00'"
 
 
 @query(
     "stream_monitor",
     with_views("requests_v")
-    + f"SELECT pid, suite_id, run_count FROM ({RUN_STATES}) WHERE status = 'processing' AND ts < TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 12 HOUR",
+    + f"""SELECT pid, suite_id, run_count + 1 AS run_count, CASE WHEN run_count + 1 > 10 THEN 'failure' ELSE 'processing' END AS status, {_NOW} AS ts
+        FROM ({RUN_STATES}) WHERE status = 'processing' AND ts < {_NOW} - INTERVAL 12 HOUR""",
 )
 def stream_monitor(t):
-    """Stuck runs among the streamed states."""
-    states = stream_run_state(t)
-    return R.stuck(states, F.expr("TIMESTAMP '2024-01-30 20:00:00'"), 12).select("pid", "suite_id", "run_count")
+    """Stuck runs among the streamed states come out as new requests with their count."""
+    again = R.resubmitted(R.states(_states(t)), F.expr(_NOW), 12)
+    return again.select("pid", "suite_id", "run_count", "status", "ts")
 
 
 @query(
@@ -59,62 +83,71 @@ def stream_monitor(t):
     + "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(elapsed), 4) AS total FROM requests_v WHERE status = 'success' GROUP BY ALL",
 )
 def stream_hourly(t):
-    out, state = _paths(t, "hourly")
-    done = _requests(t).filter("status = 'success'")
-    _finish(R.hourly_stream(done, out, state))
-    return R.latest_updates(t.spark, out, ["hour"]).withColumn("total", F.round("total", 4))
+    """Hours that several batches add to."""
+    done = requests(t).filter("status = 'success'")
+    table = _table(t, "hourly", R.hourly_totals(done).schema, ["hour"])
+    _finish(R.hourly_stream(_requests(t).filter("status = 'success'"), table, scratch_path(t.spark, "hourly")))
+    return table.read().withColumn("total", F.round("total", 4))
 
 
-@query("stream_redelivery", with_views("requests_v") + "SELECT pid, count(*) AS n FROM requests_v GROUP BY pid")
+@query("stream_redelivery", with_views("requests_v") + "SELECT event_id, pid, suite_id, ts FROM requests_v")
 def stream_redelivery(t):
-    """Every request delivered twice is taken once."""
-    out, state = _paths(t, "redelivery")
-    twice = _requests(t).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    once = R.redelivered_once(twice, ["event_id"])
-    _finish(
-        once.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
-    )
-    return t.spark.read.parquet(out).groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
+    """Every request delivered in two batches is taken once, the oldest too."""
+    columns = ["event_id", "pid", "suite_id", "ts"]
+    table = _table(t, "requests", requests(t).select(*columns).schema, ["event_id"])
+    _finish(R.deliver_once(_requests(t, copies=2).select(*columns), table, scratch_path(t.spark, "requests"), ["ts"]))
+    return table.read()
 
 
 @query("stream_assess", f"WITH {D.RESULTS} {D._COUNTS}")
 def stream_assess(t):
-    """Documents streamed to runs; scores are those of the batch run."""
-    out, state = _paths(t, "runs")
+    """Documents streamed to runs, some of them twice; one run each, with the scores of the batch run."""
+    files = _stream(t, "documents", "doc_id", copies=2)
 
     class Streamed:
         spark = t.spark
 
         def __call__(self, name):
-            return _stream(t, name)
+            return files
 
-    _finish(R.assess_stream(D.documents(Streamed()), D.SUITE, D.REGISTRY, out, state))
-    runs = t.spark.read.parquet(out).filter("run_status = 'success'").drop("sysmeta")
-    return O.score_arrays(runs).drop("suite_id", "run_status", "error_description", "results")
+    docs = D.documents(Streamed()).withColumn("requested", F.current_timestamp())
+    runs = D.suite_runs(t).withColumn("requested", F.current_timestamp())
+    table = _table(t, "runs", runs.schema, _KEYS)
+    _finish(R.assess_stream(docs, D.SUITE, D.REGISTRY, table, scratch_path(t.spark, "runs")))
+    done = table.read().filter("run_status = 'success'").drop("sysmeta", "requested")
+    return O.score_arrays(done).drop("suite_id", "run_status", "error_description", "results")
 
 
 @query(
     "stream_merge",
-    with_views("requests_v") + "SELECT pid, suite_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM requests_v GROUP BY pid, suite_id",
+    with_views("requests_v").rstrip()
+    + """, stored AS (SELECT user_id AS pid, 'suite-1' AS suite_id, 'stored' AS status, TIMESTAMP '2024-01-15 00:00:00' AS ts, CAST(-1 AS BIGINT) AS event_id
+            FROM events GROUP BY user_id)
+        SELECT pid, suite_id, arg_max(status, (ts, event_id)) AS status, max(ts) AS ts FROM (
+            SELECT pid, suite_id, status, ts, event_id FROM requests_v UNION ALL SELECT * FROM stored) GROUP BY pid, suite_id""",
 )
 def stream_merge(t):
-    """Batches merged into a stored table, each into a version of its own."""
-    out, state = _paths(t, "merge")
+    """Batches merged into a filled table, in which rows older than the stored ones change nothing."""
     columns = [*_KEYS, "status", "ts", "event_id"]
-    requests(t).filter("FALSE").select(*columns).write.parquet(f"{out}/v0")
-
-    def merge(batch, batch_id):
-        from qualityspark.operators.merge import upsert
-        from qualityspark.sinks.writers import write_version
-
-        spark = batch.sparkSession
-        table = spark.read.parquet(f"{out}/v{batch_id}")
-        changes = last_per_key(batch.select(*columns), _KEYS, ["ts", "event_id"])
-        # Merging a batch again gives the same table, as ties go to the later event.
-        both = table.join(changes.select(*_KEYS), _KEYS, "left_semi").unionByName(changes)
-        write_version(upsert(table, both, _KEYS, ["ts", "event_id"]), out, f"v{batch_id + 1}")
-        spark.createDataFrame([(batch_id + 1,)], "version int").write.mode("overwrite").parquet(f"{out}/current")
-
-    _finish(R.merge_stream(_requests(t), merge, state))
-    current = t.spark.read.parquet(f"{out}/current").first()["version"]
-    return t.spark.read.parquet(f"{out}/v{current}").select(*_KEYS, "status", "ts")
+    fold = lambda rows: last_per_key(rows, _KEYS, ["ts", "event_id"])
+    table = _table(t, "merge", requests(t).select(*columns).schema, _KEYS)
+    first = requests(t).select("pid").distinct().selectExpr(
+        "pid", "'suite-1' AS suite_id", "'stored' AS status", "TIMESTAMP '2024-01-15 00:00:00' AS ts", "CAST(-1 AS BIGINT) AS event_id"
+    )
+    table.merge(first, -1, fold)
+    events = _requests(t).select(*columns)
+    _finish(R.each_batch(events, lambda batch, number: table.merge(batch, number, fold), scratch_path(t.spark, "merge")))
+    return table.read().select(*_KEYS, "status", "ts")
+
+
+@query("stream_relink", _WALK + "SELECT pid, coalesce(chain_id, c.sequence_id) AS sequence_id FROM chain_v c LEFT JOIN walk USING (pid) LEFT JOIN ids USING (head)")
+def stream_relink(t):
+    """Runs arrive in any order; at the end every run has the id of a walk over all."""
+    runs = chain(t)
+    folder = scratch_path(t.spark, "chain-files")
+    runs.repartitionByRange(3, F.pmod(F.xxhash64("pid"), F.lit(3))).write.parquet(folder)
+    arrivals = R.file_stream(t.spark, folder, runs.schema, per_batch=1)
+    shape = runs.select(*Q.KEY, "obsoletes", "obsoleted_by", F.col("sequence_id").alias("given_id"), "sequence_id", F.col("pid").alias("head"), F.lit(0).cast("long").alias("merged"))
+    table = _table(t, "chains", shape.schema, Q.KEY)
+    _finish(R.relink_stream(arrivals, table, scratch_path(t.spark, "chains")))
+    return table.read().select("pid", "sequence_id")

@@ -32,15 +32,20 @@ RUNS = [
     "CAST(floor(o_totalprice / 35000) AS INT) AS run_count",
     "o_custkey AS custkey",
 ]
-# Versions of documents: blocks of 64 successive orders, of which some are not stored.
+# Versions of documents: the orders of a customer by date, of which some are not
+# stored. Links are one-sided, to oneself, past a version, or in a ring for some.
 CHAIN = [
     "'suite-1' AS suite_id",
     "o_orderkey AS pid",
-    """CASE WHEN o_orderpriority = '2-HIGH' AND o_totalprice < 20000 THEN o_orderkey
-            WHEN o_orderkey % 64 <> 0 THEN o_orderkey - 1 END AS obsoletes""",
-    "CASE WHEN o_orderkey % 64 <> 63 THEN o_orderkey + 1 END AS obsoleted_by",
+    """CASE WHEN o_orderpriority = '2-HIGH' AND o_totalprice < 20000 THEN o_orderkey WHEN o_orderkey % 7 = 0 THEN NULL
+            WHEN o_orderkey % 13 = 5 THEN prev2 WHEN prev IS NULL AND o_custkey % 50 = 3 THEN nxt ELSE prev END AS obsoletes""",
+    "CASE WHEN o_orderkey % 11 = 3 THEN o_orderkey WHEN o_orderkey % 3 <> 0 THEN nxt END AS obsoleted_by",
     "CASE WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice > 400000 THEN o_custkey + 100000000 END AS sequence_id",
 ]
+CHAIN_ORDER = [
+    "*",
+    *(f"{f} OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS {n}" for f, n in (("lag(o_orderkey)", "prev"), ("lag(o_orderkey, 2)", "prev2"), ("lead(o_orderkey)", "nxt"))),
+]
 CHAIN_STORED = "NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')"
 REQUESTS = [
     "event_id",
@@ -83,7 +88,7 @@ def _cte(name: str, columns: list[str], source: str, where: str | None = None) -
 CTE = {
     "results_v": _cte("results_v", RESULTS, "lineitem"),
     "runs_v": _cte("runs_v", RUNS, "orders"),
-    "chain_v": _cte("chain_v", CHAIN, "orders", CHAIN_STORED),
+    "chain_v": _cte("chain_v", CHAIN, f"(SELECT {', '.join(CHAIN_ORDER)} FROM orders)", CHAIN_STORED),
     "requests_v": _cte("requests_v", REQUESTS, "events"),
     "repositories_v": _cte("repositories_v", REPOSITORIES, "supplier"),
     "nodes_v": _cte("nodes_v", NODES, "nation"),
@@ -145,7 +150,7 @@ def runs(t: Tables) -> DataFrame:
 
 
 def chain(t: Tables) -> DataFrame:
-    return t("orders").filter(CHAIN_STORED).selectExpr(*CHAIN)
+    return t("orders").selectExpr(*CHAIN_ORDER).filter(CHAIN_STORED).selectExpr(*CHAIN)
 
 
 def requests(t: Tables) -> DataFrame:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,33 +41,27 @@ def build_session(app: str = "qualityspark", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Divide rows over all cores when a scan gives fewer partitions than there are.
-
-    Worth a shuffle only before per-document parsing of a small input; a large
-    input has partitions enough and passes unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 _local_scratch: str | None = None
+#: Tables at which queries were cut, until they are dropped.
+_cuts: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and stream checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may
-    run without that setting; it then gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session whose tasks
+    run in the driver's own process may leave it unset; it then gets a folder
+    that is deleted with the process.
     """
     global _local_scratch
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="qualityspark-")
+        atexit.register(shutil.rmtree, _local_scratch, True)
     return _local_scratch
 
 
@@ -79,6 +78,36 @@ def cut_lineage(df: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
+    _cuts.append(path)
     writer = df.write.partitionBy(by) if by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_of(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """Cut what ``build`` returns, and delete the cuts that it made on the way."""
+    before = len(_cuts)
+    result = cut_lineage(build())
+    own = _cuts.pop()
+    for path in _cuts[before:]:
+        remove(spark, path)
+    _cuts[before:] = [own]
+    return result
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the store it lies in; nothing happens if there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def cuts_dropped(spark: SparkSession) -> Iterator[None]:
+    """Delete the cuts made within, at its end: read or write results before that."""
+    before = len(_cuts)
+    try:
+        yield
+    finally:
+        for path in _cuts[before:]:
+            remove(spark, path)
+        del _cuts[before:]

@@ -1,0 +1,93 @@
+"""A stored table with keyed merges that rewrite only the parts they touch.
+
+Rows lie in parts by a hash of their key. A merge reads the parts that its
+changes fall in, folds both, and writes these parts as files of the merge's own
+number; a small pointer table then says which number holds each part. A merge
+that is repeated starts from the pointer before its own, so a batch delivered
+twice changes nothing. Files that neither the newest pointer nor the one before
+it names are deleted.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from qualityspark.session import remove
+
+_PART = "_part"
+
+
+@dataclass(frozen=True)
+class KeyedTable:
+    """``root`` lies in a folder all executors share; ``parts`` is fixed for the table's life.
+
+    Choose ``parts`` so that one part is a file of a comfortable size.
+    """
+
+    spark: SparkSession
+    root: str
+    schema: StructType
+    keys: tuple[str, ...]
+    parts: int = 64
+
+    def _folders(self, path: str) -> list[int]:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        store = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(hadoop):
+            return []
+        return sorted(int(f.getPath().getName().removeprefix("merge-")) for f in store.listStatus(hadoop) if f.isDirectory())
+
+    def _pointer(self, number: int | None) -> dict[int, int]:
+        """The merge that holds each part, as of a merge; at most one row per part."""
+        if number is None:
+            return {}
+        return {r["part"]: r["merge"] for r in self.spark.read.parquet(f"{self.root}/pointers/merge-{number}").collect()}
+
+    def _read(self, pointer: dict[int, int], parts: list[int] | None = None) -> DataFrame:
+        chosen = sorted(pointer if parts is None else set(parts) & set(pointer))
+        paths = [f"{self.root}/data/merge-{pointer[p]}/{_PART}={p}" for p in chosen]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def read(self) -> DataFrame:
+        """The rows as of the newest finished merge."""
+        done = self._folders(f"{self.root}/pointers")
+        return self._read(self._pointer(done[-1] if done else None))
+
+    def merge(self, changes: DataFrame, number: int, fold: Callable[[DataFrame], DataFrame]) -> None:
+        """Merge ``changes`` as merge ``number``; numbers grow, and a repeated one replaces itself.
+
+        ``fold`` reduces stored rows and changes together (both in the table's
+        schema) to one row per key; it must not mind their order.
+        """
+        done = [n for n in self._folders(f"{self.root}/pointers") if n < number]
+        before = self._pointer(done[-1] if done else None)
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int").alias(_PART)
+        names = self.schema.names
+        changes = changes.select(*names).persist()
+        try:
+            touched = [r[0] for r in changes.select(part).distinct().collect()]
+            folded = fold(self._read(before, touched).select(*names).unionByName(changes)).select(*names, part)
+            data = f"{self.root}/data/merge-{number}"
+            # One task per part: a merge adds one file to each part that it touches.
+            folded.repartition(max(len(touched), 1), _PART).write.mode("overwrite").partitionBy(_PART).parquet(data)
+        finally:
+            changes.unpersist()
+        pointer = {**before, **dict.fromkeys(touched, number)}
+        rows = self.spark.createDataFrame(list(pointer.items()), "part int, merge long")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/pointers/merge-{number}")
+        self._clean(done, before, pointer, number)
+
+    def _clean(self, done: list[int], before: dict[int, int], pointer: dict[int, int], number: int) -> None:
+        for old in done[:-1]:
+            remove(self.spark, f"{self.root}/pointers/merge-{old}")
+        needed = {*before.values(), *pointer.values(), number}
+        for merge in self._folders(f"{self.root}/data"):
+            if merge not in needed:
+                remove(self.spark, f"{self.root}/data/merge-{merge}")

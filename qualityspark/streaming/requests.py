@@ -1,8 +1,9 @@
-"""Request streams: assessment, run states, monitoring, totals.
+"""Request streams: assessment, run states, monitoring, totals, relinking.
 
-All stateful steps are streaming aggregations, whose partial results combine
-before the shuffle; a document requested very often costs no more than any
-other. State lives in the state store, output in files of the shared folder.
+A batch is reduced by key and merged into a stored table, so what arrives late,
+twice or out of order counts exactly as in time: nothing is dropped by age, and
+there is no state but the tables. Merges combine before the shuffle; a document
+requested very often costs no more than any other.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from qualityspark.operators.checks import Registry, Suite
 from qualityspark.operators.merge import last_per_key
-from qualityspark.operators.runs import RUN_LIMIT, STUCK_HOURS, run_states
-from qualityspark.operators.sequences import KEY, assign_sequence
+from qualityspark.operators.runs import RUN_LIMIT, STUCK_HOURS, limit_runs, state_columns, state_parts
+from qualityspark.operators.sequences import KEY, assign_sequence, walk_back
 from qualityspark.operators.suite import run_suite
+from qualityspark.sinks.keyed import KeyedTable
 
 
 def file_stream(spark: SparkSession, folder: str, schema, name: str | None = None, per_batch: int = 1000) -> DataFrame:
@@ -27,48 +29,57 @@ def file_stream(spark: SparkSession, folder: str, schema, name: str | None = Non
     return reader.parquet(folder)
 
 
-def redelivered_once(requests: DataFrame, keys: list[str], ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Drop requests that a queue delivered again within the delay."""
-    return requests.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-
-
-def assess_stream(docs: DataFrame, suite: Suite, registry: Registry, out: str, checkpoint: str):
-    """Stream of documents to a table of runs. A suite run is one projection, so
-    it needs no state; the file sink writes each run exactly once."""
+def each_batch(stream: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
+    """Hand every batch to ``merge(batch, batch_id)``, which must not mind a repeated one."""
     return (
-        run_suite(docs, suite, registry)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def _update_sink(df: DataFrame, out: str, checkpoint: str, mode: str):
-    """Every batch goes to its own folder, so a repeated batch replaces itself."""
+def deliver_once(requests: DataFrame, table: KeyedTable, checkpoint: str, order: list[str]):
+    """Store requests by key, whenever and however often a queue delivers them.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch-{batch_id:012d}")
+    Of several rows with one key the first in ``order`` is kept.
+    """
 
-    return (
-        df.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    def fold(rows: DataFrame) -> DataFrame:
+        lead = F.struct(*order, *[c for c in table.schema.names if c not in order])
+        first = rows.groupBy(*table.keys).agg(F.min(lead).alias("_row"))
+        return first.select(*[F.col(f"_row.{c}").alias(c) for c in table.schema.names])
+
+    return each_batch(requests, lambda batch, number: table.merge(batch, number, fold), checkpoint)
 
 
-def latest_updates(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Last emitted row per key."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(out)
-    return last_per_key(rows, keys, ["_batch"]).drop("_batch")
+def assess_stream(docs: DataFrame, suite: Suite, registry: Registry, table: KeyedTable, checkpoint: str):
+    """Stream of documents to a table of runs, one per document and suite.
+
+    ``docs`` has a ``requested`` time; a document asked for again replaces its
+    run. ``table`` holds the columns of ``run_suite`` and ``requested``. Each
+    batch is reduced to the last request of a document before it is assessed.
+    """
 
+    def merge(batch: DataFrame, number: int) -> None:
+        latest = last_per_key(batch, ["pid"], ["requested"])
+        times = latest.select("pid", "requested")
+        runs = run_suite(latest.drop("requested"), suite, registry).join(times, "pid")
+        table.merge(runs, number, lambda rows: last_per_key(rows, list(table.keys), ["requested"]))
 
-def state_stream(requests: DataFrame, out: str, checkpoint: str, keys: list[str] = KEY, limit: int = RUN_LIMIT):
-    """State of every run, emitted whenever it changes."""
-    return _update_sink(run_states(requests, keys, limit), out, checkpoint, "update")
+    return each_batch(docs, merge, checkpoint)
+
+
+def state_stream(requests: DataFrame, table: KeyedTable, checkpoint: str):
+    """Parts of the state of every run (``runs.state_parts``), merged as its events arrive."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        parts = state_parts(batch, list(table.keys))
+        table.merge(parts, number, lambda rows: state_parts(rows, list(table.keys), merged=True))
+
+    return each_batch(requests, merge, checkpoint)
+
+
+def states(table: KeyedTable, limit: int = RUN_LIMIT) -> DataFrame:
+    """State of every run as of the newest merge."""
+    return state_columns(table.read(), list(table.keys), limit)
 
 
 def stuck(states: DataFrame, now: Column, hours: int = STUCK_HOURS) -> DataFrame:
@@ -78,48 +89,78 @@ def stuck(states: DataFrame, now: Column, hours: int = STUCK_HOURS) -> DataFrame
     )
 
 
-def hourly_totals(completed: DataFrame, ts: str = "ts", value: str = "elapsed", delay: str = "1 hour") -> DataFrame:
+def resubmitted(states: DataFrame, now: Column, hours: int = STUCK_HOURS, limit: int = RUN_LIMIT) -> DataFrame:
+    """Stuck runs as new requests at ``now``, with the count of the new attempt.
+
+    A run whose new attempt is beyond the limit comes out as a failure instead
+    of a request, with the message that says so.
+    """
+    again = stuck(states, now, hours).withColumns(
+        {"run_count": F.col("run_count") + 1, "ts": now.cast("timestamp"), "error": F.lit(None).cast("string")}
+    )
+    return limit_runs(again, limit)
+
+
+def hourly_totals(completed: DataFrame, ts: str = "ts", value: str = "elapsed") -> DataFrame:
     """Count and sum of completed runs per hour of event time."""
-    return (
-        completed.withWatermark(ts, delay)
-        .groupBy(F.window(ts, "1 hour").alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
-        .select(F.col("w.start").alias("hour"), "n", "total")
+    return completed.groupBy(F.date_trunc("hour", F.col(ts)).alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")
     )
 
 
-def hourly_stream(completed: DataFrame, out: str, checkpoint: str, **kwargs):
-    return _update_sink(hourly_totals(completed, **kwargs), out, checkpoint, "update")
+def hourly_stream(completed: DataFrame, table: KeyedTable, checkpoint: str, **columns: str):
+    """Hourly totals to which late rows add like any others."""
 
+    def fold(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("hour").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+    return each_batch(completed, lambda batch, number: table.merge(hourly_totals(batch, **columns), number, fold), checkpoint)
 
-def merge_stream(changes: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str):
-    """Keyed merges of a stream's batches; ``merge(batch, batch_id)`` must be
-    idempotent by batch id, as ``write_version`` is."""
-    return (
-        changes.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+def with_heads(stored: DataFrame) -> DataFrame:
+    """Stored runs with the ``head`` of their chain, as relinking takes them; runs on or behind a ring have none."""
+    return stored.join(walk_back(stored).select(*KEY, "head"), KEY)
 
 
 def touched(stored: DataFrame, arrived: DataFrame) -> DataFrame:
-    """Stored runs of the chains that arrivals join.
+    """Stored runs of the chains that arrivals join, by links of either side.
 
     ``stored`` keeps the ``head`` of its last assignment, so whole chains are
-    found by one semi join instead of another walk.
+    found by one semi join instead of another walk. Runs without a head are few
+    and always come along.
     """
-    behind = stored.join(
-        arrived.select("suite_id", F.col("obsoletes").alias("pid")), KEY, "left_semi"
-    ).select("suite_id", "head")
-    ahead = stored.join(
-        arrived.select("suite_id", F.col("pid").alias("obsoletes")), ["suite_id", "obsoletes"], "left_semi"
-    ).select("suite_id", "head")
-    return stored.join(behind.unionByName(ahead), ["suite_id", "head"], "left_semi")
+    to = lambda column: arrived.select("suite_id", F.col(column).alias("pid"))
+    behind = stored.join(to("obsoletes").unionByName(to("obsoleted_by")), KEY, "left_semi")
+    named = [stored.join(to("pid").withColumnRenamed("pid", c), ["suite_id", c], "left_semi") for c in ("obsoletes", "obsoleted_by")]
+    heads = behind.unionByName(named[0].select(*stored.columns)).unionByName(named[1].select(*stored.columns)).select("suite_id", "head")
+    joined = stored.join(heads, ["suite_id", "head"], "left_semi").select(*stored.columns)
+    return joined.unionByName(stored.filter("head IS NULL"))
 
 
 def relink(stored: DataFrame, arrived: DataFrame) -> DataFrame:
     """Sequence ids after arrivals: only chains they touch are walked again."""
-    columns = ["suite_id", "pid", "obsoletes", "sequence_id"]
+    columns = ["suite_id", "pid", "obsoletes", "obsoleted_by", "sequence_id"]
     old = touched(stored, arrived).select(*columns)
     return assign_sequence(old.join(arrived.select(*KEY), KEY, "left_anti").unionByName(arrived.select(*columns)))
+
+
+def relink_stream(arrivals: DataFrame, table: KeyedTable, checkpoint: str):
+    """Keep sequence ids up to date as runs arrive.
+
+    ``table`` holds ``suite_id, pid, obsoletes, obsoleted_by, given_id,
+    sequence_id, head, merged`` by suite and pid. Every batch walks the chains it
+    touches and merges the runs in them. Walks start from the ids that runs came
+    with (``given_id``), so the ids do not depend on the order of arrival; one
+    that was only derived may change when an earlier version arrives.
+    """
+    links = [*KEY, "obsoletes", "obsoleted_by"]
+
+    def merge(batch: DataFrame, number: int) -> None:
+        stored = table.read().filter(F.col("merged") < number).withColumn("sequence_id", F.col("given_id"))
+        found = relink(stored, batch).select(*KEY, "sequence_id", "head")
+        given = F.col("sequence_id").alias("given_id")
+        kept = stored.join(batch.select(*KEY), KEY, "left_anti").select(*links, given)
+        rows = kept.unionByName(batch.select(*links, given)).join(found, KEY).withColumn("merged", F.lit(number).cast("long"))
+        table.merge(rows, number, lambda both: last_per_key(both, KEY, ["merged"]))
+
+    return each_batch(arrivals, merge, checkpoint)
