@@ -483,19 +483,53 @@ def with_values(df: DataFrame, texts: dict[str, Column], empty_is_list: str = "f
 
 # JSON -----------------------------------------------------------------------
 
-_JQ_TOKEN = re.compile(r"""\s*(?:\.?\[\s*"([^"]+)"\s*\]|\.?\[\s*'([^']+)'\s*\]|\.?\[(-?\d+)\]|\.?(\[\])|\.([A-Za-z_@$][\w$@-]*)|(\.))""")
-
-
-def json_steps(path: str) -> list[tuple[str, str]]:
-    """Steps of a path such as ``.a["k"].b[] | .c[0]``."""
-    steps: list[tuple[str, str]] = []
-    for part in path.split("|"):
-        part, pos = part.strip(), 0
+_JQ_TOKEN = re.compile(r"""\s*(?:\.?\[\s*"([^"]+)"\s*\]|\.?\[\s*'([^']+)'\s*\]|\.?\[(-?\d+)\]|\.?(\[\])|\.([A-Za-z_@$][\w$@-]*)|(\?)|(\.))""")
+_SELECT = re.compile(r"""^select\((.*?)(?:(==|!=)\s*("[^"]*"|-?\d+(?:\.\d+)?|true|false|null)\s*)?\)$""", re.S)
+
+
+def _divide(path: str, mark: str) -> list[str]:
+    """Parts of a query between marks that stand in no quotes, brackets or parentheses."""
+    parts, depth, quote, start, at = [], 0, None, 0, 0
+    while at < len(path):
+        c = path[at]
+        if quote:
+            quote = None if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif not depth and path.startswith(mark, at):
+            parts.append(path[start:at].strip())
+            start = at = at + len(mark)
+            continue
+        at += 1
+    return [*parts, path[start:].strip()]
+
+
+def json_steps(path: str) -> list[tuple]:
+    """Steps of a query such as ``.a["k"].b[]? | select(.c == "x") | .d | length``."""
+    steps: list[tuple] = []
+    for part in _divide(path, "|"):
+        if part == "length":
+            steps.append(("length",))
+            continue
+        chosen = _SELECT.match(part)
+        if chosen:
+            inner = json_steps(chosen.group(1).strip())
+            if any(s[0] not in ("key", "index") for s in inner):
+                raise ValueError(f"unsupported JSON path: {path}")
+            steps.append(("select", tuple(inner), chosen.group(2), chosen.group(3)))
+            continue
+        pos = 0
+        if not part:
+            raise ValueError(f"unsupported JSON path: {path}")
         while pos < len(part):
             token = _JQ_TOKEN.match(part, pos)
             if token is None:
                 raise ValueError(f"unsupported JSON path: {path}")
-            dq, sq, index, each, name, _ = token.groups()
+            dq, sq, index, each, name, _, _ = token.groups()
             if dq or sq or name:
                 steps.append(("key", dq or sq or name))
             elif index is not None:
@@ -506,25 +540,87 @@ def json_steps(path: str) -> list[tuple[str, str]]:
     return steps
 
 
-def _json_path(steps: list[tuple[str, str]]) -> str:
-    return "$" + "".join(f"['{v}']" if k == "key" else f"[{v}]" for k, v in steps)
+def json_query(path: str) -> list:
+    """Alternatives of a query (``a // b``), each its steps, or a literal text."""
+    return [part[1:-1] if re.match(r'^"[^"]*"$', part) else json_steps(part) for part in _divide(path, "//")]
 
 
-def json_texts(body: Column, path: str, scalars: bool = False, node: Column | None = None) -> Column:
-    """Array with one text per node the path yields.
+def _json_path(steps: list[tuple]) -> str:
+    return "$" + "".join(f"['{s[1]}']" if s[0] == "key" else f"[{s[1]}]" for s in steps)
 
-    Strings give their text and objects or arrays their JSON text. Numbers,
-    booleans and nulls give null, unless ``scalars`` asks for their text.
-    ``node`` is the parsed body, where the caller already has it.
-    """
-    groups: list[list[tuple[str, str]]] = [[]]
-    for step in json_steps(path):
+
+def _grouped(steps: list[tuple]) -> list:
+    """Steps with runs of keys and indices joined to one path."""
+    out: list = []
+    for step in steps:
+        if step[0] in ("key", "index"):
+            if out and out[-1][0] == "path":
+                out[-1][1].append(step)
+            else:
+                out.append(("path", [step]))
+        else:
+            out.append(step)
+    return out
+
+
+def _nodes(root: Column, steps: list[tuple]) -> Column:
+    """Parsed values that the steps yield; a step that does not fit a value yields nothing or null, as with ``?``."""
+    none = F.array().cast("array<variant>")
+    at = lambda node, path, kind: F.try_variant_get(node, path, kind)
+
+    def into(path: str):
+        return lambda node: at(node, path, "variant")
+
+    def spread(node: Column) -> Column:
+        return F.coalesce(at(node, "$", "array<variant>"), F.map_values(at(node, "$", "map<string,variant>")), none)
+
+    def length(node: Column) -> Column:
+        size = F.coalesce(
+            F.size(at(node, "$", "array<variant>")), F.size(at(node, "$", "map<string,variant>")), F.length(at(node, "$", "string")), F.lit(0)
+        )
+        return F.parse_json(size.cast("string"))
+
+    def keeps(step: tuple):
+        path, sign, literal = _json_path(step[1]), step[2], step[3]
+
+        def test(node: Column) -> Column:
+            value = at(node, path, "variant")
+            plain = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+            if sign is None:
+                return (plain != "VOID") & F.coalesce(at(value, "$", "string") != "false", F.lit(True))
+            kind = "STRING" if literal[0] == '"' else "BOOLEAN" if literal in ("true", "false") else "VOID" if literal == "null" else None
+            if kind:
+                same = (plain == kind) & (F.lit(True) if kind == "VOID" else at(value, "$", "string") == literal.strip('"'))
+            else:
+                same = plain.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (at(value, "$", "double") == float(literal))
+            same = F.coalesce(same, F.lit(False))
+            return same if sign == "==" else ~same
+
+        return test
+
+    found = F.array(root)
+    for step in _grouped(steps):
+        if step[0] == "path":
+            found = F.transform(found, into(_json_path(step[1])))
+        elif step[0] == "each":
+            found = F.flatten(F.transform(found, spread))
+        elif step[0] == "length":
+            found = F.transform(found, length)
+        else:
+            found = F.filter(found, keeps(step))
+    return found
+
+
+def _spelled(body: Column, root: Column, steps: list[tuple], scalars: bool) -> Column:
+    """Texts of what the steps yield, objects and arrays as the document spells them."""
+    groups: list[list[tuple]] = [[]]
+    for step in steps:
         if step[0] == "each":
             groups.append([])
         else:
             groups[-1].append(step)
 
-    def step_into(steps: list[tuple[str, str]]):
+    def step_into(steps: list[tuple]):
         p = _json_path(steps)
         return lambda pair: F.struct(
             F.get_json_object(pair["text"], p).alias("text"),
@@ -540,7 +636,6 @@ def json_texts(body: Column, path: str, scalars: bool = False, node: Column | No
             F.array().cast("array<struct<text:string,node:variant>>"),
         )
 
-    root = F.try_parse_json(body) if node is None else node
     first = F.struct(body.alias("text"), root.alias("node"))
     pairs = F.transform(F.array(first), step_into(groups[0])) if groups[0] else F.array(first)
     for steps in groups[1:]:
@@ -555,6 +650,45 @@ def json_texts(body: Column, path: str, scalars: bool = False, node: Column | No
     return F.transform(pairs, text_of)
 
 
+def json_texts(body: Column, path: str, scalars: bool = False, node: Column | None = None) -> Column:
+    """Array with one text per node the path yields.
+
+    Strings give their text and objects or arrays their JSON text. Numbers,
+    booleans and nulls give null, unless ``scalars`` asks for their text.
+    ``node`` is the parsed body, where the caller already has it: the body's
+    text itself is read again only where a path yields an object or array.
+    """
+    root = F.try_parse_json(body) if node is None else node
+    kind = lambda n: F.coalesce(F.schema_of_variant(n), F.lit("VOID"))
+    nested = lambda n: kind(n).rlike("^(OBJECT|ARRAY)")
+
+    def texts(steps: list[tuple]) -> Column:
+        found = _nodes(root, steps)
+
+        def text(n: Column) -> Column:
+            plain = F.try_variant_get(n, "$", "string")
+            return F.when(nested(n), F.to_json(n)).otherwise(plain if scalars else F.when(kind(n) == "STRING", plain))
+
+        short = F.transform(found, text)
+        if all(s[0] in ("key", "index", "each") for s in steps):
+            # Spelled as in the document, with keys in its order.
+            return F.when(F.exists(found, nested), _spelled(body, root, steps, scalars)).otherwise(short)
+        return short
+
+    def given(steps) -> Column:
+        if isinstance(steps, str):
+            return F.array(F.lit(steps))
+        return texts(steps)
+
+    *before, last = json_query(path)
+    out = given(last)
+    for steps in reversed(before):
+        told = _nodes(root, steps)
+        there = F.filter(told, lambda n: (kind(n) != "VOID") & F.coalesce(F.try_variant_get(n, "$", "string") != "false", F.lit(True)))
+        out = F.when(F.size(there) > 0, F.filter(given(steps), lambda s: s.isNotNull())).otherwise(out)
+    return out
+
+
 def with_json_values(df: DataFrame, body: str, paths: dict[str, str], scalars: bool = False) -> DataFrame:
     """Add typed values of JSON paths: one node a single value, otherwise a list."""
     parsed = df.withColumn("_node", F.try_parse_json(F.col(body)))
@@ -654,6 +788,10 @@ def root_namespace(docs: DataFrame, key: str = "pid", body: str = "body") -> Dat
 # Schema validity --------------------------------------------------------------
 
 
+# What a schema check says.
+SCHEMA_MESSAGES = {"FAILURE": "Document is not schema valid", "SUCCESS": "Document is schema valid"}
+
+
 def schema_check(body: Column, schema: str, xsd_path: str | None = None) -> Column:
     """SUCCESS, FAILURE or ERROR of a document against a row schema or an XSD.
 
@@ -668,7 +806,7 @@ def schema_check(body: Column, schema: str, xsd_path: str | None = None) -> Colu
     return F.struct(
         F.when(body.isNull(), "ERROR").when(bad, "FAILURE").otherwise("SUCCESS").alias("status"),
         F.when(body.isNull(), "no document")
-        .when(bad, "Document is not schema valid")
-        .otherwise("Document is schema valid")
+        .when(bad, SCHEMA_MESSAGES["FAILURE"])
+        .otherwise(SCHEMA_MESSAGES["SUCCESS"])
         .alias("output"),
     )

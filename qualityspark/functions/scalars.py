@@ -115,10 +115,6 @@ def run_key(pid: Column, suite_id: Column, ts: Column) -> Column:
     return F.sha2(F.concat_ws(",", pid.cast("string"), suite_id.cast("string"), ts.cast("string")), 256)
 
 
-def random_id() -> Column:
-    return F.uuid()
-
-
 def relative_path(storage_type: Column, alt_filename: Column, file_id: Column, extension: Column) -> Column:
     """``storage/name[.ext]``; the extension is left out if the name already holds it.
 

@@ -122,23 +122,29 @@ def longer_than(variable: str, n: int):
     return run
 
 
+# What checks of texts and of presence say.
+WORDS_MESSAGES = {
+    "absent": "An {label} was not found.",
+    "blank": "The {label} is blank",
+    "few": "The {label} word count of '%d' is less that the recommended minimum of '{n}'",
+    "enough": "The {label} is valid, with a word count of %d",
+}
+PRESENCE_MESSAGES = {
+    "no list": "Object '{name}' was not a list, which is the expected type.",
+    "empty": "Object '{name}' was of length zero when it was expected to be of length one.",
+    "many": "Object '{name}' was of length %d when it was expected to be of length one.",
+    "one": "Object '{name}' was present and was of length one.",
+}
+
+
 def min_words(variable: str, n: int, label: str = "abstract"):
     """SUCCESS when a text, or the texts of a list joined by blanks, has ``n`` words."""
+    says = {k: m.format(label=label, n=n) for k, m in WORDS_MESSAGES.items()}
 
     def judge(items: Column, words: Column) -> Column:
-        blank = F.coalesce(words, F.lit(0)) == 0
-        return outcome(
-            passed(F.coalesce(words >= n, F.lit(False))),
-            F.when(items.isNull(), f"An {label} was not found.")
-            .when(blank, f"The {label} is blank")
-            .when(
-                words < n,
-                F.format_string(
-                    f"The {label} word count of '%d' is less that the recommended minimum of '{n}'", words
-                ),
-            )
-            .otherwise(F.format_string(f"The {label} is valid, with a word count of %d", words)),
-        )
+        message = F.when(items.isNull(), says["absent"]).when(F.coalesce(words, F.lit(0)) == 0, says["blank"])
+        message = message.when(words < n, F.format_string(says["few"], words)).otherwise(F.format_string(says["enough"], words))
+        return outcome(passed(F.coalesce(words >= n, F.lit(False))), message)
 
     def run(v):
         items = v[variable]["items"]
@@ -164,7 +170,7 @@ def any_present(variable: str):
     """SUCCESS when some item of the variable is not blank."""
 
     def run(v):
-        found = F.exists(v[variable]["items"], lambda t: ~S.is_blank(t))
+        found = ~S.all_blank(v[variable]["items"])
         return outcome(passed(F.coalesce(found, F.lit(False))))
 
     return run
@@ -188,15 +194,9 @@ def present(variable: str):
 def presence(items: Column, name: str) -> tuple[Column, Column]:
     n = F.size(items)
     status = F.when(items.isNotNull() & (n == 1), "SUCCESS").otherwise("FAILURE")
-    message = (
-        F.when(items.isNull(), f"Object '{name}' was not a list, which is the expected type.")
-        .when(n == 0, f"Object '{name}' was of length zero when it was expected to be of length one.")
-        .when(
-            n > 1,
-            F.format_string(f"Object '{name}' was of length %d when it was expected to be of length one.", n),
-        )
-        .otherwise(f"Object '{name}' was present and was of length one.")
-    )
+    says = {k: m.format(name=name) for k, m in PRESENCE_MESSAGES.items()}
+    message = F.when(items.isNull(), says["no list"]).when(n == 0, says["empty"])
+    message = message.when(n > 1, F.format_string(says["many"], n)).otherwise(says["one"])
     return status, message
 
 
@@ -224,6 +224,23 @@ def echo(variable: str):
     return run
 
 
+def listed(variable: str):
+    """SUCCESS and every item as an output of its own, named by its place."""
+
+    def run(v):
+        items = v[variable]["items"]
+        places = F.transform(items, lambda _, i: (i + 1).cast("string"))
+        has = F.coalesce(F.size(items), F.lit(0)) > 0
+        return outcome(passed(has), output=F.when(has, list_output(items, identifiers=places)))
+
+    return run
+
+
+def computes(run: Callable, **state: Callable[[Mapping[str, Column]], Column]):
+    """A check whose computed values are variables of later checks that inherit state."""
+    return lambda v: (run(v), {name: value(v) for name, value in state.items()})
+
+
 def echo_system(field_name: str):
     """Echo of a system-metadata field; FAILURE with ``NA`` when there is no system metadata."""
 
@@ -278,16 +295,21 @@ def _plain(value):
     return value[_PLAIN[value["kind"]]] if value["kind"] else None
 
 
-def python_check(fn: Callable):
+def python_check(fn: Callable, state: tuple[str, ...] = ()):
     """A check from a plain function ``fn(**variables)``.
 
+    Values under the names in ``state`` of a returned dict are variables, as
+    texts, of later checks that inherit state.
+
     It may return a dict with ``status``, ``output`` and optional
     ``output_identifiers`` and ``output_type`` lists, where a missing status
     counts as FAILURE; or any other value, which becomes the output and leaves
     the status null. An exception gives ERROR with its message.
     """
 
-    @F.arrow_udf(from_arrow_type(_OUTCOME))
+    kind = pa.struct([*_OUTCOME, ("state", pa.map_(pa.string(), pa.string()))]) if state else _OUTCOME
+
+    @F.arrow_udf(from_arrow_type(kind))
     def run_batch(rows: pa.Array) -> pa.Array:
         def one(row):
             try:
@@ -298,6 +320,7 @@ def python_check(fn: Callable):
                         "output": _as_output(
                             res.get("output"), res.get("output_identifiers"), res.get("output_type")
                         ),
+                        **({"state": [(n, _text(res.get(n))) for n in state]} if state else {}),
                     }
                 if res is None:
                     return {"status": "FAILURE", "output": None}
@@ -305,12 +328,13 @@ def python_check(fn: Callable):
             except Exception as exc:  # a check's failure is its result
                 return {"status": "ERROR", "output": _as_output(str(exc))}
 
-        return pa.array([one(r) for r in rows.to_pylist()], _OUTCOME)
+        return pa.array([one(r) for r in rows.to_pylist()], kind)
 
     names = fn.__code__.co_varnames[: fn.__code__.co_argcount] if hasattr(fn, "__code__") else ()
 
     def run(v):
-        return run_batch(F.struct(*[v[n].alias(n) for n in names]))
+        done = run_batch(F.struct(*[v[n].alias(n) for n in names]))
+        return (done, {n: (lambda c, n=n: c["state"][n]) for n in state}) if state else done
 
     return run
 

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from qualityspark.operators.harvest import coordinating_pattern
 
+# Fixed value: the clause of a collection query that keeps newest versions only.
 HEAD_CLAUSE = r"\s*AND\s*\(-obsoletedBy:\*\s*AND\s*formatType:METADATA\)"
 
 
@@ -43,13 +48,42 @@ def owner_subjects(collections: DataFrame, membership: DataFrame) -> DataFrame:
     return own.unionByName(groups.select("collection_id", F.col("group").alias("subject"))).distinct()
 
 
-def matching(sysmeta: DataFrame, predicates: dict[str, str]) -> DataFrame:
-    """Rows of every collection whose predicate they meet, in one pass over ``sysmeta``.
+@dataclass(frozen=True)
+class Predicate:
+    """A collection's rule: a column that must have one of some values, and SQL for the rest.
 
-    ``predicates`` are SQL texts by collection id, the definitions being configuration.
+    With ``column`` only documents of these values are tried; without, all are.
     """
-    hits = F.array(*[F.when(F.expr(p), F.lit(cid)) for cid, p in predicates.items()])
-    return sysmeta.select("*", F.explode(F.filter(hits, lambda c: c.isNotNull())).alias("collection_id"))
+
+    column: str | None = None
+    values: tuple = ()
+    rest: str = "TRUE"
+
+
+def matching(sysmeta: DataFrame, predicates: Mapping[str, Predicate | str]) -> DataFrame:
+    """Rows of every collection whose predicate they meet.
+
+    ``predicates`` by collection id are configuration; a text stands for a rule
+    without a column. Values are joined by equality, so a document meets the
+    collections that ask for one of its values, not all of them.
+    """
+    rules = {c: Predicate(rest=p) if isinstance(p, str) else p for c, p in predicates.items()}
+    found = []
+    for column in dict.fromkeys(p.column for p in rules.values()):
+        own = {c: p for c, p in rules.items() if p.column == column}
+        # On a hit, only its own collection's rest is evaluated.
+        rest = F.lit(False)
+        for cid, p in own.items():
+            rest = F.when(F.col("collection_id") == cid, F.expr(p.rest)).otherwise(rest)
+        if column is None:
+            asked = sysmeta.select("*", F.explode(F.array(*map(F.lit, own))).alias("collection_id"))
+        else:
+            pairs = [(v, c) for c, p in own.items() for v in p.values]
+            kind = sysmeta.schema[column].dataType
+            values = sysmeta.sparkSession.createDataFrame(pairs, StructType([StructField(column, kind), StructField("collection_id", StringType())]))
+            asked = sysmeta.join(values, column).select(*sysmeta.columns, "collection_id")
+        found.append(asked.filter(rest))
+    return reduce(DataFrame.unionByName, found)
 
 
 def members(matched: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from qualityspark.operators.runs import existing_success
 from qualityspark.session import cut_lineage
 
-# Fixed value: ids of coordinating nodes.
+# Ids of coordinating nodes, and the start of their service URLs.
 COORDINATING = r"^\s*urn:node:(CN|cn).*$"
+SERVICE_URL = r"^\s*https*://cn.*?\."
 
 
 def format_matches(format_id: Column, patterns: Column | str) -> Column:
@@ -26,7 +27,7 @@ def coordinating_pattern(domain: str | None = None) -> str:
     """Pattern of coordinating node ids, and of service URLs under ``domain``."""
     if domain is None:
         return COORDINATING
-    return COORDINATING + r"|^\s*https*://cn.*?\." + re.escape(domain) + ".*$"
+    return f"{COORDINATING}|{SERVICE_URL}{re.escape(domain)}.*$"
 
 
 def is_coordinating(node: Column, domain: str | None = None) -> Column:
@@ -152,11 +153,16 @@ def harvest_tasks(
         marks.select("task_name", "node_id", "last_harvest_datetime"), ["task_name", "node_id"], "left"
     )
     since = F.least(F.coalesce("last_harvest_datetime", F.to_timestamp("start_datetime")), now)
+    # The task table is configuration. Its patterns are matched once for each format, not for each document.
+    filters = [r[0] for r in wanted.filter("format_filter IS NOT NULL").select("format_filter").distinct().collect()]
+    fits = F.array(*[F.when(format_matches(F.col("format_id"), f), F.lit(f)) for f in filters]).cast("array<string>")
+    formats = sysmeta.select("format_id").distinct().select("format_id", F.explode(fits).alias("format_filter"))
+    formats = formats.filter("format_filter IS NOT NULL")
     ok = existing_success(runs).select(F.col("metadata_id").alias("pid"), "suite_id")
     return (
         sysmeta.join(cut_lineage(spans), "node_id")
         .filter((F.col("modified") >= since) & (F.col("modified") <= now))
-        .filter(format_matches(F.col("format_id"), F.col("format_filter")))
+        .join(cut_lineage(formats), ["format_id", "format_filter"], "left_semi")
         .select("task_name", "suite_id", "node_id", "pid", "modified")
         .join(ok, ["pid", "suite_id"], "left_anti")
     )

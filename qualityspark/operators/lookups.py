@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from qualityspark.functions import scalars as S
 
 
+NO_SYSMETA = "system metadata not found"
+
+
 def with_sysmeta(docs: DataFrame, sysmeta: DataFrame) -> DataFrame:
-    """Documents joined to their system metadata, kept as one struct."""
-    packed = sysmeta.select(
-        F.col("identifier").alias("pid"), F.struct(*[F.col(c) for c in sysmeta.columns]).alias("sysmeta")
-    )
-    return docs.join(packed, "pid")
+    """Documents with their system metadata as one struct.
+
+    A document whose metadata is missing stays, with the reason in
+    ``sysmeta_error``; a suite run over it is a failed run. So does one whose
+    metadata could not be read (``error`` of ``system_metadata``).
+    """
+    fields = [F.col(c) for c in sysmeta.columns if c != "error"]
+    reason = F.col("error") if "error" in sysmeta.columns else F.lit(None).cast("string")
+    packed = sysmeta.select(F.col("identifier").alias("pid"), F.struct(*fields).alias("sysmeta"), reason.alias("_reason"))
+    joined = docs.join(packed, "pid", "left")
+    missing = F.when(F.col("sysmeta").isNull(), NO_SYSMETA)
+    return joined.withColumn("sysmeta_error", F.coalesce("_reason", missing)).drop("_reason")
 
 
 def data_objects(docs: DataFrame, objects: DataFrame) -> DataFrame:
@@ -38,18 +48,16 @@ def group_lookup(rights_holders: DataFrame, membership: DataFrame, people: DataF
     that is neither gives nothing. ``membership(subject, group)``;
     ``people(subject)`` lists persons, and is taken from ``membership`` if absent.
     """
-    persons = (people if people is not None else membership).select("subject").distinct()
-    of_person = rights_holders.join(membership, F.col("rights_holder") == F.col("subject")).select(
-        *rights_holders.columns, "group"
-    )
-    groups = membership.select(F.col("group").alias("rights_holder")).distinct()
-    themselves = (
-        rights_holders.join(persons.withColumnRenamed("subject", "rights_holder"), "rights_holder", "left_anti")
-        .join(groups, "rights_holder", "left_semi")
-        .withColumn("group", F.col("rights_holder"))
-        .select(*rights_holders.columns, "group")
-    )
-    return of_person.unionByName(themselves)
+    entry = lambda subject, group, person: F.struct(subject.alias("subject"), group.alias("group"), F.lit(person).alias("person"))
+    member, group = F.col("subject"), F.col("group")
+    known = membership.select(F.inline(F.array(entry(member, group, True), entry(group, group, False))))
+    if people is not None:
+        known = known.unionByName(people.select("subject", F.lit(None).cast("string").alias("group"), F.lit(True).alias("person")))
+    # One row per subject: a person's groups, or the group itself if it is no person.
+    subjects = known.groupBy("subject").agg(F.collect_set(F.struct("person", "group")).alias("_all"), F.bool_or("person").alias("_person"))
+    own = F.filter("_all", lambda g: (g["person"] == F.col("_person")) & g["group"].isNotNull())
+    subjects = subjects.select(F.col("subject").alias("rights_holder"), F.transform(own, lambda g: g["group"]).alias("_groups"))
+    return rights_holders.join(subjects, "rights_holder").select(*rights_holders.columns, F.explode("_groups").alias("group"))
 
 
 def award_lookup(docs: DataFrame, awards: DataFrame) -> DataFrame:
@@ -57,17 +65,15 @@ def award_lookup(docs: DataFrame, awards: DataFrame) -> DataFrame:
 
     ``docs(pid, awards)`` with a null list is FAILURE with output ``NA``.
     """
-    named = docs.select("pid", F.posexplode_outer("awards").alias("position", "award"), F.col("awards").isNull().alias("_none"))
-    keyed = named.withColumn("id", S.award_key(F.col("award")))
+    missing = docs.filter("awards IS NULL").select(
+        "pid", F.lit(0).alias("position"), F.lit("FAILURE").alias("status"), F.lit("NA").alias("output")
+    )
+    # Documents without awards never reach the join, in which they would be one key.
+    named = docs.select("pid", F.posexplode("awards").alias("position", "award")).filter("award IS NOT NULL")
     title = F.format_string("%s (%s %s)", "title", "agency", "id")
-    joined = keyed.join(awards, "id", "left").filter("_none OR title IS NOT NULL")
+    joined = named.withColumn("id", S.award_key(F.col("award"))).join(awards, "id")
     fields = F.array(title, "title", "agency", "id", "fund_program_name", "primary_program")
-    return joined.select(
-        "pid",
-        "position",
-        F.when(F.col("_none"), "FAILURE").otherwise("SUCCESS").alias("status"),
-        F.explode(F.when(F.col("_none"), F.array(F.lit("NA"))).otherwise(fields)).alias("output"),
-    )
+    return joined.select("pid", "position", F.lit("SUCCESS").alias("status"), F.explode(fields).alias("output")).unionByName(missing)
 
 
 def extension_of(files: DataFrame, media_types: DataFrame) -> DataFrame:
@@ -105,10 +111,11 @@ def with_path(files: DataFrame, media_types: DataFrame) -> DataFrame:
 
 def fetch_with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Body from the first source, or from the second where the first has none."""
-    left = primary.select("pid", F.col("body").alias("_first"))
-    right = fallback.select("pid", F.col("body").alias("_second"))
-    return left.join(right, "pid", "full").select(
-        "pid",
-        F.coalesce("_first", "_second").alias("body"),
-        F.when(F.col("_first").isNotNull(), "primary").when(F.col("_second").isNotNull(), "fallback").alias("source"),
-    )
+    has = primary.filter("body IS NOT NULL")
+    first = has.select("pid", "body", F.lit("primary").alias("source"))
+    # Only keys of the first source move; its bodies stay where they are read.
+    second = fallback.join(has.select("pid"), "pid", "left_anti")
+    second = second.select("pid", "body", F.when(F.col("body").isNotNull(), "fallback").alias("source"))
+    neither = primary.filter("body IS NULL").select("pid").join(fallback.select("pid"), "pid", "left_anti")
+    nothing = F.lit(None).cast("string")
+    return first.unionByName(second).unionByName(neither.select("pid", nothing.alias("body"), nothing.alias("source")))

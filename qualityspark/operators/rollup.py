@@ -44,6 +44,12 @@ def latest_versions(scores: DataFrame, by: list[str] | None = None) -> DataFrame
     return joined.filter("date_uploaded = _newest").drop("_newest")
 
 
+def in_order(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows as a series reads them: by month, sequence and date, ids last for a total order."""
+    ids = [c for c in ("metadata_id", "pid") if c in scores.columns]
+    return scores.orderBy(*(by or []), "ym", "sequence_id", "date_uploaded", *ids)
+
+
 def monthly_means(scores: DataFrame, by: list[str] | None = None, metrics: list[str] | None = None) -> DataFrame:
     """Mean of each metric over the latest versions of every month.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qualityspark.functions import scalars as S
+from qualityspark.sinks.writers import read_run_xml
 
 # The four score types of the wide score row.
 SCORE_TYPES = ["Findable", "Accessible", "Interoperable", "Reusable"]
@@ -52,44 +53,48 @@ def _with_overall(counted: DataFrame, nan_to_null: bool) -> DataFrame:
 
 
 def score_arrays(runs: DataFrame, results: str = "results", nan_to_null: bool = False) -> DataFrame:
-    """The same counters from the results array of each run: row by row, without a shuffle."""
+    """The same counters from the results array of each run: one fold over it, without a shuffle."""
+    tests = {
+        **{name: (lambda r, name=name: _tests(r.status, r.level)[name]) for name in ("checks_passed", "checks_warned", "checks_failed", "checks_errored")},
+        "_skip": lambda r: r.status == "SKIP",
+        "_info": lambda r: r.level == "INFO",
+        "_other": lambda r: ~(r.level == "METADATA") | r.level.isNull(),
+        "_blocking": lambda r: _blocking(r.status, r.level),
+    }
+    counted = _fold(runs, results, tests).withColumns(
+        {"checks_info": F.col("_n._skip") + F.col("_n._info"), "check_count": F.col("_n._other"), "_blocking": F.col("_n._blocking")}
+    )
+    order = ["checks_passed", "checks_warned", "checks_failed", "checks_errored"]
+    counted = counted.withColumns({name: F.col(f"_n.{name}") for name in order})
+    counted = counted.select(*runs.columns, *order, "checks_info", "check_count", "_blocking")
+    return _with_overall(counted, nan_to_null).drop("_blocking")
 
-    def n(test) -> Column:
-        return F.size(F.filter(F.col(results), lambda r: F.coalesce(test(r), F.lit(False)))).cast("bigint")
 
-    names = ["checks_passed", "checks_warned", "checks_failed", "checks_errored"]
-    counters = {name: n(_test_named(name)) for name in names}
-    counters["checks_info"] = n(lambda r: r.status == "SKIP") + n(lambda r: r.level == "INFO")
-    counters["check_count"] = F.size(results).cast("bigint") - n(lambda r: r.level == "METADATA")
-    counters["_blocking"] = n(lambda r: _blocking(r.status, r.level))
-    return _with_overall(runs.withColumns(counters), nan_to_null).drop("_blocking")
+def _fold(runs: DataFrame, results: str, tests: dict) -> DataFrame:
+    """Add ``_n``, a struct that counts the results meeting each test in one pass over the array."""
+    one = lambda test, r: F.coalesce(test(r), F.lit(False)).cast("bigint")
+    start = F.struct(*[F.lit(0).cast("bigint").alias(name) for name in tests])
+    step = lambda n, r: F.struct(*[(n[name] + one(test, r)).alias(name) for name, test in tests.items()])
+    return runs.withColumn("_n", F.aggregate(results, start, step))
 
 
-def _test_named(name: str):
-    return lambda r: _tests(r.status, r.level)[name]
+def score_run_xml(runs: DataFrame, body: str = "run_xml") -> DataFrame:
+    """The same counters from run documents, each parsed once."""
+    read = F.transform(read_run_xml(F.col(body))["result"], lambda r: F.struct(r.status.alias("status"), r.check.level.alias("level")))
+    return score_arrays(runs.withColumn("_results", read), "_results").drop("_results")
 
 
-def score_run_xml(runs: DataFrame, body: str = "run_xml") -> DataFrame:
-    """The same counters, read by XPath from run documents."""
-    scored = "check/level[text() != 'INFO' and text() != 'METADATA']"
-
-    def n(expr: str) -> Column:
-        return F.xpath_long(F.col(body), F.lit(expr))
-
-    def having(level: str, status: str) -> str:
-        return f"//result[check/level[text() = '{level}']]/status[text() = '{status}']"
-
-    counted = runs.select(
-        "*",
-        n(f"count(//result[{scored}]/status[text() = 'SUCCESS'])").alias("checks_passed"),
-        n(f"count({having('OPTIONAL', 'FAILURE')})").alias("checks_warned"),
-        n(f"count({having('REQUIRED', 'FAILURE')})").alias("checks_failed"),
-        n("count(//result/status[text() = 'ERROR'])").alias("checks_errored"),
-        n("count(//result/status[text() = 'SKIP'] | //result[check/level[text() = 'INFO']])").alias("checks_info"),
-        n("count(//result) - count(//result[check/level[text() = 'METADATA']])").alias("check_count"),
-        n(f"count({having('REQUIRED', 'ERROR')} | {having('REQUIRED', 'FAILURE')})").alias("_blocking"),
-    )
-    return _with_overall(counted, False).drop("_blocking")
+def type_scores(runs: DataFrame, results: str = "results", types: list[str] | None = None) -> DataFrame:
+    """Add a score per type from the results array; null where the run has no check of it."""
+    types = types or SCORE_TYPES
+    tests = {}
+    for i, t in enumerate(types):
+        tests[f"c{i}"] = lambda r, t=t: r.type == t
+        tests[f"n{i}"] = lambda r, t=t: (r.type == t) & (r.status == "SUCCESS") & _scored(r.level)
+        tests[f"b{i}"] = lambda r, t=t: (r.type == t) & _blocking(r.status, r.level)
+    n = F.col("_n")
+    scored = {f"score_{t.lower()}": F.when(n[f"c{i}"] > 0, _type_score(n[f"n{i}"], n[f"b{i}"])) for i, t in enumerate(types)}
+    return _fold(runs, results, tests).withColumns(scored).drop("_n")
 
 
 def score_by_type(results: DataFrame, by: str = "run_id") -> DataFrame:
@@ -164,16 +169,28 @@ def echoed_values(results: Column, marker: str) -> Column:
 
 
 def score_rows(runs: DataFrame) -> DataFrame:
-    """Index row of each run: ids, times, node, multi-valued fields, counters."""
-    scored = score_arrays(runs)
+    """Index row of each run: ids, times, node, multi-valued fields, counters, scores by type.
+
+    ``runs`` has ``run_id, pid, suite_id, results, sysmeta`` and may have ``ts``,
+    ``sequence_id`` and ``groups`` (list of group subjects), which are null if it
+    has not.
+    """
+    scored = type_scores(score_arrays(runs))
     meta = F.col("sysmeta")
+    fields = runs.schema["sysmeta"].dataType.names
+    given = lambda name, kind: (F.col(name) if name in runs.columns else F.lit(None).cast(kind)).alias(name)
+    series = meta["series_id"] if "series_id" in fields else F.lit(None).cast("string")
     return scored.select(
         "run_id",
         F.col("pid").alias("metadata_id"),
         "suite_id",
+        given("ts", "timestamp"),
+        given("sequence_id", "string"),
+        series.alias("series_id"),
         meta["format_id"].alias("metadata_format_id"),
         S.normalize_space(meta["origin_member_node"]).alias("datasource"),
         S.normalize_space(meta["rights_holder"]).alias("rights_holder"),
+        given("groups", "array<string>"),
         meta["date_uploaded"].alias("date_uploaded"),
         meta["obsoletes"].alias("obsoletes"),
         meta["obsoleted_by"].alias("obsoleted_by"),
@@ -181,19 +198,27 @@ def score_rows(runs: DataFrame) -> DataFrame:
         echoed_values(F.col("results"), "check.lookup.award.").alias("funder_info"),
         *["checks_passed", "checks_warned", "checks_failed", "checks_errored", "checks_info", "check_count"],
         "score_overall",
+        *[f"score_{t.lower()}" for t in SCORE_TYPES],
     )
 
 
+def corpus_results(results: DataFrame, chosen: DataFrame, by: list[str]) -> DataFrame:
+    """Results over the documents a query selects (``pid``): counts and successes per group."""
+    of_chosen = results.join(chosen.select("pid"), "pid", "left_semi")
+    return of_chosen.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "SUCCESS").alias("n_success"))
+
+
 # Proportions ------------------------------------------------------------------
 
 
 def proportions(results: DataFrame, keys: list[str]) -> DataFrame:
     """Share of all rows per group.
 
-    The total is one scalar over the grouped counts, so no task sees all groups.
+    The total is a sum over the grouped counts, whose exchange both use: results
+    are read once, and no task sees all groups.
     """
     counts = results.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    total = results.agg(F.count(F.lit(1))).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.select(*keys, "n", (F.col("n") / total).alias("proportion"))
 
 
@@ -246,9 +271,13 @@ def runs_with_status(scores: DataFrame, errored: bool) -> DataFrame:
     return scores.filter(F.col("checks_errored") >= 1 if errored else F.col("checks_errored") == 0)
 
 
-def fold_statuses(results: DataFrame, by: str) -> DataFrame:
-    """Fold of helper statuses: one FAILURE sticks."""
+def fold_statuses(results: DataFrame, by: str, order: str = "check_no", message: str = "message") -> DataFrame:
+    """Fold of helper statuses: one FAILURE sticks, and messages append in order.
+
+    A run has as many rows as its suite has checks, so its list stays small.
+    """
+    rows = F.sort_array(F.collect_list(F.struct(order, message)))
     return results.groupBy(by).agg(
         F.when(F.bool_and(F.col("status") != "FAILURE"), "SUCCESS").otherwise("FAILURE").alias("status"),
-        F.count(F.lit(1)).alias("n"),
+        F.transform(rows, lambda r: r[message]).alias("messages"),
     )

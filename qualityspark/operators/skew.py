@@ -6,33 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_in_order(
-    df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "row_number", unit: str = "second"
-) -> DataFrame:
-    """``row_number`` per key in (ts, tie) order, with hot keys split over time units.
-
-    Rows are numbered inside (key, unit); the counts of earlier units, summed
-    over a table of one row per (key, unit), give the offset. The numbering
-    window and the offset join share one partitioning, so rows move once. Key
-    and unit are one struct, which is never null and so joins null keys too.
+def number_in_order(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "row_number") -> DataFrame:
+    """``row_number`` per key in (ts, tie) order, with hot keys split over days and seconds.
+
+    Rows are numbered inside (key, second). Offsets are the counts of a key's
+    earlier days and of a day's earlier seconds, so no task sees more than a
+    key's days, a day's seconds, or a second's rows. Key and unit are one struct,
+    which is never null and so joins null keys too.
     """
-    units = df.withColumn("_part", F.struct(*keys, F.date_trunc(unit, F.col(ts)).alias("_unit")))
-    before = (
-        Window.partitionBy(*[F.col("_part")[k] for k in keys])
-        .orderBy(F.col("_part")["_unit"])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        units.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    )
-    local = units.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(ts, tie)))
-    return (
-        local.join(offsets, "_part")
-        .withColumn(out, F.col("_rn") + F.col("_offset"))
-        .drop("_part", "_rn", "_offset")
-    )
+    at = F.col(ts)
+    parts = df.withColumn("_part", F.struct(*keys, F.date_trunc("day", at).alias("_day"), F.date_trunc("second", at).alias("_second")))
+    part = F.col("_part")
+    key = [part[k] for k in keys]
+
+    def earlier(by: list[Column], order: str) -> Column:
+        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(before), F.lit(0))
+
+    seconds = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    within = seconds.withColumn("_within", earlier([*key, part["_day"]], "_part._second")).withColumn("_days", F.struct(*key, part["_day"]))
+    days = within.groupBy("_days").agg(F.sum("_n").alias("_n"))
+    day = F.col("_days")
+    days = days.select("_days", earlier([day.getField(n) for n in _names(days.schema["_days"].dataType)[:-1]], f"_days.{_names(days.schema['_days'].dataType)[-1]}").alias("_before"))
+    offsets = within.join(days, "_days").select("_part", (F.col("_within") + F.col("_before")).alias("_offset"))
+    local = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(ts, tie)))
+    return local.join(offsets, "_part").withColumn(out, F.col("_rn") + F.col("_offset")).drop("_part", "_rn", "_offset")
+
+
+def _names(kind) -> list[str]:
+    return kind.names
 
 
 def join_latest(df: DataFrame, latest: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

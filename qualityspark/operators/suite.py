@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qualityspark.functions.extract import DocumentReader, Selector, is_json_format, json_steps, json_texts, with_values
+from qualityspark.functions.extract import DocumentReader, Selector, is_json_format, json_query, json_texts, with_values
 from qualityspark.functions.scalars import iso_millis
 from qualityspark.operators.checks import OUTPUT_TYPE, Check, CheckRef, Registry, Suite, outcome
 
@@ -21,6 +21,10 @@ RESULT_TYPE = (
     f"status:string,output:{OUTPUT_TYPE}>>"
 )
 SCHEMA_ORG = "https://schema.org/"
+# Outputs of checks that are not run, and of a data suite without data.
+MISSING_MESSAGE = "Could not locate referenced check in store: "
+DIALECT_MESSAGE = "Dialect for this check is not supported"
+NO_DATA_MESSAGE = "Could not retrieve data objects."
 
 
 def resolve(suite: Suite, registry: Registry) -> list[tuple[CheckRef, Check | None]]:
@@ -66,8 +70,9 @@ def run_suite(
     """Run ``suite`` over ``docs(pid, format_id, body)``.
 
     Optional columns of ``docs``: ``sysmeta`` (struct) for the system-metadata
-    variables, and ``n_data`` for suites whose id starts with ``data-suite``,
-    which fail on documents without data objects. Returns ``pid, suite_id,
+    variables, ``data_pids`` (list), and ``n_data`` for suites whose id starts with ``data-suite``,
+    which fail on documents without data objects, and ``sysmeta_error``, which
+    makes a run fail with that reason. Returns ``pid, suite_id,
     run_status, error_description, results``, and keeps ``sysmeta``.
     """
     steps = resolve(suite, registry)
@@ -122,8 +127,9 @@ def run_suite(
             "authoritativeMemberNode": system["authoritative_member_node"],
             "systemMetadataPid": system["identifier"],
         }
-    if "n_data" in docs.columns:
-        base["n_data"] = F.col("n_data")
+    for name, column in (("n_data", "n_data"), ("dataPids", "data_pids")):
+        if column in docs.columns:
+            base[name] = F.col(column)
 
     # Outcomes are staged columns: they are used twice below, and Python checks
     # run only as columns of their own. Checks that inherit state need the
@@ -131,7 +137,7 @@ def run_suite(
     results, carried, pending = [], {}, {}
     for position, (ref, check) in enumerate(steps):
         if check is None:
-            missing = outcome(F.lit("SKIP"), F.lit(f"Could not locate referenced check in store: {ref.check_id}"))
+            missing = outcome(F.lit("SKIP"), F.lit(MISSING_MESSAGE + ref.check_id))
             results.append(_result(position, ref.check_id, None, ref.type, ref.level, missing))
             continue
         inherits = check.inherit_state and carried
@@ -142,18 +148,34 @@ def run_suite(
         unread = [refused[s] for s in check.selectors if s in refused]
         # One selector that cannot be read is an error of its check, not of the suite.
         done = outcome(F.lit("ERROR"), F.lit("; ".join(unread))) if unread else check.run(variables)
+        done, state = done if isinstance(done, tuple) else (done, {})
         if check.dialects is not None:
-            skip = outcome(F.lit("SKIP"), F.lit("Dialect for this check is not supported"))
+            skip = outcome(F.lit("SKIP"), F.lit(DIALECT_MESSAGE))
+            if state and any(callable(s) for s in state.values()):
+                skip = skip.withField("state", F.lit(None).cast("map<string,string>"))
             done = F.when(F.col(f"a{position}"), done).otherwise(skip)
+        own_outcome = F.col(f"c{position}")
         pending[f"c{position}"] = done
-        carried = {**variables, "previous_status": F.col(f"c{position}")["status"]}
+        # What a check computes is a variable of the checks after it: a column of the
+        # variables, staged here, or a function of the staged outcome.
+        computed = {}
+        for name, value in state.items():
+            if callable(value):
+                computed[name] = value(own_outcome)
+            else:
+                pending[f"s{position}_{name}"] = value
+                computed[name] = F.col(f"s{position}_{name}")
+        carried = {**variables, **computed, "previous_status": own_outcome["status"]}
         results.append(_result(position, check.id, check.name, check.type, check.level, F.col(f"c{position}")))
     staged = staged.withColumns(pending)
 
-    failed = F.when(~F.coalesce(F.col("_ok"), F.lit(False)), F.coalesce(reader.error, F.lit("document cannot be parsed")))
+    if "sysmeta_error" in docs.columns:
+        staged = staged.withColumn("_ok", F.col("_ok") & F.col("sysmeta_error").isNull())
+    reason = F.col("sysmeta_error") if "sysmeta_error" in docs.columns else F.lit(None).cast("string")
+    failed = F.when(~F.coalesce(F.col("_ok"), F.lit(False)), F.coalesce(reason, reader.error, F.lit("document cannot be parsed")))
     if suite.id.startswith("data-suite") and "n_data" in docs.columns:
         no_data = F.coalesce(F.col("n_data"), F.lit(0)) == 0
-        failed = F.coalesce(failed, F.when(no_data, F.lit("Could not retrieve data objects.")))
+        failed = F.coalesce(failed, F.when(no_data, F.lit(NO_DATA_MESSAGE)))
     keep = ["sysmeta"] if has_system else []
     return staged.select(
         "pid",
@@ -171,7 +193,7 @@ def _refused(selector: Selector, bound: Selector, reader: DocumentReader) -> str
         return reader.refused[bound]
     if selector.json_path is not None:
         try:
-            json_steps(selector.json_path)
+            json_query(selector.json_path)
         except ValueError as exc:
             return str(exc)
     return None
@@ -237,21 +259,23 @@ def resolve_references(suites: DataFrame, checks: DataFrame) -> DataFrame:
         F.when(F.col("_found").isNull(), "SKIP").alias("status"),
         F.when(
             F.col("_found").isNull(),
-            F.concat(F.lit("Could not locate referenced check in store: "), F.col("check_id").cast("string")),
+            F.concat(F.lit(MISSING_MESSAGE), F.col("check_id").cast("string")),
         ).alias("output"),
     )
 
 
+#: No white space, and a slash or a dot somewhere.
+PATH_LIKE = r"^\S*[/\\.]\S*$"
+
+
 def encode_file_outputs(results: DataFrame, files: DataFrame) -> DataFrame:
     """Outputs that name a file become the base64 text of its bytes.
 
     ``results`` holds one output per row in ``value``; ``files(path, content)``
-    is a binary file scan.
+    is a binary file scan. Only values that can be a path meet the files, so a
+    message that very many results share is no join key.
     """
+    can_be = F.coalesce(F.col("value").rlike(PATH_LIKE), F.lit(False))
     named = files.select(F.col("path").alias("value"), F.base64("content").alias("_encoded"))
-    return (
-        results.join(named, "value", "left")
-        .withColumn("value", F.coalesce("_encoded", "value"))
-        .drop("_encoded")
-    )
-
+    encoded = results.filter(can_be).join(named, "value", "left").withColumn("value", F.coalesce("_encoded", "value"))
+    return encoded.select(*results.columns).unionByName(results.filter(~can_be))

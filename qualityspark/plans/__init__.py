@@ -48,6 +48,7 @@ def load() -> None:
     from qualityspark.plans import (  # noqa: F401
         collections,
         documents,
+        files,
         harvest,
         lookups,
         scoring,

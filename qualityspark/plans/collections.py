@@ -25,6 +25,11 @@ _PREDICATES = {
     "urgent": "priority = '1-URGENT' OR priority = '2-HIGH'",
     "open": "status = 'O' AND size < 100000",
 }
+_RULES = {
+    "big": "size > 250000",
+    "urgent": O.Predicate("priority", ("1-URGENT", "2-HIGH")),
+    "open": O.Predicate("status", ("O",), "size < 100000"),
+}
 _OWNERS = {"big": "g-BUILDING", "urgent": "c17", "open": "g-MACHINERY"}
 _DOCS_CTE = f"""docs AS (SELECT {', '.join(_DOCS)}, CASE WHEN o_orderstatus = 'F' THEN ['public'] ELSE ['g-' || c_mktsegment] END AS read_subjects
     FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -57,7 +62,7 @@ def _collections(t):
 def _members(t):
     current = O.current_collections(_collections(t))
     subjects = O.owner_subjects(current, _membership(t))
-    return O.members(O.matching(_docs(t), _PREDICATES), subjects)
+    return O.members(O.matching(_docs(t), _RULES), subjects)
 
 
 @query("collection_members", _MEMBERS + "SELECT collection_id, pid FROM members")

@@ -9,11 +9,14 @@ from qualityspark import schemas
 from qualityspark.functions import extract as X
 from qualityspark.functions import scalars as S
 from qualityspark.operators import checks as C
+from qualityspark.operators import rollup as U
 from qualityspark.operators import scores as O
+from qualityspark.operators import sequences as Q
 from qualityspark.operators.rosters import FAIR_SUITE
 from qualityspark.operators.suite import explode_results, run_check, run_suite
 from qualityspark.plans import query
-from qualityspark.session import spread
+from qualityspark.plans.series import series_sql
+from qualityspark.session import cut_lineage, scratch_path
 from qualityspark.sinks import writers as W
 from qualityspark.sources import definitions as D
 from qualityspark.sources.documents import readers, routed, system_metadata
@@ -48,7 +51,7 @@ def documents(t) -> DataFrame:
     )
     is_json, is_other, is_broken = F.expr(_IS_JSON), F.expr(_IS_OTHER), F.expr(_IS_BROKEN)
     texts = t("documents")
-    return (texts if texts.isStreaming else spread(texts)).select(
+    return texts.select(
         F.col("doc_id").alias("pid"),
         F.when(is_json, "application/ld+json").otherwise("eml-2.2").alias("format_id"),
         F.when(is_json, as_json)
@@ -69,10 +72,14 @@ def documents(t) -> DataFrame:
     )
 
 
+_LINES = "string_split(text, chr(10))"
 TITLE = X.Selector("title", "/*/dataset/title", ".name")
 ABSTRACT = X.Selector("abstract", "/eml/dataset/abstract", ".description")
 KEYWORDS = X.Selector("keywords", "//dataset/keyword", ".keywords[]")
+TYPED_ABSTRACT = X.Selector("abstract", "/resource/descriptions/description[@descriptionType='Abstract']")
+ATTRIBUTE_NAMES = X.Selector("attributeNames", "//attribute/attributeName", ".attributes[]")
 ENTITIES = X.Selector("entities", "count(//dataset/keyword | //dataset/title)")
+RESOURCE = (C.Dialect("datacite", "boolean(/*[local-name() = 'resource'])"),)
 EML = (
     C.Dialect("eml", "boolean(/*[local-name() = 'eml'])"),
     C.Dialect("schema.org", json_path='.["@context"][0]'),
@@ -185,21 +192,75 @@ def doc_results_grouped(t):
     return explode_results(suite_runs(t)).groupBy("type", "level", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+_CLEAN_TITLE = """CASE WHEN title = '' THEN NULL
+    ELSE regexp_replace(regexp_replace(regexp_replace(title, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), '^ ', ''), ' $', '') END"""
+#: Scores by type of ``SUITE``: what is only informative or skipped scores 0.
+_BY_TYPE = """typed AS (SELECT pid, type, CAST(round_even(CASE WHEN p + b = 0 THEN 0.0 ELSE p / (p + b)::DOUBLE END, 2) AS FLOAT) AS score FROM (
+        SELECT pid, type, count(*) FILTER (WHERE status = 'SUCCESS' AND level NOT IN ('INFO', 'METADATA')) AS p,
+            count(*) FILTER (WHERE status IN ('FAILURE', 'ERROR') AND level = 'REQUIRED') AS b FROM checked WHERE type IS NOT NULL GROUP BY pid, type)),
+    wide AS (SELECT pid, max(score) FILTER (WHERE type = 'Findable') AS score_findable, max(score) FILTER (WHERE type = 'Accessible') AS score_accessible,
+        max(score) FILTER (WHERE type = 'Interoperable') AS score_interoperable, max(score) FILTER (WHERE type = 'Reusable') AS score_reusable
+        FROM typed GROUP BY pid)"""
+_SCORE_NAMES = ["score_findable", "score_accessible", "score_interoperable", "score_reusable"]
+
+
 @query(
     "score_rows",
-    f"""WITH {RESULTS}, counted AS ({_COUNTS}) SELECT c.pid AS metadata_id, lang AS metadata_format_id, source AS datasource,
-        CASE WHEN regexp_replace(title, '[ \\t\\n\\r\\f\\x0B]+', '', 'g') = '' AND title = '' THEN NULL
-             ELSE regexp_replace(regexp_replace(regexp_replace(title, '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), '^ ', ''), ' $', '') END AS funder,
-        checks_passed, score_overall FROM counted c JOIN docs_v d USING (pid)""",
+    f"""WITH {RESULTS}, counted AS ({_COUNTS}), {_BY_TYPE} SELECT c.pid AS metadata_id, lang AS metadata_format_id, source AS datasource,
+        concat('series-', c.pid % 10) AS series_id, concat('seq-', c.pid % 7) AS sequence_id, TIMESTAMP '2024-01-01 00:00:00' AS ts,
+        concat('g-', source) AS group_subject, coalesce({_CLEAN_TITLE}, '') AS funder, concat('A ', lang) AS funder_info,
+        checks_passed, score_overall, {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in _SCORE_NAMES)}
+        FROM counted c JOIN docs_v d USING (pid) JOIN wide USING (pid)""",
 )
 def score_rows(t):
-    runs = suite_runs(t).filter("run_status = 'success'").withColumn("run_id", F.col("pid"))
+    """Index rows with times, ids, groups, all funders, award outputs and scores by type."""
+    meta = F.col("sysmeta").withField("series_id", F.concat(F.lit("series-"), (F.col("pid") % 10).cast("string")))
+    award = C.Check("check.lookup.award.1", lambda v: C.outcome(F.lit("SUCCESS"), F.concat(F.lit("A "), v["sysmeta"]["format_id"])), level="METADATA")
+    registry = C.Registry([*(REGISTRY.get(i) for i in REGISTRY.ids()), award])
+    suite = C.Suite(SUITE.id, (*SUITE.checks, C.CheckRef(award.id)))
+    runs = run_suite(documents(t), suite, registry).filter("run_status = 'success'").withColumns(
+        {
+            "run_id": F.col("pid"),
+            "sysmeta": meta,
+            "ts": F.expr("TIMESTAMP '2024-01-01 00:00:00'"),
+            "sequence_id": F.concat(F.lit("seq-"), (F.col("pid") % 7).cast("string")),
+            "groups": F.array(F.concat(F.lit("g-"), F.col("sysmeta.origin_member_node"))),
+        }
+    )
     rows = O.score_rows(runs)
+    joined = lambda c: F.array_join(c, "|").alias(c)
     return rows.select(
-        "metadata_id", "metadata_format_id", "datasource", F.get("funder", F.lit(0)).alias("funder"), "checks_passed", "score_overall"
+        "metadata_id", "metadata_format_id", "datasource", "series_id", "sequence_id", "ts", F.array_join("groups", "|").alias("group_subject"),
+        joined("funder"), joined("funder_info"), "checks_passed", "score_overall", *[F.col(n).cast("double").alias(n) for n in _SCORE_NAMES],
     )
 
 
+# Versions of documents in threes, uploaded over 700 days; broken documents have no run.
+_DATED = f"""stored AS (SELECT DISTINCT pid, TIMESTAMP '2020-01-01 00:00:00' + to_days(CAST(pid % 700 AS INT)) AS date_uploaded FROM checked),
+    scored AS (SELECT s.pid, date_uploaded, CAST(date_trunc('month', date_uploaded) AS DATE) AS ym,
+        CASE WHEN s.pid % 3 = 0 THEN s.pid WHEN s.pid % 3 = 1 AND s.pid - 1 IN (SELECT pid FROM stored) THEN s.pid - 1
+            WHEN s.pid % 3 = 2 AND s.pid - 1 IN (SELECT pid FROM stored) AND s.pid - 2 IN (SELECT pid FROM stored) THEN s.pid - 2 END AS sequence_id,
+        {', '.join(f'CAST({n} AS DOUBLE) * 100.0 AS {k}' for k, n in zip('fair', _SCORE_NAMES))} FROM stored s JOIN wide USING (pid)),
+    latest AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY ym, sequence_id ORDER BY date_uploaded DESC) AS rk FROM scored) WHERE rk = 1)"""
+
+
+@query(
+    "report_from_documents",
+    f"WITH {RESULTS}, {_BY_TYPE}, {_DATED}" + series_sql() + " SELECT ym, metric, round(mean, 6) AS mean FROM long",
+)
+def report_from_documents(t):
+    """One path from documents to a report: runs, sequences, scores, monthly and cumulative means."""
+    uploaded = F.expr("TIMESTAMP '2020-01-01 00:00:00'") + F.make_dt_interval(days=(F.col("pid") % 700).cast("int"))
+    obsoletes = F.when(F.col("pid") % 3 != 0, F.col("pid") - 1)
+    meta = F.col("sysmeta").withField("date_uploaded", uploaded).withField("obsoletes", obsoletes.cast("string"))
+    runs = run_suite(documents(t).withColumn("sysmeta", meta), SUITE, REGISTRY).filter("run_status = 'success'").withColumn("run_id", F.col("pid"))
+    rows = cut_lineage(O.score_rows(runs).drop("sequence_id"))
+    stored = rows.selectExpr("suite_id", "metadata_id AS pid", "CAST(obsoletes AS BIGINT) AS obsoletes", "CAST(NULL AS BIGINT) AS obsoleted_by", "CAST(NULL AS BIGINT) AS sequence_id")
+    ids = Q.assign_sequence(stored).selectExpr("suite_id", "pid AS metadata_id", "sequence_id")
+    report = U.collection_report(rows.join(ids, ["suite_id", "metadata_id"]))
+    return report.select("ym", "metric", F.round("mean", 6).alias("mean")).orderBy("ym", "metric")
+
+
 @query("score_from_run_xml", f"WITH {RESULTS} {_COUNTS}")
 def score_from_run_xml(t):
     """Runs written as XML and counted by XPath."""
@@ -356,6 +417,81 @@ def inherited_state(t):
     return explode_results(runs).filter("check_id = 'second'").select("pid", "status")
 
 
+def _per_line(words, n_lines):
+    return {"status": "SUCCESS", "output": words, "ratio": float(words) / float(n_lines)}
+
+
+def _judged(v):
+    return C.outcome(C.passed(F.round(v["ratio"].cast("double") * v["n_lines"]) == v["words"]), v["ratio"])
+
+
+@query(
+    "computed_state",
+    f"""SELECT pid, len(string_split(abstract, ' ')) AS words, len(keywords) AS n_lines, 'SUCCESS' AS status,
+        CAST(len(string_split(abstract, ' ')) AS DOUBLE) / len(keywords) AS ratio FROM docs_v WHERE NOT is_json AND NOT is_broken AND NOT is_other""".replace("SELECT", f"WITH {DOCS} SELECT", 1),
+)
+def computed_state(t):
+    """What a Column check and a Python check compute is seen by the checks after them."""
+    text = lambda v: F.element_at(v["abstract"]["items"], 1)
+    counted = C.computes(
+        lambda v: C.outcome(F.lit("SUCCESS")), words=lambda v: F.size(F.split(text(v), " ")), n_lines=lambda v: F.size(v["keywords"]["items"])
+    )
+    registry = C.Registry(
+        [
+            C.Check("1.count", counted, selectors=(ABSTRACT, KEYWORDS)),
+            C.Check("2.divide", C.python_check(_per_line, state=("ratio",)), inherit_state=True),
+            C.Check("3.judge", _judged, inherit_state=True),
+            C.Check("4.words", lambda v: C.outcome(C.passed(v["words"] > 0), F.concat_ws(" ", v["words"], v["n_lines"])), inherit_state=True),
+        ]
+    )
+    suite = C.Suite("state", tuple(C.CheckRef(i) for i in registry.ids()))
+    docs = documents(t).filter(f"NOT ({_IS_OTHER})".replace("lang", "sysmeta.format_id"))
+    runs = run_suite(docs.filter(~X.is_json_format(F.col("format_id"))), suite, registry).filter("run_status = 'success'")
+    said = lambda i: F.col("results")[i]["output"][0]["value"]
+    return runs.select(
+        "pid",
+        F.split(said(3), " ")[0].cast("bigint").alias("words"),
+        F.split(said(3), " ")[1].cast("bigint").alias("n_lines"),
+        F.col("results")[2]["status"].alias("status"),
+        said(2).cast("double").alias("ratio"),
+    )
+
+
+@query(
+    "document_variables",
+    """SELECT doc_id AS pid, CASE WHEN length(text) > 5 AND list_contains(['p-' || doc_id, 'q'], 'p-' || doc_id) AND lang = 'en' THEN 'SUCCESS' ELSE 'FAILURE' END AS status,
+        md5(regexp_replace(text, '[<>&]', ' ', 'g')) || ' 2020-01-02T03:04:05.000Z ' || source || ' ' || doc_id || ' 2 ' || lang AS output FROM documents""",
+)
+def document_variables(t):
+    """The whole document, its system metadata, parameters and data objects as variables of a check."""
+
+    def run(v):
+        node = F.concat_ws(" ", F.md5(F.regexp_extract(v["document"], "(?s)^<doc>(.*)</doc>$", 1)), v["dateUploaded"], v["datasource"], v["systemMetadataPid"])
+        ok = (F.length(v["document"]) > 16) & F.array_contains(v["dataPids"], F.concat(F.lit("p-"), v["pid"].cast("string"))) & (v["params"]["lang"] == v["sysmeta"]["format_id"])
+        return C.outcome(C.passed(ok), F.concat_ws(" ", node, F.size(v["dataPids"]), v["sysmeta"]["format_id"]))
+
+    body = F.concat(F.lit("<doc>"), F.regexp_replace("text", "[<>&]", " "), F.lit("</doc>"))
+    meta = F.struct(
+        F.col("doc_id").cast("string").alias("identifier"), F.col("lang").alias("format_id"), F.col("source").alias("origin_member_node"),
+        F.col("source").alias("authoritative_member_node"), F.expr("TIMESTAMP '2020-01-02 03:04:05'").alias("date_uploaded"),
+    )
+    pids = F.array(F.concat(F.lit("p-"), F.col("doc_id")), F.lit("q"))
+    docs = t("documents").select(F.col("doc_id").alias("pid"), F.lit("eml").alias("format_id"), body.alias("body"), meta.alias("sysmeta"), pids.alias("data_pids"))
+    rows = explode_results(run_check(docs, C.Check("variables", run), params={"lang": "en"}))
+    return rows.select("pid", "status", _texts(F.col("output")).alias("output"))
+
+
+@query(
+    "list_outputs",
+    f"WITH {DOCS} SELECT pid, unnest(keywords) AS value, CAST(unnest(range(1, len(keywords) + 1)) AS STRING) AS identifier FROM docs_v WHERE is_json OR NOT is_broken",
+)
+def list_outputs(t):
+    """Every item of a list as an output with its identifier."""
+    check = C.Check("lines", C.listed("keywords"), selectors=(KEYWORDS,))
+    rows = explode_results(run_check(documents(t), check)).select("pid", F.inline("output"))
+    return rows.select("pid", "value", "identifier")
+
+
 @query(
     "echo_checks",
     f"""WITH {DOCS} SELECT pid, check_id, status, output FROM (
@@ -381,33 +517,48 @@ def echo_checks(t):
 
 FAIR_CHECKS = C.Registry(
     [
-        C.Check("resource.abstractLength.sufficient-2.0.0", C.min_words("abstract", 100), selectors=(ABSTRACT,), dialects=EML),
-        C.Check("resource.titleLength.sufficient.1", C.longer_than("title", 40), selectors=(TITLE,)),
-        C.Check("resource.keywords.present-2.1.0", C.any_present("keywords"), selectors=(KEYWORDS,)),
-        C.Check("entity.attributeNames.unique-2.0.0", C.unique_items("keywords"), selectors=(KEYWORDS,)),
+        C.Check("resource.abstractLength.sufficient-2.0.0", C.min_words("abstract", 100), selectors=(TYPED_ABSTRACT,), dialects=RESOURCE),
+        C.Check("resource.titleLength.sufficient.1", C.longer_than("title", 40), selectors=(X.Selector("title", "(//title)[1]"),)),
+        C.Check("resource.keywords.present-2.1.0", C.any_present("keywords"), selectors=(X.Selector("keywords", "//subjects/subject"),)),
+        C.Check("entity.attributeNames.unique-2.0.0", C.unique_items("attributeNames"), selectors=(ATTRIBUTE_NAMES,)),
         C.Check(
             "resource.publicationDate.timeframe-2.0.0",
             C.in_time_frame("published", "2024-01-01"),
-            selectors=(X.Selector("published", "/eml/dataset/pubDate", ".datePublished"),),
+            selectors=(X.Selector("published", "/resource/dates/date[@dateType='Issued']", ".datePublished"),),
         ),
     ]
 )
 
 
+_NAMES = "list_slice(string_split(text, ' '), 1, 20)"
+
+
 @query(
     "suite_roster",
-    f"""WITH {RESULTS}, fair AS (SELECT pid,
-            max(CASE WHEN check_id = 'title.length' THEN status END) AS t, max(CASE WHEN check_id = 'abstract.words' THEN status END) AS a,
-            max(CASE WHEN check_id = 'keywords.unique' THEN status END) AS u FROM checked GROUP BY pid),
-        blank AS (SELECT pid, len(list_filter(keywords, lambda k: regexp_replace(k, '^[ \t\n\r\f\x0B]+', '') <> '')) > 0 AS k FROM docs_v)
-        SELECT pid, CAST(52 AS BIGINT) AS check_count, 47 + CAST(a = 'SKIP' AS BIGINT) + 1 AS checks_info,
-        CAST(t = 'SUCCESS' AS BIGINT) + CAST(a = 'SUCCESS' AS BIGINT) + CAST(u = 'SUCCESS' AS BIGINT) + CAST(k AS BIGINT) AS checks_passed,
-        CAST(1 AS BIGINT) AS checks_warned FROM fair JOIN blank USING (pid)""",
+    f"""SELECT doc_id AS pid, CAST(52 AS BIGINT) AS check_count, CAST(47 AS BIGINT) AS checks_skipped,
+        CAST(length(substring(text, 1, 60)) > 40 AS BIGINT) + CAST(len(string_split_regex(regexp_replace(regexp_replace(text,
+            '^[ \t\n\r\f\x0B]+', ''), '[ \t\n\r\f\x0B]+$', ''), '[ \t\n\r\f\x0B]+')) >= 100 AS BIGINT)
+            + CAST(len(list_filter({_LINES}, lambda k: regexp_replace(k, '^[ \t\n\r\f\x0B]+', '') <> '')) > 0 AS BIGINT)
+            + CAST(len({_NAMES}) = len(list_distinct({_NAMES})) AS BIGINT) + CAST(source <> 'src1' AS BIGINT) AS n_success
+        FROM documents""",
 )
 def suite_roster(t):
-    """The FAIR roster over every document; checks without a registered function are SKIP."""
-    runs = run_suite(documents(t), FAIR_SUITE, FAIR_CHECKS).filter("run_status = 'success'").drop("sysmeta")
-    return O.score_arrays(runs).select("pid", "check_count", "checks_info", "checks_passed", "checks_warned")
+    """The FAIR roster over typed documents with attribute names; checks without a registered function are SKIP."""
+    results = explode_results(run_suite(_resources(t), _roster(t), FAIR_CHECKS))
+    return results.groupBy("pid").agg(
+        F.count(F.lit(1)).alias("check_count"),
+        F.count_if(F.col("status") == "SKIP").alias("checks_skipped"),
+        F.count_if(F.col("status") == "SUCCESS").alias("n_success"),
+    )
+
+
+def _roster(t) -> C.Suite:
+    """The roster, written as a suite definition file and read back."""
+    check = lambda r: F.struct(F.lit(r.check_id).alias("id"), F.lit(r.type).alias("type"), F.lit(r.level).alias("level"))
+    body = F.struct(F.lit(FAIR_SUITE.id).alias("id"), F.lit(FAIR_SUITE.name).alias("name"), F.array(*map(check, FAIR_SUITE.checks)).alias("check"))
+    path = scratch_path(t.spark, "suites")
+    t.spark.range(1).select(F.to_xml(body, {"rowTag": "suite"})).coalesce(1).write.text(path)
+    return D.suite_objects(D.read_suites(t.spark, [path], glob="*.txt"))[0]
 
 
 @query("format_routing", f"WITH {DOCS} SELECT pid, CASE WHEN is_json THEN 'json' ELSE 'xml' END AS dialect FROM docs_v")
@@ -462,7 +613,7 @@ def _prefixed(t) -> DataFrame:
         lines,
         F.lit("</a:part></a:doc>"),
     )
-    return spread(t("documents")).select(F.col("doc_id").alias("pid"), body.alias("body"))
+    return t("documents").select(F.col("doc_id").alias("pid"), body.alias("body"))
 
 
 @query(
@@ -532,15 +683,13 @@ def _resources(t) -> DataFrame:
             F.struct(lines.alias("subject")).alias("subjects"),
             F.struct(F.struct(names.alias("attribute")).alias("attributeList")).alias("dataTable"),
             F.col("n_chars").alias("size"),
+            F.struct(F.struct(F.when(F.col("source") == "src1", "2025-01-01").otherwise("2020-05-17").alias("_VALUE"), F.lit("Issued").alias("_dateType")).alias("date")).alias("dates"),
         ),
         {"rowTag": "resource"},
     )
     return t("documents").select(F.col("doc_id").alias("pid"), F.lit("datacite").alias("format_id"), body.alias("body"))
 
 
-_LINES = "string_split(text, chr(10))"
-TYPED_ABSTRACT = X.Selector("abstract", "/resource/descriptions/description[@descriptionType='Abstract']")
-ATTRIBUTE_NAMES = X.Selector("attributeNames", "//attribute/attributeName", ".attributes[]")
 
 
 @query(
@@ -641,7 +790,7 @@ def subselector_nested(t):
     body = F.to_xml(F.struct(lines.alias("line")), {"rowTag": "doc"})
     words = X.Selector("words", "/doc/line", sub=X.SubSelector("word", "word"))
     reader = X.DocumentReader([words])
-    docs = reader.attach(spread(t("documents")).select(F.col("doc_id").alias("pid"), body.alias("body")))
+    docs = reader.attach(t("documents").select(F.col("doc_id").alias("pid"), body.alias("body")))
     nested = docs.select("pid", reader.nested(words).alias("v"))
     return nested.select(
         "pid",
@@ -696,6 +845,30 @@ def json_lists(t):
     )
 
 
+@query(
+    "json_queries",
+    f"""WITH {DOCS} SELECT pid, len(keywords) AS n_words, list_filter(keywords, lambda k: k <> '')[-1] AS last_full,
+        CASE WHEN title <> '' THEN title ELSE 'none' END AS named, 'fallback' AS missing, CAST(length(title) AS BIGINT) AS n_title,
+        len(list_filter(keywords, lambda k: k = keywords[1])) AS n_first, 1 AS n_object FROM docs_v WHERE is_json""",
+)
+def json_queries(t):
+    """``length``, ``select``, optional steps and alternatives, over the whole documents."""
+    docs = documents(t).filter(X.is_json_format(F.col("format_id")))
+    body, node = F.col("body"), F.try_parse_json("body")
+    one = lambda path, scalars=False: F.get(X.json_texts(body, path, scalars, node), F.lit(0))
+    same = F.filter(X.json_texts(body, ".keywords[]", node=node), lambda k: k == one(".keywords[0]"))
+    return docs.select(
+        "pid",
+        one(".keywords | length", True).cast("bigint").alias("n_words"),
+        F.element_at(X.json_texts(body, '.keywords[] | select(. != "")', node=node), -1).alias("last_full"),
+        F.coalesce(F.nullif(one('.name? // "none"'), F.lit("")), F.lit("none")).alias("named"),
+        one('.nothing[]? | select(.x == 1) // .neither // "fallback"').alias("missing"),
+        one(".name | length", True).cast("bigint").alias("n_title"),
+        F.size(same).cast("bigint").alias("n_first"),
+        F.size(X.json_texts(F.to_json(F.struct(F.struct("pid").alias("a"))), ".a", node=None)).cast("bigint").alias("n_object"),
+    )
+
+
 _RAW = """(SELECT p_partkey, unnest([p_name, CAST(p_size AS STRING), concat('0', p_size), concat(p_size, '.5'),
     CASE WHEN p_size % 2 = 0 THEN 'Yes' ELSE 'OFF' END, concat('-', p_size, 'e2'), p_brand, '', '1.2.3']) AS v FROM part)"""
 
@@ -732,14 +905,58 @@ def schema_valid(t):
     return docs.select("pid", checked.alias("c")).select("pid", "c.status", "c.output")
 
 
-@query("xml_to_json", "SELECT doc_id AS pid, md5(substring(text, 1, 60)) AS title, n_chars FROM documents")
+_XSD = """<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:element name="doc"><xs:complexType><xs:sequence>
+<xs:element name="title" type="xs:string"/><xs:element name="size" type="xs:nonNegativeInteger"/>
+<xs:element name="lang"><xs:simpleType><xs:restriction base="xs:string"><xs:enumeration value="en"/><xs:enumeration value="de"/><xs:enumeration value="es"/>
+</xs:restriction></xs:simpleType></xs:element></xs:sequence></xs:complexType></xs:element></xs:schema>"""
+
+
+@query(
+    "schema_valid_xsd",
+    """SELECT doc_id AS pid, CASE WHEN lang = 'fr' OR source = 'src2' THEN 'FAILURE' ELSE 'SUCCESS' END AS status FROM documents""",
+)
+def schema_valid_xsd(t):
+    """Validity against an XSD that is sent to every task: a value outside of an enumeration, a negative size."""
+    import os
+    import tempfile
+
+    # Only the driver reads this file; executors get it as one of the job's files.
+    folder = tempfile.mkdtemp(prefix="qualityspark-xsd-")
+    path = os.path.join(folder, f"{os.path.basename(folder)}.xsd")
+    with open(path, "w") as file:
+        file.write(_XSD)
+    t.spark.sparkContext.addFile(path)
+    size = F.when(F.col("source") == "src2", -F.col("n_chars") - 1).otherwise(F.col("n_chars"))
+    body = F.to_xml(F.struct(F.col("text").alias("title"), size.alias("size"), F.col("lang").alias("lang")), {"rowTag": "doc"})
+    docs = t("documents").select(F.col("doc_id").alias("pid"), body.alias("body"))
+    checked = X.schema_check(F.col("body"), "title string, size bigint, lang string, _corrupt string", os.path.basename(path))
+    return docs.select("pid", checked.alias("c")).select("pid", "c.status")
+
+
+@query(
+    "xml_to_json",
+    f"SELECT doc_id AS pid, md5(text) AS body, n_chars, len({_LINES}) AS n_lines, lang, source AS other FROM documents",
+)
 def xml_to_json(t):
-    body = F.to_xml(F.struct(F.substring("text", 1, 60).alias("title"), F.col("n_chars").alias("size")), {"rowTag": "doc"})
-    text = W.xml_to_json(body, "title string, size bigint")
-    return t("documents").select(F.col("doc_id").alias("pid"), text.alias("j")).select(
+    """Whole documents, whatever their elements: attributes, repeated elements and those no schema names."""
+    lines = F.split("text", "\n")
+    body = F.to_xml(
+        F.struct(
+            F.col("lang").alias("_lang"),
+            F.struct(F.col("text").alias("title"), F.col("n_chars").alias("size")).alias("head"),
+            F.when(F.size(lines) > 1, lines).alias("line"),
+            F.struct(F.col("source").alias("_VALUE"), F.lit("x").alias("_kind")).alias("other"),
+        ),
+        {"rowTag": "doc"},
+    )
+    at = lambda path: F.get_json_object("j", "$.doc." + path)
+    return t("documents").select(F.col("doc_id").alias("pid"), W.xml_to_json(body).alias("j")).select(
         "pid",
-        F.md5(F.coalesce(F.get_json_object("j", "$.title"), F.lit(""))).alias("title"),
-        F.get_json_object("j", "$.size").cast("bigint").alias("n_chars"),
+        F.md5(F.coalesce(at("head.title"), F.lit(""))).alias("body"),
+        at("head.size").cast("bigint").alias("n_chars"),
+        F.coalesce(F.json_array_length(at("line")), F.lit(1)).cast("bigint").alias("n_lines"),
+        at("_lang").alias("lang"),
+        at("other._VALUE").alias("other"),
     )
 
 
@@ -747,10 +964,12 @@ def xml_to_json(t):
     "sysmeta_scan",
     """SELECT CAST(o_orderkey AS STRING) AS identifier, concat('eml-', o_orderstatus) AS format_id, o_custkey AS size,
         concat('uid=', o_custkey) AS rights_holder, CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderkey - 1 AS STRING) END AS obsoletes,
-        CAST(o_orderdate AS TIMESTAMP) AS date_uploaded, concat('public,uid=', o_custkey) AS readers, 'MD5' AS algorithm FROM orders""",
+        CAST(o_orderdate AS TIMESTAMP) AS date_uploaded, concat('public,uid=', o_custkey) AS readers, 'MD5' AS algorithm,
+        o_orderkey AS pid, NULL AS error FROM orders WHERE o_orderpriority <> '5-LOW'
+        UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, o_orderkey, 'system metadata cannot be read' FROM orders WHERE o_orderpriority = '5-LOW'""",
 )
 def sysmeta_scan(t):
-    """System metadata documents with a prefixed root and a nested access policy."""
+    """System metadata documents with a prefixed root and a nested access policy; unreadable ones keep a row."""
     uid = F.concat(F.lit("uid="), F.col("o_custkey").cast("string"))
     allow = lambda who, *what: F.struct(F.array(who).alias("subject"), F.array(*[F.lit(w) for w in what]).alias("permission"))
     body = F.to_xml(
@@ -770,8 +989,10 @@ def sysmeta_scan(t):
         F.lit('<v2:systemMetadata xmlns:v2="urn:v2">'),
         F.regexp_replace(F.regexp_replace(body, "^<systemMetadata>", ""), "</systemMetadata>$", "</v2:systemMetadata>"),
     )
-    meta = system_metadata(t("orders").select(prefixed.alias("body")))
+    cut_short = F.when(F.col("o_orderpriority") == "5-LOW", F.substr(prefixed, F.lit(1), F.length(prefixed) - 9)).otherwise(prefixed)
+    meta = system_metadata(t("orders").select(F.col("o_orderkey").alias("pid"), cut_short.alias("body")), keep=["pid"])
     return meta.select(
+        "pid", "error",
         "identifier", "format_id", "size", "rights_holder", "obsoletes", "date_uploaded",
         F.array_join(readers(F.col("access")), ",").alias("readers"), F.col("checksum.algorithm").alias("algorithm"),
     )

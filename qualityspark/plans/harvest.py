@@ -29,14 +29,19 @@ _MARKS = f""", marks AS (SELECT node_id, max(modified) AS last_harvest_datetime
 _SQL = with_views("sysmeta_v", "nodes_v", "runs_v").rstrip() + _MARKS
 
 
-def _parts(t):
-    meta = sysmeta(t)
+def _spans(t):
     owners = t("customer").filter("c_mktsegment = 'AUTOMOBILE' AND c_acctbal < -900").selectExpr("c_custkey AS rights_holder")
-    marks = meta.join(owners, "rights_holder").groupBy("node_id").agg(F.max("modified").alias("last_harvest_datetime"))
-    spans = O.windows(O.harvest_nodes(nodes(t)).select("node_id"), marks, F.expr(_START), F.expr(_NOW))
+    marks = sysmeta(t).join(owners, "rights_holder").groupBy("node_id").agg(F.max("modified").alias("last_harvest_datetime"))
+    return O.windows(O.harvest_nodes(nodes(t)).select("node_id"), marks, F.expr(_START), F.expr(_NOW))
+
+
+def _listed(t, spans):
     formats = t("orders").selectExpr("concat('eml-2.', substring(o_orderpriority, 1, 1)) AS format_id").distinct()
-    listed = O.listed(meta, spans, formats, _PATTERNS)
-    return spans, listed, O.candidates(listed, runs(t), "suite-1")
+    return O.listed(sysmeta(t), spans, formats, _PATTERNS)
+
+
+def _chosen(t, listed):
+    return O.candidates(listed, runs(t), "suite-1")
 
 
 @query(
@@ -68,17 +73,17 @@ def node_names(t):
 
 @query("harvest_windows", _SQL + "SELECT node_id, since, until FROM spans")
 def harvest_windows(t):
-    return _parts(t)[0]
+    return _spans(t)
 
 
 @query("harvest_listing", _SQL + "SELECT pid, node_id, format_id, modified FROM listed")
 def harvest_listing(t):
-    return _parts(t)[1].select("pid", "node_id", "format_id", "modified")
+    return _listed(t, _spans(t)).select("pid", "node_id", "format_id", "modified")
 
 
 @query("harvest_candidates", _SQL + "SELECT pid, node_id, modified FROM chosen")
 def harvest_candidates(t):
-    return _parts(t)[2].select("pid", "node_id", "modified")
+    return _chosen(t, _listed(t, _spans(t))).select("pid", "node_id", "modified")
 
 
 @query(
@@ -88,8 +93,8 @@ def harvest_candidates(t):
         ELSE any_value(since) + INTERVAL 1 MILLISECOND END AS last_harvest_datetime FROM chosen GROUP BY node_id""",
 )
 def harvest_marks(t):
-    spans, _, chosen = _parts(t)
-    return O.next_marks(chosen, spans)
+    spans = _spans(t)
+    return O.next_marks(_chosen(t, _listed(t, spans)), spans)
 
 
 @query(
@@ -99,8 +104,8 @@ def harvest_marks(t):
         LEFT JOIN (SELECT node_id, count(*) AS filtered FROM chosen GROUP BY node_id) USING (node_id)""",
 )
 def harvest_counts(t):
-    _, listed, chosen = _parts(t)
-    return O.pid_counts(listed, chosen)
+    listed = _listed(t, _spans(t))
+    return O.pid_counts(listed, _chosen(t, listed))
 
 
 @query(
@@ -129,7 +134,7 @@ def rewound_harvest(t):
         FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'quality-CN', 'suite-2', NULL)
     SELECT task_name, t.suite_id, s.node_id, pid FROM sysmeta_v s JOIN nodes_v n ON n.node_id = s.node_id AND type <> 'CN' AND synchronize AND state = 'UP'
         JOIN tasks t ON t.node_id IS NULL OR t.node_id = s.node_id
-        WHERE modified >= TIMESTAMP '1996-01-01' AND modified <= {_NOW} AND (regexp_full_match(format_id, 'eml-2.[12]') OR format_id = 'eml-2.5')
+        WHERE modified >= CASE WHEN n.nationkey % 2 = 0 AND t.node_id IS NULL THEN TIMESTAMP '1997-03-01' ELSE TIMESTAMP '1996-01-01' END AND modified <= {_NOW} AND (regexp_full_match(format_id, 'eml-2.[12]') OR format_id = 'eml-2.5')
         AND NOT EXISTS (SELECT 1 FROM runs_v r WHERE r.metadata_id = pid AND r.suite_id = t.suite_id AND status = 'success')""",
 )
 def harvest_tasks(t):
@@ -146,6 +151,6 @@ def harvest_tasks(t):
     path = scratch_path(t.spark, "tasks")
     rows.write.option("header", "true").csv(path)
     tasks = O.task_params(D.read_tasks(t.spark, path))
-    marks = t.spark.createDataFrame([], "task_name string, node_id string, last_harvest_datetime timestamp")
+    marks = nodes(t).filter("nationkey % 2 = 0").selectExpr("'quality-CN' AS task_name", "node_id", "TIMESTAMP '1997-03-01' AS last_harvest_datetime")
     found = O.harvest_tasks(tasks, nodes(t), marks, sysmeta(t), runs(t), F.expr(_NOW))
     return found.select("task_name", "suite_id", "node_id", "pid")

@@ -40,40 +40,29 @@ def group_lookup(t):
             SELECT l_orderkey, unnest(['line', 'title', 'agency', 'id', 'program', 'primary']) AS o,
                 unnest([title || ' (' || agency || ' ' || id || ')', title, agency, id, program, agency || program]) AS v
             FROM (SELECT l_orderkey, CASE WHEN l_returnflag = 'A' AND l_partkey > 0 THEN lpad(CAST(l_partkey AS STRING), 7, '0') ELSE CAST(l_partkey AS STRING) END AS id FROM lineitem)
-            JOIN awards USING (id)) GROUP BY l_orderkey""",
+            JOIN awards USING (id)) GROUP BY l_orderkey
+        UNION ALL SELECT doc_id + 1000000000, 0, 1, 'NA' FROM documents WHERE lang <> 'en'""",
 )
 def award_lookup(t):
-    """Award numbers padded only when they are plain numbers; unknown awards give nothing."""
+    """Award numbers padded only when they are plain numbers; unknown awards give nothing, no list a failure."""
     name = F.when(F.col("l_returnflag") == "A", F.col("l_partkey").cast("string")).otherwise(
         F.concat(F.lit(" NSF Award "), F.col("l_partkey").cast("string"))
     )
     docs = t("lineitem").select(F.col("l_orderkey").alias("pid"), F.array(name).alias("awards"))
+    without = t("documents").filter("lang <> 'en'").selectExpr("doc_id + 1000000000 AS pid", "CAST(NULL AS ARRAY<STRING>) AS awards")
+    docs = docs.unionByName(without)
     awards = t("part").filter("p_size <= 40").selectExpr(
         "lpad(CAST(p_partkey AS STRING), 7, '0') AS id", "p_name AS title", "p_brand AS agency", "p_type AS fund_program_name",
         "concat(p_brand, p_type) AS primary_program",
     )
     found = O.award_lookup(docs, awards)
     return found.groupBy("pid").agg(
-        (F.count(F.lit(1)) / 6).cast("bigint").alias("n_awards"),
+        (F.count_if(F.col("status") == "SUCCESS") / 6).cast("bigint").alias("n_awards"),
         F.count(F.lit(1)).alias("n_outputs"),
         F.min("output").alias("least"),
     )
 
 
-@query(
-    "award_missing",
-    "SELECT doc_id AS pid, 'FAILURE' AS status, 'NA' AS output FROM documents",
-)
-def award_missing(t):
-    docs = t("documents").select(F.col("doc_id").alias("pid"), F.lit(None).cast("array<string>").alias("awards"))
-    awards = t("part").selectExpr(
-        "CAST(p_partkey AS STRING) AS id", "p_name AS title", "p_brand AS agency", "p_type AS fund_program_name", "p_type AS primary_program"
-    )
-    return O.award_lookup(docs, awards).select("pid", "status", "output")
-
-
-
-
 @query(
     "media_lookup",
     """WITH types AS (SELECT DISTINCT p_type || '/' || p_brand AS name, lower(p_brand) AS extension FROM part WHERE p_size <= 25)
@@ -175,12 +164,14 @@ def data_counts(t):
 
 @query(
     "sysmeta_join",
-    "SELECT doc_id AS pid, n_chars, quality FROM documents JOIN labels USING (doc_id)",
+    """SELECT doc_id AS pid, md5(text) AS body, quality, CASE WHEN l.doc_id IS NULL THEN 'system metadata not found' END AS sysmeta_error
+        FROM documents LEFT JOIN labels l USING (doc_id)""",
 )
 def sysmeta_join(t):
+    """Whole bodies meet their metadata; a document without stays, with the reason."""
     meta = t("labels").selectExpr("doc_id AS identifier", "quality")
-    joined = O.with_sysmeta(t("documents").selectExpr("doc_id AS pid", "n_chars"), meta)
-    return joined.select("pid", "n_chars", F.col("sysmeta.quality").alias("quality"))
+    joined = O.with_sysmeta(t("documents").selectExpr("doc_id AS pid", "text AS body"), meta)
+    return joined.select("pid", F.md5("body").alias("body"), F.col("sysmeta.quality").alias("quality"), "sysmeta_error")
 
 
 @query(
@@ -255,14 +246,15 @@ def results_csv_round_trip(t):
 
 @query(
     "encoded_outputs",
-    """SELECT doc_id AS pid, CASE WHEN quality = 1 THEN to_base64(encode(text)) ELSE 'file-' || doc_id END AS value
+    """SELECT doc_id AS pid, CASE WHEN quality = 1 THEN to_base64(encode(text)) WHEN toxic = 1 THEN 'NA' ELSE 'files/' || doc_id || '.txt' END AS value
         FROM documents JOIN labels USING (doc_id)""",
 )
 def encoded_outputs(t):
     """Outputs that name a file become the base64 text of its bytes."""
-    outputs = t("labels").selectExpr("doc_id AS pid", "concat('file-', doc_id) AS value")
+    value = "CASE WHEN toxic = 1 AND quality <> 1 THEN 'NA' ELSE concat('files/', doc_id, '.txt') END AS value"
+    outputs = t("labels").selectExpr("doc_id AS pid", value)
     good = t("labels").filter("quality = 1").select("doc_id")
-    files = t("documents").join(good, "doc_id").selectExpr("concat('file-', doc_id) AS path", "CAST(text AS BINARY) AS content")
+    files = t("documents").join(good, "doc_id").selectExpr("concat('files/', doc_id, '.txt') AS path", "CAST(text AS BINARY) AS content")
     encoded = encode_file_outputs(outputs, files)
     return encoded.select("pid", F.regexp_replace("value", "[\r\n]", "").alias("value"))
 

@@ -68,15 +68,13 @@ def score_by_type_wide(t):
 @query(
     "score_map",
     with_views("results_v", "types_v")
-    + """SELECT run_id, count(*) AS n_types, string_agg('scoreByType_' || type || '_f', ',' ORDER BY type) AS names
+    + """SELECT run_id, string_agg('scoreByType_' || type || '_f=' || CAST(CAST(score AS DECIMAL(5, 2)) AS STRING), ',' ORDER BY type) AS scores
         FROM types_v GROUP BY run_id""",
 )
 def score_map(t):
-    return O.score_map(results(t)).select(
-        "run_id",
-        F.size("scores").cast("bigint").alias("n_types"),
-        F.array_join(F.array_sort(F.map_keys("scores")), ",").alias("names"),
-    )
+    entries = F.array_sort(F.map_entries("scores"))
+    text = F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("decimal(5,2)").cast("string")))
+    return O.score_map(results(t)).select("run_id", F.array_join(text, ",").alias("scores"))
 
 
 @query("distinct_types", _RESULTS + "SELECT DISTINCT run_id, type FROM results_v")
@@ -178,10 +176,11 @@ def result_order(t):
     "presence_fold",
     _RESULTS
     + """SELECT run_id, CASE WHEN bool_and(status <> 'FAILURE') THEN 'SUCCESS' ELSE 'FAILURE' END AS status,
-        count(*) AS n FROM results_v GROUP BY run_id""",
+        string_agg(type || ': ' || status, '; ' ORDER BY check_no, type || ': ' || status) AS messages FROM results_v GROUP BY run_id""",
 )
 def presence_fold(t):
-    return O.fold_statuses(results(t), "run_id")
+    told = results(t).withColumn("message", F.concat_ws(": ", "type", "status"))
+    return O.fold_statuses(told, "run_id").withColumn("messages", F.array_join("messages", "; "))
 
 
 @query(
@@ -195,9 +194,4 @@ def presence_fold(t):
 def corpus_results(t):
     """Results of a suite over the documents a query selects."""
     chosen = t("orders").filter("o_orderpriority = '1-URGENT'").selectExpr("o_orderkey AS pid")
-    return (
-        _sourced(t)
-        .join(chosen, "pid", "left_semi")
-        .groupBy("datasource", "type", "level")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "SUCCESS").alias("n_success"))
-    )
+    return O.corpus_results(_sourced(t), chosen, ["datasource", "type", "level"])

@@ -44,6 +44,11 @@ def _long(by: str) -> str:
     )
 
 
+def series_sql() -> str:
+    """Monthly and cumulative means in long form, over a CTE ``latest(ym, f, a, i, r)``."""
+    return _means("") + _long("")
+
+
 _SERIES = _LATEST + _means("")
 _LONG = _SERIES + _long("")
 
@@ -76,7 +81,7 @@ def score_records(t):
 
 @query("latest_in_month", _LATEST + " SELECT ym, sequence_id, metadata_id, date_uploaded FROM latest")
 def latest_in_month(t):
-    return O.latest_versions(O.with_month(scores(t))).select("ym", "sequence_id", "metadata_id", "date_uploaded")
+    return O.in_order(O.latest_versions(O.with_month(scores(t))).select("ym", "sequence_id", "metadata_id", "date_uploaded"))
 
 
 @query(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from qualityspark.functions import scalars as S
 
@@ -35,16 +36,6 @@ def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, pat
     writer.saveAsTable(table)
 
 
-def merge_into(spark: SparkSession, target: str, changes: DataFrame, keys: list[str]) -> None:
-    """Keyed merge into a table whose format has ``MERGE INTO``."""
-    changes.createOrReplaceTempView("_changes")
-    on = " AND ".join(f"t.{k} = c.{k}" for k in keys)
-    spark.sql(
-        f"MERGE INTO {target} t USING _changes c ON {on} "
-        "WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *"
-    )
-
-
 def score_csv_rows(scores: DataFrame) -> DataFrame:
     """The twelve columns of the score file, dates as ISO-8601 text."""
     return scores.select(
@@ -118,9 +109,54 @@ def from_json_text(text: Column, schema: StructType | str) -> Column:
     return F.from_json(text, schema)
 
 
-def xml_to_json(body: Column, schema: StructType | str) -> Column:
-    """Whole XML document to JSON text, by a schema taken from a sample."""
-    return F.to_json(F.from_xml(body, schema, {"ignoreSurroundingSpaces": "false"}))
+@F.arrow_udf(StringType())
+def xml_to_json(bodies: pa.Array) -> pa.Array:
+    """Whole XML documents as JSON texts, whatever elements they have.
+
+    An element is its text, or an object of its attributes (``_name``), its
+    children by name, repeated ones as a list, and its own text (``_VALUE``);
+    names lose their prefix. A text that is not well formed gives null.
+    """
+    import json
+    from xml.etree import ElementTree
+
+    local = lambda name: name.rsplit("}", 1)[-1]
+
+    def value(root):
+        # Children are finished before their parent, without recursion.
+        done, stack = {}, [(root, False)]
+        while stack:
+            node, ready = stack.pop()
+            if not ready:
+                stack.append((node, True))
+                stack.extend((child, False) for child in node)
+                continue
+            fields = {f"_{local(k)}": v for k, v in node.attrib.items()}
+            for child in node:
+                name, found = local(child.tag), done.pop(id(child))
+                if name in fields:
+                    if not isinstance(fields[name], list):
+                        fields[name] = [fields[name]]
+                    fields[name].append(found)
+                else:
+                    fields[name] = found
+            text = "".join([node.text or ""] + [c.tail or "" for c in node])
+            if not fields:
+                done[id(node)] = text
+                continue
+            if text.strip():
+                fields["_VALUE"] = text
+            done[id(node)] = fields
+        return done[id(root)]
+
+    def one(body):
+        try:
+            root = ElementTree.fromstring(body)
+        except (ElementTree.ParseError, ValueError, TypeError):
+            return None
+        return json.dumps({local(root.tag): value(root)}, ensure_ascii=False)
+
+    return pa.array([one(b) for b in bodies.to_pylist()], pa.string())
 
 
 def report_file(text: Column) -> Column:

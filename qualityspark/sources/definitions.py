@@ -22,8 +22,8 @@ def normalize_version(xml: Column, base: str) -> Column:
     return F.regexp_replace(xml, rf"({literal}/v1)(\.1)?(?=[\"'\s])", "$1.2")
 
 
-def _texts(spark: SparkSession, paths: list[str], base: str | None) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xml").text(paths, wholetext=True)
+def _texts(spark: SparkSession, paths: list[str], base: str | None, glob: str = "*.xml") -> DataFrame:
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths, wholetext=True)
     out = files.select("value", F.col("_metadata.file_path").alias("path"))
     return out.withColumn("value", normalize_version(F.col("value"), base)) if base else out
 
@@ -44,12 +44,12 @@ def corrupt_definitions(spark: SparkSession, paths: list[str], base: str | None
     ).select("path")
 
 
-def read_checks(spark: SparkSession, paths: list[str], base: str | None = None) -> DataFrame:
-    return definitions(_texts(spark, paths, base), schemas.CHECK_XML)
+def read_checks(spark: SparkSession, paths: list[str], base: str | None = None, glob: str = "*.xml") -> DataFrame:
+    return definitions(_texts(spark, paths, base, glob), schemas.CHECK_XML)
 
 
-def read_suites(spark: SparkSession, paths: list[str], base: str | None = None) -> DataFrame:
-    return definitions(_texts(spark, paths, base), schemas.SUITE_XML)
+def read_suites(spark: SparkSession, paths: list[str], base: str | None = None, glob: str = "*.xml") -> DataFrame:
+    return definitions(_texts(spark, paths, base, glob), schemas.SUITE_XML)
 
 
 def suite_references(suites: DataFrame) -> DataFrame:
@@ -64,9 +64,9 @@ def suite_references(suites: DataFrame) -> DataFrame:
 
 
 def suite_objects(suites: DataFrame) -> list[Suite]:
-    """Suites as plan-time objects. Definitions are configuration: a few files."""
+    """Suites as plan-time objects. Definitions are configuration: filter to the suites a run needs."""
     out = []
-    for row in suites.collect():
+    for row in suites.select("id", "name", "namespaces", "check").collect():
         spaces = row["namespaces"]["namespace"] if row["namespaces"] else None
         out.append(
             Suite(
@@ -93,9 +93,9 @@ def check_objects(checks: DataFrame, code: dict) -> list[Check]:
     function is left out, so that suites report it as SKIP.
     """
     out = []
-    for row in checks.collect():
-        if row["id"] not in code:
-            continue
+    columns = ["id", "name", "type", "level", "description", "environment", "inheritState", "selector", "dialect"]
+    # Code texts stay where they are; only checks with a function come to the driver.
+    for row in checks.filter(F.col("id").isin(list(code))).select(*columns).collect():
         merged: dict[str, dict] = {}
         for s in row["selector"] or []:
             spaces = s["namespaces"]["namespace"] if s["namespaces"] else None

@@ -22,22 +22,24 @@ def routed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("dialect", F.when(is_json_format(F.col("format_id")), "json").otherwise("xml"))
 
 
-def json_documents(docs: DataFrame) -> DataFrame:
-    """JSON documents with their parsed VARIANT; it is null where the text is not JSON."""
-    return docs.withColumn("json", F.try_parse_json("body"))
+def system_metadata(docs: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
+    """System metadata of either version from XML texts.
 
-
-def system_metadata(docs: DataFrame, body: str = "body") -> DataFrame:
-    """System metadata of either version from XML texts; unreadable texts are dropped."""
+    A text that cannot be read gives a row with the reason in ``error`` and
+    nulls; ``keep`` names columns that tell which document it belongs to.
+    """
     x = F.from_xml(
         F.col(body),
         schemas.SYSMETA_XML,
         {"columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]"},
     )
     return (
-        docs.select(x.alias("x"))
-        .filter("x IS NOT NULL AND x._corrupt IS NULL")
+        docs.select(*(keep or []), x.alias("x"))
+        .withColumn("error", F.when(F.col("x").isNull() | F.col("x._corrupt").isNotNull(), "system metadata cannot be read"))
+        .withColumn("x", F.when(F.col("error").isNull(), F.col("x")))
         .select(
+            *(keep or []),
+            "error",
             F.col("x.identifier").alias("identifier"),
             F.col("x.formatId").alias("format_id"),
             F.col("x.size").alias("size"),
@@ -70,12 +72,18 @@ def readers(access) -> DataFrame:
     return F.array_distinct(F.flatten(F.transform(may_read, lambda a: a.subjects)))
 
 
-def staged_files(spark: SparkSession, root: str, directories: list[str], glob: str = "*") -> DataFrame:
+def staged_files(
+    spark: SparkSession, root: str, directories: list[str], glob: str = "*", exclude: list[str] | None = None
+) -> DataFrame:
     """Files below the included top directories, with path, size and time; the
-    bytes are read only if ``content`` is selected."""
-    return (
+    bytes are read only if ``content`` is selected. A file whose path matches one
+    of the ``exclude`` patterns (of a task's filter list) is left out."""
+    files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
         .load([f"{root.rstrip('/')}/{d}" for d in directories])
     )
+    for pattern in exclude or []:
+        files = files.filter(~F.col("path").rlike(pattern))
+    return files
