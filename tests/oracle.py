@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from collections import Counter
@@ -74,7 +75,7 @@ def main(folder: str, names: list[str]) -> int:
     from qualityspark.session import build_session
 
     spark = build_session(
-        "check", "local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+        "check", os.environ.get("ORACLE_MASTER", "local[8]"), **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("OFF")
     con, bad = connect(folder), 0

@@ -131,8 +131,10 @@ def test_monthly_series(spark):
 
 
 def chain(spark, rows):
+    """Runs from (pid, obsoletes, sequence_id) or (pid, obsoletes, sequence_id, obsoleted_by)."""
     return spark.createDataFrame(
-        [("s", *r) for r in rows], "suite_id string, pid string, obsoletes string, sequence_id string"
+        [("s", *r, *[None] * (4 - len(r))) for r in rows],
+        "suite_id string, pid string, obsoletes string, sequence_id string, obsoleted_by string",
     )
 
 
@@ -159,17 +161,45 @@ def test_cycle_is_reported(spark):
     assert {p for p, r in rows.items() if r.in_cycle} == {"a", "b", "c"} and rows["x"].sequence_id == "x"
 
 
-def test_random_chains_match_the_recursive_query(spark):
+def test_links_from_either_side(spark):
+    by_first = assigned(spark, [("a", None, None, "b"), ("b", None, None)])
+    assert {p: (r.sequence_id, r.position) for p, r in by_first.items()} == {"a": ("a", 0), "b": ("a", 1)}
+    # One's own link counts before another's, unless the run it names is not stored.
+    two = assigned(spark, [("a", None, None, "c"), ("b", None, None), ("c", "b", None), ("d", "x", None), ("e", None, None, "d")])
+    assert {p: r.head for p, r in two.items()} == {"a": "a", "b": "b", "c": "b", "d": "e", "e": "e"}
+    own = assigned(spark, [("a", None, None, "A"), ("b", "a", None, "b")])
+    assert {r.sequence_id for r in own.values()} == {"a"}
+    ring = assigned(spark, [("a", None, None, "b"), ("b", None, None, "a"), ("c", "b", None)])
+    assert all(r.in_cycle and r.sequence_id is None for r in ring.values())
+    assert Q.assign_sequence(chain(spark, [])).count() == 0
+
+
+def test_random_chains_match_a_plain_walk(spark):
     rng = random.Random(7)
     rows = []
     for c in range(40):
-        n = rng.randint(1, 60)
+        n = rng.randint(1, 150)
         for i in range(n):
+            name = lambda k, c=c: f"{c}-{k:03}"
             if rng.random() < 0.95:
-                rows.append((f"{c}-{i:03}", f"{c}-{i - 1:03}" if i else None, None))
-    runs = chain(spark, rows)
-    ours = {(r.pid, r.head, r.position) for r in Q.walk_back(runs).collect()}
-    assert ours == {(r.pid, r.head, r.position) for r in Q.walk_back_sql(runs).collect()}
+                back = name(i - 1) if i and rng.random() < 0.7 else None
+                rows.append((name(i), back, None, name(i + 1) if rng.random() < 0.6 else None))
+    stored = {r[0]: r for r in rows}
+    named = {}
+    for pid, _, _, by in rows:
+        if by:
+            named[by] = min(pid, named.get(by, pid))
+
+    def walk(pid):
+        steps = 0
+        while True:
+            back = stored[pid][1] if stored[pid][1] in stored else named.get(pid)
+            if back is None:
+                return pid, steps
+            pid, steps = back, steps + 1
+
+    ours = {(r.pid, r.head, r.position) for r in Q.walk_back(chain(spark, rows)).collect()}
+    assert ours == {(p, *walk(p)) for p in stored}
 
 
 def test_mark_latest(spark):

@@ -12,39 +12,39 @@ from qualityspark.sources import documents as S
 from qualityspark.streaming.requests import file_stream
 
 CHECK = """<?xml version="1.0"?>
-<m:check xmlns:m="urn:q/{v}"><id>abstract.words</id><name>Words</name><type>Findable</type><level>REQUIRED</level>
-<environment>python</environment><code><![CDATA[ if a < b: pass ]]></code>
-<selector><name>abstract</name><xpath>/eml/dataset/abstract</xpath></selector>
-<selector namespaceAware="true"><name>abstract</name><expression syntax="json-path">.description</expression></selector>
-<dialect><name>eml</name><xpath>boolean(/*[local-name() = 'eml'])</xpath></dialect></m:check>"""
-SUITE = """<m:suite xmlns:m="urn:q/v1"><id>s.1</id><name>S</name>
-<check><id>abstract.words</id><level>OPTIONAL</level></check><!-- <check><id>no</id></check> --><check><id>missing.1</id><type>Reusable</type></check></m:suite>"""
+<k:check xmlns:k="urn:q/{v}"><id>notes.long</id><name>Notes</name><type>Reusable</type><level>REQUIRED</level>
+<environment>other</environment><code><![CDATA[ return 1 < 2 ]]></code>
+<selector><name>notes</name><xpath>/book/part/notes</xpath></selector>
+<selector namespaceAware="true"><name>notes</name><expression syntax="json-path">.remarks</expression></selector>
+<dialect><name>books</name><xpath>boolean(/*[local-name() = 'book'])</xpath></dialect></k:check>"""
+SUITE = """<k:suite xmlns:k="urn:q/v1"><id>shelf.1</id><name>Shelf</name>
+<check><id>notes.long</id><level>OPTIONAL</level></check><!-- <check><id>left.out</id></check> --><check><id>not.there</id><type>Accessible</type></check></k:suite>"""
 
 
 def test_definitions(spark, tmp_path):
     checks, suites = tmp_path / "checks", tmp_path / "suites"
     checks.mkdir(), suites.mkdir()
-    (checks / "a.xml").write_text(CHECK.format(v="v1").replace("Words", "Old"))
+    (checks / "a.xml").write_text(CHECK.format(v="v1").replace("Notes", "Old"))
     (checks / "b.xml").write_text(CHECK.format(v="v1.1"))
     (checks / "c.xml").write_text("<check><id>broken")
     (suites / "s.xml").write_text(SUITE)
     read = D.read_checks(spark, [str(checks)], "urn:q")
-    assert [(r.id, r.name) for r in read.collect()] == [("abstract.words", "Words")]
+    assert [(r.id, r.name) for r in read.collect()] == [("notes.long", "Notes")]
     assert D.corrupt_definitions(spark, [str(checks)]).count() == 1
     suite = D.read_suites(spark, [str(suites)])
     assert [(r.check_id, r.type_override, r.level_override) for r in D.suite_references(suite).orderBy("position").collect()] == [
-        ("abstract.words", None, "OPTIONAL"),
-        ("missing.1", "Reusable", None),
+        ("notes.long", None, "OPTIONAL"),
+        ("not.there", "Accessible", None),
     ]
-    registry = C.Registry(D.check_objects(read, {"abstract.words": C.min_words("abstract", 2)}))
+    registry = C.Registry(D.check_objects(read, {"notes.long": C.min_words("notes", 2)}))
     docs = spark.createDataFrame(
-        [("x", "eml", "<eml><dataset><abstract>two words</abstract></dataset></eml>"), ("j", "x/json", '{"description":"one"}'), ("o", "iso", "<MD/>")],
+        [("x", "book", "<book><part><notes>two words</notes></part></book>"), ("j", "x/json", '{"remarks":"one"}'), ("o", "other", "<leaflet/>")],
         "pid string, format_id string, body string",
     )
     rows = explode_results(run_suite(docs, D.suite_objects(suite)[0], registry)).collect()
     got = {(r.pid, r.check_id): (r.status, r.level) for r in rows}
-    assert got["x", "abstract.words"] == ("SUCCESS", "OPTIONAL") and got["j", "abstract.words"] == ("FAILURE", "OPTIONAL")
-    assert got["o", "abstract.words"][0] == "SKIP" and got["x", "missing.1"][0] == "SKIP"
+    assert got["x", "notes.long"] == ("SUCCESS", "OPTIONAL") and got["j", "notes.long"] == ("FAILURE", "OPTIONAL")
+    assert got["o", "notes.long"][0] == "SKIP" and got["x", "not.there"][0] == "SKIP"
 
 
 def test_version_normalisation(spark):
@@ -57,13 +57,13 @@ def test_version_normalisation(spark):
 def test_task_table(spark, tmp_path):
     path = tmp_path / "tasks.csv"
     path.write_text(
-        'task-type,task-name,task-group,cron-schedule,params\n# a comment, with "quotes"\n'
-        'quality,q1,g,0 0/1 * * * ?,"^eml.*|^http.*;suite.1;urn:node:A;2020-08-28T14:05:48.764Z;1;1000;"\n'
-        'score,s1,g,5 * * * * ?,"*portals*;suite.1;urn:node:A;2020-08-28T00:00:00.00Z;1;100;portal"\nnodelist,n1,g,x,urn:node:CN\n'
+        'task-type,task-name,task-group,cron-schedule,params\n# left for later, "for now"\n'
+        'quality,night,nodes,0 30 2 * * ?,"^book.*|^leaflet.*;shelf.1;urn:node:ONE;2022-03-04T05:06:07.008Z;7;250;"\n'
+        'score,weekly,folders,0 0 3 ? * 1,"*shelf*;shelf.1;urn:node:ONE;2022-03-04T00:00:00.000Z;1;40;folder"\nnodelist,who,nodes,x,urn:node:CN\n'
     )
     q, s, n = task_params(D.read_tasks(spark, str(path))).collect()
-    assert (q.format_filter, q.suite_id, q.node_id, q.count_requested) == ("^eml.*|^http.*", "suite.1", "urn:node:A", 1000)
-    assert s.request_type == "portal" and n.node_id == "urn:node:CN" and n.suite_id is None
+    assert (q.format_filter, q.suite_id, q.node_id, q.count_requested) == ("^book.*|^leaflet.*", "shelf.1", "urn:node:ONE", 250)
+    assert s.request_type == "folder" and n.node_id == "urn:node:CN" and n.suite_id is None
 
 
 def test_dimension_files(spark, tmp_path):
