@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualityspark.session import cut_lineage, scratch_path  # noqa: F401
+from qualityspark.session import cut_lineage, cut_of, remove, scratch_path  # noqa: F401
 
 #: White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]"
@@ -22,6 +24,18 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """A copy of ``df`` in the shared folder that is deleted at the end; results of it must be written before."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "written")
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        remove(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished steps.
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qualityspark.llm.common import cut_lineage, release, texts
+from qualityspark.llm.common import cut_lineage, cut_of, release, texts, written
 from qualityspark.llm.components import components
 from qualityspark.llm.shingles import WORDS, mix, shingle_sets, signatures
 
@@ -39,8 +39,6 @@ from qualityspark.llm.shingles import WORDS, mix, shingle_sets, signatures
 EARLY = 0.1
 #: Longs of a set's bitmap.
 BITMAP = 8
-#: Rounds in which sets try the top component of their lists; what they miss, the last step finds.
-TOWARD = 2
 _TAG = 1 << 16
 
 
@@ -64,7 +62,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))
 
 
-def _by_size(batches: Iterator[pa.RecordBatch], most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def _by_size(batches: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Batches of at most some bytes of text, but for single rows."""
     for batch in batches:
         start, size = 0, 0
@@ -221,54 +219,64 @@ def _between(entries: DataFrame) -> DataFrame:
 
 
 def _and_links(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links, written."""
+    """Components after more links, written; ``labels`` again if there are none."""
+    if links.isEmpty():
+        return labels
     stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
     return cut_lineage(components(stars.unionByName(links)))
 
 
-def join_near(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near duplicates by word shingles: ``doc_id, n_shingles, component_id``, one row per document.
-
-    ``component_id`` is the smallest id reachable by links, itself included.
-    Null and empty texts and texts without words have no shingles and link with
-    nothing; fewer words than a shingle's are one shingle. Ids should be unique:
-    rows that repeat an id each get their own text's component, and texts of
-    which that id is the smallest count as linked. No rows give no rows.
-    """
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col)
-    heads = cut_lineage(rows.mapInArrow(_heads(words), "doc_id long, n long, s1 long, s2 long"))
+def _reached(rows: DataFrame, heads: DataFrame, words: int) -> DataFrame:
+    """``n, s1, s2, component`` of the sets that several texts have or that link with others."""
+    spark = rows.sparkSession
     sets = heads.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     sets = cut_lineage(sets)
     reps = sets.select(F.col("rep").alias("doc_id")).distinct()
 
     # Joins on the id of all documents: the kept ids grow with them and are not sent to every task.
     sketches = rows.mapInArrow(_tagged(words, _sketch), TAGGED).join(reps.hint("merge"), "doc_id", "left_semi")
-    tokens = sketches.select("doc_id", "tag", "need", F.explode("tokens").alias("token"))
-    hits = tokens.join(_counted(tokens).hint("merge"), "token", "left_semi").groupBy("doc_id", "tag", "need").count()
-    near = cut_lineage(hits.filter("count >= need").select("doc_id").distinct())
+    # Read for the counts and for the hits; the copy goes when both are done.
+    with written(sketches) as sketches:
+        release(spark)
+        tokens = sketches.select("doc_id", "tag", "need", F.explode("tokens").alias("token"))
+        hits = tokens.join(_counted(tokens).hint("merge"), "token", "left_semi").groupBy("doc_id", "tag", "need").count()
+        near = cut_lineage(hits.filter("count >= need").select("doc_id").distinct())
     release(spark)
 
     kept = rows.join(near.hint("merge"), "doc_id", "left_semi").mapInArrow(_tagged(words, lambda s: s), TAGGED)
-    kept = cut_lineage(kept.select("doc_id", "tag", "tokens").dropDuplicates(["doc_id", "tag"]))
+    kept = cut_lineage(kept.select("doc_id", "tag", "tokens"))
     release(spark)
     tokens = kept.select("doc_id", "tag", F.explode("tokens").alias("token"))
     shared = tokens.join(_counted(tokens).hint("merge"), "token")
-    shared = shared.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("c", "token")).alias("shared"))
+    # A set: rows that repeat a document give each shingle once.
+    shared = shared.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("c", "token")).alias("shared"))
     nodes = cut_lineage(shared.mapInArrow(_prefixes, NODES))
     release(spark)
 
     grouped, pairs = _leaders(nodes)
     links = cut_lineage(_verified(pairs, kept))
     labels = cut_lineage(components(links))
-    for _ in range(TOWARD):
-        labels = _and_links(labels, cut_lineage(_verified(_to_top(_open_lists(grouped, labels)), kept)))
-    labels = _and_links(labels, cut_lineage(_verified(_between(_open_lists(grouped, labels)), kept)))
+    for pairs in (_to_top, _between):
+        labels = _and_links(labels, cut_lineage(_verified(pairs(_open_lists(grouped, labels)), kept)))
     release(spark)
-
-    # One row per set of several texts or links against all rows, so the rows of a common set can be split.
     reached = sets.join(labels.hint("merge"), sets["rep"] == labels["node"], "left").filter("copies > 1 OR component IS NOT NULL")
-    reached = cut_lineage(reached.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component")))
+    return reached.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+
+
+def join_near(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Near duplicates by word shingles: ``doc_id, n_shingles, component_id``, one row per document.
+
+    ``component_id`` is the smallest id reachable by links, itself included.
+    Null and empty texts and texts without words have no shingles and link with
+    nothing; fewer words than a shingle's are one shingle. Ids should be unique:
+    rows that repeat an id each get their own text's component, and texts of
+    which that id is the smallest count as linked. No rows give no rows.
+    """
+    spark = docs.sparkSession
+    rows = texts(docs, id_col, text_col)
+    heads = cut_lineage(rows.mapInArrow(_heads(words), "doc_id long, n long, s1 long, s2 long"))
+    reached = cut_of(spark, lambda: _reached(rows, heads, words))
+    # One row per set against all rows, both shuffled, so the rows of a common set can be split.
     out = heads.join(reached.hint("merge"), ["n", "s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
