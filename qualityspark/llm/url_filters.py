@@ -44,7 +44,7 @@ def decide(host: Column, path: Column, rules=RULES) -> Column:
     fits = lambda h, p: ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
     tried = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r))
     cases = [F.when(fits(h, p), F.struct(F.lit(h + p).alias("rule"), F.lit(action).alias("action"))) for action, h, p in tried]
-    return F.coalesce(*cases)
+    return F.coalesce(*cases, F.lit(None).cast("struct<rule:string,action:string>"))
 
 
 def host_links(pages: DataFrame) -> DataFrame:

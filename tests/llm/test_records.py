@@ -42,7 +42,6 @@ def test_no_control_string_is_left(spark):
 
 def test_parts_become_placeholders(spark):
     parts = [("text", "see <|", None, None, None), ("image", None, "a.png", 57, 28), ("audio", None, "b.wav", 81, None), ("document", "t", None, 3, None), (None, "x", None, None, None), None]
-    df = spark.createDataFrame([(1, 0, "assistant", parts), (1, 1, "user", None)], ["conv_id", "turn", "role", "parts"], verifySchema=False) if False else None
     schema = "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,a:long,b:long>>"
     df = spark.createDataFrame([(1, 0, "assistant", parts), (1, 1, "user", None)], schema)
     first, second = C.format_turns(df).orderBy("turn").collect()
@@ -107,6 +106,8 @@ def test_rules(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict or verdict is None
     assert U.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    free = U.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=()).collect()
+    assert {(r.rule, r.verdict) for r in free} == {(None, "allow")}
 
 
 def brute_flow(links, seeds, steps=U.STEPS):
