@@ -24,15 +24,20 @@ SPACE = "▁"
 #: Stands for a SPACE that the text itself holds; no UTF-8 text has it.
 _LITERAL = "\udfff"
 #: Ways to segment a chunk that a document's places choose from; bytes of text at once; longest chunk in a matrix.
-VARIANTS, SLAB, WIDE = 16, 1 << 24, 32
+VARIANTS, SLAB, WIDE = 16, 1 << 22, 32
+#: Distinct chunks to keep the ids of within a task.
+WORDS = 300_000
 _NONE = np.iinfo(np.int32).max
 _M = (1 << 64) - 1
 
 
 class Model:
-    """Pieces, their order of merging, and bytes for decoding, read from a model file."""
+    """Pieces, their order of merging, and bytes for decoding, read from a model file.
 
-    def __init__(self, name: str):
+    Without ``merges`` it can decode only.
+    """
+
+    def __init__(self, name: str, merges: bool = True):
         import public_tokenizers
         import sentencepiece
 
@@ -46,25 +51,29 @@ class Model:
         scores = sorted({model.get_score(i) for i in plain}, reverse=True)
         order = {s: k for k, s in enumerate(scores)}
         #: Symbols are ids of pieces, and ``size`` + code point for characters that are none.
-        self.symbol = np.arange(0x110000, dtype=np.int64) + size
+        self.symbol = np.arange(0x110000, dtype=np.int32) + size
         for p, i in pieces.items():
             if len(p) == 1:
                 self.symbol[ord(p)] = i
         self.symbol[ord(_LITERAL)] = size + ord(SPACE)
-        rank = np.full(size, _NONE, np.int64)
+        rank = np.full(size, _NONE, np.int32)
         rank[plain] = [order[model.get_score(i)] for i in plain]
         pairs = {}
-        for p, i in pieces.items():
+        for p, i in pieces.items() if merges else ():
             for at in range(1, len(p)):
                 left, right = (pieces.get(h, size + ord(h) if len(h) == 1 else None) for h in (p[:at], p[at:]))
                 if left is not None and right is not None:
                     pairs[left * self.wide + right] = i
         self.keys = np.array(sorted(pairs), np.int64)
-        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.merged = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
         self.rank = rank
+        #: The piece of each rank, -1 where several pieces share it.
+        self.piece_of = np.full(len(scores), -1, np.int32)
+        one = np.flatnonzero(np.bincount(rank[plain], minlength=len(scores)) == 1)
+        self.piece_of[one] = np.argsort(rank, kind="stable")[np.searchsorted(np.sort(rank, kind="stable"), one)]
         self._pairs: dict = {}
         byte = {int(model.id_to_piece(i)[1:-1], 16): i for i in range(size) if model.is_byte(i)}
-        self.byte = np.array([byte[b] for b in range(256)], np.int64)
+        self.byte = np.array([byte[b] for b in range(256)], np.int32)
         said = [b""] * size
         for p, i in pieces.items():
             said[i] = p.replace(SPACE, " ").encode()
@@ -75,9 +84,9 @@ class Model:
 
     def merge(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that two neighbours make, or -1."""
-        key = left * self.wide + right
+        key = left.astype(np.int64) * self.wide + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.merged[at], -1)
+        return np.where(self.keys[at] == key, self.merged[at], np.int32(-1))
 
     def pairs(self) -> dict:
         """The merges as a dictionary, made when a chunk first needs it."""
@@ -86,7 +95,7 @@ class Model:
         return self._pairs
 
     def ranks(self, merged: np.ndarray) -> np.ndarray:
-        return np.where(merged >= 0, self.rank[merged], _NONE)
+        return np.where(merged >= 0, self.rank[merged], np.int32(_NONE))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -106,46 +115,52 @@ def _side_by_side(model: Model, symbols: np.ndarray, size: np.ndarray, keys: np.
     wide = symbols.shape[1]
     if wide < 2:
         return out, left_over
-    column = np.arange(wide)
-    rows, now, start = np.arange(len(symbols)), symbols, np.broadcast_to(column, symbols.shape)
-    paired = (now[:, :-1] >= 0) & (now[:, 1:] >= 0)
-    offers = np.where(paired, model.ranks(model.merge(now[:, :-1], now[:, 1:])), _NONE)
-    offers = np.concatenate([offers, np.full((len(now), 1), _NONE)], axis=1)
-    while len(rows):
+    column = np.arange(wide, dtype=np.intp)
+    rows, now, start = np.arange(len(symbols)), symbols.copy(), np.tile(np.arange(wide, dtype=np.int16), (len(symbols), 1))
+    offers = np.full(symbols.shape, _NONE, np.int32)
+    paired = now[:, 1:] >= 0
+    offers[:, :-1][paired] = model.ranks(model.merge(now[:, :-1][paired], now[:, 1:][paired]))
+    while True:
         best = offers.argmin(axis=1)
-        each = np.arange(len(rows))
-        open_ = offers[each, best] < _NONE
-        if not open_.all():
-            done = ~open_
+        open_ = np.flatnonzero(offers[np.arange(len(rows)), best] < _NONE)
+        if not len(open_):
+            break
+        if len(open_) < 0.7 * len(rows):
+            done = np.ones(len(rows), bool)
+            done[open_] = False
             out[rows[done]] = now[done]
             rows, now, start, offers, best, keys = rows[open_], now[open_], start[open_], offers[open_], best[open_], keys[open_]
-            each = np.arange(len(rows))
-            if not len(rows):
-                break
-        piece = model.merge(now[each, best], now[each, best + 1])
-        skipped = draws(keys, start[each, best], piece) < np.uint64(skip) if skip else np.zeros(len(rows), bool)
-        offers[each[skipped], best[skipped]] = _NONE
-        taken = np.flatnonzero(~skipped)
-        if not len(taken):
-            continue
-        at, piece = best[taken], piece[taken]
+            open_ = np.arange(len(rows))
+        at = best[open_]
+        piece = model.piece_of[offers[open_, at]]
+        tied = np.flatnonzero(piece < 0)
+        if len(tied):
+            piece[tied] = model.merge(now[open_[tied], at[tied]], now[open_[tied], at[tied] + 1])
+        if skip:
+            skipped = draws(keys[open_], start[open_, at], piece) < np.uint64(skip)
+            offers[open_[skipped], at[skipped]] = _NONE
+            open_, at, piece = open_[~skipped], at[~skipped], piece[~skipped]
+            if not len(open_):
+                continue
         move = np.minimum(column + (column > at[:, None]), wide - 1)
-        symbols_ = np.take_along_axis(now[taken], move, 1)
-        symbols_[:, -1] = -1
-        offers_ = np.take_along_axis(offers[taken], move, 1)
-        offers_[:, -1] = _NONE
-        own = np.arange(len(taken))
-        symbols_[own, at] = piece
-        behind = symbols_[own, np.minimum(at + 1, wide - 1)]
-        offers_[own, at] = np.where((behind >= 0) & (at + 1 < wide), model.ranks(model.merge(piece, behind)), _NONE)
+        own = np.arange(len(open_))
+        moved = np.take_along_axis(now[open_], move, 1)
+        moved[:, -1] = -1
+        moved[own, at] = piece
+        found = np.take_along_axis(offers[open_], move, 1)
+        found[:, -1] = _NONE
+        behind = moved[own, np.minimum(at + 1, wide - 1)]
+        behind[at + 1 >= wide] = -1
+        has = behind >= 0
+        found[own, at] = _NONE
+        found[own[has], at[has]] = model.ranks(model.merge(piece[has], behind[has]))
         has = at > 0
-        offers_[own[has], at[has] - 1] = model.ranks(model.merge(symbols_[own[has], at[has] - 1], piece[has]))
+        found[own[has], at[has] - 1] = model.ranks(model.merge(moved[own[has], at[has] - 1], piece[has]))
+        now[open_], offers[open_] = moved, found
         if skip:
-            start = start.copy() if not start.flags.writeable else start
-            start[taken] = np.take_along_axis(start[taken], move, 1)
-        now = now.copy() if now is symbols else now
-        now[taken], offers[taken] = symbols_, offers_
-        left_over[rows[taken]] -= 1
+            start[open_] = np.take_along_axis(start[open_], move, 1)
+        left_over[rows[open_]] -= 1
+    out[rows] = now
     return out, left_over
 
 
@@ -200,28 +215,28 @@ def segment(model: Model, words: list[str], keys: np.ndarray, skip: int) -> tupl
     for wide in (2, 4, 6, 8, 10, 12, 16, 24, WIDE):
         chosen = np.flatnonzero((size > low) & (size <= wide))
         low = wide
-        for part in np.array_split(chosen, max(1, len(chosen) // 50_000)):
+        for part in np.array_split(chosen, max(1, len(chosen) // 20_000)):
             if not len(part):
                 continue
             at = first[part][:, None] + np.arange(wide)
-            matrix = np.where(np.arange(wide) < size[part][:, None], symbols[np.minimum(at, len(symbols) - 1)], -1)
+            matrix = np.where(np.arange(wide) < size[part][:, None], symbols[np.minimum(at, len(symbols) - 1)], np.int32(-1))
             done, n = _side_by_side(model, matrix, size[part], keys[part], skip)
             found.append(done[np.arange(wide) < n[:, None]])
             of.append(part)
             count[part] = n
     for i in np.flatnonzero(size > WIDE):
         ids = one_by_one(model, symbols[first[i] : first[i] + size[i]].tolist(), int(keys[i]), skip)
-        found.append(np.array(ids, np.int64))
+        found.append(np.array(ids, np.int32))
         of.append(np.array([i]))
         count[i] = len(ids)
-    flat = np.concatenate(found) if found else np.empty(0, np.int64)
+    flat = np.concatenate(found) if found else np.empty(0, np.int32)
     order = np.concatenate(of) if of else np.empty(0, np.int64)
     start = np.zeros(len(words), np.int64)
     start[order] = np.cumsum(count[order]) - count[order]
     # Characters that are no piece become the bytes of their UTF-8 form.
     odd = np.flatnonzero(flat >= model.size)
     if len(odd):
-        spelled = [model.byte[np.frombuffer(chr(int(c) - model.size).encode(), np.uint8)] for c in flat[odd]]
+        spelled = [model.byte[np.frombuffer(chr(c - model.size).encode(), np.uint8)] for c in flat[odd].tolist()]
         longer = np.ones(len(flat), np.int64)
         longer[odd] = [len(s) for s in spelled]
         grown = np.repeat(flat, longer)
@@ -234,10 +249,39 @@ def segment(model: Model, words: list[str], keys: np.ndarray, skip: int) -> tupl
     return flat, start, count
 
 
-def encode_texts(model: Model, texts_: list[str], doc_keys: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """All texts' ids back to back, and the number of ids of each text."""
+class Seen:
+    """Chunks met so far with their ids, up to a bounded number of chunks."""
+
+    def __init__(self):
+        self.index = _Index()
+        self.row = np.empty(0, np.int32)  # by chunk and variant
+        self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def ids(self, model: Model, code: np.ndarray, seed: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks by code (place in the index times ``VARIANTS``, and variant), and how many each has."""
+        more = len(self.index) * VARIANTS - len(self.row)
+        self.row = np.concatenate([self.row, np.full(more, -1, np.int32)])
+        new = np.unique(code[self.row[code] < 0])
+        if len(new):
+            words = list(self.index)
+            keys = _mix((new % VARIANTS).astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & _M))
+            flat, start, count = segment(model, [words[i] for i in (new // VARIANTS).tolist()], keys, skip)
+            self.row[new] = np.arange(len(self.start), len(self.start) + len(new))
+            self.start = np.concatenate([self.start, start + len(self.flat)])
+            self.count = np.concatenate([self.count, count])
+            self.flat = np.concatenate([self.flat, flat])
+        row = self.row[code]
+        count = self.count[row]
+        return self.flat[_ragged(self.start[row], count)], count
+
+
+def encode_texts(
+    model: Model, texts_: list[str], doc_keys: np.ndarray, seed: int, dropout: float, seen: Seen | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids back to back, and the number of ids of each text. ``seen`` saves work, and changes nothing else."""
     skip = min(int(dropout * 2**64), _M) if dropout > 0 else 0
-    index, places, sizes = _Index(), [], []
+    seen = seen or Seen()
+    index, places, sizes = seen.index, [], []
     for text in texts_:
         marked = (SPACE + text.replace(SPACE, _LITERAL).replace(" ", SPACE)) if text else ""
         chunks = _chunks(marked)
@@ -251,12 +295,8 @@ def encode_texts(model: Model, texts_: list[str], doc_keys: np.ndarray, seed: in
         variant = (_mix(np.repeat(own, size) + nth * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(VARIANTS)).astype(np.int64)
     else:
         variant = np.zeros(len(place), np.int64)
-    code, back = np.unique(place * VARIANTS + variant, return_inverse=True)
-    words = list(index)
-    keys = _mix((code % VARIANTS).astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & _M))
-    flat, start, count = segment(model, [words[i] for i in (code // VARIANTS).tolist()], keys, skip)
-    ids = flat[_ragged(start[back], count[back])]
-    ends = np.concatenate([[0], np.cumsum(count[back])])
+    ids, count = seen.ids(model, place * VARIANTS + variant, seed, skip)
+    ends = np.concatenate([[0], np.cumsum(count)])
     return ids, np.diff(ends[np.concatenate([[0], np.cumsum(size)])])
 
 
@@ -275,7 +315,7 @@ def decode_ids(model: Model, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
 
 def _encode(name: str, seed: int, dropout: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(name)
+        model, seen = Model(name), Seen()
         for batch in batches:
             size, start = 0, 0
             bytes_ = pa.compute.binary_length(batch["text"]).to_pylist()
@@ -285,7 +325,9 @@ def _encode(name: str, seed: int, dropout: float):
                     continue
                 part = batch.slice(start, end - start)
                 keys = pa.compute.fill_null(part["doc_id"], -1).to_numpy(zero_copy_only=False)
-                ids, sizes = encode_texts(model, part["text"].to_pylist(), keys, seed, dropout)
+                if len(seen.index) > WORDS:
+                    seen = Seen()
+                ids, sizes = encode_texts(model, part["text"].to_pylist(), keys, seed, dropout, seen)
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)))], ["doc_id", "ids"])
                 size, start = 0, end
@@ -306,11 +348,11 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", seed: int = 1, d
 
 def _decode(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(name)
+        model = Model(name, merges=False)
         for batch in batches:
             lists = batch["ids"]
             sizes = np.diff(lists.offsets.to_numpy())
-            for part in np.array_split(np.arange(len(batch)), max(1, int(sizes.sum()) * 4 // SLAB)):
+            for part in np.array_split(np.arange(len(batch)), max(1, int(sizes.sum()) * 8 // SLAB)):
                 if len(part):
                     some = lists.slice(part[0], len(part))
                     said = decode_ids(model, some.flatten().to_numpy().astype(np.int64), sizes[part])
