@@ -40,7 +40,7 @@ CHAIN = [
     """CASE WHEN o_orderpriority = '2-HIGH' AND o_totalprice < 20000 THEN o_orderkey WHEN o_orderkey % 7 = 0 THEN NULL
             WHEN o_orderkey % 13 = 5 THEN prev2 WHEN prev IS NULL AND o_custkey % 50 = 3 THEN nxt ELSE prev END AS obsoletes""",
     "CASE WHEN o_orderkey % 11 = 3 THEN o_orderkey WHEN o_orderkey % 3 <> 0 THEN nxt END AS obsoleted_by",
-    "CASE WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice > 400000 THEN o_custkey + 100000000 END AS sequence_id",
+    "CASE WHEN o_orderpriority = '3-MEDIUM' AND o_totalprice > 400000 THEN o_orderkey + 100000000 END AS sequence_id",
 ]
 CHAIN_ORDER = [
     "*",
