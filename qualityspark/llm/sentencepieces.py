@@ -4,11 +4,13 @@ Merges of a BPE model are taken from an agenda, best score first, then leftmost.
 Each time the agenda offers a merge, a hash keyed by seed, document, place and
 piece decides whether it is skipped; without dropout the ids are the model's
 own. No piece spans a space, so a text is a row of chunks, and the agendas of
-all distinct chunks of a slab of texts are worked off side by side in numpy.
+many chunks are worked off side by side in numpy. Only what no draw decides is
+kept: the offers that a chunk meets after given skips.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -23,10 +25,14 @@ from qualityspark.llm.common import texts
 SPACE = "▁"
 #: Stands for a SPACE that the text itself holds; no UTF-8 text has it.
 _LITERAL = "\udfff"
-#: Ways to segment a chunk that a document's places choose from; bytes of text at once; longest chunk in a matrix.
-VARIANTS, SLAB, WIDE = 16, 1 << 22, 32
-#: Distinct chunks to keep the ids of within a task.
-WORDS = 300_000
+#: Bytes of text at once; longest chunk in a matrix; occurrences to draw for at once.
+SLAB, WIDE, BLOCK = 1 << 22, 32, 100_000
+#: Distinct chunks, and agendas of chunks, to keep within a task before it starts anew.
+WORDS, AGENDAS = 300_000, 500_000
+#: An agenda that was never asked for, and one that was asked for once.
+_NEW, _ONCE = -2, -1
+#: Offers of a chunk, from its first on, that a kept agenda may have skipped.
+BITS = 62
 _NONE = np.iinfo(np.int32).max
 _M = (1 << 64) - 1
 
@@ -109,8 +115,22 @@ def draws(key: np.ndarray, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
     return _mix(key.astype(np.uint64) + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + piece.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _side_by_side(model: Model, symbols: np.ndarray, size: np.ndarray, keys: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-    """Work off the agendas of all rows (padded with -1): symbols and how many are left of each row."""
+def draw(key: int, start: int, piece: int) -> int:
+    """The same for one offer."""
+    x = (key + start * 0x9E3779B97F4A7C15 + piece * 0xC2B2AE3D27D4EB4F) & _M
+    x = ((x ^ (x >> 31)) * 0x7FB5D329728EA185) & _M
+    x = ((x ^ (x >> 27)) * 0x81DADEF4BC2DD44D) & _M
+    return x ^ (x >> 33)
+
+
+def _side_by_side(
+    model: Model, symbols: np.ndarray, size: np.ndarray, keys: np.ndarray, skip: int, skips: np.ndarray | None = None, offered: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Work off the agendas of all rows (padded with -1): symbols and how many are left of each row.
+
+    With ``skips`` a row skips the offers whose bits are set there, whatever its
+    key, and ``offered`` gets rows, starts and pieces of each round of offers.
+    """
     out, left_over = symbols.copy(), size.copy()
     wide = symbols.shape[1]
     if wide < 2:
@@ -120,7 +140,7 @@ def _side_by_side(model: Model, symbols: np.ndarray, size: np.ndarray, keys: np.
     offers = np.full(symbols.shape, _NONE, np.int32)
     paired = now[:, 1:] >= 0
     offers[:, :-1][paired] = model.ranks(model.merge(now[:, :-1][paired], now[:, 1:][paired]))
-    while True:
+    for nth in itertools.count():
         best = offers.argmin(axis=1)
         open_ = np.flatnonzero(offers[np.arange(len(rows)), best] < _NONE)
         if not len(open_):
@@ -130,14 +150,17 @@ def _side_by_side(model: Model, symbols: np.ndarray, size: np.ndarray, keys: np.
             done[open_] = False
             out[rows[done]] = now[done]
             rows, now, start, offers, best, keys = rows[open_], now[open_], start[open_], offers[open_], best[open_], keys[open_]
+            skips = None if skips is None else skips[open_]
             open_ = np.arange(len(rows))
         at = best[open_]
         piece = model.piece_of[offers[open_, at]]
         tied = np.flatnonzero(piece < 0)
         if len(tied):
             piece[tied] = model.merge(now[open_[tied], at[tied]], now[open_[tied], at[tied] + 1])
-        if skip:
-            skipped = draws(keys[open_], start[open_, at], piece) < np.uint64(skip)
+        if skips is not None:
+            offered.append((rows[open_], start[open_, at], piece))
+        if skip or skips is not None and nth < BITS:
+            skipped = (skips[open_] >> nth & 1 > 0) if skips is not None else draws(keys[open_], start[open_, at], piece) < np.uint64(skip)
             offers[open_[skipped], at[skipped]] = _NONE
             open_, at, piece = open_[~skipped], at[~skipped], piece[~skipped]
             if not len(open_):
@@ -157,7 +180,7 @@ def _side_by_side(model: Model, symbols: np.ndarray, size: np.ndarray, keys: np.
         has = at > 0
         found[own[has], at[has] - 1] = model.ranks(model.merge(moved[own[has], at[has] - 1], piece[has]))
         now[open_], offers[open_] = moved, found
-        if skip:
+        if skip or skips is not None:
             start[open_] = np.take_along_axis(start[open_], move, 1)
         left_over[rows[open_]] -= 1
     out[rows] = now
@@ -171,12 +194,11 @@ def one_by_one(model: Model, symbols: list[int], key: int, skip: int) -> list[in
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda = [(int(model.rank[p]), i, i + 1, sym[i], sym[i + 1], p) for i in range(n - 1) if (p := pairs.get((sym[i], sym[i + 1]))) is not None]
     heapify(agenda)
-    keys = np.array([key], np.uint64)
     while agenda:
         _, i, j, a, b, piece = heappop(agenda)
         if sym[i] != a or sym[j] != b or after[i] != j:
             continue
-        if skip and int(draws(keys, np.array([i]), np.array([piece]))[0]) < skip:
+        if skip and draw(key, i, piece) < skip:
             continue
         sym[i], sym[j], k = piece, -1, after[j]
         after[i] = k
@@ -202,8 +224,13 @@ class _Index(dict):
         return n
 
 
-def segment(model: Model, words: list[str], keys: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of chunks, back to back, with each chunk's start and number of ids."""
+def segment(
+    model: Model, words: list[str], keys: np.ndarray, skip: int, skips: np.ndarray | None = None, offered: list | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of chunks, back to back, with each chunk's start and number of ids.
+
+    ``skips`` and ``offered`` are for chunks of up to ``WIDE`` characters.
+    """
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
     symbols = model.symbol[points]
     size = np.array([len(w) for w in words], np.int64)
@@ -220,7 +247,10 @@ def segment(model: Model, words: list[str], keys: np.ndarray, skip: int) -> tupl
                 continue
             at = first[part][:, None] + np.arange(wide)
             matrix = np.where(np.arange(wide) < size[part][:, None], symbols[np.minimum(at, len(symbols) - 1)], np.int32(-1))
-            done, n = _side_by_side(model, matrix, size[part], keys[part], skip)
+            rounds: list = []
+            done, n = _side_by_side(model, matrix, size[part], keys[part], skip, None if skips is None else skips[part], rounds)
+            if offered is not None:
+                offered += [(part[rows], starts, pieces) for rows, starts, pieces in rounds]
             found.append(done[np.arange(wide) < n[:, None]])
             of.append(part)
             count[part] = n
@@ -250,29 +280,95 @@ def segment(model: Model, words: list[str], keys: np.ndarray, skip: int) -> tupl
 
 
 class Seen:
-    """Chunks met so far with their ids, up to a bounded number of chunks."""
+    """Chunks met so far with their agendas, which are the same for all keys.
+
+    An agenda is a chunk and the offers that are skipped of it. It has the offers
+    that are met on the way and the ids in the end. Each offer leads to the agenda
+    that skips it too, so an occurrence walks from agenda to agenda by its own
+    draws. What is asked for only once is worked off with the draws directly.
+    """
 
     def __init__(self):
         self.index = _Index()
-        self.row = np.empty(0, np.int32)  # by chunk and variant
-        self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def ids(self, model: Model, code: np.ndarray, seed: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks by code (place in the index times ``VARIANTS``, and variant), and how many each has."""
-        more = len(self.index) * VARIANTS - len(self.row)
-        self.row = np.concatenate([self.row, np.full(more, -1, np.int32)])
-        new = np.unique(code[self.row[code] < 0])
-        if len(new):
-            words = list(self.index)
-            keys = _mix((new % VARIANTS).astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & _M))
-            flat, start, count = segment(model, [words[i] for i in (new // VARIANTS).tolist()], keys, skip)
-            self.row[new] = np.arange(len(self.start), len(self.start) + len(new))
-            self.start = np.concatenate([self.start, start + len(self.flat)])
-            self.count = np.concatenate([self.count, count])
-            self.flat = np.concatenate([self.flat, flat])
-        row = self.row[code]
-        count = self.count[row]
-        return self.flat[_ragged(self.start[row], count)], count
+        self.root = np.empty(0, np.int32)  # by chunk: the agenda without skips
+        self.word, self.skips = np.empty(0, np.int32), np.empty(0, np.int64)  # by agenda
+        self.first, self.offers = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.start, self.count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.at, self.piece, self.next = np.empty(0, np.int16), np.empty(0, np.int32), np.empty(0, np.int32)  # by offer
+        self.flat = np.empty(0, np.int32)
+
+    def _add(self, model: Model, words: list[str], word: np.ndarray, skips: np.ndarray, dropout: bool) -> np.ndarray:
+        """Work off new agendas; their numbers."""
+        offered: list = []
+        flat, start, count = segment(model, [words[i] for i in word.tolist()], np.zeros(len(word), np.uint64), 0, skips if dropout else None, offered)
+        rows, at, piece = (np.concatenate(c) for c in zip(*offered, strict=True)) if offered else (np.empty(0, np.int64),) * 3
+        order = np.argsort(rows, kind="stable")
+        offers = np.bincount(rows, minlength=len(word)).astype(np.int64)
+        new = np.arange(len(self.word), len(self.word) + len(word), dtype=np.int32)
+        more = {
+            "word": word, "skips": skips, "offers": offers, "first": len(self.at) + np.cumsum(offers) - offers, "start": start + len(self.flat), "count": count,
+            "at": at[order], "piece": piece[order], "next": np.full(len(rows), _NEW), "flat": flat,
+        }
+        for name, values in more.items():
+            own = getattr(self, name)
+            setattr(self, name, np.concatenate([own, values.astype(own.dtype)]))
+        return new
+
+    def _skipped(self, agenda: np.ndarray, asked: np.ndarray, keys: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that skip an offer of their agenda behind the ``asked`` first ones, and which one."""
+        rows, offers = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for low in range(0, len(agenda), BLOCK):
+            part = slice(low, low + BLOCK)
+            n = self.offers[agenda[part]] - asked[part]
+            at = _ragged(self.first[agenda[part]] + asked[part], n)
+            who = np.repeat(np.arange(low, low + len(n)), n)
+            hit = np.flatnonzero(draws(keys[who], self.at[at], self.piece[at]) < np.uint64(skip))
+            hit = hit[np.diff(who[hit], prepend=-1) > 0]
+            rows.append(who[hit])
+            offers.append(at[hit])
+        return np.concatenate(rows), np.concatenate(offers)
+
+    def ids(self, model: Model, word: np.ndarray, keys: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks by place in the index and key, and how many each has."""
+        words = list(self.index)
+        self.root = np.concatenate([self.root, np.full(len(words) - len(self.root), _NEW, np.int32)])
+        new, which, n = np.unique(word, return_inverse=True, return_counts=True)
+        open_ = self.root[new] < 0
+        if skip:
+            long = np.array([len(words[i]) > WIDE for i in new.tolist()], bool)
+            once = open_ & (long | (self.root[new] == _NEW) & (n == 1))
+            self.root[new[once]] = _ONCE
+            open_ &= ~once
+        if open_.any():
+            self.root[new[open_]] = self._add(model, words, new[open_], np.zeros(int(open_.sum()), np.int64), bool(skip))
+        ends = self.root[word]
+        live = np.flatnonzero(ends >= 0) if skip else np.empty(0, np.int64)
+        asked = np.zeros(len(live), np.int64)
+        while len(live):
+            agenda = ends[live]
+            rows, offers = self._skipped(agenda, asked, keys[live], skip)
+            live, agenda = live[rows], agenda[rows]
+            asked = offers - self.first[agenda] + 1
+            new, which, n = np.unique(offers, return_index=True, return_counts=True)
+            nth, own = asked[which] - 1, agenda[which]
+            open_ = self.next[new] < 0
+            once = open_ & ((nth >= BITS) | (self.next[new] == _NEW) & (n == 1))
+            self.next[new[once]] = _ONCE
+            open_ &= ~once
+            if open_.any():
+                skips = self.skips[own[open_]] | np.int64(1) << nth[open_]
+                added = self._add(model, words, self.word[own[open_]], skips, True)
+                self.next[new[open_]] = added
+            ends[live] = self.next[offers]
+            kept = ends[live] >= 0
+            live, asked = live[kept], asked[kept]
+        alone = np.flatnonzero(ends < 0)
+        flat, start, count = self.flat, self.start[ends], self.count[ends]
+        if len(alone):
+            more, start[alone], count[alone] = segment(model, [words[i] for i in word[alone].tolist()], keys[alone], skip)
+            start[alone] += len(flat)
+            flat = np.concatenate([flat, more])
+        return flat[_ragged(start, count)], count
 
 
 def encode_texts(
@@ -292,10 +388,10 @@ def encode_texts(
     if skip:
         own = _mix(doc_keys.astype(np.uint64) ^ np.uint64(seed & _M))
         nth = _ragged(np.zeros(len(size), np.int64), size).astype(np.uint64)
-        variant = (_mix(np.repeat(own, size) + nth * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(VARIANTS)).astype(np.int64)
+        keys = _mix(np.repeat(own, size) + nth * np.uint64(0x9E3779B97F4A7C15))
     else:
-        variant = np.zeros(len(place), np.int64)
-    ids, count = seen.ids(model, place * VARIANTS + variant, seed, skip)
+        keys = np.zeros(len(place), np.uint64)
+    ids, count = seen.ids(model, place, keys, skip)
     ends = np.concatenate([[0], np.cumsum(count)])
     return ids, np.diff(ends[np.concatenate([[0], np.cumsum(size)])])
 
@@ -325,7 +421,7 @@ def _encode(name: str, seed: int, dropout: float):
                     continue
                 part = batch.slice(start, end - start)
                 keys = pa.compute.fill_null(part["doc_id"], -1).to_numpy(zero_copy_only=False)
-                if len(seen.index) > WORDS:
+                if len(seen.index) > WORDS or len(seen.word) > AGENDAS:
                     seen = Seen()
                 ids, sizes = encode_texts(model, part["text"].to_pylist(), keys, seed, dropout, seen)
                 ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
@@ -338,7 +434,8 @@ def _encode(name: str, seed: int, dropout: float):
 def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", seed: int = 1, dropout: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` of whole texts, one row per row.
 
-    The same seed, id and text give the same ids wherever they are computed;
+    The same seed, id and text give the same ids wherever they are computed; each
+    offer of each place of a document has a draw of its own;
     with dropout 0 they are the model's own, with 1 no merge is made. Null and
     empty texts have no ids. A space sign (U+2581) in a text is spelled in
     bytes, so that decoding tells it from a space. Null ids count as -1.

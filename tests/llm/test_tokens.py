@@ -71,6 +71,39 @@ def test_dropout_varies_by_place_and_repeats_by_seed(spark, documents):
     assert S.decode(S.encode(documents([]))).count() == 0
 
 
+def test_each_place_has_draws_of_its_own(model):
+    word, n, skip = "internationalization", 6000, int(0.1 * 2**64)
+    ids, sizes = S.encode_texts(model, [word] * n, np.arange(n), 3, 0.1)
+    ways = [tuple(r) for r in rows(ids, sizes)]
+    assert 16 < len(set(ways[:300])) < len(set(ways[:1500])) < len(set(ways))
+    # The first offer of the agenda is skipped in a tenth of the documents, other words' offers of the same piece independently.
+    seen = S.Seen()
+    S.encode_texts(model, [word] * 2, np.arange(2), 3, 0.1, seen)
+    agenda = seen.root[0]
+    start, piece = seen.at[seen.first[agenda]], seen.piece[seen.first[agenda]]
+    keys = S._mix(S._mix(np.arange(n).astype(np.uint64) ^ np.uint64(3)))
+    skipped = S.draws(keys, np.full(n, start), np.full(n, piece)) < np.uint64(skip)
+    assert 0.08 < skipped.mean() < 0.12
+    assert all(S.draw(int(k), int(start), int(piece)) == int(d) for k, d in zip(keys[:50], S.draws(keys[:50], np.full(50, start), np.full(50, piece))))
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5])
+def test_kept_agendas_change_nothing(model, dropout):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshrdlué日") for _ in range(rng.choice([1, 3, 8, 20, 31, 40]))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words[:6] if rng.random() < 0.6 else words) for _ in range(30)) for _ in range(200)]
+    keys, seen, skip = np.arange(200), S.Seen(), int(dropout * 2**64)
+    got = [r for low in range(0, 200, 50) for r in rows(*S.encode_texts(model, texts[low : low + 50], keys[low : low + 50], 7, dropout, seen))]
+    assert len(seen.word) > 100
+    for key, text, ids in zip(keys, texts, got):
+        chunks = S._chunks(S.SPACE + text.replace(" ", S.SPACE))
+        own = S._mix(np.array([key], np.uint64) ^ np.uint64(7))
+        place = S._mix(own + np.arange(len(chunks)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        assert S.segment(model, chunks, place, skip)[0].tolist() != [] and ids == [
+            i for c, k in zip(chunks, place) for i in S.segment(model, [c], np.array([k], np.uint64), skip)[0].tolist()
+        ]
+
+
 def test_fullest_is_the_best_sum():
     rng = random.Random(5)
     for _ in range(150):
