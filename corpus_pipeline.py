@@ -4,6 +4,10 @@ Quality, exact copies, near copies and secrets are dealt with in turn; what is
 left is packed. Every stage but the last takes and returns the columns of
 ``documents``, works on all that its predecessor kept, and joins ids with texts
 by merge at every size, as the ids grow with the texts.
+
+Documents without an id stay like any others. Where a stage goes by ids, they
+count as behind all ids: of copies, one without an id stays only if it is the
+longest, or if none has an id.
 """
 
 from __future__ import annotations
@@ -16,8 +20,24 @@ from qualityspark.llm.common import cut_lineage, release
 from qualityspark.session import configure
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+#: Name of the stages' own id, which is never null.
+_ROW = "pipeline_row"
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_ROW``: their id, and for each row without one a number of its own above all ids."""
+    named = docs.filter("doc_id IS NOT NULL").withColumn(_ROW, F.col("doc_id"))
+    nameless = docs.filter("doc_id IS NULL")
+    if nameless.isEmpty():
+        return named
+    last = named.agg(F.max("doc_id")).first()[0]
+    # Written, so that a row's number is the same wherever it is read.
+    numbered = cut_lineage(nameless.withColumn(_ROW, F.monotonically_increasing_id() + F.lit(max(-1, -1 if last is None else last) + 1)))
+    return named.unionByName(numbered)
+
+
+def _kept(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    return rows.join(ids.select(F.col("doc_id").alias(_ROW)).hint("merge"), _ROW, "left_semi").select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +47,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space, the longest stays."""
-    return _kept(docs, exact_dedup.deduplicate(docs, exact_dedup.DigestIndex.scratch(spark)).filter("kept"))
+    """Of texts that are equal without white space, the longest stays, then the one with the smallest id; no id comes last."""
+    rows = _rows(docs)
+    return _kept(docs, rows, exact_dedup.deduplicate(rows, exact_dedup.DigestIndex.scratch(spark), id_col=_ROW).filter("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links by its shingles, the document with the smallest id stays."""
-    return _kept(docs, ngram_join.join_near(docs).filter("doc_id = component_id"))
+    """Of each group that links by its shingles, the document with the smallest id stays; no id comes last."""
+    rows = _rows(docs)
+    return _kept(docs, rows, ngram_join.join_near(rows, id_col=_ROW).filter("doc_id = component_id"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

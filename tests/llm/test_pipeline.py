@@ -56,3 +56,28 @@ def test_stages(spark):
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= 1024 and len(ends) <= -(-sum(ends.values()) // 1024) + 3
     assert np.unique([r.sequence_id for r in packed]).size == len(ends)
+
+
+def test_documents_without_ids_stay(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    texts = [(7, words(0, 30)), (None, words(0, 30)), (None, words(1, 30)), (None, words(1, 30)), (None, words(1, 30) + " "), (8, words(2, 60)), (None, words(2, 60) + " y")]
+    texts += [(None, words(3, 60)), (None, words(3, 60) + " y"), (9, words(4, 20)), (None, words(4, 20) + "  "), (None, words(5, 20)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], schema)
+    found = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    exact = cut_lineage(stages["exact dedup"](spark, docs, FOLDER))
+    left = [texts[0], texts[4], *texts[5:9], texts[10], *texts[11:]]
+    assert found(exact) == sorted(left, key=str) and exact.columns == docs.columns
+    near = cut_lineage(stages["n-gram Jaccard join"](spark, exact, FOLDER))
+    groups = found(near)
+    assert len(groups) == 7 and texts[5] in groups and texts[6] not in groups
+    assert sum(t in groups for t in texts[7:9]) == 1 and {texts[0], texts[4], texts[10], texts[11], texts[12]} <= set(groups)
+    masked = cut_lineage(stages["secret scan"](spark, near, FOLDER))
+    assert found(masked) == groups
+    packed = stages["best-fit packing"](spark, masked, FOLDER).collect()
+    assert sum(r.piece == 0 for r in packed) == 7 and sum(r.doc_id is None and r.piece == 0 for r in packed) == 5
+    judged = stages["quality classifier"](spark, docs, FOLDER)
+    net = quality.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    assert found(judged) == sorted([t for t in texts if net.score([(t[1] or "").encode()])[0] >= quality.THRESHOLD], key=str)
