@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from qualityspark.llm.common import cut_lineage
 
-_CLASS = r"[A-Za-z0-9_+/=-]"
-#: A run of eight or more such characters, one of them a digit; only tried where a run begins.
-CANDIDATE = rf"(?<!{_CLASS})(?=[A-Za-z_+/=-]*+[0-9]){_CLASS}{{8,}}"
+_CLASS = r"[A-Za-z0-9_+/-]"
+#: A run of eight or more such characters, one of them a digit, and its padding; only tried where a run begins.
+CANDIDATE = rf"(?<!{_CLASS})(?=[A-Za-z_+/-]*+[0-9]){_CLASS}{{8,}}(?:={{1,2}}(?![A-Za-z0-9_+/=-]))?"
 MASK = "[SECRET]"
 
 #: Characters before and behind a candidate that count as beside it.
@@ -30,6 +30,15 @@ BINS, TREES, DEPTH = 16, 16, 4
 SAMPLE, THRESHOLD = 4000, 0.5
 
 CREDENTIAL = r"(?i)(token|secret|passw|pwd|api[_-]?key|access[_-]?key|private|auth|bearer|credential)"
+#: What stands between a credential's name and its value: an assignment, blanks and a quote.
+_ASSIGN, _QUOTE = r"[ \t]{0,8}[:=]{1,3}>?[ \t]{0,8}", r"""["']?"""
+#: Eight or more characters other than blanks behind a name with a credential's word in it and an assignment, with or without
+#: digits: up to its quote, or else without the punctuation behind it. Java only, as the name is looked back at.
+VALUE = (
+    rf"""(?<=[=:>"' \t])(?=[^\s=:>])(?<=[=:>][ \t]{{0,8}}{_QUOTE})(?<={CREDENTIAL}[A-Za-z0-9_.-]{{0,32}}{_QUOTE}{_ASSIGN}{_QUOTE})(?!//)"""
+    r"""(?:(?<=")[^\s"]{8,}|(?<=')[^\s']{8,}|(?<!["'])[^\s"']{7,}[^\s"',;.)\]}])"""
+)
+FOUND = f"(?:{VALUE})|(?:{CANDIDATE})"
 BENIGN = r"(?i)(example|sample|test|dummy|commit|sha\d*|md5|hash|checksum|uuid|phone|call|tel\b|card|order|invoice|version|page)"
 ASSIGNED = r"""(=|:|=>)\s*["']?$"""
 #: Words that make up names rather than keys.
@@ -46,18 +55,27 @@ COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st t
 def candidates(text: Column, path: Column | None = None) -> tuple[Column, Column]:
     """What stands between candidates, and the candidates: ``value, start, before, behind, path``.
 
+    Candidates are values of ``VALUE`` and runs of ``CANDIDATE``. A run without a
+    digit, or one that other characters break into parts of fewer than eight, is
+    found only where it is assigned to a credential's name. A candidate that is
+    the name of the next one's assignment belongs to what stands before it.
     ``start`` counts code points from 0. A null text is an empty one.
     """
     text = F.coalesce(text, F.lit(""))
-    between = F.split(text, CANDIDATE, -1)
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    between = F.split(text, FOUND, -1)
+    found = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
     path = F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))
 
+    def before(i: Column) -> Column:
+        own = F.get(between, i)
+        name = F.concat(F.right(F.get(between, i - 1), F.lit(BEFORE)), F.get(found, i - 1))
+        return F.right(F.when((i > 0) & own.rlike(rf"^{_QUOTE}{_ASSIGN}{_QUOTE}$"), F.concat(name, own)).otherwise(own), F.lit(BEFORE))
+
     def cut(value: Column, i: Column) -> Column:
         return F.struct(
             value.alias("value"),
             (_length(F.slice(between, F.lit(1), i + 1)) + _length(F.slice(found, F.lit(1), i))).alias("start"),
-            F.right(F.get(between, i), F.lit(BEFORE)).alias("before"),
+            before(i).alias("before"),
             F.left(F.get(between, i + 1), F.lit(BEHIND)).alias("behind"),
             path.alias("path"),
         )
@@ -110,10 +128,10 @@ N_FEATURES = 14
 
 
 def evident_label(c: Column) -> Column:
-    """1 for a value assigned to a credential's name, 0 for plain numbers and numbered names, else null."""
+    """1 for a value assigned to a credential's name, 0 for plain numbers and numbered names, else null, as for a plain word with such a name."""
     named = c["before"].rlike(CREDENTIAL + r"""s?["']?\s*""" + ASSIGNED)
     plain = c["value"].rlike(r"^[-+0-9]+$") | c["value"].rlike(r"^[A-Za-z]+([-_][A-Za-z]+)*[-_]?[0-9]{1,4}$")
-    return F.when(named, 1).when(plain, 0)
+    return F.when(named & ~c["value"].rlike("^[A-Za-z]?[a-z]+$"), 1).when(plain, 0)
 
 
 def labelled_findings(docs: DataFrame, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
