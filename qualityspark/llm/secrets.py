@@ -186,15 +186,17 @@ def _leaves(node: Node, out: list[Node]) -> list[Node]:
 
 
 def grow(findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Forest:
-    """A forest from labelled findings (``features, label, value``), at most ``sample`` of either label.
+    """A forest from labelled findings (``features, label, value``), at most ``sample`` distinct ones of either label.
 
+    Findings that repeat count once, so that copied texts do not crowd out others.
     Each tree weighs rows by a draw from their hash, and each of its nodes looks
     at about half of the features, so the same findings give the same forest
     however they are spread. Findings of one label only give that label's score to
     all; without findings the forest is empty, and its score one half.
     """
     key = F.xxhash64("value", "features")
-    chosen = [findings.filter(F.col("label") == c).withColumn("key", key).orderBy("key", "value").limit(sample) for c in (0, 1)]
+    distinct = findings.select("value", "features", "label").distinct()
+    chosen = [distinct.filter(F.col("label") == c).withColumn("key", key).orderBy("key", "value").limit(sample) for c in (0, 1)]
     draw = F.pmod(F.xxhash64("key", "tree"), F.lit(1000))
     weight = F.when(draw < 368, 0).when(draw < 736, 1).when(draw < 920, 2).otherwise(3)
     spread = chosen[0].unionByName(chosen[1]).select("key", "features", "label", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))

@@ -197,3 +197,10 @@ def test_assigned_values_are_candidates(spark, text, value):
     forest = C.grow(C.labelled_findings(docs, path_col=None))
     masked = {r.text for r in C.redact(docs, forest, path_col=None).filter("doc_id = 9000").collect()}
     assert text.replace(value, C.MASK) in masked
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    keys = [f"{i:040x}" for i in range(1, 60)]
+    rows = [f'token = "{k}"' for k in keys] + [f'token = "{k}"' for k in keys[:10]] * 500 + [f"release_{i}" for i in range(60)]
+    found = C.labelled_findings(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string"), path_col=None)
+    assert C.grow(found, sample=40) == C.grow(found.distinct(), sample=40)
