@@ -10,7 +10,7 @@ level for all trees; the driver sees counts only.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -222,7 +222,7 @@ def grow(findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: i
 
 def _drawn(*place: int) -> bool:
     """Whether a node looks at a feature: even odds, the same in every run."""
-    return zlib.crc32(repr(place).encode()) % 2 == 0
+    return hashlib.blake2b(repr(place).encode(), digest_size=1).digest()[0] % 2 == 0
 
 
 def _split(leaf: Node, by_feature: dict[int, list[tuple[int, int, int]]]) -> None:

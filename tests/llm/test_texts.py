@@ -204,3 +204,9 @@ def test_copies_do_not_fill_the_sample(spark):
     rows = [f'token = "{k}"' for k in keys] + [f'token = "{k}"' for k in keys[:10]] * 500 + [f"release_{i}" for i in range(60)]
     found = C.labelled_findings(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string"), path_col=None)
     assert C.grow(found, sample=40) == C.grow(found.distinct(), sample=40)
+
+
+def test_nodes_see_many_subsets():
+    places = [(t, level, leaf) for t in range(C.TREES) for level in range(C.DEPTH) for leaf in range(2**level)]
+    seen = {tuple(C._drawn(*p, k) for k in range(C.N_FEATURES)) for p in places}
+    assert len(seen) > 200 and all(80 < sum(C._drawn(*p, k) for p in places) < 160 for k in range(C.N_FEATURES))
