@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualityspark.llm import chat_format, exact_dedup, line_dedup, ngram_join, packing, quality, secrets, sentencepieces, topk_search, url_filters
+from qualityspark.llm import chat_format, exact_dedup, line_dedup, merkle, ngram_join, packing, quality, secrets, sentencepieces, topk_search, url_filters
 from qualityspark.llm.common import table
 from qualityspark.session import configure
 
@@ -84,3 +84,17 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_url_filters", url_filters.OP10_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(table(spark, folder, "pages"))
+
+
+@query("op11_merkle_manifest", merkle.OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(*merkle.FIELDS)
+    tampers = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    altered = F.col("n_chars") + F.when(tampers, 1).otherwise(0)
+    presented = merkle.leaf_digest(*(altered if c == "n_chars" else F.col(c) for c in merkle.FIELDS))
+    leaf = merkle.leaf_digest(*map(F.col, merkle.FIELDS))
+    rows = docs.select(merkle.tree_key(F.col("lang")).alias("tree"), "doc_id", leaf.alias("leaf"), presented.alias("presented"))
+    proved = merkle.prove(merkle.build(rows))
+    folded = proved.withColumn("folded_root", merkle.fold(F.col("presented"), F.col("siblings"), F.col("digits")))
+    proof = F.sha2(F.array_join(F.flatten("siblings"), ""), 256)
+    return folded.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
