@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualityspark.llm import chat_format, exact_dedup, line_dedup, merkle, ngram_join, packing, quality, secrets, sentencepieces, topk_search, url_filters
+from qualityspark.llm import alignment, chat_format, exact_dedup, line_dedup, merkle, ngram_join, packing, quality, secrets, sentencepieces, suffix_dedup, topk_search, url_filters
 from qualityspark.llm.common import table
 from qualityspark.session import configure
 
@@ -98,3 +98,16 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     folded = proved.withColumn("folded_root", merkle.fold(F.col("presented"), F.col("siblings"), F.col("digits")))
     proof = F.sha2(F.array_join(F.flatten("siblings"), ""), 256)
     return folded.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"))
+
+
+@query("op13_suffix_dedup", suffix_dedup.OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_dedup.deduplicate_passages(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["at"])
+    counts = [F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans")]
+    return out.select("doc_id", "n_bytes", *counts, F.sha2("kept", 256).alias("kept_sha256"))
