@@ -459,14 +459,14 @@ hits AS (
 marked AS (
   SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS begins FROM hits),
 spans AS (
-  SELECT r, s, min(p) AS at, max(p) + 200 AS stop FROM (SELECT r, p, sum(begins) OVER (PARTITION BY r ORDER BY p) AS s FROM marked) GROUP BY r, s),
+  SELECT r, s, min(p) AS low, max(p) + 200 AS high FROM (SELECT r, p, sum(begins) OVER (PARTITION BY r ORDER BY p) AS s FROM marked) GROUP BY r, s),
 gaps AS (
-  SELECT b.r, s.at AS stop, coalesce(lag(s.stop) OVER (PARTITION BY b.r ORDER BY s.at), 0) AS at FROM bytes b JOIN spans s ON s.r = b.r
+  SELECT b.r, s.low AS high, coalesce(lag(s.high) OVER (PARTITION BY b.r ORDER BY s.low), 0) AS low FROM bytes b JOIN spans s ON s.r = b.r
   UNION ALL
-  SELECT b.r, octet_length(any_value(b.b)), coalesce(max(s.stop), 0) FROM bytes b LEFT JOIN spans s ON s.r = b.r GROUP BY b.r),
+  SELECT b.r, octet_length(any_value(b.b)), coalesce(max(s.high), 0) FROM bytes b LEFT JOIN spans s ON s.r = b.r GROUP BY b.r),
 kept AS (
-  SELECT g.r, sha256(unhex(string_agg(CASE WHEN g.stop > g.at THEN hex(b.b[g.at + 1:g.stop]) ELSE '' END, '' ORDER BY g.at))) AS kept_sha256
+  SELECT g.r, sha256(unhex(string_agg(CASE WHEN g.high > g.low THEN hex(b.b[g.low + 1:g.high]) ELSE '' END, '' ORDER BY g.low))) AS kept_sha256
   FROM gaps g JOIN bytes b ON b.r = g.r GROUP BY g.r)
 SELECT b.doc_id, octet_length(b.b)::BIGINT AS n_bytes, coalesce(s.n_removed, 0)::BIGINT AS n_removed, coalesce(s.n_spans, 0)::BIGINT AS n_spans, kept_sha256
-FROM bytes b JOIN kept k ON k.r = b.r LEFT JOIN (SELECT r, sum(stop - at) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r) s ON s.r = b.r
+FROM bytes b JOIN kept k ON k.r = b.r LEFT JOIN (SELECT r, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r) s ON s.r = b.r
 """
