@@ -9,8 +9,13 @@ from qualityspark.llm.common import cut_lineage
 
 
 def _to_least(edges: DataFrame) -> DataFrame:
-    """``u, v, m``: ``m`` the least of ``u`` and all its ``v``; the rows of a common ``u`` can be split."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """``u, v, m``: ``m`` the least of ``u`` and all its ``v``.
+
+    Adaptive execution divides the rows of a common ``u`` only if both sides of
+    the join come straight from a shuffle, so the aggregate is cut first, and
+    ``edges`` must not be one.
+    """
+    least = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return edges.join(least.hint("merge"), "u")
 
 
@@ -30,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.filter("u <> v").distinct()
+        down = cut_lineage(large.filter("u <> v").distinct())
         small = _to_least(down)
         linked = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = cut_lineage(linked.filter("u <> v").distinct())

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qualityspark.llm.common import SPACES, cut_lineage, scratch_path, texts
+from qualityspark.llm.common import SPACES, cut_lineage, remove, scratch_path, texts
 
 SCHEMA = "text_sha256 string, keep_id long, n_points long"
 
@@ -64,37 +64,51 @@ class DigestIndex:
         """The same rows as a plain scan, for joins whose other side has hot digests to split."""
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
-    def append_new(self, groups: DataFrame) -> None:
-        """Add the digests of ``groups`` (one row per digest) that the index lacks."""
+    def append_new(self, groups: DataFrame) -> DataFrame:
+        """Add the digests of ``groups`` (one row per digest) that the index lacks; returns those groups."""
         fresh = groups.join(self.bucketed().select("text_sha256").hint("merge"), "text_sha256", "left_anti")
         # The anti join reads the table that the append extends, so its rows are cut first.
-        self._write(cut_lineage(fresh.select("text_sha256", "keep_id", "n_points")), "append")
+        fresh = cut_lineage(fresh)
+        self._write(fresh.select("text_sha256", "keep_id", "n_points"), "append")
+        return fresh
 
+    def drop(self) -> None:
+        """Delete the index; read or write results of it before that."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
 
-def deduplicate(new: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def deduplicate(new: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """Dedup ``new`` against ``index``, extend the index, and tell each row's fate.
 
     Returns ``doc_id, keep_id, group_size, kept, text_sha256``, one row per row
-    of ``new``. Of equal texts the one with the most code points stays, then the
-    smallest id; a digest that the index already has keeps its row there, and
-    all new rows of it are dropped. Null text counts as empty; all empty texts
-    are one group. Rows that repeat an id count one by one, and only by id can
-    they be told apart: each of them is marked as kept. No rows give no rows.
+    of ``new``. Of equal texts the one with the most code points stays, then one
+    with an id rather than without, then the smallest id, then the first row, so
+    of rows that repeat an id one stays, and ``keep_id`` is null if the row that
+    stays has no id. A digest that the index already has keeps its row there,
+    and all new rows of it are dropped. Null text counts as empty; all empty
+    texts are one group. ``row_col`` names a column of unique numbers that comes
+    along as ``row`` and takes the place of the rows' order. No rows give no rows.
     """
+    row = F.monotonically_increasing_id() if row_col is None else F.col("own_row")
+    plain = texts(new, id_col, text_col) if row_col is None else new.select(
+        new[id_col].alias("doc_id"), F.coalesce(new[text_col], F.lit("")).alias("text"), new[row_col].alias("own_row")
+    )
     rows = cut_lineage(
-        texts(new, id_col, text_col).select("doc_id", digest(F.col("text")).alias("text_sha256"), F.length("text").cast("long").alias("n_points"))
+        plain.select(row.alias("row"), "doc_id", digest(F.col("text")).alias("text_sha256"), F.length("text").cast("long").alias("n_points"))
     )
-    best = F.max(F.struct(F.col("n_points"), (-F.col("doc_id")).alias("minus_id")))
+    # The complement falls as a number grows; null is the least of all.
+    best = F.max(F.struct(F.col("n_points"), F.bitwise_not("doc_id").alias("not_id"), F.bitwise_not("row").alias("not_row")))
     groups = rows.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = cut_lineage(
-        groups.select("text_sha256", (-F.col("best.minus_id")).alias("keep_id"), F.col("best.n_points").alias("n_points"), "group_size")
-    )
-    index.append_new(groups)
+    keep = [F.bitwise_not("best.not_id").alias("keep_id"), F.bitwise_not("best.not_row").alias("keep_row"), F.col("best.n_points").alias("n_points")]
+    groups = cut_lineage(groups.select("text_sha256", *keep, "group_size"))
+    fresh = index.append_new(groups)
     kept = index.rows().select("text_sha256", "keep_id").join(groups.select("text_sha256", "group_size"), "text_sha256")
+    kept = kept.join(fresh.select("text_sha256", "keep_row"), "text_sha256", "left")
     # A row per digest against all rows: both sides are shuffled, so a hot digest's rows can be split.
-    return rows.join(cut_lineage(kept), "text_sha256").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    out = rows.join(cut_lineage(kept), "text_sha256")
+    stays = F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept")
+    return out.select("doc_id", "keep_id", "group_size", stays, "text_sha256", *([] if row_col is None else ["row"]))
 
 
 OP7_SQL = r"""

@@ -80,7 +80,7 @@ def _heads(words: int):
             sets = shingle_sets(_bytes(batch), words)
             a, b = signatures(sets)
             n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], n, pa.array(a), pa.array(b)], ["doc_id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["id"], n, pa.array(a), pa.array(b)], ["doc_id", "id", "n", "s1", "s2"])
 
     return run
 
@@ -163,8 +163,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _counted(tokens: DataFrame) -> DataFrame:
-    """Shingles that more than one set has."""
-    return tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    """Shingles that more than one set has, cut, so that the rows of a common one can be divided beside them."""
+    return cut_lineage(tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
 
 
 def _leaders(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -173,7 +173,7 @@ def _leaders(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = cut_lineage(nodes.join(groups.hint("merge"), ["n", "k1", "k2"]))
     firsts = grouped.filter("doc = grp").select("grp", "n", "only", F.explode("prefix").alias("token"))
     # The set with the fewest shingles of its own is the nearest to what a list has in common.
-    heads = firsts.groupBy("token").agg(F.min(F.struct("only", "grp", "n")).alias("y"))
+    heads = cut_lineage(firsts.groupBy("token").agg(F.min(F.struct("only", "grp", "n")).alias("y")))
     met = firsts.alias("x").join(heads.hint("merge"), "token").filter("x.grp <> y.grp").filter(_may_link("x", "y"))
     counted = met.groupBy(F.col("x.grp").alias("b"), F.col("y.grp").alias("a")).agg(F.count("*").alias("c"))
     best = counted.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("minus"))).alias("best"))
@@ -201,6 +201,7 @@ def _apart() -> Column:
 def _to_top(entries: DataFrame) -> DataFrame:
     """For each set outside of a list's top component, the nearest of that component's sets: one pair for each two of them."""
     heads = entries.filter("comp = top").groupBy("token").agg(F.min(F.struct("only", "doc", "n", "pos", "bits", "comp")).alias("y"))
+    heads = cut_lineage(heads)
     met = entries.alias("x").join(heads.hint("merge"), "token").filter(_apart() & _may_link("x", "y") & _in_reach("x", "y"))
     counted = met.groupBy(F.col("x.doc").alias("b"), F.col("y.comp").alias("comp"), F.col("y.doc").alias("a")).agg(F.count("*").alias("c"))
     best = counted.groupBy("b", "comp").agg(F.max(F.struct("c", (-F.col("a")).alias("minus"))).alias("best"))
@@ -263,22 +264,37 @@ def _reached(rows: DataFrame, heads: DataFrame, words: int) -> DataFrame:
     return reached.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
 
 
+def near_components(rows: DataFrame, words: int = WORDS) -> DataFrame:
+    """``row, id, n_shingles, component`` of every row: the smallest ``row`` that it reaches by links, null if it links with none.
+
+    ``rows``: a written table ``row, id, text`` whose ``row`` is unique and not
+    null. Rows with the same set are linked.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumnRenamed("row", "doc_id")
+    heads = cut_lineage(rows.mapInArrow(_heads(words), "doc_id long, id long, n long, s1 long, s2 long"))
+    reached = cut_of(spark, lambda: _reached(rows.select("doc_id", "text"), heads, words))
+    # One row per set against all rows, both shuffled, so the rows of a common set can be split.
+    out = heads.join(reached.hint("merge"), ["n", "s1", "s2"], "left")
+    return out.select(F.col("doc_id").alias("row"), "id", F.col("n").alias("n_shingles"), "component")
+
+
 def join_near(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near duplicates by word shingles: ``doc_id, n_shingles, component_id``, one row per document.
+    """Near duplicates by word shingles: ``doc_id, n_shingles, component_id``, one row per row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, itself included.
     Null and empty texts and texts without words have no shingles and link with
-    nothing; fewer words than a shingle's are one shingle. Ids should be unique:
-    rows that repeat an id each get their own text's component, and texts of
-    which that id is the smallest count as linked. No rows give no rows.
+    nothing; fewer words than a shingle's are one shingle. Rows that repeat an
+    id, or have none, are texts of their own that link like any others; a
+    component's id is null only if none of its rows has one. No rows give no rows.
     """
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col)
-    heads = cut_lineage(rows.mapInArrow(_heads(words), "doc_id long, n long, s1 long, s2 long"))
-    reached = cut_of(spark, lambda: _reached(rows, heads, words))
-    # One row per set against all rows, both shuffled, so the rows of a common set can be split.
-    out = heads.join(reached.hint("merge"), ["n", "s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    rows = cut_lineage(texts(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("id"), "text"))
+    found = cut_lineage(near_components(rows, words).drop("row"))
+    linked = found.filter("component IS NOT NULL")
+    # One row per component against all linked rows: those of a large one can be split.
+    least = cut_lineage(linked.groupBy("component").agg(F.min("id").alias("component_id")))
+    both = linked.join(least.hint("merge"), "component").unionByName(found.filter("component IS NULL").withColumn("component_id", F.col("id")))
+    return both.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 OP1_SQL = r"""

@@ -11,11 +11,13 @@ allow. Pieces then find their place in the plan by their rank within a length.
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -23,20 +25,36 @@ from pyspark.sql.types import LongType, StructField, StructType
 from qualityspark.llm.common import cut_lineage, texts
 
 SIZE = 1024
+#: The vocabulary, and the same one as ranks.
+VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END_ID = 2
 #: The vocabulary's own special token and its id.
 SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(vocabulary: str):
-    """The byte-level BPE of ``vocabulary`` (a file of ranks), which gives the same ids as its JSON form."""
+def encoder(vocabulary: str, ranks: str):
+    """A function from texts to the ids of the byte-level BPE ``vocabulary``, by its file of ranks as far as that goes.
+
+    The library of ranks is several times faster and gives the same ids, but
+    fails on a run of about a million blanks or line ends. Such a text goes
+    to the vocabulary itself.
+    """
     import public_tokenizers
     import tiktoken
 
-    with open(public_tokenizers.path(vocabulary), "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    with open(public_tokenizers.path(ranks), "rb") as lines:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    fast = tiktoken.Encoding(ranks, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=SPECIAL)
+    whole = functools.cache(lambda: tokenizers.Tokenizer.from_file(public_tokenizers.path(vocabulary)))
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(whole().encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def cut_points(n: int, size: int) -> list[int]:
@@ -45,13 +63,13 @@ def cut_points(n: int, size: int) -> list[int]:
     return [0, *range(first, n, size)]
 
 
-def _pieces(vocabulary: str, size: int, with_ids: bool):
+def _pieces(vocabulary: str, ranks: str, size: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = encoder(vocabulary)
+        encode = encoder(vocabulary, ranks)
         for batch in batches:
             rows, kept = [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = np.append(encoding.encode_to_numpy(text, allowed_special="all"), END_ID).astype("<u4")
+                ids = np.append(encode(text), END_ID).astype("<u4")
                 starts = cut_points(len(ids), size)
                 for piece, (start, end) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True)):
                     rows.append((doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
@@ -70,11 +88,17 @@ def _pieces(vocabulary: str, size: int, with_ids: bool):
 
 
 def token_pieces(
-    docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", size: int = SIZE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    vocabulary: str = VOCABULARY,
+    ranks: str = RANKS,
+    size: int = SIZE,
+    with_ids: bool = False,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """Token pieces of whole documents: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids``."""
     schema = PIECES + (", ids array<int>" if with_ids else "")
-    return texts(docs, id_col, text_col).mapInArrow(_pieces(vocabulary, size, with_ids), schema)
+    return texts(docs, id_col, text_col).mapInArrow(_pieces(vocabulary, ranks, size, with_ids), schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -146,7 +170,8 @@ def _place(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = shared.value
         for batch in batches:
-            length, rank = batch["length"].to_numpy(), batch["rank"].to_numpy()
+            given = dict(zip((f.name for f in batch["given"].type), batch["given"].flatten(), strict=True))
+            length, rank = given["length"].to_numpy(), batch["rank"].to_numpy()
             sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for each in np.unique(length):
                 own, rows = slots[int(each)], np.flatnonzero(length == each)
@@ -154,8 +179,7 @@ def _place(shared):
                 nth = rank[rows] - first
                 sequence[rows] = start + nth % times
                 offset[rows] = at + nth // times * each
-            rest = [c for c in batch.schema.names if c != "rank"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(sequence), pa.array(offset)], [*rest, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*given.values(), pa.array(sequence), pa.array(offset)], [*given, "sequence_id", "offset"])
 
     return run
 
@@ -173,20 +197,28 @@ def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     if counts and not 1 <= min(counts) <= max(counts) <= size:
         raise ValueError(f"lengths must lie in 1..{size}")
     shared = spark.sparkContext.broadcast(_slots(plan_bins(counts, size)))
-    # Ranks within a length, over parts of it, as one length may have a third of all rows.
+    # Ranks within a length, over parts of it, as one length may have a third of all rows. The given columns
+    # travel in one of their own, so whatever they are called, they meet none of these.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
-    before = dealt.groupBy("length", "part").agg(F.count("*").alias("n"))
+    dealt = pieces.select(F.struct(*(F.col(f"`{c}`") for c in pieces.columns)).alias("given"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).alias("part"))
+    before = dealt.groupBy(F.col("given.length").alias("length"), "part").agg(F.count("*").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = before.select("length", "part", ahead.alias("ahead"))
-    nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece"))
-    ranked = dealt.withColumn("nth", nth).join(before, ["length", "part"]).select(*pieces.columns, (F.col("ahead") + F.col("nth") - 1).alias("rank"))
+    nth = F.row_number().over(Window.partitionBy("given.length", "part").orderBy("given.doc_id", "given.piece"))
+    met = dealt.withColumn("length", F.col("given.length")).withColumn("nth", nth).join(before, ["length", "part"])
+    ranked = met.select("given", (F.col("ahead") + F.col("nth") - 1).alias("rank"))
     schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     return ranked.mapInArrow(_place(shared), schema)
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str = "byte_bpe_50k.tiktoken", size: int = SIZE, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    vocabulary: str = VOCABULARY,
+    ranks: str = RANKS,
+    size: int = SIZE,
+    with_ids: bool = False,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """Tokenise, cut and pack documents: one row per piece.
 
@@ -195,4 +227,4 @@ def pack_documents(
     is one piece of length 1. Only documents of more than ``size`` ids are cut.
     Rows that repeat an id are packed one by one.
     """
-    return pack(cut_lineage(token_pieces(docs, vocabulary, size, with_ids, id_col, text_col)), size)
+    return pack(cut_lineage(token_pieces(docs, vocabulary, ranks, size, with_ids, id_col, text_col)), size)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualityspark.llm import alignment, chat_format, exact_dedup, line_dedup, merkle, ngram_join, packing, quality, secrets, sentencepieces, suffix_dedup, topk_search, url_filters
-from qualityspark.llm.common import table
+from qualityspark.llm.common import cut_lineage, table
 from qualityspark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,8 +39,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_secret_scan")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    found = secrets.scan(docs, secrets.grow(secrets.labelled_findings(docs))).select("doc_id", F.inline("findings"))
-    return found.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+    # Written once: the texts are split once for training and scanning.
+    parts = secrets.dissect(F.col("text"), F.col("source"))
+    found = cut_lineage(docs.select("doc_id", parts["found"].alias("found")).filter("size(found) > 0"))
+    findings = found.select("doc_id", F.inline(secrets.judged(F.col("found"), secrets.grow(secrets.labelled(found)))))
+    return findings.select("doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
 
 
 @query("op4_best_fit_packing")
@@ -62,7 +65,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_exact_dedup", exact_dedup.OP7_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_dedup.deduplicate(table(spark, folder, "documents"), exact_dedup.DigestIndex.scratch(spark))
+    index = exact_dedup.DigestIndex.scratch(spark)
+    fates = cut_lineage(exact_dedup.deduplicate(table(spark, folder, "documents"), index))
+    index.drop()
+    return fates
 
 
 @query("op8_chat_format", chat_format.OP8_SQL)

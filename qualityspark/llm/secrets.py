@@ -5,7 +5,13 @@ candidates and what stands between, each candidate becomes small whole-number
 features (length, character transitions, dictionary coverage, path, words
 beside it), and the forest is a nested CASE over these. The forest is grown
 from labelled findings by histograms that Spark counts, one aggregation per
-level for all trees; the driver sees counts only.
+level for all trees; the driver sees counts only. Every fourth tree sees nothing
+of a credential's name before a value, so that what is learned where such a
+name tells the label also serves where there is none.
+
+A text is split once, and only if it has a digit, an equals sign or a colon,
+without which there is no candidate. Its parts (``dissect``) can be written, so
+that training, scanning and masking share one pass over the texts.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qualityspark.functions.scalars import let
 from qualityspark.llm.common import cut_lineage
 
 _CLASS = r"[A-Za-z0-9_+/-]"
@@ -39,6 +46,15 @@ VALUE = (
     r"""(?:(?<=")[^\s"]{8,}|(?<=')[^\s']{8,}|(?<!["'])[^\s"']{7,}[^\s"',;.)\]}])"""
 )
 FOUND = f"(?:{VALUE})|(?:{CANDIDATE})"
+#: What every candidate has or stands behind.
+ANY = "[0-9=:]"
+#: Values whose shape alone tells that they are keys, by the issuers' published formats.
+KNOWN = (
+    r"^((AKIA|ASIA)[0-9A-Z]{16}|AIza[0-9A-Za-z_-]{35}|gh[pousr]_[0-9A-Za-z]{36}|github_pat_[0-9A-Za-z_]{22,}|glpat-[0-9A-Za-z_-]{20}"
+    r"|xox[abeoprs]-[0-9A-Za-z-]{10,}|[rs]k_(live|test)_[0-9A-Za-z]{16,}|SG\.[0-9A-Za-z_-]{22}|npm_[0-9A-Za-z]{36}|hf_[0-9A-Za-z]{34})"
+)
+#: Digests in hex as such: of content, not of secrets, unless a credential's name says so.
+DIGEST = "^([0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9a-f]{128})$"
 BENIGN = r"(?i)(example|sample|test|dummy|commit|sha\d*|md5|hash|checksum|uuid|phone|call|tel\b|card|order|invoice|version|page)"
 ASSIGNED = r"""(=|:|=>)\s*["']?$"""
 #: Words that make up names rather than keys.
@@ -52,8 +68,32 @@ DICTIONARY = (
 COMMON_PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng le se ha as ou io ve co me de hi ri ro ic ne ea ra ce".split()
 
 
-def candidates(text: Column, path: Column | None = None) -> tuple[Column, Column]:
-    """What stands between candidates, and the candidates: ``value, start, before, behind, path``.
+def _running(lengths: Column, most: int = 256) -> Column:
+    """What stands before each of ``lengths``, as sums; blocks of ``most`` first, so the work does not grow with the square."""
+    zero = F.lit(0).cast("long")
+    add = lambda n, x: n + x
+    begin = lambda numbers: F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / most)), lambda k: (k * most).cast("int"))
+
+    def before(each: Column) -> Column:
+        blocks = F.transform(begin(each), lambda k: F.aggregate(F.slice(each, k + 1, F.lit(most)), zero, add))
+
+        def placed(sums: Column) -> Column:
+            ahead = F.transform(sums, lambda _, k: F.aggregate(F.slice(sums, F.lit(1), k), zero, add))
+
+            def inner(known: Column) -> Column:
+                block = lambda i: F.floor(i / most).cast("int")
+                own = lambda i: F.aggregate(F.slice(each, block(i) * most + 1, i % most), zero, add)
+                return F.transform(each, lambda _, i: F.get(known, block(i)) + own(i))
+
+            return let(ahead, inner)
+
+        return let(blocks, placed)
+
+    return let(lengths, before)
+
+
+def dissect(text: Column, path: Column | None = None) -> Column:
+    """A text as ``between``, what stands between candidates, and ``found``: ``value, start, before, behind, path, features`` of each.
 
     Candidates are values of ``VALUE`` and runs of ``CANDIDATE``. A run without a
     digit, or one that other characters break into parts of fewer than eight, is
@@ -61,30 +101,43 @@ def candidates(text: Column, path: Column | None = None) -> tuple[Column, Column
     the name of the next one's assignment belongs to what stands before it.
     ``start`` counts code points from 0. A null text is an empty one.
     """
-    text = F.coalesce(text, F.lit(""))
-    between = F.split(text, FOUND, -1)
-    found = F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))
     path = F.lit("") if path is None else F.coalesce(path.cast("string"), F.lit(""))
 
-    def before(i: Column) -> Column:
-        own = F.get(between, i)
-        name = F.concat(F.right(F.get(between, i - 1), F.lit(BEFORE)), F.get(found, i - 1))
-        return F.right(F.when((i > 0) & own.rlike(rf"^{_QUOTE}{_ASSIGN}{_QUOTE}$"), F.concat(name, own)).otherwise(own), F.lit(BEFORE))
+    def cut(text: Column) -> Column:
+        some = text.rlike(ANY)
+        found = F.when(some, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.when(some, F.split(text, FOUND, -1)).otherwise(F.array(text)).alias("between"), found.alias("found"))
 
-    def cut(value: Column, i: Column) -> Column:
-        return F.struct(
-            value.alias("value"),
-            (_length(F.slice(between, F.lit(1), i + 1)) + _length(F.slice(found, F.lit(1), i))).alias("start"),
-            before(i).alias("before"),
-            F.left(F.get(between, i + 1), F.lit(BEHIND)).alias("behind"),
-            path.alias("path"),
-        )
+    def described(parts: Column) -> Column:
+        between, found = parts["between"], parts["found"]
+        lengths = F.transform(found, lambda v, i: (F.length(F.get(between, i)) + F.length(v)).cast("long"))
 
-    return between, F.transform(found, cut)
+        def before(i: Column) -> Column:
+            own = F.get(between, i)
+            name = F.concat(F.right(F.get(between, i - 1), F.lit(BEFORE)), F.get(found, i - 1))
+            return F.right(F.when((i > 0) & own.rlike(rf"^{_QUOTE}{_ASSIGN}{_QUOTE}$"), F.concat(name, own)).otherwise(own), F.lit(BEFORE))
 
+        def one(ahead: Column, i: Column) -> Column:
+            plain = F.struct(
+                F.get(found, i).alias("value"),
+                (ahead + F.length(F.get(between, i))).alias("start"),
+                before(i).alias("before"),
+                F.left(F.get(between, i + 1), F.lit(BEHIND)).alias("behind"),
+                path.alias("path"),
+            )
+            return let(plain, lambda c: c.withField("features", features(c)))
 
-def _length(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+        none = F.array().cast("array<struct<value:string,start:bigint,before:string,behind:string,path:string,features:array<int>>>")
+        described = F.when(F.size(found) > 0, F.transform(_running(lengths), one)).otherwise(none)
+        return F.struct(between.alias("between"), described.alias("found"))
+
+    return let(F.coalesce(text, F.lit("")), lambda text: let(cut(text), described))
+
+
+def candidates(text: Column, path: Column | None = None) -> tuple[Column, Column]:
+    """``between`` and ``found`` of ``dissect``, each by itself."""
+    parts = dissect(text, path)
+    return parts["between"], parts["found"]
 
 
 def _share(part: Column, whole: Column) -> Column:
@@ -125,20 +178,27 @@ def features(c: Column) -> Column:
 
 
 N_FEATURES = 14
+#: A credential's name and an assignment before a value.
+HIDDEN = (9, 10)
 
 
 def evident_label(c: Column) -> Column:
-    """1 for a value assigned to a credential's name, 0 for plain numbers and numbered names, else null, as for a plain word with such a name."""
+    """1 for a key of a known shape and for a value assigned to a credential's name, 0 for other digests in hex, plain numbers and
+    numbered names, else null, as for a plain word with such a name."""
     named = c["before"].rlike(CREDENTIAL + r"""s?["']?\s*""" + ASSIGNED)
-    plain = c["value"].rlike(r"^[-+0-9]+$") | c["value"].rlike(r"^[A-Za-z]+([-_][A-Za-z]+)*[-_]?[0-9]{1,4}$")
-    return F.when(named & ~c["value"].rlike("^[A-Za-z]?[a-z]+$"), 1).when(plain, 0)
+    plain = c["value"].rlike(r"^[-+0-9]+$") | c["value"].rlike(r"^[A-Za-z]+([-_][A-Za-z]+)*[-_]?[0-9]{1,4}$") | c["value"].rlike(DIGEST)
+    return F.when(c["value"].rlike(KNOWN) | (named & ~c["value"].rlike("^[A-Za-z]?[a-z]+$")), 1).when(plain, 0)
+
+
+def labelled(found: DataFrame, found_col: str = "found") -> DataFrame:
+    """``features, label, value`` of the candidates in ``found_col`` whose shape or context tells what they are."""
+    each = found.select(F.explode(found_col).alias("c")).select("c", evident_label(F.col("c")).alias("label")).filter("label IS NOT NULL")
+    return each.select("c.features", "label", "c.value")
 
 
 def labelled_findings(docs: DataFrame, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """``features, label`` of the candidates whose context tells what they are."""
-    _, found = candidates(docs[text_col], docs[path_col] if path_col else None)
-    each = docs.select(F.explode(found).alias("c")).select("c", evident_label(F.col("c")).alias("label")).filter("label IS NOT NULL")
-    return each.select(features(F.col("c")).alias("features"), "label", F.col("c.value").alias("value"))
+    """``features, label, value`` of the evident candidates of ``docs``; ``path_col`` is None if there is no path."""
+    return labelled(docs.select(dissect(docs[text_col], docs[path_col] if path_col else None)["found"].alias("found")))
 
 
 @dataclass
@@ -186,16 +246,18 @@ def _leaves(node: Node, out: list[Node]) -> list[Node]:
 
 
 def grow(findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH) -> Forest:
-    """A forest from labelled findings (``features, label, value``), at most ``sample`` distinct ones of either label.
+    """A forest from labelled findings (``features, label, value``, from wherever), at most ``sample`` distinct ones of either label.
 
     Findings that repeat count once, so that copied texts do not crowd out others.
     Each tree weighs rows by a draw from their hash, and each of its nodes looks
-    at about half of the features, so the same findings give the same forest
-    however they are spread. Findings of one label only give that label's score to
+    at about half of the features, those of every fourth tree never at
+    ``HIDDEN`` ones, so the same findings give the same forest however they are
+    spread. Findings of one label only give that label's score to
     all; without findings the forest is empty, and its score one half.
     """
     key = F.xxhash64("value", "features")
-    distinct = findings.select("value", "features", "label").distinct()
+    # Written, as both labels are chosen from it.
+    distinct = cut_lineage(findings.select("value", "features", "label").distinct())
     chosen = [distinct.filter(F.col("label") == c).withColumn("key", key).orderBy("key", "value").limit(sample) for c in (0, 1)]
     draw = F.pmod(F.xxhash64("key", "tree"), F.lit(1000))
     weight = F.when(draw < 368, 0).when(draw < 736, 1).when(draw < 920, 2).otherwise(3)
@@ -216,7 +278,8 @@ def grow(findings: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: i
         for r in each.groupBy("tree", "leaf", "feature", "bin").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("label")).alias("hits")).collect():
             counts.setdefault((r["tree"], r["leaf"]), {}).setdefault(r["feature"], []).append((r["bin"], r["n"], r["hits"]))
         for (tree, leaf), by_feature in counts.items():
-            _split(leaves[tree][leaf], {k: v for k, v in by_feature.items() if _drawn(tree, level, leaf, k)})
+            seen = {k: v for k, v in by_feature.items() if _drawn(tree, level, leaf, k) and not (tree % 4 == 3 and k in HIDDEN)}
+            _split(leaves[tree][leaf], seen)
     return forest
 
 
@@ -241,25 +304,42 @@ def _split(leaf: Node, by_feature: dict[int, list[tuple[int, int, int]]]) -> Non
         leaf.feature, leaf.cut, leaf.left, leaf.right = best[1], best[2], Node(best[3]), Node(best[4])
 
 
+def judged(found: Column, forest: Forest, threshold: float = THRESHOLD) -> Column:
+    """``start, length, value, score, is_secret`` of every candidate in ``found``."""
+
+    def one(c: Column) -> Column:
+        score = let(c["features"], forest.score)
+        plain = F.struct(c["start"].alias("start"), F.length(c["value"]).cast("long").alias("length"), c["value"].alias("value"), score.alias("score"))
+        return let(plain, lambda s: s.withField("is_secret", s["score"] >= threshold))
+
+    return F.transform(found, one)
+
+
+def masked(parts: Column, forest: Forest, threshold: float = THRESHOLD, mask: str = MASK) -> Column:
+    """The text of ``parts`` with every secret replaced by ``mask``."""
+
+    def joined(parts: Column) -> Column:
+        shown = F.transform(parts["found"], lambda c: F.when(let(c["features"], forest.score) >= threshold, F.lit(mask)).otherwise(c["value"]))
+        both = F.arrays_zip(parts["between"].alias("b"), F.concat(shown, F.array(F.lit(""))).alias("s"))
+        return F.array_join(F.transform(both, lambda x: F.concat(x["b"], x["s"])), "")
+
+    return let(parts, joined)
+
+
 def scan(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """Add ``findings`` to documents: ``start, length, value, score, is_secret`` of every candidate, in order of place.
 
     Null and empty texts have none; a text of any length is scanned whole.
-    Other columns pass through, so repeated rows and clashing names do no harm,
-    but for a column that is already named ``findings``, which is replaced.
+    ``path_col`` names the column of paths, None if there is none; a missing one
+    is an error. Other columns pass through, so repeated rows and clashing names
+    do no harm, but for a column that is already named ``findings``, which is
+    replaced.
     """
-    _, found = candidates(docs[text_col], docs[path_col] if path_col else None)
-
-    def judged(c: Column) -> Column:
-        return F.struct(c["start"].alias("start"), F.length(c["value"]).cast("long").alias("length"), c["value"].alias("value"), forest.score(features(c)).alias("score"))
-
-    scored = F.transform(F.transform(found, judged), lambda s: s.withField("is_secret", s["score"] >= threshold))
-    return docs.withColumn("findings", scored)
+    parts = dissect(docs[text_col], docs[path_col] if path_col else None)
+    return docs.withColumn("findings", let(parts, lambda p: judged(p["found"], forest, threshold)))
 
 
 def redact(docs: DataFrame, forest: Forest, threshold: float = THRESHOLD, text_col: str = "text", path_col: str | None = "source", mask: str = MASK) -> DataFrame:
     """Documents with every secret in ``text_col`` replaced by ``mask``; all rows and columns stay, null texts too."""
-    between, found = candidates(docs[text_col], docs[path_col] if path_col else None)
-    shown = F.transform(found, lambda c: F.when(forest.score(features(c)) >= threshold, F.lit(mask)).otherwise(c["value"]))
-    parts = F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: F.concat(F.get(between, i), F.coalesce(F.get(shown, i), F.lit(""))))
-    return docs.withColumn(text_col, F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(docs[text_col]))
+    parts = dissect(docs[text_col], docs[path_col] if path_col else None)
+    return docs.withColumn(text_col, F.when(docs[text_col].isNotNull(), masked(parts, forest, threshold, mask)))

@@ -46,7 +46,8 @@ def test_stages(spark):
     docs, now = step("secret scan", docs)
     assert docs.columns == columns and set(now) == set(before)
     for i, r in now.items():
-        assert r.text == re.sub(r'(token = ")[0-9a-f]{40}"', r'\1[SECRET]"', before[i].text) and r.n_chars == len(r.text)
+        secret = r'(?<=token = ")[0-9a-f]{40}(?=")|(?<=password=)[0-9a-f]{18}|\bAKIA[0-9A-Z]{16}\b'
+        assert r.text == re.sub(secret, "[SECRET]", before[i].text) and r.n_chars == len(r.text)
 
     packed = corpus_pipeline.run(spark, FOLDER).collect()
     assert {r.doc_id for r in packed} == set(now)
@@ -81,3 +82,15 @@ def test_documents_without_ids_stay(spark):
     judged = stages["quality classifier"](spark, docs, FOLDER)
     net = quality.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
     assert found(judged) == sorted([t for t in texts if net.score([(t[1] or "").encode()])[0] >= quality.THRESHOLD], key=str)
+
+
+def test_a_file_loaded_twice_is_deduplicated(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    texts = [(1, words(0)), (1, words(0)), (2, words(0)), (3, words(1)), (3, words(1) + " y"), (None, words(1) + " z"), (3, words(2))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], schema)
+    exact = cut_lineage(stages["exact dedup"](spark, docs, FOLDER))
+    assert sorted((r.doc_id or 0, r.text) for r in exact.collect()) == sorted((i or 0, t) for i, t in [texts[0], *texts[3:]])
+    near = [(r.doc_id, r.text) for r in stages["n-gram Jaccard join"](spark, exact, FOLDER).collect()]
+    assert len(near) == 3 and texts[0] in near and texts[6] in near and (texts[3] in near) != (texts[4] in near)

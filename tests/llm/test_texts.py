@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from qualityspark.llm import exact_dedup as X
 from qualityspark.llm import line_dedup as L
@@ -152,8 +154,6 @@ def test_forest_and_spans(spark, documents):
 def test_scores_are_the_trees_means(spark, documents):
     docs = documents(secret_rows())
     forest = C.grow(C.labelled_findings(docs, path_col=None))
-    from pyspark.sql import functions as F
-
     _, found = C.candidates(docs["text"])
     rows = docs.select(F.explode(found).alias("c")).select(C.features(F.col("c")).alias("f")).select("f", forest.score(F.col("f")).alias("s")).collect()
     assert rows and all(abs(forest.score_row(r.f) - r.s) < 1e-12 for r in rows)
@@ -161,7 +161,7 @@ def test_scores_are_the_trees_means(spark, documents):
 
 
 def test_without_labels_candidates_stay(spark, documents):
-    docs = documents([(1, f"a {HEX}"), (2, None)])
+    docs = documents([(1, "a k3Jd92mQpLs8Xa"), (2, None)])
     forest = C.grow(C.labelled_findings(docs, path_col=None))
     assert not forest.trees
     assert {r.doc_id: len([f for f in r.findings if f.is_secret]) for r in C.scan(docs, forest, path_col=None).collect()} == {1: 1, 2: 0}
@@ -170,8 +170,6 @@ def test_without_labels_candidates_stay(spark, documents):
 
 @pytest.mark.parametrize("value, digits", [("abcd1234", 4), ("a1-b2_c3", 3)])
 def test_features_count(spark, value, digits):
-    from pyspark.sql import functions as F
-
     c = F.struct(F.lit(value).alias("value"), F.lit("").alias("before"), F.lit("").alias("behind"), F.lit("").alias("path"))
     f = spark.range(1).select(C.features(c).alias("f")).first().f
     assert f[4] == digits * C.BINS // 8
@@ -210,3 +208,105 @@ def test_nodes_see_many_subsets():
     places = [(t, level, leaf) for t in range(C.TREES) for level in range(C.DEPTH) for leaf in range(2**level)]
     seen = {tuple(C._drawn(*p, k) for k in range(C.N_FEATURES)) for p in places}
     assert len(seen) > 200 and all(80 < sum(C._drawn(*p, k) for p in places) < 160 for k in range(C.N_FEATURES))
+
+
+def draw(rng, letters, n):
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+UPPER, LOWER, HEXES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+SHAPES = {
+    "AKIA": lambda rng: "AKIA" + draw(rng, UPPER, 15) + str(rng.randrange(10)),
+    "ghp": lambda rng: "ghp_" + draw(rng, UPPER + LOWER, 36),
+    "xoxb": lambda rng: f"xoxb-{rng.randrange(10**11, 10**12)}-" + draw(rng, UPPER + LOWER, 24),
+    "sk_live": lambda rng: "sk_live_" + draw(rng, UPPER + LOWER, 24),
+    "AIza": lambda rng: "AIza" + draw(rng, UPPER + LOWER, 35),
+}
+CLEAN = {
+    "sha1": lambda rng: draw(rng, HEXES, 40),
+    "sha256": lambda rng: draw(rng, HEXES, 64),
+    "md5": lambda rng: draw(rng, HEXES, 32),
+    "number": lambda rng: draw(rng, "0123456789", 16),
+    "name": lambda rng: f"release_{rng.randrange(10, 9999)}",
+}
+
+
+def planted(seed, kinds, n, around):
+    rng = random.Random(seed)
+    return [(kind, around[rng.randrange(len(around))].format(make(rng))) for kind, make in kinds.items() for _ in range(n)]
+
+
+def test_forest_from_labelled_findings(spark):
+    """Findings that people labelled: keys of five shapes without any name beside them are caught, digests and numbers stay."""
+    bare = ["see {} here", "it was {} then", "{}", "(old {}, gone)"]
+    schema = "kind string, text string"
+
+    def found(rows):
+        df = spark.createDataFrame(rows, schema)
+        return df.select("kind", F.explode(C.dissect(F.col("text"))["found"]).alias("c"))
+
+    learn = planted(1, SHAPES, 80, bare + ['token = "{}"']) + planted(2, CLEAN, 80, bare + ["commit {}"])
+    findings = found(learn).select("c.features", F.col("kind").isin(*SHAPES).cast("int").alias("label"), "c.value")
+    forest = C.grow(findings)
+    fresh = found(planted(3, SHAPES, 60, bare) + planted(4, CLEAN, 60, bare))
+    score = forest.score(F.col("c.features"))
+    rates = {r.kind: r.rate for r in fresh.groupBy("kind").agg(F.avg((score >= C.THRESHOLD).cast("int")).alias("rate")).collect()}
+    assert all(rates[k] >= 0.95 for k in SHAPES) and all(rates[k] <= 0.05 for k in CLEAN), rates
+
+
+def test_bare_keys_in_documents(spark):
+    """Labels from shapes and contexts in the documents: keys of a known shape are masked without context, digests are not."""
+    bare = ["see {} here", "it was {} then", "{}"]
+    rows = planted(5, {"AKIA": SHAPES["AKIA"]}, 60, bare) + planted(6, CLEAN, 60, bare) + planted(7, {"sha1": CLEAN["sha1"]}, 60, ['token = "{}"', "password={}"])
+    docs = spark.createDataFrame(rows, "kind string, text string")
+    forest = C.grow(C.labelled_findings(docs, path_col=None))
+    fresh = planted(8, SHAPES, 40, bare) + planted(9, CLEAN, 40, bare)
+    scanned = C.scan(spark.createDataFrame(fresh, "kind string, text string"), forest, path_col=None)
+    caught = {}
+    for r in scanned.collect():
+        caught.setdefault(r.kind, []).append(any(f.is_secret for f in r.findings))
+    share = {k: sum(v) / len(v) for k, v in caught.items()}
+    assert share["AKIA"] == 1 and all(share[k] <= 0.05 for k in CLEAN), share
+
+
+def test_many_candidates_in_one_text(spark):
+    """50,000 candidates in one text: found, placed, judged and masked in time that grows with the text."""
+    text = " ".join(f"abcdefg{i:06d}" if i % 50 else f'token = "{i:040x}"' for i in range(50000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    forest = C.grow(C.labelled_findings(docs, path_col=None))
+    started = time.time()
+    found = C.scan(docs, forest, path_col=None).first().findings
+    masked = C.redact(docs, forest, path_col=None).first().text
+    assert time.time() - started < 60
+    assert len(found) == 50000 and all(text[f.start : f.start + f.length] == f.value for f in found)
+    assert masked.count(C.MASK) == sum(f.is_secret for f in found) >= 1000
+
+
+def test_many_lines_in_one_text(spark, documents):
+    """200,000 lines in one text, every tenth of them within a passage that repeats."""
+    lines = [f"line {i}" for i in range(200000)]
+    for at in range(0, 200000, 30):
+        lines[at : at + 3] = ["one", "two", "three"]
+    started = time.time()
+    row = L.deduplicate_lines(documents([(1, "\n".join(lines)), (2, "one\ntwo\nthree")])).filter("doc_id = 1").first()
+    assert time.time() - started < 60
+    assert (row.n_lines, row.n_removed) == (200000, 3 * (200000 // 30))
+    assert row.text.split("\n") == [x for i, x in enumerate(lines) if i % 30 > 2 or i < 3]
+
+
+def test_rows_without_ids_and_with_the_same_one(spark, documents):
+    """Each row is a document of its own: a window first seen under a null id is cut elsewhere, of equal rows one stays."""
+    passage = "a\nb\nc"
+    got = L.deduplicate_lines(documents([(5, passage), (None, passage), (5, passage + "\nd"), (5, "x")])).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_removed) for r in got) == [(0, passage, 0), (5, "", 3), (5, "d", 3), (5, "x", 0)]
+
+    rows = [(1, "same text"), (1, "same text"), (2, "same  text"), (None, "other"), (None, "other"), (3, ""), (3, None)]
+    index = X.DigestIndex.scratch(spark)
+    fates = X.deduplicate(documents(rows), index).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in fates) == [
+        (0, 0, 2, False), (0, 0, 2, True), (1, 2, 3, False), (1, 2, 3, False), (2, 2, 3, True), (3, 3, 2, False), (3, 3, 2, True),
+    ]
+    again = X.deduplicate(documents(rows), index).collect()
+    assert not any(r.kept for r in again) and {r.keep_id for r in again} == {2, 3, None}
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)

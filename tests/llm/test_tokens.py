@@ -162,3 +162,23 @@ def test_repeated_documents_are_packed_one_by_one(spark, documents):
     got = K.pack_documents(documents([(1, "a b c")] * 700)).collect()
     assert len(got) == 700 and len({(r.sequence_id, r.offset) for r in got}) == 700
     assert len({r.sequence_id for r in got}) == -(-700 * got[0].length // 1024)
+
+
+def test_two_million_blanks(spark, documents):
+    """Runs beyond what the library of ranks can take have the vocabulary's own ids."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(K.VOCABULARY))
+    rows = [(1, "a" + " " * 2_000_000 + "b"), (2, "\n" * 1_100_000), (3, "plain <|endoftext|> text")]
+    got = K.token_pieces(documents(rows), with_ids=True).orderBy("doc_id", "piece").collect()
+    for doc_id, text in rows:
+        ids = [i for r in got if r.doc_id == doc_id for i in r.ids]
+        assert ids == [*whole.encode(text, add_special_tokens=False).ids, K.END_ID]
+
+
+def test_pieces_with_clashing_names(spark):
+    rows = [(i, 0, 5 + i % 3, "x", i, i, "y", i) for i in range(20)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, part string, nth long, ahead long, rank string, n long")
+    got = K.pack(pieces, 16).collect()
+    assert len(got) == 20 and all((r.part, r.nth, r.ahead, r.rank, r.n) == ("x", r.doc_id, r.doc_id, "y", r.doc_id) for r in got)
+    assert all(r.offset + r.length <= 16 for r in got)
