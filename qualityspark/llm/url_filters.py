@@ -5,8 +5,12 @@ rule blocks are blocked seeds, each weighted by its pages. Trust flows along
 host links as personalised PageRank; distrust flows against them, to hosts that
 link to blocked ones. A host whose distrust exceeds its trust is blocked.
 
-Scores are whole numbers of a fixed total, divided without remainder, so that
-no order of additions changes a verdict.
+Scores are whole numbers of a fixed total, so that no order of additions
+changes a verdict. Every division rounds up, so a positive flow stays positive
+however often it is divided, and scores only grow from step to step. Steps go
+on until none reaches a new host, none changes a verdict, and what the last one
+added is at most ``BOUND`` of the total; what is still missing then is at most
+``FLOW / (100 - FLOW)`` times that, but for the rounding.
 """
 
 from __future__ import annotations
@@ -18,8 +22,8 @@ from qualityspark.llm.common import cut_lineage
 
 #: (action, host, path), tried longest first.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Total of the seeds' scores, per cent that flows on, steps, steps between cuts.
-TOTAL, FLOW, STEPS, CUT = 10**12, 85, 12, 6
+#: Total of the seeds' scores of a kind, per cent that flows on, what a last step may add.
+TOTAL, FLOW, BOUND = 10**16, 85, 10**12
 
 _REST = r"^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -54,7 +58,16 @@ def host_links(pages: DataFrame) -> DataFrame:
     return links.filter("source <> '' AND source <> target").distinct()
 
 
-def propagate(links: DataFrame, seeds: DataFrame, total: int = TOTAL, flow: int = FLOW, steps: int = STEPS) -> DataFrame:
+def _settled(now: DataFrame, bound: int) -> bool:
+    """Whether the last step reached no new host, changed no verdict and added at most ``bound``."""
+    lead = lambda c: F.sum(F.when(F.col("kind") == "block", F.col(c)).otherwise(-F.col(c))) > 0
+    fresh = F.max(F.col("before") == 0).alias("fresh")
+    hosts = now.groupBy("host").agg((lead("score") != lead("before")).alias("turned"), F.sum(F.col("score") - F.col("before")).alias("added"), fresh)
+    going, added = hosts.agg(F.max(F.col("turned") | F.col("fresh")), F.sum("added")).first()
+    return not going and (added or 0) <= bound
+
+
+def propagate(links: DataFrame, seeds: DataFrame, total: int = TOTAL, flow: int = FLOW, bound: int = BOUND) -> DataFrame:
     """Trust and distrust per host.
 
     ``links``: distinct source, target. ``seeds``: kind (``allow`` or ``block``),
@@ -64,23 +77,21 @@ def propagate(links: DataFrame, seeds: DataFrame, total: int = TOTAL, flow: int
         links.select(F.lit("block").alias("kind"), F.col("target").alias("host"), F.col("source").alias("to"))
     )
     # Cuts: every step reads these again, and a plain scan on both sides of a join lets a hub's rows be split.
-    degrees = both.groupBy("kind", "host").agg(F.count("*").alias("degree"))
+    degrees = cut_lineage(both.groupBy("kind", "host").agg(F.count("*").alias("degree")))
     edges = cut_lineage(both.join(degrees, ["kind", "host"]))
     weight = seeds.groupBy("kind").agg(F.sum("pages").alias("all"))
     start = seeds.join(weight, "kind").selectExpr("kind", "host", f"CAST({total} AS DECIMAL(38,0)) * pages DIV `all` AS seed")
-    start = cut_lineage(start.select("kind", "host", F.col("seed").cast("long").alias("seed")))
-    now = start.withColumnRenamed("seed", "score")
-    for step in range(steps):
-        flown = now.join(edges, ["kind", "host"]).selectExpr("kind", "`to` AS host", "0 AS seed", "score DIV degree AS inflow")
-        gained = flown.unionByName(start.selectExpr("kind", "host", "seed", "0 AS inflow")).groupBy("kind", "host")
-        now = gained.agg(F.sum("seed").alias("seed"), F.sum("inflow").alias("inflow"))
-        now = now.selectExpr("kind", "host", f"({100 - flow} * seed + {flow} * inflow) DIV 100 AS score").filter("score > 0")
-        if step % CUT == CUT - 1:
-            now = cut_lineage(now)
-    return now
-
-
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    start = start.selectExpr("kind", "host", "CAST(seed AS BIGINT) AS seed", "0L AS before")
+    now = cut_lineage(start.selectExpr("*", f"({100 - flow} * seed + 99) DIV 100 AS score"))
+    while not _settled(now, bound):
+        own = now.selectExpr("kind", "host", "seed", "score AS before", "0L AS inflow")
+        flown = now.join(edges, ["kind", "host"]).selectExpr("kind", "`to` AS host", "0L AS seed", "0L AS before", "(score + degree - 1) DIV degree AS inflow")
+        gained = own.unionByName(flown).groupBy("kind", "host").agg(*(F.sum(c).alias(c) for c in ("seed", "before", "inflow")))
+        now = cut_lineage(gained.selectExpr("kind", "host", "seed", "before", f"({100 - flow} * seed + {flow} * inflow + 99) DIV 100 AS score"))
+    return now.select("kind", "host", "score")
+
+
+def judge(pages: DataFrame, rules=RULES, bound: int = BOUND) -> DataFrame:
     """Judge every page's url.
 
     Takes ``page_id, url, html``; returns ``page_id, host, path, rule, verdict,
@@ -92,7 +103,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     read = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     ruled = read.withColumn("ruled", decide(F.col("host"), F.col("path"), rules))
     seeds = ruled.filter("ruled IS NOT NULL AND host <> ''").groupBy(F.col("ruled.action").alias("kind"), "host").agg(F.count("*").alias("pages"))
-    scores = propagate(host_links(read), seeds)
+    scores = propagate(host_links(read), seeds, bound=bound)
     score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0))
     hosts = scores.groupBy("host").agg(score("allow").alias("trust"), score("block").alias("distrust"))
     # One row per host, cut, against all pages: the pages of a common host can be split.
@@ -110,7 +121,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same steps as one statement: rules, links, seeds, then each step of the flow as a table."""
+    """The same steps as one statement: rules, links, seeds, then the flow, step by step."""
     tried = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [(a, h, p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for a, h, p in tried]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{h}{p}'" for _, h, p, c in fits) + " END"
@@ -127,20 +138,23 @@ def _sql() -> str:
         "edges AS (SELECT kind, host, dest, count(*) OVER (PARTITION BY kind, host) AS degree FROM both_ways)",
         "seeds AS (SELECT action AS kind, host, count(*) AS pages FROM ruled WHERE action IS NOT NULL AND host <> '' GROUP BY ALL)",
         f"start AS (SELECT kind, host, CAST(({TOTAL}::HUGEINT * pages) // sum(pages) OVER (PARTITION BY kind) AS BIGINT) AS seed FROM seeds)",
-        "step0 AS (SELECT kind, host, seed AS score FROM start)",
-    ]
-    for n in range(STEPS):
-        parts.append(
-            f"""step{n + 1} AS (SELECT kind, host, CAST(({100 - FLOW} * sum(seed) + {FLOW} * sum(inflow)) // 100 AS BIGINT) AS score FROM (
-             SELECT e.kind, e.dest AS host, 0 AS seed, s.score // e.degree AS inflow FROM step{n} s JOIN edges e ON e.kind = s.kind AND e.host = s.host
-             UNION ALL SELECT kind, host, seed, 0 FROM start) GROUP BY kind, host HAVING ({100 - FLOW} * sum(seed) + {FLOW} * sum(inflow)) // 100 > 0)"""
-        )
-    parts.append(
+        f"""flow AS (
+          SELECT 1 AS step, kind, host, seed, ({100 - FLOW} * seed + 99) // 100 AS score, true AS go FROM start
+          UNION ALL
+          SELECT step, kind, host, seed, score, bool_or(before = 0 OR (lead > 0) <> (led > 0)) OVER () OR sum(score - before) OVER () > {BOUND} FROM (
+            SELECT *, sum(CASE WHEN kind = 'block' THEN score ELSE -score END) OVER (PARTITION BY host) AS lead,
+              sum(CASE WHEN kind = 'block' THEN before ELSE -before END) OVER (PARTITION BY host) AS led FROM (
+              SELECT max(step) AS step, kind, host, sum(seed) AS seed, sum(before) AS before,
+                ({100 - FLOW} * sum(seed) + {FLOW} * sum(inflow) + 99) // 100 AS score FROM (
+                SELECT step + 1 AS step, kind, host, seed, score AS before, 0 AS inflow FROM flow WHERE go
+                UNION ALL
+                SELECT step + 1, e.kind, e.dest, 0, 0, (f.score + e.degree - 1) // e.degree FROM flow f JOIN edges e ON e.kind = f.kind AND e.host = f.host WHERE f.go)
+              GROUP BY kind, host)))""",
         f"""hosts AS (SELECT host, CAST(coalesce(sum(score) FILTER (WHERE kind = 'allow'), 0) AS BIGINT) AS trust,
-             CAST(coalesce(sum(score) FILTER (WHERE kind = 'block'), 0) AS BIGINT) AS distrust FROM step{STEPS} GROUP BY host)"""
-    )
+             CAST(coalesce(sum(score) FILTER (WHERE kind = 'block'), 0) AS BIGINT) AS distrust FROM flow WHERE step = (SELECT max(step) FROM flow) GROUP BY host)""",
+    ]
     return (
-        "WITH "
+        "WITH RECURSIVE "
         + ",\n".join(parts)
         + """
 SELECT page_id, r.host, path, rule, coalesce(action, CASE WHEN distrust > trust THEN 'block' ELSE 'allow' END) AS verdict,

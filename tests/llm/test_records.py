@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -110,24 +111,25 @@ def test_rules(spark):
     assert {(r.rule, r.verdict) for r in free} == {(None, "allow")}
 
 
-def brute_flow(links, seeds, steps=U.STEPS):
-    score = {}
-    for kind in ("allow", "block"):
-        edges = links if kind == "allow" else [(b, a) for a, b in links]
-        own = {h: n for (k, h), n in seeds.items() if k == kind}
-        start = {h: U.TOTAL * n // sum(own.values()) for h, n in own.items()}
-        out = {}
-        for a, b in edges:
-            out.setdefault(a, []).append(b)
-        now = dict(start)
-        for _ in range(steps):
-            flown = {}
-            for h, s in now.items():
-                for b in out.get(h, []):
-                    flown[b] = flown.get(b, 0) + s // len(out[h])
-            now = {h: v for h in {*start, *flown} if (v := (15 * start.get(h, 0) + 85 * flown.get(h, 0)) // 100)}
-        score |= {(kind, h): s for h, s in now.items()}
-    return score
+def brute_flow(links, seeds, bound=U.BOUND):
+    """Scores by kind and host, steps of both kinds at once until none is new, no verdict turns and little is added."""
+    total = {k: sum(n for (kind, _), n in seeds.items() if kind == k) for k in ("allow", "block")}
+    start = {(k, h): U.TOTAL * n // total[k] for (k, h), n in seeds.items()}
+    out = {}
+    for a, b in links:
+        out.setdefault(("allow", a), []).append(b)
+        out.setdefault(("block", b), []).append(a)
+    up = lambda x, y: -(-x // y)
+    worse = lambda s, h: s.get(("block", h), 0) > s.get(("allow", h), 0)
+    before, now, steps = {}, {k: up(15 * s, 100) for k, s in start.items()}, 1
+    while now.keys() != before.keys() or any(worse(now, h) != worse(before, h) for _, h in now) or sum(now.values()) - sum(before.values()) > bound:
+        flown = {}
+        for (kind, h), s in now.items():
+            for b in out.get((kind, h), []):
+                flown[kind, b] = flown.get((kind, b), 0) + up(s, len(out[kind, h]))
+        before, steps = now, steps + 1
+        now = {k: up(15 * start.get(k, 0) + 85 * flown.get(k, 0), 100) for k in {*now, *flown}}
+    return now, steps
 
 
 def test_links_carry_trust_and_distrust(spark):
@@ -140,12 +142,39 @@ def test_links_carry_trust_and_distrust(spark):
         mark = rng.choice(['<a href="http://{}/x">', "<IMG SRC='https://{}'>", "<a href=//{}?q>", '<a class=q href = "HTTP://{}#f">'])
         rows.append((len(rows), f"http://{a}/fr/" if a == "good.org" else f"http://{a}/p", mark.format(b.upper()) + '<a href="/local">' + mark.format(b)))
     rows.append((len(rows), "http://bad.net/", None))
-    got = U.judge(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS host", "1 AS score")).collect()
+    got = U.judge(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS host", "1 AS score"), bound=U.TOTAL // 50).collect()
     seeds = {("allow", "good.org"): sum(u == "http://good.org/fr/" for _, u, _ in rows), ("block", "bad.net"): sum("//bad.net" in u for _, u, _ in rows)}
-    score = brute_flow(sorted(links), seeds)
+    score, steps = brute_flow(sorted(links), seeds, U.TOTAL // 50)
+    assert steps > 12
     for r in got:
         trust, distrust = score.get(("allow", r.host), 0), score.get(("block", r.host), 0)
         assert (r.trust, r.distrust) == (trust, distrust)
         if r.rule is None:
             assert r.verdict == ("block" if distrust > trust else "allow")
     assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+
+
+def test_chain_is_followed_to_its_end(spark):
+    """A host 30 links from the only blocked seed is reached, and the SQL goes as far."""
+    rows = [(i, f"http://h{i}.org/p", f"<a href='http://h{i + 1}.org/'>") for i in range(30)] + [(30, "http://h30.org/p", "<a href='//bad.net'>"), (31, "http://bad.net/", None), (32, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in U.judge(pages).collect()}
+    assert all(got[i].verdict == "block" and got[i].distrust > 0 and got[i].trust == 0 for i in range(31))
+    score, steps = brute_flow([(f"h{i}.org", f"h{i + 1}.org") for i in range(30)] + [("h30.org", "bad.net")], {("block", "bad.net"): 1})
+    assert steps > 30 and {r.host: r.distrust for r in got.values() if r.host} == {h: s for (_, h), s in score.items()}
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    names = ("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+    in_order = lambda rows: sorted((tuple(r[c] for c in names) for r in rows), key=repr)
+    assert in_order(got.values()) == in_order(con.execute(U.OP10_SQL).df().astype(object).where(lambda d: d.notna(), None).to_dict("records"))
+
+
+def test_no_flow_is_lost_at_a_hub(spark):
+    """Shares far below one unit of the total still arrive, through two hubs of 10,000 links each."""
+    n = 10000
+    links = [("hub", f"a{i}") for i in range(n)] + [(f"a{i}", "next") for i in range(n)] + [("next", f"b{i}") for i in range(n)]
+    frame = spark.createDataFrame(links, "source string, target string")
+    seeds = spark.createDataFrame([("allow", "hub", 1), ("allow", "other", 10**12)], "kind string, host string, pages long")
+    score, _ = brute_flow(links, {("allow", "hub"): 1, ("allow", "other"): 10**12})
+    got = {(r.kind, r.host): r.score for r in U.propagate(frame, seeds).collect()}
+    assert got == score and len(got) == 2 * n + 3 and min(got.values()) == 1
