@@ -5,9 +5,10 @@ left is packed. Every stage but the last takes and returns the columns of
 ``documents``, works on all that its predecessor kept, and joins ids with texts
 by merge at every size, as the ids grow with the texts.
 
-Documents without an id stay like any others. Where a stage goes by ids, they
-count as behind all ids: of copies, one without an id stays only if it is the
-longest, or if none has an id.
+Documents without an id, or with one that another has too, are documents of
+their own: every row has a number within a stage. Of copies, one without an id
+stays only if it is the longest, or if none has an id; of copies with the same
+id one stays, so a file that was loaded twice is deduplicated.
 """
 
 from __future__ import annotations
@@ -20,24 +21,17 @@ from qualityspark.llm.common import cut_lineage, release
 from qualityspark.session import configure
 
 
-#: Name of the stages' own id, which is never null.
+#: Name of the stages' own number of a row, which is unique and never null.
 _ROW = "pipeline_row"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_ROW``: their id, and for each row without one a number of its own above all ids."""
-    named = docs.filter("doc_id IS NOT NULL").withColumn(_ROW, F.col("doc_id"))
-    nameless = docs.filter("doc_id IS NULL")
-    if nameless.isEmpty():
-        return named
-    last = named.agg(F.max("doc_id")).first()[0]
-    # Written, so that a row's number is the same wherever it is read.
-    numbered = cut_lineage(nameless.withColumn(_ROW, F.monotonically_increasing_id() + F.lit(max(-1, -1 if last is None else last) + 1)))
-    return named.unionByName(numbered)
+    """``docs`` with ``_ROW``, written, so that a row's number is the same wherever it is read."""
+    return cut_lineage(docs.withColumn(_ROW, F.monotonically_increasing_id()))
 
 
-def _kept(docs: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
-    return rows.join(ids.select(F.col("doc_id").alias(_ROW)).hint("merge"), _ROW, "left_semi").select(*docs.columns)
+def _kept(docs: DataFrame, rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    return rows.join(numbers.select(F.col("row").alias(_ROW)).hint("merge"), _ROW, "left_semi").select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,20 +42,31 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space, the longest stays, then the one with the smallest id; no id comes last."""
-    rows = _rows(docs)
-    return _kept(docs, rows, exact_dedup.deduplicate(rows, exact_dedup.DigestIndex.scratch(spark), id_col=_ROW).filter("kept"))
+    rows, index = _rows(docs), exact_dedup.DigestIndex.scratch(spark)
+    kept = cut_lineage(exact_dedup.deduplicate(rows, index, row_col=_ROW).filter("kept").select("row"))
+    index.drop()
+    return _kept(docs, rows, kept)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links by its shingles, the document with the smallest id stays; no id comes last."""
     rows = _rows(docs)
-    return _kept(docs, rows, ngram_join.join_near(rows, id_col=_ROW).filter("doc_id = component_id"))
+    found = ngram_join.near_components(rows.select(F.col(_ROW).alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
+    found = cut_lineage(found.select("row", "id", "component"))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row"))
+    firsts = found.filter("component IS NOT NULL").groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return _kept(docs, rows, firsts.unionByName(found.filter("component IS NULL").select("row")))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; every document stays, and its count of characters follows its text."""
-    masked = secrets.redact(docs, secrets.grow(secrets.labelled_findings(docs)))
-    return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*docs.columns)
+    # The parts stand for the text from here on, so it is split once for training and masking.
+    parts = secrets.dissect(F.col("text"), F.col("source"))
+    cut = cut_lineage(docs.select(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("textless"), parts.alias("parts")))
+    forest = secrets.grow(secrets.labelled(cut, "parts.found"))
+    text = F.when(~F.col("textless"), secrets.masked(F.col("parts"), forest))
+    whole = cut.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return whole.select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
