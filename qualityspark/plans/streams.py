@@ -1,26 +1,26 @@
 """Streams over the tables' files, read to their end in several batches.
 
 Each table is first dealt over files by a hash, so every batch holds rows of all
-times and each next one comes late; what is merged into is not empty.
+times and each next one comes late.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from qualityspark.operators import scores as O
 from qualityspark.operators import sequences as Q
-from qualityspark.operators.merge import last_per_key
-from qualityspark.operators.runs import state_parts
 from qualityspark.plans import documents as D
 from qualityspark.plans import query
 from qualityspark.plans.sequences import _WALK
 from qualityspark.plans.stores import RUN_STATES
 from qualityspark.plans.views import REQUESTS, chain, requests, with_views
 from qualityspark.session import scratch_path
-from qualityspark.sinks.keyed import KeyedTable
+from qualityspark.sinks.batches import BATCH, BatchTable
 from qualityspark.streaming import requests as R
+from qualityspark.streaming import states as S
 
 _KEYS = ["pid", "suite_id"]
 _FILES = 4
@@ -39,8 +39,8 @@ def _requests(t, copies: int = 1):
     return _stream(t, "events", "event_id", copies).selectExpr(*REQUESTS)
 
 
-def _table(t, name: str, schema: StructType, keys: list[str]) -> KeyedTable:
-    return KeyedTable(t.spark, scratch_path(t.spark, f"{name}-table"), schema, tuple(keys), 8)
+def _table(t, name: str, schema: StructType, fold) -> BatchTable:
+    return BatchTable(t.spark, scratch_path(t.spark, f"{name}-table"), schema, fold)
 
 
 def _finish(stream) -> None:
@@ -49,17 +49,20 @@ def _finish(stream) -> None:
         raise stream.exception()
 
 
-def _states(t) -> KeyedTable:
+def _changes(t, now: int | None = None) -> DataFrame:
+    """All changes of the run states; the store of states lies outside the heap."""
     events = _requests(t)
-    table = _table(t, "run-state", state_parts(requests(t), _KEYS).schema, _KEYS)
-    _finish(R.state_stream(events, table, scratch_path(t.spark, "run-state")))
-    return table
+    keys = [events.schema[k] for k in _KEYS]
+    shape = StructType([*keys, *StructType.fromDDL("kind string, status string, error string, run_count long, events long, ts timestamp").fields])
+    table = _table(t, "run-state", shape, None)
+    _finish(R.state_stream(events, table, scratch_path(t.spark, "run-state"), now=now))
+    return table.rows()
 
 
 @query("stream_run_state", with_views("requests_v") + RUN_STATES)
 def stream_run_state(t):
-    """State of every run, merged batch by batch."""
-    return R.states(_states(t))
+    """State of every run after all batches."""
+    return S.newest(_changes(t), "state")
 
 
 _NOW = "TIMESTAMP '2024-01-30 20:00:00'"
@@ -72,9 +75,9 @@ _NOW = "TIMESTAMP '2024-01-30 20:00:00'"
         FROM ({RUN_STATES}) WHERE status = 'processing' AND ts < {_NOW} - INTERVAL 12 HOUR""",
 )
 def stream_monitor(t):
-    """Stuck runs among the streamed states come out as new requests with their count."""
-    again = R.resubmitted(R.states(_states(t)), F.expr(_NOW), 12)
-    return again.select("pid", "suite_id", "run_count", "status", "ts")
+    """Timers of runs that are stuck at a time of the clock give new requests with their count."""
+    now = t.spark.range(1).select(S.micros(F.expr(_NOW))).first()[0]
+    return S.newest(_changes(t, now), "request").select("pid", "suite_id", "run_count", "status", "ts")
 
 
 @query(
@@ -85,7 +88,7 @@ def stream_monitor(t):
 def stream_hourly(t):
     """Hours that several batches add to."""
     done = requests(t).filter("status = 'success'")
-    table = _table(t, "hourly", R.hourly_totals(done).schema, ["hour"])
+    table = _table(t, "hourly", R.hourly_totals(done).schema, R.hourly_fold)
     _finish(R.hourly_stream(_requests(t).filter("status = 'success'"), table, scratch_path(t.spark, "hourly")))
     return table.read().withColumn("total", F.round("total", 4))
 
@@ -94,8 +97,8 @@ def stream_hourly(t):
 def stream_redelivery(t):
     """Every request delivered in two batches is taken once, the oldest too."""
     columns = ["event_id", "pid", "suite_id", "ts"]
-    table = _table(t, "requests", requests(t).select(*columns).schema, ["event_id"])
-    _finish(R.deliver_once(_requests(t, copies=2).select(*columns), table, scratch_path(t.spark, "requests"), ["ts"]))
+    table = _table(t, "requests", requests(t).select(*columns).schema, R.first_per_key(["event_id"], ["ts"]))
+    _finish(R.store(_requests(t, copies=2).select(*columns), table, scratch_path(t.spark, "requests")))
     return table.read()
 
 
@@ -112,7 +115,7 @@ def stream_assess(t):
 
     docs = D.documents(Streamed()).withColumn("requested", F.current_timestamp())
     runs = D.suite_runs(t).withColumn("requested", F.current_timestamp())
-    table = _table(t, "runs", runs.schema, _KEYS)
+    table = _table(t, "runs", runs.schema, R.last_row(_KEYS, ["requested"]))
     _finish(R.assess_stream(docs, D.SUITE, D.REGISTRY, table, scratch_path(t.spark, "runs")))
     done = table.read().filter("run_status = 'success'").drop("sysmeta", "requested")
     return O.score_arrays(done).drop("suite_id", "run_status", "error_description", "results")
@@ -129,14 +132,12 @@ def stream_assess(t):
 def stream_merge(t):
     """Batches merged into a filled table, in which rows older than the stored ones change nothing."""
     columns = [*_KEYS, "status", "ts", "event_id"]
-    fold = lambda rows: last_per_key(rows, _KEYS, ["ts", "event_id"])
-    table = _table(t, "merge", requests(t).select(*columns).schema, _KEYS)
+    table = _table(t, "merge", requests(t).select(*columns).schema, R.last_row(_KEYS, ["ts", "event_id"]))
     first = requests(t).select("pid").distinct().selectExpr(
         "pid", "'suite-1' AS suite_id", "'stored' AS status", "TIMESTAMP '2024-01-15 00:00:00' AS ts", "CAST(-1 AS BIGINT) AS event_id"
     )
-    table.merge(first, -1, fold)
-    events = _requests(t).select(*columns)
-    _finish(R.each_batch(events, lambda batch, number: table.merge(batch, number, fold), scratch_path(t.spark, "merge")))
+    table.write(first, -1)
+    _finish(R.store(_requests(t).select(*columns), table, scratch_path(t.spark, "merge")))
     return table.read().select(*_KEYS, "status", "ts")
 
 
@@ -147,7 +148,7 @@ def stream_relink(t):
     folder = scratch_path(t.spark, "chain-files")
     runs.repartitionByRange(3, F.pmod(F.xxhash64("pid"), F.lit(3))).write.parquet(folder)
     arrivals = R.file_stream(t.spark, folder, runs.schema, per_batch=1)
-    shape = runs.select(*Q.KEY, "obsoletes", "obsoleted_by", F.col("sequence_id").alias("given_id"), "sequence_id", F.col("pid").alias("head"), F.lit(0).cast("long").alias("merged"))
-    table = _table(t, "chains", shape.schema, Q.KEY)
+    shape = runs.select(*Q.KEY, "obsoletes", "obsoleted_by", F.col("sequence_id").alias("given_id"), "sequence_id", F.col("pid").alias("head"))
+    table = _table(t, "chains", shape.schema, R.last_row(Q.KEY, [BATCH]))
     _finish(R.relink_stream(arrivals, table, scratch_path(t.spark, "chains")))
     return table.read().select("pid", "sequence_id")

@@ -95,6 +95,11 @@ def cut_of(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
     return result
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the store it lies in; nothing happens if there is none."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

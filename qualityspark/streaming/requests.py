@@ -1,24 +1,26 @@
 """Request streams: assessment, run states, monitoring, totals, relinking.
 
-A batch is reduced by key and merged into a stored table, so what arrives late,
-twice or out of order counts exactly as in time: nothing is dropped by age, and
-there is no state but the tables. Merges combine before the shuffle; a document
-requested very often costs no more than any other.
+What arrives late, twice or out of order counts exactly as in time: nothing is
+dropped by age. Run states are kept by a stateful operator (``streaming.states``);
+all else is reduced by key, written batch by batch and folded when it is read.
+Both combine before the shuffle, so a document requested very often costs no
+more than any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualityspark.operators.checks import Registry, Suite
 from qualityspark.operators.merge import last_per_key
-from qualityspark.operators.runs import RUN_LIMIT, STUCK_HOURS, limit_runs, state_columns, state_parts
+from qualityspark.operators.runs import RUN_LIMIT, STUCK_HOURS
 from qualityspark.operators.sequences import KEY, assign_sequence, walk_back
 from qualityspark.operators.suite import run_suite
-from qualityspark.sinks.keyed import KeyedTable
+from qualityspark.sinks.batches import BATCH, BatchTable
+from qualityspark.streaming.states import run_states
 
 
 def file_stream(spark: SparkSession, folder: str, schema, name: str | None = None, per_batch: int = 1000) -> DataFrame:
@@ -36,21 +38,31 @@ def each_batch(stream: DataFrame, merge: Callable[[DataFrame, int], None], check
     )
 
 
-def deliver_once(requests: DataFrame, table: KeyedTable, checkpoint: str, order: list[str]):
-    """Store requests by key, whenever and however often a queue delivers them.
-
-    Of several rows with one key the first in ``order`` is kept.
-    """
+def first_per_key(keys: list[str], order: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Keeps of several rows with one key the first in ``order``."""
 
     def fold(rows: DataFrame) -> DataFrame:
-        lead = F.struct(*order, *[c for c in table.schema.names if c not in order])
-        first = rows.groupBy(*table.keys).agg(F.min(lead).alias("_row"))
-        return first.select(*[F.col(f"_row.{c}").alias(c) for c in table.schema.names])
+        rest = [c for c in rows.columns if c not in (*order, BATCH)]
+        first = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_row"))
+        return first.select(*[F.col(f"_row.{c}").alias(c) for c in rows.columns if c != BATCH])
+
+    return fold
+
+
+def last_row(keys: list[str], order: list[str]) -> Callable[[DataFrame], DataFrame]:
+    """Keeps of several rows with one key the last in ``order``."""
+    return lambda rows: last_per_key(rows, keys, order)
 
-    return each_batch(requests, lambda batch, number: table.merge(batch, number, fold), checkpoint)
 
+def store(rows: DataFrame, table: BatchTable, checkpoint: str):
+    """Fold each batch by itself and write it; the table's reads fold all of them.
 
-def assess_stream(docs: DataFrame, suite: Suite, registry: Registry, table: KeyedTable, checkpoint: str):
+    What a queue delivers several times counts once, whenever that is.
+    """
+    return each_batch(rows, lambda batch, number: table.write(table.fold(batch.withColumn(BATCH, F.lit(number).cast("long"))), number), checkpoint)
+
+
+def assess_stream(docs: DataFrame, suite: Suite, registry: Registry, table: BatchTable, checkpoint: str):
     """Stream of documents to a table of runs, one per document and suite.
 
     ``docs`` has a ``requested`` time; a document asked for again replaces its
@@ -58,47 +70,32 @@ def assess_stream(docs: DataFrame, suite: Suite, registry: Registry, table: Keye
     batch is reduced to the last request of a document before it is assessed.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def assess(batch: DataFrame, number: int) -> None:
         latest = last_per_key(batch, ["pid"], ["requested"])
         times = latest.select("pid", "requested")
-        runs = run_suite(latest.drop("requested"), suite, registry).join(times, "pid")
-        table.merge(runs, number, lambda rows: last_per_key(rows, list(table.keys), ["requested"]))
-
-    return each_batch(docs, merge, checkpoint)
-
+        table.write(run_suite(latest.drop("requested"), suite, registry).join(times, "pid"), number)
 
-def state_stream(requests: DataFrame, table: KeyedTable, checkpoint: str):
-    """Parts of the state of every run (``runs.state_parts``), merged as its events arrive."""
+    return each_batch(docs, assess, checkpoint)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        parts = state_parts(batch, list(table.keys))
-        table.merge(parts, number, lambda rows: state_parts(rows, list(table.keys), merged=True))
 
-    return each_batch(requests, merge, checkpoint)
+def state_stream(requests: DataFrame, table: BatchTable, checkpoint: str, limit: int = RUN_LIMIT, hours: int = STUCK_HOURS, now: int | None = None):
+    """States of runs as their events arrive, and new requests for stuck ones (``states.run_states``), written batch by batch.
 
-
-def states(table: KeyedTable, limit: int = RUN_LIMIT) -> DataFrame:
-    """State of every run as of the newest merge."""
-    return state_columns(table.read(), list(table.keys), limit)
-
-
-def stuck(states: DataFrame, now: Column, hours: int = STUCK_HOURS) -> DataFrame:
-    """Runs to submit again: processing since more than ``hours``."""
-    return states.filter(
-        (F.col("status") == "processing") & (F.col("ts") < now - F.make_dt_interval(hours=F.lit(hours)))
-    )
-
-
-def resubmitted(states: DataFrame, now: Column, hours: int = STUCK_HOURS, limit: int = RUN_LIMIT) -> DataFrame:
-    """Stuck runs as new requests at ``now``, with the count of the new attempt.
-
-    A run whose new attempt is beyond the limit comes out as a failure instead
-    of a request, with the message that says so.
+    Reads what there is and ends; overdue timers fire with the batches. For a
+    stream that goes on, and fires them without new rows too, write the changes
+    with a trigger of your own.
     """
-    again = stuck(states, now, hours).withColumns(
-        {"run_count": F.col("run_count") + 1, "ts": now.cast("timestamp"), "error": F.lit(None).cast("string")}
-    )
-    return limit_runs(again, limit)
+    spark = requests.sparkSession
+    changes = run_states(requests, limit, hours, now)
+    writer = changes.writeStream.outputMode("update").foreachBatch(table.write).option("checkpointLocation", checkpoint)
+    # A stream with timers asks for batches without rows for ever, so one that is to end goes without.
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
 
 
 def hourly_totals(completed: DataFrame, ts: str = "ts", value: str = "elapsed") -> DataFrame:
@@ -108,13 +105,13 @@ def hourly_totals(completed: DataFrame, ts: str = "ts", value: str = "elapsed")
     )
 
 
-def hourly_stream(completed: DataFrame, table: KeyedTable, checkpoint: str, **columns: str):
-    """Hourly totals to which late rows add like any others."""
+def hourly_fold(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("hour").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
-    def fold(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("hour").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
-    return each_batch(completed, lambda batch, number: table.merge(hourly_totals(batch, **columns), number, fold), checkpoint)
+def hourly_stream(completed: DataFrame, table: BatchTable, checkpoint: str, **columns: str):
+    """Hourly totals to which late rows add like any others; ``table`` folds by ``hourly_fold``."""
+    return each_batch(completed, lambda batch, number: table.write(hourly_totals(batch, **columns), number), checkpoint)
 
 
 def with_heads(stored: DataFrame) -> DataFrame:
@@ -144,23 +141,23 @@ def relink(stored: DataFrame, arrived: DataFrame) -> DataFrame:
     return assign_sequence(old.join(arrived.select(*KEY), KEY, "left_anti").unionByName(arrived.select(*columns)))
 
 
-def relink_stream(arrivals: DataFrame, table: KeyedTable, checkpoint: str):
+def relink_stream(arrivals: DataFrame, table: BatchTable, checkpoint: str):
     """Keep sequence ids up to date as runs arrive.
 
     ``table`` holds ``suite_id, pid, obsoletes, obsoleted_by, given_id,
-    sequence_id, head, merged`` by suite and pid. Every batch walks the chains it
-    touches and merges the runs in them. Walks start from the ids that runs came
-    with (``given_id``), so the ids do not depend on the order of arrival; one
-    that was only derived may change when an earlier version arrives.
+    sequence_id, head``, of which a read takes the last batch's row. Every batch
+    walks the chains it touches and writes the runs in them. Walks start from
+    the ids that runs came with (``given_id``), so the ids do not depend on the
+    order of arrival; one that was only derived may change when an earlier
+    version arrives.
     """
     links = [*KEY, "obsoletes", "obsoleted_by"]
 
-    def merge(batch: DataFrame, number: int) -> None:
-        stored = table.read().filter(F.col("merged") < number).withColumn("sequence_id", F.col("given_id"))
+    def link(batch: DataFrame, number: int) -> None:
+        stored = table.read(before=number).withColumn("sequence_id", F.col("given_id"))
         found = relink(stored, batch).select(*KEY, "sequence_id", "head")
         given = F.col("sequence_id").alias("given_id")
         kept = stored.join(batch.select(*KEY), KEY, "left_anti").select(*links, given)
-        rows = kept.unionByName(batch.select(*links, given)).join(found, KEY).withColumn("merged", F.lit(number).cast("long"))
-        table.merge(rows, number, lambda both: last_per_key(both, KEY, ["merged"]))
+        table.write(kept.unionByName(batch.select(*links, given)).join(found, KEY), number)
 
-    return each_batch(arrivals, merge, checkpoint)
+    return each_batch(arrivals, link, checkpoint)

@@ -1,20 +1,18 @@
-"""Keyed tables and streams: late, repeated and out-of-order batches."""
+"""Streams and their stored batches: late, repeated and out-of-order rows, states over a restart, timers."""
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from qualityspark.functions import xpaths
 from qualityspark.operators.merge import last_per_key, merge_runs, partial_update, upsert
-from qualityspark.operators.runs import state_parts
-from qualityspark.sinks.keyed import KeyedTable
+from qualityspark.sinks.batches import BatchTable
 from qualityspark.streaming import requests as R
+from qualityspark.streaming import states as S
 
 SHAPE = "k string, v long"
-
-
-def table(spark, tmp_path, shape=SHAPE, keys=("k",), parts=4):
-    return KeyedTable(spark, str(tmp_path / "table"), spark.createDataFrame([], shape).schema, keys, parts)
+DDL = StructType.fromDDL
 
 
 def rows(df):
@@ -25,32 +23,33 @@ def total(both):
     return both.groupBy("k").agg(F.sum("v").alias("v"))
 
 
-def test_merges_add_up_and_repeat(spark, tmp_path):
-    kept = table(spark, tmp_path)
+def test_batches_add_up_and_repeat(spark, tmp_path):
+    kept = BatchTable(spark, str(tmp_path / "table"), DDL(SHAPE), total)
     assert rows(kept.read()) == []
     batch = lambda *r: spark.createDataFrame(list(r), SHAPE)
-    kept.merge(batch(("a", 1), ("b", 2), (None, 7)), 0, total)
-    kept.merge(batch(("a", 10)), 1, total)
-    kept.merge(batch(("a", 10)), 1, total)  # the same batch delivered again
+    kept.write(batch(("a", 1), ("b", 2), (None, 7)), 0)
+    kept.write(batch(("a", 10)), 1)
+    kept.write(batch(("a", 10)), 1)  # the same batch delivered again
     assert rows(kept.read().filter("k IS NOT NULL")) == [("a", 11), ("b", 2)]
-    kept.merge(batch(), 2, total)
-    kept.merge(batch(("c", 3)), 3, total)
+    kept.write(batch(), 2)
+    kept.write(batch(("c", 3)), 3)
     assert rows(kept.read().filter("k IS NOT NULL")) == [("a", 11), ("b", 2), ("c", 3)]
     assert kept.read().filter("k IS NULL").first().v == 7
+    assert rows(kept.read(before=1).filter("k IS NOT NULL")) == [("a", 1), ("b", 2)]
+    settled = kept.settle(str(tmp_path / "settled"))
+    settled.write(batch(("c", 1)), 4)
+    assert rows(settled.read().filter("k IS NOT NULL")) == [("a", 11), ("b", 2), ("c", 4)]
+    assert [p.name for p in (tmp_path / "settled").iterdir() if p.is_dir()] and settled.rows().select("batch").distinct().count() == 2
 
 
-def test_superseded_files_go(spark, tmp_path):
-    kept = table(spark, tmp_path, parts=1)
-    for n in range(6):
-        kept.merge(spark.createDataFrame([("a", 1)], SHAPE), n, total)
-    assert rows(kept.read()) == [("a", 6)]
-    assert sorted(p.name for p in (tmp_path / "table/data").iterdir()) == ["merge-4", "merge-5"]
+def source(spark, folder, shape):
+    return spark.readStream.schema(DDL(shape)).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(folder)
 
 
-def files(spark, folder, shape, *batches):
-    for i, batch in enumerate(batches):
+def files(spark, folder, shape, *batches, start=0):
+    for i, batch in enumerate(batches, start):
         spark.createDataFrame(batch, shape).coalesce(1).write.parquet(f"{folder}/{i}")
-    return lambda: spark.readStream.schema(spark.createDataFrame([], shape).schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(folder)
+    return lambda: source(spark, folder, shape)
 
 
 def at(hour, day=1):
@@ -58,29 +57,55 @@ def at(hour, day=1):
 
 
 REQUESTS = "event_id long, pid string, suite_id string, ts timestamp, status string"
+CHANGES = "pid string, suite_id string, kind string, status string, error string, run_count long, events long, ts timestamp"
 
 
 def test_late_and_repeated_requests_count_once(spark, tmp_path):
     old = (3, "p", "s", at(1), "processing")
     batches = [[(1, "p", "s", at(9, 5), "processing")], [(2, "q", "s", at(10, 5), "success"), (1, "p", "s", at(9, 5), "processing")], [old], [old, (4, "p", "s", at(2, 5), "failure")]]
     stream = files(spark, str(tmp_path / "in"), REQUESTS, *batches)
-    kept = table(spark, tmp_path, REQUESTS, ("event_id",))
-    R.deliver_once(stream(), kept, str(tmp_path / "state"), ["ts"]).awaitTermination()
+    kept = BatchTable(spark, str(tmp_path / "out"), DDL(REQUESTS), R.first_per_key(["event_id"], ["ts"]))
+    R.store(stream(), kept, str(tmp_path / "state")).awaitTermination()
     assert [r[0] for r in rows(kept.read())] == [1, 2, 3, 4]
 
 
-def test_states_and_hours_take_late_rows(spark, tmp_path):
+def test_states_go_on_after_a_restart(spark, tmp_path):
+    """A run's count and last event come from the state store: late events add up, also those behind a restart."""
+    folder, table = str(tmp_path / "in"), BatchTable(spark, str(tmp_path / "out"), DDL(CHANGES), None)
+    files(spark, folder, REQUESTS, [(1, "p", "s", at(9, 5), "processing")], [(2, "p", "s", at(1), "processing"), (3, "p", "s", at(2), "success")])
+    go = lambda: R.state_stream(source(spark, folder, REQUESTS), table, str(tmp_path / "state"), limit=3, now=0).awaitTermination()
+    found = lambda: {r.pid: (r.status, r.run_count, r.events, r.ts) for r in S.newest(table.rows(), "state").collect()}
+    go()
+    assert found() == {"p": ("processing", 2, 3, at(9, 5))}
+    many = [(10 + i, "q", "s", at(i), "processing") for i in range(4)]
+    files(spark, folder, REQUESTS, [(4, "q", "s", at(1), "success"), *many], [(5, "p", "s", at(8, 5), "success"), (6, "p", "s", at(9, 5), "failure")], start=2)
+    go()
+    assert found() == {"p": ("failure", 2, 5, at(9, 5)), "q": ("failure", 4, 5, at(3))}
+    errors = {r.pid: r.error for r in S.newest(table.rows(), "state").collect()}
+    assert errors == {"p": None, "q": "Run has been attempted 3 times, aborting."}
+
+
+def test_timers_ask_again_for_stuck_runs(spark, tmp_path):
+    """By a clock set by hand: only runs whose last event is an old start, and a later event takes the request back."""
+    now = int(datetime(2024, 1, 10, tzinfo=timezone.utc).timestamp()) * 1_000_000
+    batches = [
+        [(1, "old", "s", at(1), "processing"), (2, "fresh", "s", at(13, 9), "processing"), (3, "done", "s", at(1), "success"), (4, "late", "s", at(1), "processing"), (5, "edge", "s", at(12, 9), "processing")],
+        [(6, "late", "s", at(2), "success"), (7, "often", "s", at(3), "processing"), (8, "often", "s", at(4), "processing")],
+    ]
+    stream = files(spark, str(tmp_path / "in"), REQUESTS, *batches)
+    table = BatchTable(spark, str(tmp_path / "out"), DDL(CHANGES), None)
+    R.state_stream(stream(), table, str(tmp_path / "state"), limit=2, now=now).awaitTermination()
+    again = {r.pid: (r.run_count, r.status, r.error, r.ts) for r in S.newest(table.rows(), "request").collect()}
+    clock = datetime(2024, 1, 10)
+    assert again == {"old": (2, "processing", None, clock), "often": (3, "failure", "Run has been attempted 2 times, aborting.", clock)}
+    # The request for the late one was given, until its end was heard of.
+    assert table.rows().filter("kind = 'request' AND pid = 'late'").count() == 1
+
+
+def test_hours_take_late_rows(spark, tmp_path):
     batches = [[(1, "p", "s", at(9, 5), "processing")], [(2, "p", "s", at(1), "processing"), (3, "p", "s", at(2), "success")], [(4, "q", "s", at(1), "success")]]
     stream = files(spark, str(tmp_path / "in"), REQUESTS, *batches)
-    parts = table(spark, tmp_path, state_parts(spark.createDataFrame([], REQUESTS), ["pid", "suite_id"]).schema.simpleString()[7:-1].replace(":", " "), ("pid", "suite_id"))
-    R.state_stream(stream(), parts, str(tmp_path / "state")).awaitTermination()
-    found = {r.pid: (r.status, r.run_count, r.events, r.ts) for r in R.states(parts).collect()}
-    assert found == {"p": ("processing", 2, 3, at(9, 5)), "q": ("success", 0, 1, at(1))}
-    again = R.resubmitted(R.states(parts), F.expr("TIMESTAMP '2024-01-20'"), 12).collect()
-    assert [(r.pid, r.run_count, r.status) for r in again] == [("p", 3, "processing")]
-    beyond = R.resubmitted(R.states(parts), F.expr("TIMESTAMP '2024-01-20'"), 12, limit=2).collect()
-    assert [(r.status, r.error) for r in beyond] == [("failure", "Run has been attempted 2 times, aborting.")]
-    hours = KeyedTable(spark, str(tmp_path / "hours"), spark.createDataFrame([], "hour timestamp, n long, total long").schema, ("hour",), 2)
+    hours = BatchTable(spark, str(tmp_path / "hours"), DDL("hour timestamp, n long, total long"), R.hourly_fold)
     done = stream().filter("status = 'success'").withColumn("elapsed", F.col("event_id"))
     R.hourly_stream(done, hours, str(tmp_path / "hour-state")).awaitTermination()
     assert rows(hours.read()) == [(at(1), 1, 4), (at(2), 1, 3)]
