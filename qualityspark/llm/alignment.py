@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import os
 import re
@@ -35,8 +36,8 @@ from qualityspark.llm.common import cut_lineage, release, texts
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a chunk, about; longer texts are several. Chunks that one step of the tree puts together.
 CHUNK, FAN_IN = 1 << 16, 16
-#: Bytes of text in a block, about.
-SLAB = 1 << 23
+#: Bytes of text in a block, about; characters that a tokenizer is given at once; characters of words that are kept, about.
+SLAB, _BATCH, _KEPT = 1 << 21, 1 << 17, 1 << 24
 
 #: Cuts that no token of the tokenizer spans: one blank or line end between letters or digits; a blank with something before and behind it.
 _CUT_A, _CUT_B = re.compile(r"(?<=[^\W_])[ \n](?=[^\W_])"), re.compile(r"(?s)(?<=[^ ▁]) (?=.)")
@@ -70,13 +71,29 @@ class Side:
         self.comma, self.bar, self.end = ([f"{i}{mark}" for i in range(len(token_bytes))] for mark in ",|;")
         self.comma, self.bar, self.end = (np.array(x, object) for x in (self.comma, self.bar, self.end))
 
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The library's own ids."""
+        raise NotImplementedError
+
+    def spelled(self, text: str) -> bytes:
+        """The bytes that the tokens of a text should have."""
+        raise NotImplementedError
+
+    def joined(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.token_bytes.__getitem__, ids))
+
+    def read(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        """Ids of each text, and whether they give its bytes back."""
+        return [(np.array(ids, np.int64), self.joined(ids) == self.spelled(t)) for t, ids in zip(texts, self.encode(texts), strict=True)]
 
 
 class ByteLevel(Side):
+    """A byte-level vocabulary. No token lies across two of the words that its pattern gives, and words repeat, so what the
+    library gives for one is kept for its next occurrences."""
+
     def __init__(self, vocabulary: str):
         import public_tokenizers
+        import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -85,6 +102,8 @@ class ByteLevel(Side):
         self.model = Tokenizer.from_file(path)
         # The strings of special tokens are then plain text.
         self.model.encode_special_tokens = True
+        # Ids are looked up word by word only in texts whose characters no edition of Unicode has changed.
+        self.word, self.other = regex.compile(public_tokenizers.PATTERN), re.compile("[^\t-\r\x20-\x7e\xa1-\u024f]")
         table = byte_level_table()
         with open(path, encoding="utf-8") as f:
             entries = json.load(f)["model"]["vocab"]
@@ -92,9 +111,38 @@ class ByteLevel(Side):
         for token, i in entries.items():
             token_bytes[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
         super().__init__(token_bytes)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.kept: dict[str, list[int]] = {}
+        self.unlike: set[str] = set()
+        self.size = 0
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        out, start, size = [], 0, 0
+        # The library keeps some hundred bytes a token until its batch is done.
+        for i, text in enumerate(texts, 1):
+            size += len(text)
+            if size > _BATCH or i == len(texts):
+                out += [e.ids for e in self.model.encode_batch_fast(texts[start:i], add_special_tokens=False)]
+                start, size = i, 0
+        return out
+
+    def words(self, text: str) -> list[str]:
+        return [text] if self.other.search(text) else self.word.findall(text)
+
+    def spelled(self, text: str) -> bytes:
+        return text.encode()
+
+    def read(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
+        cut = [self.words(t) for t in texts]
+        if self.size > _KEPT:
+            self.kept, self.unlike, self.size = {}, set(), 0
+        fresh = [*{w for words in cut for w in words if w not in self.kept}]
+        for word, ids in zip(fresh, self.encode(fresh), strict=True):
+            self.kept[word] = ids
+            self.size += len(word) + 40
+            if self.joined(ids) != self.spelled(word):
+                self.unlike.add(word)
+        ids = (np.fromiter(itertools.chain.from_iterable(map(self.kept.__getitem__, words)), np.int64) for words in cut)
+        return [(i, self.unlike.isdisjoint(words)) for i, words in zip(ids, cut, strict=True)]
 
 
 class Pieces(Side):
@@ -109,8 +157,11 @@ class Pieces(Side):
         pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         super().__init__([of_byte(p) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.int64) for ids in self.model.encode(texts, num_threads=1)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
+
+    def spelled(self, text: str) -> bytes:
+        return b" " + text.encode()
 
 
 @functools.cache
@@ -138,10 +189,15 @@ class Fragment:
     closed: list = field(default_factory=list)
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What two rising arrays share."""
+    return x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x] if len(y) else x[:0]
+
+
 def fragment(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray, a_start: int, b_start: int, begins: bool = False) -> Fragment:
     """The fragment of some consecutive tokens; ``begins`` if both start there by a common end, as a text does."""
     ends_a, ends_b = a_start + np.cumsum(a.length[ids_a]), b_start + np.cumsum(b.length[ids_b])
-    common = np.intersect1d(ends_a, ends_b)
+    common = _common(ends_a, ends_b)
     if not len(common) and not begins:
         return Fragment(a_start, b_start, (ids_a, ids_b))
     low = a_start if begins else int(common[0])
@@ -186,7 +242,7 @@ def measure(a: Side, b: Side, runs: list[tuple[np.ndarray, np.ndarray]], with_gr
     ids_a, ids_b = (np.concatenate([_NONE, *(r[k] for r in runs)]) for k in (0, 1))
     ends_a, ends_b = np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b])
     # Runs lie end to end, so no group and no link reaches from one into the next.
-    common = np.intersect1d(ends_a, ends_b)
+    common = _common(ends_a, ends_b)
     group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
     run_a = np.repeat(np.arange(len(runs)), n_a)
     last_a, last_b = (np.diff(g, append=-1) != 0 for g in (group_a, group_b))
@@ -259,10 +315,8 @@ def _whole(a: str, b: str):
             texts = batch["text"].to_pylist()
             with_blank = [" " + t for t in texts]
             runs = []
-            for text, ids_a, ids_b in zip(with_blank, one.encode(with_blank), other.encode(texts), strict=True):
-                data = text.encode()
-                ok = len(data) > 1 and one.joined(ids_a) == data == other.joined(ids_b)
-                runs.append((ids_a, ids_b) if ok else (_NONE, _NONE))
+            for text, (ids_a, ok_a), (ids_b, ok_b) in zip(texts, one.read(with_blank), other.read(texts), strict=True):
+                runs.append((ids_a, ids_b) if text and ok_a and ok_b else (_NONE, _NONE))
             number = (TaskContext.get().partitionId() << 32 | nth) * 2
             yield _block_row(number, batch["row"].to_pylist(), [0] * len(texts), measure(one, other, runs), True)
 
@@ -317,9 +371,9 @@ def _align_chunks(a: str, b: str):
                 row, chunk, a_text, b_text, a_start, b_start = (batch[c][at].as_py() for c in ("row", "chunk", "a_text", "b_text", "a_start", "b_start"))
                 # The model writes the blank that a chunk of B begins with, the first one's too.
                 a_text, b_text = (" " + a_text, b_text) if chunk == 0 else (a_text, b_text[1:] if b_text else None)
-                ids_a = one.encode([a_text])[0]
-                ids_b = _NONE if b_text is None else other.encode([b_text])[0]
-                ok = one.joined(ids_a) == a_text.encode() and other.joined(ids_b) == (b"" if b_text is None else b" " + b_text.encode())
+                ids_a, ok_a = one.read([a_text])[0]
+                ids_b, ok_b = (_NONE, True) if b_text is None else other.read([b_text])[0]
+                ok = ok_a and ok_b
                 made = fragment(one, other, ids_a, ids_b, a_start, b_start, begins=chunk == 0) if ok else Fragment(a_start, b_start, (_NONE, _NONE))
                 yield _fragment_rows([(row, chunk, ok, made)])
 

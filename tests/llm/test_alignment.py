@@ -40,7 +40,7 @@ def brute(rows):
     docs, counts = [], Counter()
     for doc_id, text in rows:
         data = (" " + (text or "")).encode()
-        ids_a, ids_b = a.encode([" " + (text or "")])[0].tolist(), b.encode([text or ""])[0].tolist()
+        ids_a, ids_b = a.encode([" " + (text or "")])[0], b.encode([text or ""])[0]
         if not text or b"".join(a.token_bytes[i] for i in ids_a) != data or b"".join(b.token_bytes[i] for i in ids_b) != data:
             docs.append((doc_id, None))
             continue
@@ -106,7 +106,7 @@ def test_fragments_are_a_monoid():
     rng = random.Random(3)
     for _ in range(150):
         text = words(rng, rng.randrange(1, 25))
-        ids_a, ids_b = a.encode([" " + text])[0], b.encode([text])[0]
+        ids_a, ids_b = (np.array(x) for x in (a.encode([" " + text])[0], b.encode([text])[0]))
         n = rng.randrange(2, 7)
         cut_a, cut_b = (sorted(rng.randrange(len(ids) + 1) for _ in range(n - 1)) for ids in (ids_a, ids_b))
         parts, at_a, at_b = [], 0, 0
@@ -136,10 +136,30 @@ def test_chunks_meet_only_at_cuts():
                     parts, whole = [" " + parts[0], *parts[1:]], " " + text
                 else:
                     parts, whole = [parts[0], *(p[1:] if p else None for p in parts[1:])], text
-                ids = [i for p in parts if p is not None for i in side.encode([p])[0].tolist()]
-                assert ids == side.encode([whole])[0].tolist()
+                ids = [i for p in parts if p is not None for i in side.encode([p])[0]]
+                assert ids == side.encode([whole])[0]
+                assert side.read([whole])[0][0].tolist() == ids
 
 
 def test_byte_table():
     table = al.byte_level_table()
     assert sorted(table.values()) == list(range(256)) and table["Ġ"] == 32 and table["Ċ"] == 10
+
+
+def test_words_have_the_librarys_ids():
+    """Word by word as in one piece, for every character of the texts that are read so, in many company."""
+    a, b = al.sides(al.BYTE_LEVEL, al.PIECES)
+    rng = random.Random(5)
+    letters = [chr(c) for c in [*range(9, 14), *range(32, 127), *range(0xA0, 0x250)]] + list("\x00\x1c\x85\u2003☃雪٣ǅ")
+    for _ in range(400):
+        text = "".join(rng.choice(letters if rng.random() < 0.5 else "ab '  \n") for _ in range(60))
+        for side in (a, b):
+            ids, ok = side.read([text])[0]
+            assert ids.tolist() == side.encode([text])[0]
+            assert ok == (side.joined(ids.tolist()) == (text.encode() if side is a else b" " + text.encode()))
+    small = al._KEPT
+    try:
+        al._KEPT = 10
+        assert [a.read([t])[0][0].tolist() for t in ("one two", "three", "one two")] == a.encode(["one two", "three", "one two"])
+    finally:
+        al._KEPT = small
