@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DataType, DateType, TimestampNTZType, TimestampType
 
 from qualityspark.operators.harvest import coordinating_pattern
 
@@ -49,41 +48,135 @@ def owner_subjects(collections: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Predicate:
-    """A collection's rule: a column that must have one of some values, and SQL for the rest.
+class OneOf:
+    """A column that has one of some values, compared as text."""
 
-    With ``column`` only documents of these values are tried; without, all are.
-    """
+    column: str
+    values: tuple
+
+
+@dataclass(frozen=True)
+class Between:
+    """A number, date or time within bounds; None is no bound, ``open`` leaves a bound itself out."""
+
+    column: str
+    low: float | str | None = None
+    high: float | str | None = None
+    open: bool = False
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A collection's documents are those that meet all conditions; of several rules with one id, any will do."""
+
+    collection_id: str
+    conditions: tuple[OneOf | Between, ...] = ()
 
-    column: str | None = None
-    values: tuple = ()
-    rest: str = "TRUE"
+
+#: Ranges of a column are found by this many equal buckets between their outermost bounds.
+BUCKETS = 256
+
+_CONDITION = "array<struct<column:string,among:array<string>,low:double,high:double,open:boolean>>"
+
+
+def _number(column: Column, kind: DataType) -> Column:
+    """A value as a number, times as microseconds."""
+    if isinstance(kind, (TimestampType, TimestampNTZType, DateType)):
+        return F.unix_micros(column.cast("timestamp")).cast("double")
+    return column.cast("double")
+
+
+def _meets(given: Column) -> Callable[[Column], Column]:
+    """Whether a condition holds for a document's values, ``texts`` and ``numbers`` by column."""
+
+    def test(c: Column) -> Column:
+        v = F.element_at(given["numbers"], c["column"])
+        inside = (c["low"].isNull() | (v > c["low"]) | (~c["open"] & (v == c["low"]))) & (c["high"].isNull() | (v < c["high"]) | (~c["open"] & (v == c["high"])))
+        among = F.array_contains(c["among"], F.element_at(given["texts"], c["column"]))
+        return F.coalesce(F.when(c["among"].isNotNull(), among).otherwise(inside & v.isNotNull()), F.lit(False))
+
+    return test
 
 
-def matching(sysmeta: DataFrame, predicates: Mapping[str, Predicate | str]) -> DataFrame:
-    """Rows of every collection whose predicate they meet.
+def matching(sysmeta: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows of every collection whose rules they meet, with ``collection_id``; a row comes once for each.
 
-    ``predicates`` by collection id are configuration; a text stands for a rule
-    without a column. Values are joined by equality, so a document meets the
-    collections that ask for one of its values, not all of them.
+    Rules are rows, not expressions, so the plan does not grow with them. A rule
+    is found by one of its conditions: by a value where it asks for some, else
+    by the buckets of a range. Only rows that hit a rule's value or bucket meet
+    its conditions; rules without any take all rows, which cannot be helped.
     """
-    rules = {c: Predicate(rest=p) if isinstance(p, str) else p for c, p in predicates.items()}
-    found = []
-    for column in dict.fromkeys(p.column for p in rules.values()):
-        own = {c: p for c, p in rules.items() if p.column == column}
-        # On a hit, only its own collection's rest is evaluated.
-        rest = F.lit(False)
-        for cid, p in own.items():
-            rest = F.when(F.col("collection_id") == cid, F.expr(p.rest)).otherwise(rest)
-        if column is None:
-            asked = sysmeta.select("*", F.explode(F.array(*map(F.lit, own))).alias("collection_id"))
+    spark = sysmeta.sparkSession
+    kinds = {f.name: f.dataType for f in sysmeta.schema.fields}
+    used = dict.fromkeys(c.column for r in rules for c in r.conditions)
+    bounds = {c.column: [] for r in rules for c in r.conditions if isinstance(c, Between)}
+    as_number = _bound_numbers(spark, kinds, [c for r in rules for c in r.conditions if isinstance(c, Between)])
+    for c, (low, high) in as_number.items():
+        bounds[c.column] += [x for x in (low, high) if x is not None]
+    grid = {c: (min(b), max(b)) if b and min(b) < max(b) else None for c, b in bounds.items()}
+
+    def bucket(column: str, x: float | None, otherwise: int) -> int:
+        """As ``width_bucket``: 0 below the first bound, ``BUCKETS + 1`` from the last on."""
+        if x is None or grid[column] is None:
+            return otherwise
+        low, high = grid[column]
+        return 0 if x < low else BUCKETS + 1 if x >= high else int(BUCKETS * ((x - low) / (high - low))) + 1
+
+    index = []
+    for rule in rules:
+        conditions = [
+            (c.column, [str(v) for v in c.values], None, None, False) if isinstance(c, OneOf) else (c.column, None, *as_number[c], c.open) for c in rule.conditions
+        ]
+        lead = next((c for c in rule.conditions if isinstance(c, OneOf)), next(iter(rule.conditions), None))
+        if lead is None:
+            keys = [("", "")]
+        elif isinstance(lead, OneOf):
+            keys = [(lead.column, v) for v in dict.fromkeys(map(str, lead.values))]
+        elif grid[lead.column] is None:
+            keys = [(lead.column, "#")]
         else:
-            pairs = [(v, c) for c, p in own.items() for v in p.values]
-            kind = sysmeta.schema[column].dataType
-            values = sysmeta.sparkSession.createDataFrame(pairs, StructType([StructField(column, kind), StructField("collection_id", StringType())]))
-            asked = sysmeta.join(values, column).select(*sysmeta.columns, "collection_id")
-        found.append(asked.filter(rest))
-    return reduce(DataFrame.unionByName, found)
+            low, high = as_number[lead]
+            # One bucket more on each side, so that no rounding of a bound matters.
+            span = range(max(bucket(lead.column, low, 0) - 1, 0), min(bucket(lead.column, high, BUCKETS + 1) + 1, BUCKETS + 1) + 1)
+            keys = [(lead.column, f"#{b}") for b in span]
+        index += [(column, value, rule.collection_id, conditions) for column, value in keys]
+    asked = spark.createDataFrame(index, f"_column string, _value string, collection_id string, _conditions {_CONDITION}")
+
+    texts = F.map_from_arrays(F.array(*map(F.lit, used)), F.array(*(F.col(c).cast("string") for c in used))) if used else F.expr("CAST(map() AS map<string,string>)")
+    ranged = [*bounds]
+    numbers = F.map_from_arrays(F.array(*map(F.lit, ranged)), F.array(*(_number(F.col(c), kinds[c]) for c in ranged))) if ranged else F.expr("CAST(map() AS map<string,double>)")
+    leads = {k[0] for k in index}
+    keys = [F.struct(F.lit("").alias("_column"), F.lit("").alias("_value"))] if "" in leads else []
+    for c in used:
+        if c in leads:
+            keys.append(F.struct(F.lit(c).alias("_column"), F.col(c).cast("string").alias("_value")))
+            if c in bounds:
+                place = F.lit("#") if grid[c] is None else F.concat(F.lit("#"), F.width_bucket(_number(F.col(c), kinds[c]), F.lit(grid[c][0]), F.lit(grid[c][1]), F.lit(BUCKETS)).cast("string"))
+                keys.append(F.struct(F.lit(c).alias("_column"), place.alias("_value")))
+    if not keys:
+        return sysmeta.withColumn("collection_id", F.lit(None).cast("string")).limit(0)
+    own = [F.col(c) for c in sysmeta.columns]
+    tried = sysmeta.select(*own, F.struct(texts.alias("texts"), numbers.alias("numbers")).alias("_given"), F.explode(F.array(*keys)).alias("_key"))
+    tried = tried.select(*sysmeta.columns, "_given", "_key._column", "_key._value").filter("_value IS NOT NULL")
+    hits = tried.join(asked, ["_column", "_value"]).filter(F.forall("_conditions", _meets(F.col("_given"))))
+    out = hits.select(*sysmeta.columns, "collection_id")
+    # A row that meets several rules of a collection comes once: only then is there something to take out.
+    several = len({r.collection_id for r in rules}) < len(rules)
+    return out.dropDuplicates(["collection_id", "pid"]) if several else out
+
+
+def _bound_numbers(spark: SparkSession, kinds: Mapping[str, DataType], ranges: list[Between]) -> dict[Between, tuple[float | None, float | None]]:
+    """Bounds as numbers, those written as text by the type of their column."""
+    rows = [(i, c.column, None if b is None else str(b)) for i, c in enumerate(ranges) for b in (c.low, c.high)]
+    if not rows:
+        return {}
+    given = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n long, i long, column string, bound string")
+    number = F.lit(None).cast("double")
+    for c in dict.fromkeys(r.column for r in ranges):
+        number = F.when(F.col("column") == c, _number(F.col("bound").cast(kinds[c]), kinds[c])).otherwise(number)
+    # Rules are configuration: two numbers a range.
+    found = [r.x for r in given.select("n", number.alias("x")).orderBy("n").collect()]
+    return {c: (found[2 * i], found[2 * i + 1]) for i, c in enumerate(ranges)}
 
 
 def members(matched: DataFrame, subjects: DataFrame) -> DataFrame:

@@ -5,36 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qualityspark.session import cut_lineage
+
 
 def number_in_order(df: DataFrame, keys: list[str], ts: str, tie: str, out: str = "row_number") -> DataFrame:
-    """``row_number`` per key in (ts, tie) order, with hot keys split over days and seconds.
+    """``row_number`` per key in (ts, tie) order, however many rows a key or an instant has.
 
-    Rows are numbered inside (key, second). Offsets are the counts of a key's
-    earlier days and of a day's earlier seconds, so no task sees more than a
-    key's days, a day's seconds, or a second's rows. Key and unit are one struct,
-    which is never null and so joins null keys too.
+    Rows are laid out in range partitions by key, time, tie and a number of
+    their own, so even rows of one key and one second can be divided; a row's
+    number is its place in its partition and what its key has in the partitions
+    before. That is one number per key and partition, the only thing a window
+    sees. Null keys are keys.
     """
-    at = F.col(ts)
-    parts = df.withColumn("_part", F.struct(*keys, F.date_trunc("day", at).alias("_day"), F.date_trunc("second", at).alias("_second")))
-    part = F.col("_part")
-    key = [part[k] for k in keys]
-
-    def earlier(by: list[Column], order: str) -> Column:
-        before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_n").over(before), F.lit(0))
-
-    seconds = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    within = seconds.withColumn("_within", earlier([*key, part["_day"]], "_part._second")).withColumn("_days", F.struct(*key, part["_day"]))
-    days = within.groupBy("_days").agg(F.sum("_n").alias("_n"))
-    day = F.col("_days")
-    days = days.select("_days", earlier([day.getField(n) for n in _names(days.schema["_days"].dataType)[:-1]], f"_days.{_names(days.schema['_days'].dataType)[-1]}").alias("_before"))
-    offsets = within.join(days, "_days").select("_part", (F.col("_within") + F.col("_before")).alias("_offset"))
-    local = parts.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(ts, tie)))
-    return local.join(offsets, "_part").withColumn(out, F.col("_rn") + F.col("_offset")).drop("_part", "_rn", "_offset")
-
-
-def _names(kind) -> list[str]:
-    return kind.names
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written before the splitters are sampled, so that equal rows keep the numbers that tell them apart.
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    order = [*keys, ts, tie, "_row"]
+    laid = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    # Key and partition are one struct, which is never null and so joins null keys too.
+    part = F.struct(*keys, F.shiftright("_place", 33).alias("_part"))
+    laid = cut_lineage(laid.drop("_row")).withColumn("_of", part)
+    held = laid.groupBy("_of").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*(F.col("_of").getField(k) for k in keys)).orderBy("_of._part").rowsBetween(Window.unboundedPreceding, -1)
+    held = cut_lineage(held.select("_of", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    numbered = laid.join(held, "_of").withColumn(out, F.col("_before") + F.col("_place") - F.col("_first") + 1)
+    return numbered.drop("_of", "_place", "_first", "_before")
 
 
 def join_latest(df: DataFrame, latest: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

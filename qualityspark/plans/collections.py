@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from qualityspark.operators import collections as O
@@ -18,6 +20,7 @@ _DOCS = [
     "o_totalprice AS size",
     "o_orderpriority AS priority",
     "c_mktsegment AS segment",
+    "o_orderdate AS ordered",
 ]
 # Collections by predicate; owners are a segment or a single customer.
 _PREDICATES = {
@@ -25,11 +28,11 @@ _PREDICATES = {
     "urgent": "priority = '1-URGENT' OR priority = '2-HIGH'",
     "open": "status = 'O' AND size < 100000",
 }
-_RULES = {
-    "big": "size > 250000",
-    "urgent": O.Predicate("priority", ("1-URGENT", "2-HIGH")),
-    "open": O.Predicate("status", ("O",), "size < 100000"),
-}
+_RULES = [
+    O.Rule("big", (O.Between("size", low=250000, open=True),)),
+    O.Rule("urgent", (O.OneOf("priority", ("1-URGENT", "2-HIGH")),)),
+    O.Rule("open", (O.Between("size", high=100000, open=True), O.OneOf("status", ("O",)))),
+]
 _OWNERS = {"big": "g-BUILDING", "urgent": "c17", "open": "g-MACHINERY"}
 _DOCS_CTE = f"""docs AS (SELECT {', '.join(_DOCS)}, CASE WHEN o_orderstatus = 'F' THEN ['public'] ELSE ['g-' || c_mktsegment] END AS read_subjects
     FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -70,6 +73,37 @@ def collection_members(t):
     return _members(t)
 
 
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+_MANY = 300
+
+
+def many_rules() -> list[O.Rule]:
+    """Collections by a range of sizes, by priority and size, and by status and a range of dates."""
+    rules = []
+    for i in range(_MANY):
+        day = date(1992, 1, 1) + timedelta(days=8 * i)
+        by = (
+            (O.Between("size", 1500 * i, 1500 * i + 900 * (i % 7 + 1)),),
+            (O.OneOf("priority", (_PRIORITIES[i % 5],)), O.Between("size", high=2000 + 100 * i, open=True)),
+            (O.OneOf("status", ("FOP"[i % 3], "F")), O.Between("ordered", str(day), str(day + timedelta(days=20)))),
+        )
+        rules.append(O.Rule(f"rule-{i}", by[i // 3 % 3]))
+    return rules
+
+
+@query(
+    "collection_rules",
+    f"""WITH {_DOCS_CTE}, rules AS (SELECT i, i // 3 % 3 AS kind FROM range({_MANY}) r(i))
+    SELECT 'rule-' || i AS collection_id, pid FROM docs JOIN rules ON CASE kind
+        WHEN 0 THEN size >= 1500 * i AND size <= 1500 * i + 900 * (i % 7 + 1)
+        WHEN 1 THEN priority = list_extract({list(_PRIORITIES)}, i % 5 + 1) AND size < 2000 + 100 * i
+        ELSE status IN (substring('FOP', i % 3 + 1, 1), 'F') AND CAST(ordered AS DATE) BETWEEN DATE '1992-01-01' + CAST(8 * i AS INT) AND DATE '1992-01-01' + CAST(8 * i + 20 AS INT) END""",
+)
+def collection_rules(t):
+    """Hundreds of collections in one join: rules are rows of an index, not expressions of the plan."""
+    return O.matching(_docs(t), many_rules()).select("collection_id", "pid")
+
+
 @query(
     "readable_documents",
     f"""WITH {_DOCS_CTE} SELECT pid, list_contains(read_subjects, 'public') OR list_contains(read_subjects, 'g-BUILDING') OR rights_holder = 'c17' AS readable FROM docs""",

@@ -530,7 +530,7 @@ FAIR_CHECKS = C.Registry(
 )
 
 
-_NAMES = "list_slice(string_split(text, ' '), 1, 20)"
+_NAMES = "list_filter(string_split_regex(text, '[ \t\n\r\f\x0B]+'), lambda w: w <> '')"
 
 
 @query(
@@ -675,7 +675,8 @@ def _resources(t) -> DataFrame:
         F.split("text", "\n"), lambda line, i: F.struct(line.alias("_VALUE"), F.when(i % 2 == 0, "even").otherwise("odd").alias("_scheme"))
     )
     described = lambda text, kind: F.struct(text.alias("_VALUE"), F.lit(kind).alias("_descriptionType"))
-    names = F.transform(F.slice(F.split("text", " "), 1, 20), lambda w: F.struct(w.alias("attributeName")))
+    words = F.filter(F.split("text", "[ \t\n\r\f\x0B]+"), lambda w: w != "")
+    names = F.transform(words, lambda w: F.struct(w.alias("attributeName")))
     body = F.to_xml(
         F.struct(
             F.struct(F.array(F.substring("text", 1, 60), F.col("source")).alias("title")).alias("titles"),
@@ -748,7 +749,7 @@ def xpath_scalars(t):
 @query(
     "xpath_errors",
     f"""SELECT doc_id AS pid, c AS check_id, CASE c WHEN 'abstract' THEN CASE WHEN length(text) > 100 THEN 'SUCCESS' ELSE 'FAILURE' END
-        WHEN 'names' THEN CASE WHEN len(list_slice(string_split(text, ' '), 1, 20)) > len(list_distinct(list_slice(string_split(text, ' '), 1, 20)))
+        WHEN 'names' THEN CASE WHEN len({_NAMES}) > len(list_distinct({_NAMES}))
             THEN 'FAILURE' ELSE 'SUCCESS' END ELSE 'ERROR' END AS status
         FROM documents, (SELECT unnest(['abstract', 'names', 'bad.path', 'bad.function', 'bad.json']) AS c)""",
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from qualityspark.functions import scalars as S
@@ -9,8 +11,10 @@ from qualityspark.operators import merge as M
 from qualityspark.operators import runs as O
 from qualityspark.operators.scores import score_runs
 from qualityspark.operators.suite import resolve_references
-from qualityspark.plans import query
+from qualityspark.plans import ORACLES, query
 from qualityspark.plans.views import REQUESTS, requests, results, runs, with_views
+from qualityspark.session import cut_lineage, scratch_path
+from qualityspark.sinks import writers as W
 from qualityspark.sources.tables import score_scan
 
 _NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -56,6 +60,18 @@ def merge_runs(t):
     return merged.select("metadata_id", "suite_id", "ts", "status", "run_count")
 
 
+@query("merge_runs_bucketed", ORACLES["merge_runs"])
+def merge_runs_bucketed(t):
+    """Stored runs kept in buckets of their keys: a merge moves the changes only, and leaves the layout as it was."""
+    buckets = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = W.BucketedTable(t.spark, f"runs_{uuid.uuid4().hex}", scratch_path(t.spark, "runs"), ("metadata_id", "suite_id"), buckets)
+    kept.create(_stored(t))
+    kept.merge(lambda stored: M.merge_runs(stored, _saved(t), F.expr(_NOW)))
+    merged = cut_lineage(kept.read().select("metadata_id", "suite_id", "ts", "status", "run_count"))
+    kept.drop()
+    return merged
+
+
 @query(
     "merge_insert_absent",
     with_views("runs_v").rstrip()

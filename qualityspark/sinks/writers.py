@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from qualityspark.functions import scalars as S
+from qualityspark.session import remove
 
 
 def write_version(df: DataFrame, root: str, version: str, partition_by: list[str] | None = None) -> str:
@@ -36,6 +40,52 @@ def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, pat
     writer.saveAsTable(table)
 
 
+@dataclass(frozen=True)
+class BucketedTable:
+    """A stored table whose merges keep it bucketed and sorted by its keys, so its rows never move for one.
+
+    ``name`` is that of the catalog, ``root`` a folder that all executors share.
+    Each merge writes the next version, ``name_v<number>``, and drops the one
+    before the last; readers of the last one are not disturbed.
+    """
+
+    spark: SparkSession
+    name: str
+    root: str
+    keys: tuple[str, ...]
+    buckets: int
+
+    def _versions(self) -> list[int]:
+        found = (t.name.removeprefix(f"{self.name}_v") for t in self.spark.catalog.listTables(pattern=f"{self.name}_v*"))
+        return sorted(int(n) for n in found if n.isdigit())
+
+    def create(self, rows: DataFrame) -> None:
+        self._write(rows.repartition(self.buckets, *self.keys), 0)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(f"{self.name}_v{self._versions()[-1]}")
+
+    def merge(self, merged: Callable[[DataFrame], DataFrame]) -> None:
+        """Write ``merged(stored)``, an outer join of the stored rows with changes on the keys, as the next version.
+
+        The join leaves every row in its key's bucket, so nothing moves but the changes.
+        """
+        last = self._versions()[-1]
+        self._write(merged(self.read()), last + 1)
+        for old in self._versions():
+            if old < last:
+                self.spark.sql(f"DROP TABLE {self.name}_v{old}")
+                remove(self.spark, f"{self.root}/v{old}")
+
+    def _write(self, rows: DataFrame, number: int) -> None:
+        write_bucketed(rows, f"{self.name}_v{number}", list(self.keys), self.buckets, f"{self.root}/v{number}")
+
+    def drop(self) -> None:
+        for number in self._versions():
+            self.spark.sql(f"DROP TABLE {self.name}_v{number}")
+            remove(self.spark, f"{self.root}/v{number}")
+
+
 def score_csv_rows(scores: DataFrame) -> DataFrame:
     """The twelve columns of the score file, dates as ISO-8601 text."""
     return scores.select(

@@ -13,6 +13,7 @@ from qualityspark.operators import collections as K
 from qualityspark.operators import harvest as H
 from qualityspark.operators import lookups as L
 from qualityspark.operators import merge as M
+from qualityspark.operators import report as P
 from qualityspark.operators import rollup as R
 from qualityspark.operators import runs as U
 from qualityspark.operators import scores as O
@@ -269,6 +270,126 @@ def test_numbering_keeps_null_keys_and_times(spark):
     assert {r.id: r.n for r in number_in_order(df, ["k"], "ts", "id", "n").collect()} == {1: 1, 4: 2, 2: 3, 3: 1}
 
 
+def test_numbering_splits_one_key_within_one_second(spark):
+    """Nine tenths of the rows have one key and one second, and many of them one tie: no task has much more than its share."""
+    rows = [(i // 2, "hot", ts("2020-01-01")) if i % 10 else (i, f"k{i % 3}", ts("2020-01-02")) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id int, k string, ts timestamp")
+    numbered = number_in_order(df, ["k"], "ts", "id", "n")
+    got = sorted((r.k, r.n, r.id) for r in numbered.collect())
+    hot = sorted(i for i, k, _ in rows if k == "hot")
+    assert [(n, i) for k, n, i in got if k == "hot"] == list(enumerate(hot, 1))
+    for k in ("k0", "k1", "k2"):
+        assert [(n, i) for x, n, i in got if x == k] == list(enumerate(sorted(i for i, x, _ in rows if x == k), 1))
+
+
+def brute_rules(rows, rules):
+    found = set()
+    for rule in rules:
+        for r in rows:
+            ok = True
+            for c in rule.conditions:
+                v = r[c.column]
+                if isinstance(c, K.OneOf):
+                    ok &= v is not None and str(v) in map(str, c.values)
+                else:
+                    low, high = (ts(x) if isinstance(x, str) else x for x in (c.low, c.high))
+                    ok &= v is not None and (low is None or v > low or (not c.open and v == low)) and (high is None or v < high or (not c.open and v == high))
+            if ok:
+                found.add((rule.collection_id, r["pid"]))
+    return sorted(found)
+
+
+def test_rules_are_an_index(spark):
+    """Values, open and closed ranges of numbers and times, several rules of a collection, rules without conditions, nulls."""
+    rng = random.Random(8)
+    day = lambda: f"2020-01-{rng.randrange(1, 29):02}"
+    rows = [{"pid": i, "kind": rng.choice(["a", "b", None, "#3", "7"]), "size": rng.choice([None, rng.randrange(100)]), "at": ts(day()) if i % 9 else None} for i in range(200)]
+    rules = [K.Rule("all"), K.Rule("none", (K.OneOf("kind", ()),)), K.Rule("whole", (K.Between("size"),)), K.Rule("one", (K.Between("size", 50, 50),))]
+    for i in range(120):
+        low, width = rng.randrange(-5, 105), rng.randrange(30)
+        first, last = sorted((day(), day()))
+        conditions = [
+            K.OneOf("kind", tuple(rng.choice(["a", "b", "c", 7, "#3"]) for _ in range(2))),
+            K.Between("size", rng.choice([None, low]), rng.choice([None, low + width]), rng.random() < 0.5),
+            K.Between("at", first, rng.choice([None, last]), rng.random() < 0.5),
+        ]
+        rng.shuffle(conditions)
+        rules.append(K.Rule(f"c{i % 90}", tuple(conditions[: rng.randrange(1, 4)])))
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "pid int, kind string, size int, at timestamp")
+    found = K.matching(df, rules)
+    assert sorted((r.collection_id, r.pid) for r in found.collect()) == brute_rules(rows, rules)
+    size = lambda n: len(K.matching(df, [K.Rule(f"r{i}", (K.OneOf("kind", (f"v{i}",)), K.Between("size", i, i + 3))) for i in range(n)])._jdf.queryExecution().optimizedPlan().toString())
+    assert abs(size(1000) - size(20)) < 2000
+    assert K.matching(df, []).count() == 0
+
+
+REPORT = "id int, ym date, sequence_id string, date_uploaded timestamp, f double, a double, i double, r double"
+
+
+def test_report_follows_changes(spark, tmp_path):
+    """After each batch the series are those of a full run: rows that change month, sequence or score, go null, come late or twice."""
+    rng = random.Random(4)
+    stored, report = {}, None
+    for number in range(4):
+        batch = {}
+        for _ in range(60):
+            i = rng.randrange(90)
+            when = ts(f"2020-{rng.randrange(1, 6):02}-{rng.randrange(1, 28):02}")
+            score = lambda: rng.choice([None] + [float(rng.randrange(100)) for _ in range(30)])
+            batch[i] = (i, when.date().replace(day=1), rng.choice([None, "s1", "s2", f"s{i}"]), when, score(), score(), score(), score())
+        stored |= batch
+        changed = spark.createDataFrame(list(batch.values()), REPORT)
+        report = report or P.Report.at(spark, str(tmp_path / "report"), changed.schema, ["id"])
+        report.apply(changed, number)
+        if number == 2:
+            report.apply(changed, number)  # the same batch delivered again
+        names = ["ym", "n", *R.METRICS, *(f"{m}c" for m in R.METRICS)]
+        tell = lambda df: sorted(tuple(round(v, 8) if isinstance(v, float) else v for v in row) for row in df.select(*names).collect())
+        whole = R.cumulative_means(R.monthly_means(spark.createDataFrame(list(stored.values()), REPORT)))
+        assert tell(report.series()) == tell(whole)
+
+
+def test_merges_keep_their_buckets(spark, tmp_path):
+    """The stored side of a merge has no exchange above its scan, before and after a merge."""
+    shape = "metadata_id string, suite_id string, ts timestamp, status string, error string, sequence_id string, is_latest boolean, run_count int"
+    row = lambda i, s: (f"m{i}", "s", ts("2020-01-01"), s, None, None, False, 1)
+    kept = W.BucketedTable(spark, "kept_runs", str(tmp_path / "runs"), ("metadata_id", "suite_id"), 8)
+    kept.create(spark.createDataFrame([row(i, "old") for i in range(200)], shape))
+    saved = spark.createDataFrame([row(i, "new") for i in range(150, 260)], shape)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for _ in range(3):
+            plan = M.upsert(kept.read(), saved, ["metadata_id", "suite_id"], ["ts"])._jdf.queryExecution().executedPlan().toString().splitlines()
+            depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+            at = next(i for i, line in enumerate(plan) if "kept_runs" in line)
+            above, level = [], depth(plan[at])
+            for line in reversed(plan[:at]):
+                if depth(line) < level:
+                    above.append(line)
+                    level = depth(line)
+            join = next(i for i, line in enumerate(above) if "Join" in line)
+            assert not any("Exchange" in line for line in above[:join]) and any("Exchange" in line for line in plan)
+            kept.merge(lambda stored: M.upsert(stored, saved, ["metadata_id", "suite_id"], ["ts"]))
+        found = {r.metadata_id: r.status for r in kept.read().collect()}
+        assert found == {f"m{i}": "new" if i >= 150 else "old" for i in range(260)}
+        assert len(kept._versions()) == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        kept.drop()
+
+
+def test_whole_texts_in_the_roster(spark, tmp_path):
+    """A name that repeats behind many others is found."""
+    from qualityspark import plans
+
+    plans.load()
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words), "en", "s", 5), (2, " ".join([*words, "w7"]), "en", "s", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.pid: r.status for r in plans.QUERIES["xpath_errors"](spark, str(tmp_path)).filter("check_id = 'names'").collect()}
+    assert found == {1: "SUCCESS", 2: "FAILURE"}
+
+
 DOC = "<eml><dataset><title>A long enough title</title><attribute><attributeName>x</attributeName></attribute>{}</dataset></eml>"
 
 
