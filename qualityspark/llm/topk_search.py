@@ -1,7 +1,8 @@
 """Exact top-k inner products by MaxScore.
 
-Vectors are cut into shards of bounded size and queries into blocks; each
-(shard, block) pair meets in one task. A shard keeps, for every dimension and
+Vectors are cut into shards of bounded size. A vector is sent to its shard once;
+the queries follow it there, batch by batch, so a shard's task holds no more
+than the shard. A shard keeps, for every dimension and
 sign, the postings of the vectors on that side. A query's terms are the lists
 that add to its score. Sorted by score bound, the small ones whose bounds
 together stay under the k-th best score are non-essential: a vector in these
@@ -11,13 +12,15 @@ for a candidate only while its bound still competes. Shards' lists are merged.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard, queries of a block, rows of a shard gone through at once.
-SHARD, BLOCK, STEP = 8192, 1024, 1024
+#: Rows of a shard, rows of a shard gone through at once.
+SHARD, STEP = 8192, 1024
 SCALE = 1024
 
 
@@ -92,22 +95,35 @@ class Shard:
         return best, best_ids
 
 
-def _search_pair(k: int):
-    def search(shard: pa.Table, block: pa.Table) -> pa.Table:
-        query_id, vec_id, score = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if len(shard) and len(block):
-            found = Shard(shard["vec_id"].to_numpy(), _matrix(shard["x"]))
-            for own, q in zip(block["vec_id"].to_numpy(), _matrix(block["x"]), strict=True):
-                best, ids = found.search(own, q, k)
-                query_id.append(np.full(len(ids), own))
-                vec_id.append(ids)
-                score.append(best)
-        return pa.table({"query_id": np.concatenate(query_id), "vec_id": np.concatenate(vec_id), "score": np.concatenate(score)})
+def _search_shards(k: int):
+    """Of rows by shard, the vectors first, each shard's best for its queries."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, shard = None, [], None
+        for batch in batches:
+            place, asks = batch["shard"].to_numpy(), batch["asks"].to_numpy()
+            begins = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 0) | (np.diff(asks) != 0)])) if len(batch) else []
+            for start, end in zip(begins, [*begins[1:], len(batch)], strict=True):
+                rows = batch.slice(start, end - start)
+                if place[start] != now:
+                    now, held, shard = place[start], [], None
+                if not asks[start]:
+                    held.append(rows)
+                    continue
+                if shard is None and held:
+                    vectors = pa.Table.from_batches(held)
+                    shard, held = Shard(vectors["vec_id"].to_numpy(), _matrix(vectors["x"])), []
+                if shard is not None:
+                    own = rows["vec_id"].to_numpy()
+                    found = [shard.search(i, q, k) for i, q in zip(own, _matrix(pa.chunked_array([rows["x"]])), strict=True)]
+                    query_id = np.repeat(own, [len(ids) for _, ids in found])
+                    score, vec_id = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(query_id), pa.array(vec_id), pa.array(score)], ["query_id", "vec_id", "score"])
 
     return search
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, shard_rows: int = SHARD, block_rows: int = BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, shard_rows: int = SHARD) -> DataFrame:
     """The ``k`` best of ``candidates`` for each of ``queries``, both as ``quantise`` returns them.
 
     Returns ``query_id, rank, vec_id, score``; fewer rows where there are fewer
@@ -117,17 +133,13 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, shard_rows: in
     rows. Queries that repeat an id share one ranking.
     """
     shards = max(1, -(-candidates.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // block_rows))
     # Row numbers, not hashes of ids, so that a common id does not fill a shard.
-    dealt = candidates.withColumn("shard", F.monotonically_increasing_id() % shards)
-    asked = queries.dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    left = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    found = (
-        left.groupBy("shard", "block")
-        .cogroup(right.groupBy("shard", "block"))
-        .applyInArrow(_search_pair(k), "query_id long, vec_id long, score long")
-    )
+    dealt = candidates.select((F.monotonically_increasing_id() % shards).alias("shard"), F.lit(0).alias("asks"), "vec_id", "x")
+    asked = queries.dropDuplicates(["vec_id"]).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("asks"), "vec_id", "x")
+    # A partition for each shard, as far as there are that many.
+    parts = min(shards, 8 * int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = dealt.unionByName(asked).repartition(parts, "shard").sortWithinPartitions("shard", "asks")
+    found = met.mapInArrow(_search_shards(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -71,11 +71,21 @@ def test_search_is_brute_force(spark, size):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS shard", "3 AS rank")
     x = T.quantise(df).cache()
     got = {}
-    for r in T.top_k(x.filter("vec_id % 50 = 0 OR vec_id = 2004"), x, shard_rows=128, block_rows=4).orderBy("query_id", "rank").collect():
+    for r in T.top_k(x.filter("vec_id % 50 = 0 OR vec_id = 2004"), x, shard_rows=128).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert got == brute_top(rows, [i for i, _ in rows if i % 50 == 0 or i == 2004], 10)
 
 
+def test_vectors_are_sent_once(spark):
+    """Only the queries are copied, one for each shard: twice the queries send the vectors no more often."""
+    x = T.quantise(spark.range(1000).selectExpr("id AS vec_id", "array(float(id), float(1)) AS embedding"))
+    plan = T.top_k(x.filter("vec_id % 50 = 0"), x, shard_rows=64)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    union = next(i for i, line in enumerate(plan) if "Union" in line)
+    asked = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    sides = [i for i, line in enumerate(plan) if "Project" in line and "AS asks" in line]
+    assert union < sides[0] < sides[1] and asked > sides[1] - 1 and sum("Generate explode" in line for line in plan) == 1
+
+
 def test_search_of_nothing(spark):
     none = T.quantise(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     one = T.quantise(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"))
