@@ -200,9 +200,17 @@ def node_reader(patterns: list[list[NodePattern]], nested: list[NestedPatterns],
                     root = item
             return root, declared
 
-        # Nodes of all documents, column by column.
+        # Nodes of all documents, column by column; those of sub-selectors by outer node, selector and document.
         sels, values, ends = [], [], [0]
-        oks, errors, groups = [], [], []
+        oks, errors = [], []
+        inner_values, inner_ends, outer_ends, inner_sels, inner_docs = [], [0], [0], [], [0]
+
+        def add_groups(sel, lists):
+            for found in lists:
+                inner_values.extend(found)
+                inner_ends.append(len(inner_values))
+            outer_ends.append(len(inner_ends) - 1)
+            inner_sels.append(sel)
 
         def walk(root, declared):
             bindings = []
@@ -256,16 +264,12 @@ def node_reader(patterns: list[list[NodePattern]], nested: list[NestedPatterns],
                     if opened:
                         stack.append((None, None, 0, None, opened))
                     stack.extend((child, path, depth + 1, mine, None) for child in reversed(el))
-            out = []
             for sel, distance in enumerate(distances):
                 # Both are in document order, so an outer node's inner ones are one run.
                 ids = [i for i, _, _ in inner[sel]]
-                lists = []
-                for first, last, depth in outer[sel]:
-                    run = inner[sel][bisect_left(ids, first) : bisect_right(ids, last)]
-                    lists.append([v for _, d, v in run if distance is None or d == depth + distance])
-                out.append({"sel": sel, "groups": lists})
-            return out
+                runs = (inner[sel][bisect_left(ids, first) : bisect_right(ids, last)] for first, last, _ in outer[sel])
+                depths = (depth for _, _, depth in outer[sel])
+                add_groups(sel, ([v for _, d, v in run if distance is None or d == depth + distance] for run, depth in zip(runs, depths)))
 
         def evaluate(root, declared):
             top = xpaths.tree(root)
@@ -279,34 +283,34 @@ def node_reader(patterns: list[list[NodePattern]], nested: list[NestedPatterns],
                 found = [n.text() for n in chosen(spec)[1]]
                 sels.extend([sel] * len(found))
                 values.extend(found)
-            out = []
             for sel, spec in enumerate(inner_sets, first_inner):
                 reader, found = chosen(spec)
-                out.append({"sel": sel, "groups": [[n.text() for n in reader.nodes(expressions[spec.inner], node)] for node in found]})
-            return out
+                add_groups(sel, ([n.text() for n in reader.nodes(expressions[spec.inner], node)] for node in found))
 
         for body in bodies.to_pylist():
-            error, found = None, None
+            error = None
             if body is None:
                 error = "no document"
             else:
                 try:
                     root, declared = parse(body)
-                    found = walk(root, declared)
+                    walk(root, declared)
                     if sets:
-                        found += evaluate(root, declared)
+                        evaluate(root, declared)
                 except (ElementTree.ParseError, ValueError) as exc:
                     error = str(exc)
             oks.append(error is None)
             errors.append(error)
-            groups.append(found)
             ends.append(len(sels))
+            inner_docs.append(len(inner_sels))
+        offsets = lambda at: pa.array(at, pa.int32())
         nodes = pa.StructArray.from_arrays([pa.array(sels, pa.int32()), pa.array(values, pa.string())], fields=list(_NODE))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)
-        return pa.StructArray.from_arrays(
-            [pa.array(oks, pa.bool_()), pa.array(errors, pa.string()), lists, pa.array(groups, pa.list_(_GROUPS))],
-            fields=list(_PARSED),
-        )
+        lists = pa.ListArray.from_arrays(offsets(inner_ends), pa.array(inner_values, pa.string()))
+        grouped = [pa.array(inner_sels, pa.int32()), pa.ListArray.from_arrays(offsets(outer_ends), lists)]
+        groups = pa.StructArray.from_arrays(grouped, fields=list(_GROUPS))
+        unread = pa.array([not ok for ok in oks], pa.bool_())
+        columns = [pa.array(oks, pa.bool_()), pa.array(errors, pa.string()), pa.ListArray.from_arrays(offsets(ends), nodes)]
+        return pa.StructArray.from_arrays([*columns, pa.ListArray.from_arrays(offsets(inner_docs), groups, mask=unread)], fields=list(_PARSED))
 
     # So marked, filters stay above the parse and never repeat it.
     return read.asNondeterministic()
