@@ -119,3 +119,33 @@ def test_components_of_chains_and_hubs(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 100 for i in chain}, **{i: 7 for i in [7, *range(200, 261)]}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_keys_are_divided(spark):
+    """Adaptive execution splits a hub's edges and a common shingle's sets: the other side of the join is cut first."""
+    from pyspark.sql import functions as F
+
+    from qualityspark.llm import components as K
+    from qualityspark.llm.common import cut_lineage
+
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        # Several files, so that a partition has several map outputs to be divided by.
+        hub = spark.range(0, 120000, 1, 24)
+        edges = cut_lineage(hub.select(F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id")).alias("u"), F.xxhash64("id").alias("v")))
+        tokens = cut_lineage(hub.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id") % 30000).alias("token")))
+        for joined in (K._to_least(edges), tokens.join(ngram_join._counted(tokens).hint("merge"), "token")):
+            joined.write.format("noop").mode("overwrite").save()
+            joined.collect()
+            assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
