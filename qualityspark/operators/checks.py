@@ -11,9 +11,11 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from qualityspark.functions import scalars as S
 from qualityspark.functions.extract import Selector
@@ -339,6 +341,45 @@ def python_check(fn: Callable, state: tuple[str, ...] = ()):
     return run
 
 
+#: What a table check gives, one row per output.
+OUTPUT_ROW = StructType([StructField(n, StringType()) for n in ("status", "value", "type", "identifier")])
+
+
+def table_check(fn: Callable):
+    """A table function from a check that yields its outputs one by one: ``fn(**variables)`` yields ``(status, value, type, identifier)``.
+
+    Outputs are rows from the start, so a document may have any number of them
+    without a list that holds them all. A check that fails on the way gives one
+    more row, ERROR with its message, and a document without outputs gives none.
+    Call it with ``outputs``.
+    """
+    names = fn.__code__.co_varnames[: fn.__code__.co_argcount]
+
+    class Outputs:
+        @staticmethod
+        def analyze(*variables: AnalyzeArgument) -> AnalyzeResult:
+            if len(variables) != len(names):
+                raise ValueError(f"the check takes {', '.join(names)}")
+            return AnalyzeResult(OUTPUT_ROW)
+
+        def eval(self, *variables):
+            try:
+                values = (v.asDict(True) if hasattr(v, "asDict") else v for v in variables)
+                for output in fn(**{n: _plain(v) for n, v in zip(names, values, strict=True)}):
+                    yield tuple(_text(x) for x in output)
+            except Exception as exc:  # a check's failure is its result
+                yield "ERROR", str(exc), None, None
+
+    return names, F.udtf(Outputs)
+
+
+def outputs(docs: DataFrame, check, variables: Mapping[str, Column], keep: list[str]) -> DataFrame:
+    """Rows that a table check gives for each document, beside the columns in ``keep``."""
+    names, table = check
+    given = docs.select(*keep, *(variables[n].alias(f"_v_{n}") for n in names))
+    return given.lateralJoin(table(*(F.col(f"_v_{n}").outer() for n in names))).select(*keep, "status", "value", "type", "identifier")
+
+
 def class_check(cls: type, **variables: str):
     """A check from a class: its properties are set by name, then it is called."""
 

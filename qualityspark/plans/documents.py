@@ -492,6 +492,23 @@ def list_outputs(t):
     return rows.select("pid", "value", "identifier")
 
 
+@query(
+    "table_outputs",
+    f"""WITH {DOCS} SELECT pid, 'SUCCESS' AS status, unnest(keywords) AS value, 'line' AS type, CAST(unnest(range(1, len(keywords) + 1)) AS STRING) AS identifier
+        FROM docs_v WHERE NOT is_json AND NOT is_broken""",
+)
+def table_outputs(t):
+    """A check as a table function: each output is a row as it arises, however many a document has."""
+
+    def lines(keywords):
+        for number, word in enumerate(keywords, 1):
+            yield "SUCCESS", word, "line", number
+
+    reader = X.DocumentReader([KEYWORDS])
+    docs = reader.attach(documents(t).filter(~X.is_json_format(F.col("format_id")))).filter(reader.ok)
+    return C.outputs(docs, C.table_check(lines), {"keywords": reader.values(KEYWORDS)}, ["pid"])
+
+
 @query(
     "echo_checks",
     f"""WITH {DOCS} SELECT pid, check_id, status, output FROM (

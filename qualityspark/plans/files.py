@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from qualityspark.operators.checks import Check, Registry
 from qualityspark.operators.suite import explode_results, run_check
@@ -45,6 +46,27 @@ def document_files(t):
     return explode_results(run_check(docs, Registry([check]).get("title"))).select("pid", "status")
 
 
+@query(
+    "record_files",
+    """SELECT l_orderkey AS pid, l_linenumber AS no, l_returnflag AS format, CAST(l_quantity AS DOUBLE) AS size, FALSE AS is_corrupt FROM lineitem
+        WHERE l_partkey % 50 <> 7 AND l_partkey % 50 <> 9
+        UNION ALL SELECT NULL, NULL, NULL, NULL, TRUE FROM lineitem WHERE l_partkey % 50 = 7 OR l_partkey % 50 = 9""",
+)
+def record_files(t):
+    """Files of thousands of records, in one splittable scan; records that are no XML and wrong values keep their text."""
+    wrong = F.when(F.col("l_partkey") % 50 == 9, "none").otherwise("")
+    text = lambda name, value: F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>"))
+    record = F.concat(
+        F.lit('<record no="'), F.col("l_linenumber").cast("string"), F.lit('">'), text("pid", F.col("l_orderkey").cast("string")), text("format", F.col("l_returnflag")),
+        text("size", F.concat(wrong, F.col("l_quantity").cast("double").cast("string"))), F.lit("</record>"),
+    )
+    path = scratch_path(t.spark, "records")
+    record = F.when(F.col("l_partkey") % 50 == 7, F.concat(F.lit("<record <"), record)).otherwise(record)
+    t("lineitem").select(record.alias("value")).coalesce(2).write.text(path)
+    rows = S.record_documents(t.spark, path, "record", StructType.fromDDL("_no int, pid long, format string, size double"))
+    return rows.select("pid", F.col("_no").alias("no"), "format", "size", F.col("corrupt").isNotNull().alias("is_corrupt"))
+
+
 @query("staged_files", f"SELECT s_suppkey AS pid FROM supplier WHERE {_TOP} IN ('data', 'graph') AND s_suppkey % 10 <> 7")
 def staged_files(t):
     """Included folders, without the files a task's filter list leaves out."""

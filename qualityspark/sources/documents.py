@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from qualityspark import schemas
 from qualityspark.functions.extract import is_json_format
@@ -17,6 +18,23 @@ def text_documents(spark: SparkSession, path: str, glob: str | None = None) -> D
     return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
+def record_documents(spark: SparkSession, path: str, row_tag: str, fields: StructType, glob: str | None = None) -> DataFrame:
+    """Rows of XML files that hold many records each, one element ``row_tag`` a line.
+
+    Such files are split, so one of any size is read by many tasks, and a record
+    is read once, straight into ``fields`` (attributes as ``_name``). One that
+    the reader refuses, or that has a value of another type, keeps a row, with
+    its text in ``corrupt`` and nulls; text behind a number does not count.
+    """
+    reader = spark.read.format("xml").schema(StructType([*fields.fields, StructField("corrupt", StringType())]))
+    reader = reader.option("rowTag", row_tag).option("multiLine", "false").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    rows = reader.load(path)
+    read = F.col("corrupt").isNull()
+    return rows.select(*(F.when(read, F.col(f.name)).alias(f.name) for f in fields.fields), "corrupt")
+
+
 def routed(docs: DataFrame) -> DataFrame:
     """Adds the dialect of each document, chosen by its format id."""
     return docs.withColumn("dialect", F.when(is_json_format(F.col("format_id")), "json").otherwise("xml"))

@@ -378,6 +378,24 @@ def test_merges_keep_their_buckets(spark, tmp_path):
         kept.drop()
 
 
+def test_table_checks_give_rows(spark):
+    """100,000 outputs of one document, none of another, and one that fails on the way."""
+
+    def counted(n, word):
+        for i in range(n):
+            if word == "bad" and i == 2:
+                raise ValueError("no more")
+            yield "SUCCESS", f"{word}{i}", None, i
+
+    df = spark.createDataFrame([(1, 100000, "a"), (2, 0, "b"), (3, 5, "bad"), (4, None, "c")], "pid int, n int, word string")
+    found = C.outputs(df, C.table_check(counted), {"n": F.col("n"), "word": F.col("word")}, ["pid"])
+    assert found.columns == ["pid", "status", "value", "type", "identifier"]
+    counts = {(r.pid, r.status): (r.n, r.last) for r in found.groupBy("pid", "status").agg(F.count("*").alias("n"), F.max_by("value", F.col("identifier").cast("int")).alias("last")).collect()}
+    assert counts[1, "SUCCESS"] == (100000, "a99999") and counts[3, "SUCCESS"] == (2, "bad1")
+    assert found.filter("pid = 3 AND status = 'ERROR'").first().value == "no more"
+    assert {k[0] for k in counts} == {1, 3, 4} and found.filter("pid = 4").first().status == "ERROR"
+
+
 def test_whole_texts_in_the_roster(spark, tmp_path):
     """A name that repeats behind many others is found."""
     from qualityspark import plans
