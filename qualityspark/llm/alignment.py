@@ -36,8 +36,8 @@ from qualityspark.llm.common import cut_lineage, release, texts
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Characters of a chunk, about; longer texts are several. Chunks that one step of the tree puts together.
 CHUNK, FAN_IN = 1 << 16, 16
-#: Bytes of text in a block, about; characters that a tokenizer is given at once; characters of words that are kept, about.
-SLAB, _BATCH, _KEPT = 1 << 21, 1 << 17, 1 << 24
+#: Bytes of text in a block, about; characters that a tokenizer is given at once; characters of a generation of words that are kept, about.
+SLAB, _BATCH, _KEPT = 1 << 21, 1 << 17, 1 << 23
 
 #: Cuts that no token of the tokenizer spans: one blank or line end between letters or digits; a blank with something before and behind it.
 _CUT_A, _CUT_B = re.compile(r"(?<=[^\W_])[ \n](?=[^\W_])"), re.compile(r"(?s)(?<=[^ ▁]) (?=.)")
@@ -111,8 +111,9 @@ class ByteLevel(Side):
         for token, i in entries.items():
             token_bytes[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
         super().__init__(token_bytes)
+        # Words of late, and those before them: what comes again moves on, what does not goes in the end.
         self.kept: dict[str, list[int]] = {}
-        self.unlike: set[str] = set()
+        self.older: dict[str, list[int]] = {}
         self.size = 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
@@ -134,15 +135,25 @@ class ByteLevel(Side):
     def read(self, texts: list[str]) -> list[tuple[np.ndarray, bool]]:
         cut = [self.words(t) for t in texts]
         if self.size > _KEPT:
-            self.kept, self.unlike, self.size = {}, set(), 0
-        fresh = [*{w for words in cut for w in words if w not in self.kept}]
+            self.older, self.kept, self.size = self.kept, {}, 0
+        kept, older, fresh, unlike = self.kept, self.older, [], set()
+        for word in set().union(*cut).difference(kept):
+            if word in older:
+                kept[word] = older[word]
+                self.size += len(word) + 40
+            else:
+                fresh.append(word)
         for word, ids in zip(fresh, self.encode(fresh), strict=True):
-            self.kept[word] = ids
+            kept[word] = ids
             self.size += len(word) + 40
             if self.joined(ids) != self.spelled(word):
-                self.unlike.add(word)
-        ids = (np.fromiter(itertools.chain.from_iterable(map(self.kept.__getitem__, words)), np.int64) for words in cut)
-        return [(i, self.unlike.isdisjoint(words)) for i, words in zip(ids, cut, strict=True)]
+                unlike.add(word)
+        ids = [np.fromiter(itertools.chain.from_iterable(map(kept.__getitem__, words)), np.int64) for words in cut]
+        alike = [unlike.isdisjoint(words) for words in cut]
+        # Never kept, so that they are found out again.
+        for word in unlike:
+            del kept[word]
+        return list(zip(ids, alike, strict=True))
 
 
 class Pieces(Side):
@@ -194,6 +205,11 @@ def _common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x[y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x] if len(y) else x[:0]
 
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """The same numbers in half the bytes, if they fit, which sort faster."""
+    return numbers.astype(np.int32) if not len(numbers) or numbers.max() < 1 << 31 else numbers
+
+
 def fragment(a: Side, b: Side, ids_a: np.ndarray, ids_b: np.ndarray, a_start: int, b_start: int, begins: bool = False) -> Fragment:
     """The fragment of some consecutive tokens; ``begins`` if both start there by a common end, as a text does."""
     ends_a, ends_b = a_start + np.cumsum(a.length[ids_a]), b_start + np.cumsum(b.length[ids_b])
@@ -251,10 +267,13 @@ def measure(a: Side, b: Side, runs: list[tuple[np.ndarray, np.ndarray]], with_gr
     count = final - first + 1
     link_a = np.repeat(np.arange(len(ids_a)), count)
     link_b = np.arange(len(link_a)) - np.repeat(np.cumsum(count) - count, count) + first[link_a]
-    code = (ids_a[link_a] << 32) | ids_b[link_b]
     n_links = np.bincount(run_a[link_a], minlength=len(runs))
-    pairs, place, times = np.unique(code, return_inverse=True, return_counts=True)
-    entries, counts = np.unique(run_a[link_a] * len(pairs) + place, return_counts=True)
+    code = _narrow(ids_a[link_a] * len(b.length) + ids_b[link_b])
+    code, place, times = np.unique(code, return_inverse=True, return_counts=True)
+    pairs = (code.astype(np.int64) // len(b.length) << 32) | code % len(b.length)
+    entries = np.sort(_narrow(run_a[link_a] * len(pairs) + place))
+    first = np.flatnonzero(np.diff(entries, prepend=-1))
+    entries, counts = entries[first].astype(np.int64), np.diff(first, append=len(entries))
     groups = []
     if with_groups:
         # A's tokens stand behind all of B's of earlier groups, B's behind all of A's up to their own group.
