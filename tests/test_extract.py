@@ -156,3 +156,43 @@ def test_schema_check(spark, tmp_path):
     docs = spark.createDataFrame([(1, "<doc><n>1</n></doc>"), (2, "<doc><m>1</m></doc>"), (3, None)], "i int, body string")
     checked = docs.select("i", X.schema_check(F.col("body"), "n string, _corrupt string", str(xsd)).alias("c")).orderBy("i")
     assert [r.c.status for r in checked.collect()] == ["SUCCESS", "FAILURE", "ERROR"]
+
+
+def test_scalars_of_one_parse(spark):
+    body = """<a><b>1</b><b> two, 'three' </b><c/><d x="y">é</d></a>"""
+    exprs = {
+        "more": "count(//b) > 1", "same": "//b = '1'", "half": "count(//b) div 4", "none": "number(//b[2])", "text": "string(//b[2])", "empty": "string(//c)",
+        "joined": "concat(//d, ', ', //d/@x)", "literal": "'a, b'", "mark": "concat('\x01', //b[1])", "last": "string(//c)",
+    }
+    rows = read(spark, *[X.Selector(n, x) for n, x in exprs.items()], body=body)
+    found = {n: rows["a"][n] for n in exprs}
+    assert found == {
+        "more": ["true"], "same": ["true"], "half": ["0.5"], "none": ["NaN"], "text": [" two, 'three' "], "empty": [""],
+        "joined": ["é, y"], "literal": ["a, b"], "mark": ["\x011"], "last": [""],
+    }
+    assert all(rows["bad"][n] is None and rows["none"][n] is None for n in exprs)
+    # However many there are, the JVM parses once; one with the mark in it is by itself.
+    reader = X.DocumentReader([X.Selector(n, x) for n, x in exprs.items()])
+    docs = reader.attach(spark.createDataFrame([("a", body)], "pid string, body string"))
+    plan = docs.select(*[reader.values(X.Selector(n, x)).alias(n) for n, x in exprs.items()])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("XPathStringEvaluator(") == 2, plan
+
+
+def test_work_of_node_sets():
+    """Nodes are made where an expression leads, siblings are not gone through once per sibling."""
+    import time
+    from xml.etree import ElementTree
+
+    from qualityspark.functions import xpaths
+
+    n = 20_000
+    root = ElementTree.fromstring("<r><s><k v='1'>a</k></s>" + "<x><y>b</y> </x>" * n + "</r>")
+    top = xpaths.tree(root)
+    at = lambda x: xpaths.Evaluator(top, None).nodes(xpaths.parse(x))
+    assert [k.text() for k in at("//s/k[@v='1']")] == ["a"] and len(top.tree._made) < 10
+    begun = time.perf_counter()
+    assert len(at("//x/following-sibling::x")) == n - 1 and len(at("//x/preceding-sibling::x")) == n - 1
+    assert len(at("//x/following-sibling::x[1]")) == n - 1 and len(at("//x[position() = 2]")) == 1 and len(at("//x[last()]")) == 1
+    assert len(at("//y[. = /r/x[1]/y]")) == n and len(at("//x//y | //y/ancestor::x")) == 2 * n
+    assert [t.text() for t in at("//s/following-sibling::node()[2]/text()")] == [" "]
+    assert time.perf_counter() - begun < 20
