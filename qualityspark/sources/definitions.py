@@ -30,7 +30,8 @@ def _texts(spark: SparkSession, paths: list[str], base: str | None, glob: str =
 
 def definitions(texts: DataFrame, schema: str) -> DataFrame:
     """Readable definitions of ``texts(path, value)``; of one id the last in path order wins."""
-    read = texts.select("path", F.from_xml("value", schema, _XML).alias("d")).filter(
+    # A generator, so that the filter is not pushed below it, where every condition would read the text again.
+    read = texts.select("path", F.explode_outer(F.array(F.from_xml("value", schema, _XML))).alias("d")).filter(
         "d IS NOT NULL AND d._corrupt IS NULL AND d.id IS NOT NULL"
     )
     return read.groupBy("d.id").agg(F.max_by("d", "path").alias("d")).select("d.*").drop("_corrupt")
