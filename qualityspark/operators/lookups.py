@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qualityspark.functions import scalars as S
+from qualityspark.session import cut_lineage
 
 
 NO_SYSMETA = "system metadata not found"
@@ -77,8 +78,11 @@ def award_lookup(docs: DataFrame, awards: DataFrame) -> DataFrame:
 
 
 def extension_of(files: DataFrame, media_types: DataFrame) -> DataFrame:
-    """File extension by media type."""
-    types = media_types.select(F.lower("name").alias("_name"), F.col("extension"))
+    """File extension by media type.
+
+    The types are written first: Spark then knows their size, and files, of which very many have one type, need not move by it.
+    """
+    types = cut_lineage(media_types.select(F.lower("name").alias("_name"), F.col("extension")))
     return files.join(types, F.lower("media_type") == F.col("_name"), "left").drop("_name")
 
 
