@@ -23,16 +23,21 @@ from qualityspark.streaming import requests as R
 from qualityspark.streaming import states as S
 
 _KEYS = ["pid", "suite_id"]
-_FILES = 4
+_BATCHES = 4
 
 
 def _stream(t, name: str, key: str, copies: int = 1):
-    """A table as a stream of ``_FILES`` batches, rows dealt by a hash; with ``copies``, each row in several of them."""
+    """A table as a stream of ``_BATCHES`` batches, rows dealt by a hash; with ``copies``, each row in several of them.
+
+    A batch is as many files as a shuffle has partitions for it, so no task writes or reads a whole batch.
+    """
+    files = max(1, int(t.spark.conf.get("spark.sql.shuffle.partitions")) // _BATCHES)
     rows = t(name).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    dealt = rows.withColumn("_file", F.pmod(F.xxhash64(key) + F.col("_copy"), F.lit(_FILES)))
+    batch = F.pmod(F.xxhash64(key) + F.col("_copy"), F.lit(_BATCHES))
+    dealt = rows.withColumn("_file", batch * files + F.pmod(F.hash(key), F.lit(files)))
     folder = scratch_path(t.spark, f"{name}-files")
-    dealt.repartitionByRange(_FILES, "_file").drop("_copy", "_file").write.parquet(folder)
-    return R.file_stream(t.spark, folder, t(name).schema, per_batch=1)
+    dealt.repartitionByRange(_BATCHES * files, "_file").drop("_copy", "_file").write.parquet(folder)
+    return R.file_stream(t.spark, folder, t(name).schema, per_batch=files)
 
 
 def _requests(t, copies: int = 1):
