@@ -9,6 +9,9 @@ anew, everything else stays. This is associative, so the chunks of a very long
 text are aligned by tasks of their own and reduced as a tree; closed groups
 leave the tree where they arise, and only open ends travel upwards.
 
+Short texts need none of this: nearly every blank is a cut of both tokenizers, so
+what lies between two of them is read and aligned once and kept (``Stretches``).
+
 Corpus-wide counts of linked ids are not looked up link by link: each slab of
 texts is a block with the pairs of ids that it holds, so a pair meets its count
 once per block, and blocks meet their pairs' counts again by merge.
@@ -38,9 +41,14 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK, FAN_IN = 1 << 16, 16
 #: Bytes of text in a block, about; characters that a tokenizer is given at once; characters of a generation of words that are kept, about.
 SLAB, _BATCH, _KEPT = 1 << 21, 1 << 17, 1 << 23
+#: Characters of stretches that are kept measured, about; new stretches that a tokenizer is given as one text.
+_MEASURED, _TOGETHER = 1 << 23, 256
 
 #: Cuts that no token of the tokenizer spans: one blank or line end between letters or digits; a blank with something before and behind it.
 _CUT_A, _CUT_B = re.compile(r"(?<=[^\W_])[ \n](?=[^\W_])"), re.compile(r"(?s)(?<=[^ ▁]) (?=.)")
+#: Cuts of both at once: one blank between characters that no edition of Unicode takes for white space. Stretches that may stand beside one.
+_BESIDE = "[!-~\xa1-\u024f]"
+_CUT, _PLAIN = re.compile(f"(?<={_BESIDE}) (?={_BESIDE})"), re.compile(f"(?s){_BESIDE}(?:.*{_BESIDE})?\\Z")
 
 CHUNKS = "row long, chunk long, a_text string, b_text string, a_start long, b_start long"
 FRAGMENTS = (
@@ -64,6 +72,9 @@ def byte_level_table() -> dict[str, int]:
 class Side:
     """One tokenizer: ids of texts, and each id's bytes."""
 
+    #: The blank before a text, if the tokenizer does not write it itself.
+    blank = ""
+
     def __init__(self, token_bytes: list[bytes]):
         self.token_bytes = token_bytes
         self.length = np.array([len(b) for b in token_bytes], np.int64)
@@ -86,11 +97,36 @@ class Side:
         """Ids of each text, and whether they give its bytes back."""
         return [(np.array(ids, np.int64), self.joined(ids) == self.spelled(t)) for t, ids in zip(texts, self.encode(texts), strict=True)]
 
+    def read_stretches(self, groups: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of stretches with a blank before each, end to end, how many each has, and whether they give its bytes back.
+
+        The stretches of a group are read as one text, cut at the bytes where they end.
+        """
+        out, alike = [], []
+        texts = [self.blank + " ".join(g) for g in groups]
+        for group, text, ids in zip(groups, texts, self.encode(texts), strict=True):
+            if self.joined(ids) == self.spelled(text):
+                ids = np.array(ids, np.int64)
+                ends = np.cumsum([len(w.encode()) + 1 for w in group])
+                out.append((ids, np.diff(np.searchsorted(np.cumsum(self.length[ids]), ends, "right"), prepend=0)))
+                alike.append(np.ones(len(group), bool))
+            elif len(group) == 1:
+                out.append((_NONE, np.zeros(1, np.int64)))
+                alike.append(np.zeros(1, bool))
+            else:
+                ids, counts, good = self.read_stretches([[w] for w in group])
+                out.append((ids, counts))
+                alike.append(good)
+        ids, counts = (np.concatenate([_NONE, *(x[k] for x in out)]) for k in (0, 1))
+        return ids, counts, np.concatenate([np.empty(0, bool), *alike])
+
 
 class ByteLevel(Side):
     """A byte-level vocabulary. No token lies across two of the words that its pattern gives, and words repeat, so what the
     library gives for one is kept for its next occurrences."""
 
+    blank = " "
+
     def __init__(self, vocabulary: str):
         import public_tokenizers
         import regex
@@ -175,14 +211,14 @@ class Pieces(Side):
         return b" " + text.encode()
 
 
+_NONE = np.empty(0, np.int64)
+
+
 @functools.cache
 def sides(a: str, b: str) -> tuple[ByteLevel, Pieces]:
     return ByteLevel(a), Pieces(b)
 
 
-_NONE = np.empty(0, np.int64)
-
-
 @dataclass
 class Fragment:
     """Tokens of a range of a text between two places.
@@ -256,18 +292,23 @@ def measure(a: Side, b: Side, runs: list[tuple[np.ndarray, np.ndarray]], with_gr
     """Groups and links of runs of closed groups, all runs at once."""
     n_a, n_b = (np.array([len(r[k]) for r in runs], np.int64) for k in (0, 1))
     ids_a, ids_b = (np.concatenate([_NONE, *(r[k] for r in runs)]) for k in (0, 1))
+    return _measure(a, b, n_a, n_b, ids_a, ids_b, with_groups)
+
+
+def _measure(a: Side, b: Side, n_a: np.ndarray, n_b: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray, with_groups: bool) -> Slab:
+    """The same of runs end to end, with the number of tokens of each."""
     ends_a, ends_b = np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b])
     # Runs lie end to end, so no group and no link reaches from one into the next.
     common = _common(ends_a, ends_b)
     group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-    run_a = np.repeat(np.arange(len(runs)), n_a)
+    run_a = np.repeat(np.arange(len(n_a)), n_a)
     last_a, last_b = (np.diff(g, append=-1) != 0 for g in (group_a, group_b))
-    n_groups = np.bincount(run_a[last_a], minlength=len(runs))
+    n_groups = np.bincount(run_a[last_a], minlength=len(n_a))
     first, final = np.searchsorted(ends_b, ends_a - a.length[ids_a], "right"), np.searchsorted(ends_b, ends_a, "left")
     count = final - first + 1
     link_a = np.repeat(np.arange(len(ids_a)), count)
     link_b = np.arange(len(link_a)) - np.repeat(np.cumsum(count) - count, count) + first[link_a]
-    n_links = np.bincount(run_a[link_a], minlength=len(runs))
+    n_links = np.bincount(run_a[link_a], minlength=len(n_a))
     code = _narrow(ids_a[link_a] * len(b.length) + ids_b[link_b])
     code, place, times = np.unique(code, return_inverse=True, return_counts=True)
     pairs = (code.astype(np.int64) // len(b.length) << 32) | code % len(b.length)
@@ -282,11 +323,94 @@ def measure(a: Side, b: Side, runs: list[tuple[np.ndarray, np.ndarray]], with_gr
         before_b = np.concatenate([[0], upto_b])[group_a] if len(ids_a) else _NONE
         text[np.arange(len(ids_a)) + before_b] = np.where(last_a, a.bar[ids_a], a.comma[ids_a])
         text[np.arange(len(ids_b)) + upto_a[group_b]] = np.where(last_b, b.end[ids_b], b.comma[ids_b])
-        ends = np.cumsum(n_a + n_b)
+        ends, text = np.cumsum(n_a + n_b), text.tolist()
         groups = ["".join(text[e - n : e])[:-1] for e, n in zip(ends.tolist(), (n_a + n_b).tolist(), strict=True)]
     return Slab(n_a, n_b, n_groups, n_links, groups, pairs, times, entries, counts)
 
 
+class Stretches:
+    """Texts from what lies between cuts of both tokenizers. No token, group or link crosses such a cut, and stretches
+    repeat, so each is read and aligned once and a text's groups and links are those of its stretches."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+        self.index: dict[str, int] = {}
+        self.size = 0
+        self.groups: list[bytes] = []
+        # Of each stretch: tokens of A and B, groups, links; whether its tokens give its bytes back; whether it came again.
+        self.numbers, self.ok, self.again = np.empty((4, 0), np.int64), np.empty(0, bool), np.empty(0, bool)
+        # Where its links begin, and the links of all.
+        self.begin, self.links = np.zeros(1, np.int64), _NONE
+
+    def _forget(self) -> None:
+        """Keep what came again, if that is not too much itself."""
+        words = list(itertools.compress(self.index, self.again))
+        size = sum(len(w) + 40 for w in words)
+        keep = self.again if size < _MEASURED // 2 else np.zeros(len(self.again), bool)
+        self.index, self.size = (dict(zip(words, itertools.count())), size) if keep.any() else ({}, 0)
+        self.groups = list(itertools.compress(self.groups, keep))
+        self.links = self.links[np.repeat(keep, np.diff(self.begin))]
+        self.numbers, self.ok = self.numbers[:, keep], self.ok[keep]
+        self.begin, self.again = np.concatenate([[0], np.cumsum(self.numbers[3])]), np.zeros(len(self.ok), bool)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Read and align stretches that are not known."""
+        plain, odd = [], []
+        for word in fresh:
+            (plain if _PLAIN.match(word) else odd).append(word)
+        together = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)] + [[w] for w in odd]
+        (ids_a, n_a, ok_a), (ids_b, n_b, ok_b) = (side.read_stretches(together) for side in (self.a, self.b))
+        ok = ok_a & ok_b
+        ids_a, ids_b = ids_a[np.repeat(ok, n_a)], ids_b[np.repeat(ok, n_b)]
+        made = _measure(self.a, self.b, n_a * ok, n_b * ok, ids_a, ids_b, True)
+        self.index.update(zip(itertools.chain(plain, odd), itertools.count(len(self.index))))
+        self.size += sum(len(w) + 40 for w in fresh)
+        self.groups += [g.encode() for g in made.groups]
+        self.numbers = np.concatenate([self.numbers, [made.n_a, made.n_b, made.n_groups, made.n_links]], axis=1)
+        self.ok, self.again = np.concatenate([self.ok, ok]), np.concatenate([self.again, np.zeros(len(ok), bool)])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(made.n_links)])
+        self.links = np.concatenate([self.links, made.pairs[np.repeat(made.entries % max(len(made.pairs), 1), made.counts)]])
+
+    def measure(self, texts: list[str]) -> Slab:
+        """What ``measure`` gives of whole texts, with digests for groups."""
+        if self.size > _MEASURED:
+            self._forget()
+        cut = [_CUT.split(t) if t else [] for t in texts]
+        before = len(self.index)
+        self._learn(list(set().union(*cut).difference(self.index)))
+        index, groups, digests, own = self.index, self.groups, [], []
+        for words in cut:
+            at = list(map(index.__getitem__, words))
+            ids = np.array(at, np.int64)
+            good = bool(at) and self.ok[ids].all()
+            own.append(ids if good else _NONE)
+            digests.append(hashlib.sha256(b";".join(map(groups.__getitem__, at))).hexdigest() if good else "")
+        n = np.array([len(x) for x in own], np.int64)
+        ids, ends = np.concatenate([_NONE, *own]), np.cumsum(n)
+        sums = np.concatenate([np.zeros((4, 1), np.int64), np.cumsum(self.numbers[:, ids], axis=1)], axis=1)
+        n_a, n_b, n_groups, n_links = sums[:, ends] - sums[:, ends - n]
+        place = np.zeros(len(self.links), np.int32)
+        used = np.zeros(len(self.ok), bool)
+        used[ids] = True
+        self.again[:before] |= used[:before]
+        used = np.repeat(used, np.diff(self.begin))
+        pairs, place[used] = np.unique(self.links[used], return_inverse=True)
+        # Each occurrence's links follow each other from where its stretch's begin.
+        count = self.numbers[3, ids]
+        link = np.arange(count.sum()) + np.repeat(self.begin[ids] - np.cumsum(count) + count, count)
+        place = place[link]
+        times = np.bincount(place, minlength=len(pairs))
+        entries = np.sort(_narrow(np.repeat(np.arange(len(texts)) * len(pairs), n_links) + place))
+        first = np.flatnonzero(np.diff(entries, prepend=-1))
+        entries, counts = entries[first].astype(np.int64), np.diff(first, append=len(entries))
+        return Slab(n_a, n_b, n_groups, n_links, digests, pairs, times, entries, counts)
+
+
+@functools.cache
+def stretches(a: str, b: str) -> Stretches:
+    return Stretches(*sides(a, b))
+
+
 def _packed(numbers: np.ndarray) -> bytes:
     """Numbers of 32 bits by planes of bytes, compressed."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -299,11 +423,10 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(planes, np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def _block_row(number: int, keys: list[int], starts: list[int], slab: Slab, digests: bool) -> pa.RecordBatch:
-    groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in slab.groups] if digests else slab.groups
+def _block_row(number: int, keys: list[int], starts: list[int], slab: Slab) -> pa.RecordBatch:
     steps = _packed(np.diff(slab.entries, prepend=0))
     links = len(steps).to_bytes(8, "little") + steps + _packed(slab.counts)
-    values = [number, keys, starts, slab.n_a, slab.n_b, slab.n_groups, slab.n_links, groups, links, slab.pairs, slab.times]
+    values = [number, keys, starts, slab.n_a, slab.n_b, slab.n_groups, slab.n_links, slab.groups, links, slab.pairs, slab.times]
     kinds = [pa.int64(), *(pa.list_(k) for k in (pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.string())), pa.binary(), *[pa.list_(pa.int64())] * 2]
     names = ["block", "keys", "starts", "n_a", "n_b", "n_groups", "n_links", "groups", "links", "pairs", "times"]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
@@ -329,15 +452,11 @@ def _whole(a: str, b: str):
     """Blocks of texts that are aligned in one piece."""
 
     def run(batches):
-        one, other = sides(a, b)
+        known = stretches(a, b)
         for nth, batch in enumerate(_slabs(batches, "text")):
             texts = batch["text"].to_pylist()
-            with_blank = [" " + t for t in texts]
-            runs = []
-            for text, (ids_a, ok_a), (ids_b, ok_b) in zip(texts, one.read(with_blank), other.read(texts), strict=True):
-                runs.append((ids_a, ids_b) if text and ok_a and ok_b else (_NONE, _NONE))
             number = (TaskContext.get().partitionId() << 32 | nth) * 2
-            yield _block_row(number, batch["row"].to_pylist(), [0] * len(texts), measure(one, other, runs), True)
+            yield _block_row(number, batch["row"].to_pylist(), [0] * len(texts), known.measure(texts))
 
     return run
 
@@ -426,7 +545,7 @@ def _measured(a: str, b: str):
         for nth, batch in enumerate(batches):
             runs = [(np.array(x, np.int64), np.array(y, np.int64)) for x, y in zip(batch["closed_a"].to_pylist(), batch["closed_b"].to_pylist(), strict=True)]
             number = (TaskContext.get().partitionId() << 32 | nth) * 2 + 1
-            yield _block_row(number, batch["row"].to_pylist(), batch["closed_at"].to_pylist(), measure(one, other, runs), False)
+            yield _block_row(number, batch["row"].to_pylist(), batch["closed_at"].to_pylist(), measure(one, other, runs))
 
     return run
 

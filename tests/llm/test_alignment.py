@@ -163,3 +163,32 @@ def test_words_have_the_librarys_ids():
         assert [a.read([t])[0][0].tolist() for t in ("one two", "three", "one two")] == a.encode(["one two", "three", "one two"])
     finally:
         al._KEPT = small
+
+
+def test_stretches_are_read_once(monkeypatch):
+    """Texts from stretches as texts in one piece, whatever was kept; a stretch that comes again is not read again."""
+    rng = random.Random(17)
+    texts = [t or "" for _, t in corpus(17, 40)] + [" two", "two ", "a  b c", "x  y", "é é", "one two one", "\x00 a b"]
+    a, b = al.sides(al.BYTE_LEVEL, al.PIECES)
+
+    def plain(texts):
+        runs = []
+        for t, (ids_a, ok_a), (ids_b, ok_b) in zip(texts, a.read([" " + t for t in texts]), b.read(texts), strict=True):
+            runs.append((ids_a, ids_b) if t and ok_a and ok_b else (al._NONE, al._NONE))
+        slab = al.measure(a, b, runs)
+        slab.groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in slab.groups]
+        return slab
+
+    flat = lambda slab: [list(v) for v in vars(slab).values()]
+    for kept in (0, 2000, 1 << 23):
+        monkeypatch.setattr(al, "_MEASURED", kept)
+        known = al.Stretches(a, b)
+        for _ in range(8):
+            some = rng.choices(texts, k=rng.randrange(0, 30))
+            assert flat(known.measure(some)) == flat(plain(some))
+    read, side = [], al.Side.read_stretches
+    monkeypatch.setattr(al.Side, "read_stretches", lambda self, groups: read.extend(w for g in groups for w in g) or side(self, groups))
+    known = al.Stretches(a, b)
+    known.measure(["one two three", "two three"])
+    known.measure(["three two one four"])
+    assert sorted(read) == sorted(["one", "two", "three", "four"] * 2)
