@@ -13,11 +13,13 @@ id one stays, so a file that was loaded twice is deduplicated.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qualityspark.llm import exact_dedup, ngram_join, packing, quality, secrets
-from qualityspark.llm.common import cut_lineage, release
+from qualityspark.llm.common import cut_lineage, cut_of, release
 from qualityspark.session import configure
 
 
@@ -43,7 +45,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal without white space, the longest stays, then the one with the smallest id; no id comes last."""
     rows, index = _rows(docs), exact_dedup.DigestIndex.scratch(spark)
-    kept = cut_lineage(exact_dedup.deduplicate(rows, index, row_col=_ROW).filter("kept").select("row"))
+    kept = cut_of(spark, lambda: exact_dedup.deduplicate(rows, index, row_col=_ROW).filter("kept").select("row"))
     index.drop()
     return _kept(docs, rows, kept)
 
@@ -51,8 +53,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links by its shingles, the document with the smallest id stays; no id comes last."""
     rows = _rows(docs)
-    found = ngram_join.near_components(rows.select(F.col(_ROW).alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
-    found = cut_lineage(found.select("row", "id", "component"))
+    release(spark)
+    plain = rows.select(F.col(_ROW).alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = cut_of(spark, lambda: ngram_join.near_components(plain).select("row", "id", "component"))
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "row"))
     firsts = found.filter("component IS NOT NULL").groupBy("component").agg(first.alias("first")).select(F.col("first.row").alias("row"))
     return _kept(docs, rows, firsts.unionByName(found.filter("component IS NULL").select("row")))
@@ -86,9 +89,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what each one keeps is written before the next reads it."""
+    """Apply the stages to ``documents``; what each one keeps is written before the next reads it, and its scratch goes."""
     docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        docs = cut_of(spark, partial(stage, spark, docs, sf_dir))
         release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

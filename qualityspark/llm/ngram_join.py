@@ -240,7 +240,10 @@ def _reached(rows: DataFrame, heads: DataFrame, words: int) -> DataFrame:
     with written(sketches) as sketches:
         release(spark)
         tokens = sketches.select("doc_id", "tag", "need", F.explode("tokens").alias("token"))
-        hits = tokens.join(_counted(tokens).hint("merge"), "token", "left_semi").groupBy("doc_id", "tag", "need").count()
+        counted = _counted(tokens)
+        # The counts' shuffle would lie beside the next one's.
+        release(spark)
+        hits = tokens.join(counted.hint("merge"), "token", "left_semi").groupBy("doc_id", "tag", "need").count()
         near = cut_lineage(hits.filter("count >= need").select("doc_id").distinct())
     release(spark)
 
@@ -248,7 +251,9 @@ def _reached(rows: DataFrame, heads: DataFrame, words: int) -> DataFrame:
     kept = cut_lineage(kept.select("doc_id", "tag", "tokens"))
     release(spark)
     tokens = kept.select("doc_id", "tag", F.explode("tokens").alias("token"))
-    shared = tokens.join(_counted(tokens).hint("merge"), "token")
+    counted = _counted(tokens)
+    release(spark)
+    shared = tokens.join(counted.hint("merge"), "token")
     # A set: rows that repeat a document give each shingle once.
     shared = shared.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("c", "token")).alias("shared"))
     nodes = cut_lineage(shared.mapInArrow(_prefixes, NODES))

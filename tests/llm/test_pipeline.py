@@ -9,7 +9,8 @@ import test_near
 import test_texts
 
 import corpus_pipeline
-from qualityspark.llm import quality
+from qualityspark import session
+from qualityspark.llm import ngram_join, quality
 from qualityspark.llm.common import cut_lineage
 
 FOLDER = "/root/testdata/sf0.001"
@@ -94,3 +95,20 @@ def test_a_file_loaded_twice_is_deduplicated(spark):
     assert sorted((r.doc_id or 0, r.text) for r in exact.collect()) == sorted((i or 0, t) for i, t in [texts[0], *texts[3:]])
     near = [(r.doc_id, r.text) for r in stages["n-gram Jaccard join"](spark, exact, FOLDER).collect()]
     assert len(near) == 3 and texts[0] in near and texts[6] in near and (texts[3] in near) != (texts[4] in near)
+
+
+def test_scratch_of_finished_steps_goes(spark, monkeypatch):
+    """Counts let go of their shuffle before they are joined; of a stage's scratch only what its result reads is left."""
+    steps, counted, release = [], ngram_join._counted, ngram_join.release
+    monkeypatch.setattr(ngram_join, "_counted", lambda tokens: (steps.append("counted"), counted(tokens))[1])
+    monkeypatch.setattr(ngram_join, "release", lambda spark: (steps.append("release"), release(spark))[1])
+    stages = dict(corpus_pipeline.STAGES)
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    texts = [(i, words(i % 5) + " y" * (i % 3), "en", "s", 1) for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+    before = len(session._cuts)
+    found = {name: stages[name](spark, docs, FOLDER).count() for name in ("exact dedup", "n-gram Jaccard join")}
+    assert found == {"exact dedup": 15, "n-gram Jaccard join": 5}
+    assert [steps[i + 1] for i, s in enumerate(steps) if s == "counted"] == ["release"] * 2
+    # Each stage: its rows with their numbers, and the numbers that stay.
+    assert len(session._cuts) - before == 4 and all(session.exists(spark, p) for p in session._cuts[before:])
