@@ -20,7 +20,7 @@ from qualityspark.operators.runs import RUN_LIMIT, STUCK_HOURS
 from qualityspark.operators.sequences import KEY, assign_sequence, walk_back
 from qualityspark.operators.suite import run_suite
 from qualityspark.sinks.batches import BATCH, BatchTable
-from qualityspark.streaming.states import run_states
+from qualityspark.streaming.states import BUCKETS, run_states
 
 
 def file_stream(spark: SparkSession, folder: str, schema, name: str | None = None, per_batch: int = 1000) -> DataFrame:
@@ -78,7 +78,9 @@ def assess_stream(docs: DataFrame, suite: Suite, registry: Registry, table: Batc
     return each_batch(docs, assess, checkpoint)
 
 
-def state_stream(requests: DataFrame, table: BatchTable, checkpoint: str, limit: int = RUN_LIMIT, hours: int = STUCK_HOURS, now: int | None = None):
+def state_stream(
+    requests: DataFrame, table: BatchTable, checkpoint: str, limit: int = RUN_LIMIT, hours: int = STUCK_HOURS, now: int | None = None, buckets: int = BUCKETS
+):
     """States of runs as their events arrive, and new requests for stuck ones (``states.run_states``), written batch by batch.
 
     Reads what there is and ends; overdue timers fire with the batches. For a
@@ -86,7 +88,7 @@ def state_stream(requests: DataFrame, table: BatchTable, checkpoint: str, limit:
     with a trigger of your own.
     """
     spark = requests.sparkSession
-    changes = run_states(requests, limit, hours, now)
+    changes = run_states(requests, limit, hours, now, buckets)
     writer = changes.writeStream.outputMode("update").foreachBatch(table.write).option("checkpointLocation", checkpoint)
     # A stream with timers asks for batches without rows for ever, so one that is to end goes without.
     name = "spark.sql.streaming.noDataMicroBatches.enabled"

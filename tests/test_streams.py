@@ -102,6 +102,24 @@ def test_timers_ask_again_for_stuck_runs(spark, tmp_path):
     assert table.rows().filter("kind = 'request' AND pid = 'late'").count() == 1
 
 
+def test_runs_share_a_bucket(spark, tmp_path):
+    """The store is asked per bucket, not per run; states, requests and timers of its runs stay their own."""
+    now = int(datetime(2024, 1, 10, tzinfo=timezone.utc).timestamp()) * 1_000_000
+    first = [(i, None if i == 7 else f"p{i}", "s", at(1 + i % 2), "processing" if i % 3 else "success") for i in range(300)]
+    second = [(300 + i, f"p{i}", "s", at(3), "success") for i in range(100)] + [(400, None, "s", at(4), "processing")]
+    stream = files(spark, str(tmp_path / "in"), REQUESTS, first, second)
+    table = BatchTable(spark, str(tmp_path / "out"), DDL(CHANGES), None)
+    done = R.state_stream(stream(), table, str(tmp_path / "state"), limit=1, now=now, buckets=4)
+    done.awaitTermination()
+    # At most a value, and a timer in two orders, for each bucket.
+    assert sum(s["numRowsTotal"] for s in done.lastProgress["stateOperators"]) <= 12
+    found = {r.pid: (r.status, r.run_count, r.events) for r in S.newest(table.rows(), "state").collect()}
+    wanted = {f"p{i}": ("success" if i < 100 or not i % 3 else "processing", int(i % 3 > 0), 1 + (i < 100)) for i in range(300) if i != 7}
+    assert found == wanted | {"p7": ("success", 0, 1), None: ("failure", 2, 2)}
+    asked = table.rows().filter("kind = 'request'").groupBy("pid").count().collect()
+    assert {r.pid: r["count"] for r in asked} == {None if i == 7 else f"p{i}": 1 for i in range(300) if i % 3}
+
+
 def test_hours_take_late_rows(spark, tmp_path):
     batches = [[(1, "p", "s", at(9, 5), "processing")], [(2, "p", "s", at(1), "processing"), (3, "p", "s", at(2), "success")], [(4, "q", "s", at(1), "success")]]
     stream = files(spark, str(tmp_path / "in"), REQUESTS, *batches)
