@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 
 from qualityspark import schemas
 from qualityspark.operators import lookups as L
-from qualityspark.plans import Tables, files, streams
+from qualityspark.plans import QUERIES, Tables, files, load, streams
 from qualityspark.session import scratch_path, scratch_root
 from qualityspark.sources import definitions as D
 
+load()
+
 
 def _plan(df, name="optimizedPlan"):
     return getattr(df._jdf.queryExecution(), name)().toString()
@@ -23,6 +25,20 @@ def test_batches_of_bodies_are_bounded(spark):
     assert max(r.size for r in bodies.mapInArrow(sizes, "size long").collect()) < 8 << 20
 
 
+def test_queries_bound_the_batches_that_the_reader_gets(spark, tmp_path):
+    """Whatever the session had before: ``score_rows`` reads its bodies in batches of 4 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    text = F.concat_ws(" ", "id", F.repeat(F.lit("word "), 10))
+    texts = spark.range(20).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("src1").alias("source"), F.length(text).alias("n_chars"))
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set(name, "64m")
+    try:
+        assert QUERIES["score_rows"](spark, str(tmp_path)).count() == 20
+        assert spark.conf.get(name) == "4m"
+    finally:
+        spark.conf.set(name, "4m")
+
+
 def test_definitions_are_parsed_once(spark):
     texts = spark.createDataFrame(
         [("1", "<check><id>a</id><name>x</name></check>"), ("2", "<check><id>a</id><name>y</name></check>"), ("3", "<check><id>"), ("4", None), ("5", "<check><name>z</name></check>")],
