@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from qualityspark import schemas
 from qualityspark.operators import lookups as L
 from qualityspark.plans import QUERIES, Tables, files, load, streams
-from qualityspark.session import scratch_path, scratch_root
+from qualityspark.session import configure, scratch_path, scratch_root
 from qualityspark.sources import definitions as D
 
 load()
@@ -25,6 +25,23 @@ def test_batches_of_bodies_are_bounded(spark):
     assert max(r.size for r in bodies.mapInArrow(sizes, "size long").collect()) < 8 << 20
 
 
+def test_batches_of_an_arrow_udf_are_bounded(spark):
+    """The reader is such a function: of one task's bodies it gets 4 MB at a time, whatever the session had before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @F.arrow_udf("long")
+    def size(bodies: pa.Array) -> pa.Array:
+        return pa.array([bodies.nbytes] * len(bodies), pa.int64())
+
+    spark.conf.set(name, "64m")
+    try:
+        configure(spark)
+        bodies = spark.range(0, 60, 1, 1).select(F.repeat(F.lit("x"), 500_000).alias("body"))
+        assert bodies.select(size("body").alias("size")).agg(F.max("size")).first()[0] < 8 << 20
+    finally:
+        spark.conf.set(name, "4m")
+
+
 def test_queries_bound_the_batches_that_the_reader_gets(spark, tmp_path):
     """Whatever the session had before: ``score_rows`` reads its bodies in batches of 4 MB."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
